@@ -4,29 +4,18 @@ from __future__ import annotations
 
 import atexit
 import gc
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-#: Upper bound of one Arrow batch; very long documents make small batches instead of large ones.
-BATCH_BYTES = 8 << 20
-_OWN: list[str] = []
-_TABLES: list[tuple[SparkSession, str]] = []
+from ..session import ship
 
+__all__ = ["crc_mod", "delete_path", "even_keys", "materialise", "parts_for", "shared_dir", "ship", "table_path"]
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package and bound the Arrow batches they get."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4000)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+_OWN: list[str] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
