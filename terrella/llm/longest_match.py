@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,12 +116,18 @@ class Automaton:
         return count
 
 
+@lru_cache(maxsize=4)
+def automaton_of(path: str) -> Automaton:
+    """One per worker process."""
+    return Automaton(read_pieces(path))
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words and greedy word-piece tokens of every row's whole text, A-Z in lower case."""
     ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(read_pieces(path))
+        automaton = automaton_of(path)
         for batch in batches:
             for s in slices(batch.column(1), lower=True):
                 start, end, doc = s.words()

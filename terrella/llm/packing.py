@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-A document's vector is its hashed word counts (square roots, unit length), projected to ``DIMS`` dimensions; the cell it
+A document's vector is its hashed byte-trigram counts (square roots, unit length), projected to ``DIMS`` dimensions; the cell it
 falls in has a Hilbert key. Documents are range-partitioned and sorted by that key with a hash of the id behind it, so a
 group of equal texts, however large, spreads over partitions. Bounds come from a sample of at most about ``SAMPLE`` rows
 and only steer balance. Within a partition, documents follow one another into sequences of ``LENGTH`` ids, cut freely. The
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import even_keys, parts_for, ship
 from .textkit import U, as_strings, mix, slices
-from .tokens import WordIds
+from .tokens import word_ids
 
 LENGTH, END = 4096, 2
 BUCKETS, DIMS, BITS, TIE_BITS = 512, 4, 9, 27
-SAMPLE, PART_BYTES = 20_000, 16 << 20
+SAMPLE, PART_BYTES, TOGETHER = 20_000, 16 << 20, 400
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MATRIX = np.random.default_rng(7).normal(0, 1, (BUCKETS, DIMS))
 
@@ -62,9 +62,11 @@ def curve_keys(text: pa.Array, ids: np.ndarray) -> np.ndarray:
     """Hilbert key of each text's projected vector, then bits of a hash of the id."""
     found = []
     for s in slices(text, lower=True):
-        start, end, doc = s.words()
-        h = s.hashes(start, end) % U(BUCKETS)
-        counts = np.sqrt(np.bincount(doc * BUCKETS + h.astype(np.int64), minlength=s.n * BUCKETS).reshape(s.n, BUCKETS))
+        g = s.data.astype(np.uint16)
+        g[:-2] = g[:-2] * np.uint16(2531) + g[1:-1] * np.uint16(337) + g[2:] * np.uint16(7)
+        bucket = g % np.uint16(BUCKETS)  # of byte trigrams; the last two of a row reach into the next, to no harm
+        counts = np.stack([np.bincount(bucket[x:y], minlength=BUCKETS) for x, y in zip(s.offs[:-1].tolist(), s.offs[1:].tolist())])
+        counts = np.sqrt(counts)
         norm = np.sqrt((counts**2).sum(1, keepdims=True))
         place = counts @ MATRIX / np.maximum(norm, 1e-9)
         cell = np.clip(((place + 2) * (1 << BITS) / 4).astype(np.int64), 0, (1 << BITS) - 1)
@@ -151,17 +153,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pa.StructArray.from_arrays([pa.array(k), pa.array(names[np.searchsorted(cuts, k, "right")].astype(np.int32))], ["k", "part"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, now, sequences = WordIds(tokenizer), None, None
+        words, now, sequences = word_ids(tokenizer), None, None
         end = END.to_bytes(4, "little")
         for batch in batches:
-            for part, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_strings(batch.column(2)).to_pylist()):
+            texts = as_strings(batch.column(2)).to_pylist()
+            encoded = (x for i in range(0, len(texts), TOGETHER) for x in words.encode_many(texts[i : i + TOGETHER]))
+            for part, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded):
                 if part != now:
                     if sequences:
                         sequences.finish()
                         if (out := sequences.take()) is not None:
                             yield out
                     now, sequences = part, Sequences(part)
-                sequences.add(doc, words.encode(text) + end)
+                sequences.add(doc, data + end)
             if sequences and (out := sequences.take()) is not None:
                 yield out
         if sequences:

@@ -18,6 +18,7 @@ import os
 import string
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkit import as_strings
+from .textkit import LOWER, as_strings
 
 #: Entries of a worker's cache before it is emptied; long pre-tokens are not kept.
 CACHE, CACHE_CHARS = 300_000, 48
 PUNCTUATION = string.punctuation
+LOWER_BYTES = LOWER.tobytes()
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -119,12 +121,18 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@lru_cache(maxsize=4)
+def byte_bpe(path: str, pattern: str) -> ByteBpe:
+    """One per worker process, so that its cache outlives a task."""
+    return ByteBpe(path, pattern)
+
+
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: token count, SHA-256 of the ids as decimal text joined by commas, SHA-256 of the decoded bytes."""
     ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = byte_bpe(path, pattern)
         names = [str(i) for i in range(max(bpe.bytes_of) + 1)]
         for batch in batches:
             n, a, b = [], [], []
@@ -143,7 +151,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = byte_bpe(path, pattern)
         for batch in batches:
             ids = [bpe.encode(t) for t in as_strings(batch.column(1)).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -154,8 +162,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 class WordIds:
     """Ids of a tokenizers vocabulary file as little-endian uint32 bytes, cached by white-space separated chunk.
 
-    The vocabulary's pre-tokenizer drops white space, and its normaliser maps no character across a blank or newline, so
-    chunks between those encode apart. Other white space stays inside a chunk and is the tokenizer's to handle.
+    The vocabulary's pre-tokenizer drops white space, and its normaliser composes no character across it, so chunks between
+    blanks and newlines encode apart. Other white space stays inside a chunk and is the tokenizer's to handle.
     """
 
     def __init__(self, path: str):
@@ -185,21 +193,23 @@ class WordIds:
             out.update((t, struct.pack(f"<{len(e.ids)}I", *e.ids)) for t, e in zip(rest, found))
         return out
 
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        """Letters followed by ASCII punctuation are two pre-tokens, and ASCII letters encode as their lower case."""
+    def _new(self, chunks: dict[str, None]) -> dict[str, bytes]:
+        """Letters followed by ASCII punctuation are two pre-tokens."""
         parts, out, old, cache = [], {}, self.old, self.cache
         need: dict[str, None] = {}
         for c in chunks:
-            if c in old:
-                out[c] = old[c]
+            if (known := old.get(c)) is not None:
+                out[c] = known
+                continue
+            if c.isalpha() or not (stem := c.rstrip(PUNCTUATION)).isalpha():
+                need[c] = None
                 continue
-            stem = c.rstrip(PUNCTUATION)
-            a, b = (stem.lower() if stem.isascii() else stem, c[len(stem) :]) if stem.isalpha() else (c, "")
-            parts.append((c, a, b))
-            for x in (a, b):
+            tail = c[len(stem) :]
+            parts.append((c, stem, tail))
+            for x in (stem, tail):
                 if x not in cache:
-                    if x in old:
-                        out[x] = old[x]
+                    if (known := old.get(x)) is not None:
+                        out[x] = known
                     else:
                         need[x] = None
         need.pop("", None)
@@ -209,19 +219,39 @@ class WordIds:
             out[c] = (out[a] if a in out else cache[a]) + (out[b] if b in out else cache[b])
         return out
 
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = self._new([c for c in dict.fromkeys(chunks) if c not in cache])
-        long = {c: x for c, x in new.items() if len(c) > CACHE_CHARS}
-        if long:
-            new = {c: x for c, x in new.items() if len(c) <= CACHE_CHARS}
-        cache.update(new)
-        out = b"".join(long[c] if c in long else cache[c] for c in chunks) if long else b"".join(map(cache.__getitem__, chunks))
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Several texts at once: what the cache lacks is encoded in one call."""
+        cache, missing, split = self.cache, {}, []
+        for t in texts:
+            # A-Z may go to lower case first, but where a mark could have composed with a capital
+            if t.isascii():
+                t = t.lower()
+            elif b"\xcc" not in (data := t.encode()) and b"\xcd" not in data:
+                t = data.translate(LOWER_BYTES).decode()
+            chunks = t.replace("\n", " ").split(" ")
+            found = list(map(cache.get, chunks))
+            if None in found:
+                gaps = [i for i, f in enumerate(found) if f is None]
+                missing.update((chunks[i], None) for i in gaps)
+                split.append((found, [(i, chunks[i]) for i in gaps]))
+            else:
+                split.append((found, ()))
+        new = self._new(missing) if missing else {}
+        out = []
+        for found, gaps in split:
+            for i, c in gaps:
+                found[i] = new[c]
+            out.append(b"".join(found))
+        cache.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
         if len(cache) > CACHE:
             self.old, self.cache = cache, {}
         return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=4)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that its cache outlives a task."""
+    return WordIds(path)
