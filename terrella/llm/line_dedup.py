@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,10 @@ from .common import even_keys, materialise, parts_for, ship
 from .linkage import link
 from .textkit import U, mix
 
-MIN_WORDS, SHINGLE, BINS, BANDS, SHARE = 5, 5, 64, 16, (80, 100)
-PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 4 << 20, 60_000, 32, -(1 << 63)
+MIN_WORDS, SHINGLE, SHARE = 5, 5, (80, 100)
+#: 21 bands of 6 of 128 slots: pairs of similarity 0.8 share one with probability 0.998, of 0.85 with 0.9999, of 0.3 with 0.02.
+BINS, BANDS, ROWS = 128, 21, 6
+PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
 
 
@@ -57,16 +60,16 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     key = key[runs(key)]
     cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
     elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
-    slot = runs(key >> U(42))
+    slot = runs(key >> U(41))
     table = np.zeros((len(texts), BINS), U)
     full = np.zeros((len(texts), BINS), bool)
-    r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(42) & U(BINS - 1)).astype(np.int64)
-    table[r, c], full[r, c] = key[slot] & U((1 << 42) - 1), True
+    r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(41) & U(BINS - 1)).astype(np.int64)
+    table[r, c], full[r, c] = key[slot] & U((1 << 41) - 1), True
     twice = np.where(np.concatenate([full, full], 1), np.arange(2 * BINS), 4 * BINS)
     source = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :BINS]
     table = np.take_along_axis(table, source % BINS, 1) + (source - np.arange(BINS)).astype(U) * U(0x9E3779B97F4A7C15)
     bands = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (len(texts), 1))
-    for i in range(BINS // BANDS):
+    for i in range(ROWS):
         bands = bands * U(0xD1342543DE82EF95) + table[:, i * BANDS : (i + 1) * BANDS]
     return elements, mix(bands)
 
@@ -74,19 +77,45 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 def decode(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Items of the linkage: bands as keys, without positions."""
     elements, bands = signatures(payloads)
-    return [(b, np.zeros(BANDS, np.int64), e, len(e)) for b, e in zip(bands, elements)]
+    return [(b >> U(16), np.zeros(BANDS, np.int64), e, len(e)) for b, e in zip(bands, elements)]
 
 
-def _distinct(found: dict[bytes, list[int]]) -> pa.RecordBatch:
-    texts = list(found)
-    doc, line, count = (pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3))
-    return pa.record_batch([pa.array([node_of(t) for t in texts], pa.int64()), doc, line, count, pa.array(texts, pa.binary())], ["node", "doc", "line", "count", "text"])
+def _chunk(found: list[tuple[bytes, list[int]]]) -> bytes:
+    """Distinct lines as one blob: node, document, line, count, size, bytes."""
+    texts = [t for t, _ in found]
+    place = np.array([p for _, p in found], np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return pack(np.array([node_of(t) for t in texts], np.int64), place[:, 0], place[:, 1], place[:, 2], sizes, np.frombuffer(b"".join(texts), np.uint8))
+
+
+def _texts(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
+    data, end = raw.tobytes(), np.cumsum(sizes).tolist()
+    return [data[x:y] for x, y in zip([0, *end], end)]
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """node, first place (doc, line), count and text of every distinct line that takes part. docs: id, text."""
+    """Every distinct line that takes part with its first place and count, packed in chunks (chunk, data). docs: id, text.
+
+    A task's distinct lines go to their node's bucket as one compressed blob.
+    """
     size = (docs.sample(0.05, seed=5).agg(F.avg(F.octet_length("text")).alias("b")).collect()[0]["b"] or 1000.0) * docs.count()
     parts = parts_for(docs.sparkSession, size, PART_BYTES)
+    buckets = np.array(even_keys(docs.sparkSession, parts), np.int64)
+
+    def send(found: dict[bytes, list[int]]) -> pa.RecordBatch:
+        texts = list(found)
+        place = np.array(list(found.values()), np.int64)
+        home = np.array([node_of(t) % parts for t in texts], np.int64)
+        order = np.argsort(home, kind="stable")
+        edge = np.searchsorted(home[order], np.arange(parts + 1))
+        names, blobs = [], []
+        for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            if y > x:
+                own = [texts[i] for i in order[x:y]]
+                rows = place[order[x:y]]
+                names.append(int(buckets[b]))
+                blobs.append(pack(rows[:, 0], rows[:, 1], rows[:, 2], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8)))
+        return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list[int]] = {}
@@ -103,102 +132,146 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                         old[2] += 1
                         old[:2] = min(old[:2], [doc, i])
                 if held > FLUSH:
-                    yield _distinct(found)
+                    yield send(found)
                     found, held = {}, 0
         if found:
-            yield _distinct(found)
+            yield send(found)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list[int]] = {}
         for batch in batches:
-            for doc, line, count, text in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                if (old := found.get(text)) is None:
-                    found[text] = [doc, line, count]
-                else:
-                    old[2] += count
-                    old[:2] = min(old[:2], [doc, line])
-        items = list(found.items())
-        for i in range(0, len(items), 20_000):
-            yield _distinct(dict(items[i : i + 20_000]))
+            for data in batch.column(1).to_pylist():
+                docs_, lines, counts, sizes, raw = unpack(data)
+                for doc, line, count, key in zip(docs_.tolist(), lines.tolist(), counts.tolist(), _texts(sizes, raw)):
+                    if (old := found.get(key)) is None:
+                        found[key] = [doc, line, count]
+                    else:
+                        old[2] += count
+                        old[:2] = min(old[:2], [doc, line])
+        task, items = TaskContext.get().partitionId(), list(found.items())
+        for i in range(0, len(items), CHUNK):
+            yield pa.record_batch([pa.array([task << 24 | i // CHUNK]), pa.array([_chunk(items[i : i + CHUNK])], pa.binary())], ["chunk", "data"])
 
-    schema = "node long, doc long, line long, count long, text binary"
-    return docs.mapInArrow(split, schema).repartition(parts, "node").mapInArrow(merge, schema)
+    return docs.mapInArrow(split, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(merge, "chunk long, data binary")
 
 
-def band_postings(lines: DataFrame) -> DataFrame:
-    """key, node, k of every band key that several nodes have. lines: node, text."""
+def band_groups(lines: DataFrame) -> DataFrame:
+    """Of chunks of lines: (key, node) of band keys that several nodes have, and (node, doc, line, text) of those nodes with a null key.
+
+    Keys meet by hash bucket, what they find returns to the chunk, where the lines are.
+    """
     spark = lines.sparkSession
-    parts = parts_for(spark, lines.count() * BANDS * 16.0, PART_BYTES)
+    size = lines.select(F.sum(F.octet_length("data"))).collect()[0][0] or 0
+    parts = parts_for(spark, size * 1.2, PART_BYTES / 2)
     buckets = np.array(even_keys(spark, parts), np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        number = 0
-
-        def out() -> pa.RecordBatch:
-            key, node = np.concatenate(keys).ravel(), np.repeat(np.concatenate(nodes), BANDS)
-            order = np.argsort(key)
-            key, node = key[order], node[order]
-            start = runs(key)
-            count = np.diff(np.append(start, len(key)))
-            hot = count > HOT
-            often = np.repeat(hot, count)
-            rows = [(int(buckets[number % parts]), 2, pack(steps(key[often]), node[often]))] if hot.any() else []
-            marks = np.zeros(len(key), np.uint32)
-            marks[start[hot]] = count[hot]
-            keep = ~often | (marks > 0)
-            key, node, marks = key[keep], node[keep], marks[keep]
-            edge = np.searchsorted(key, np.array([i * 2**64 // parts for i in range(parts)], U))
-            for b, (x, y) in enumerate(zip(edge, [*edge[1:], len(key)])):
-                if y > x:
-                    rows.append((int(buckets[b]), 1, pack(steps(key[x:y]), node[x:y], marks[x:y])))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "data"])
-
-        held = 0
+        """Per chunk, (key, place, 0) by bucket; a key that many of its nodes have as one (key, 0, count)."""
         for batch in batches:
-            node, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (size < 400_000 or end == at):
-                    size += len(texts[end])
-                    end += 1
-                keys.append(signatures(texts[at:end])[1])
-                nodes.append(node[at:end])
-                held, at = held + end - at, end
-            if held >= CHUNK:
-                yield out()
-                nodes, keys, held, number = [], [], 0, number + 1
-        if nodes:
-            yield out()
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, place = _keys_of(data)
+                start = runs(key)
+                count = np.diff(np.append(start, len(key)))
+                hot = count > HOT
+                marks = np.zeros(len(key), np.uint32)
+                marks[start[hot]] = count[hot]
+                keep = ~np.repeat(hot, count) | (marks > 0)
+                key, place, marks = key[keep], place[keep], marks[keep]
+                edge = np.searchsorted(key, np.array([i * 2**48 // parts for i in range(parts)], U))
+                rows = [(int(buckets[b]), chunk, pack(steps(key[x:y]), place[x:y], marks[x:y])) for b, (x, y) in enumerate(zip(edge, [*edge[1:], len(key)])) if y > x]
+                if rows:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "chunk", "data"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-
-        def rows(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(key), 50_000):
-                yield pa.record_batch([pa.array(key[i : i + 50_000].astype(np.int64)), pa.array(node[i : i + 50_000])], ["key", "node"])
-
+        """Of each chunk's entries, those whose key comes twice or stands for many."""
+        chunks: list[int] = []
+        found: list[list[np.ndarray]] = []
         for batch in batches:
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 c = unpack(data)
                 c[0] = np.cumsum(c[0], dtype=U)
-                if kind == 2:
-                    yield from rows(c[0], c[1])
+                chunks.append(chunk)
+                found.append(c)
+        if not found:
+            return
+        key = np.sort(np.concatenate([c[0] for c in found]))
+        start = runs(key)
+        several = key[start][np.diff(np.append(start, len(key))) > 1]
+        for chunk, (k, place, mark) in zip(chunks, found):
+            hit = mark > 0
+            if len(several):
+                hit |= several[np.minimum(np.searchsorted(several, k), len(several) - 1)] == k
+            if hit.any():
+                yield pa.record_batch([pa.array([chunk]), pa.array([1], pa.int32()), pa.array([pack(steps(k[hit]), place[hit], (mark[hit] > 0).astype(np.uint8))], pa.binary())], ["chunk", "kind", "data"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "doc", "line", "text"]
+        now, own, hits = None, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            node, doc, line, _, sizes, raw = unpack(own)
+            key = np.concatenate([np.cumsum(h[0], dtype=U) for h in hits])
+            place, mark = np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits]).astype(bool)
+            if mark.any():  # keys that stand for many: all their places are found again here
+                all_key, all_place = _keys_of(own)
+                wanted = np.sort(key[mark])
+                at = np.minimum(np.searchsorted(wanted, all_key), len(wanted) - 1)
+                again = wanted[at] == all_key
+                key, place = np.concatenate([key[~mark], all_key[again]]), np.concatenate([place[~mark], all_place[again]])
+            for i in range(0, len(key), 50_000):
+                k = key[i : i + 50_000].astype(np.int64)
+                none = pa.nulls(len(k), pa.int64())
+                yield pa.record_batch([pa.array(k), pa.array(node[place[i : i + 50_000]]), none, none, pa.nulls(len(k), pa.binary())], names)
+            at = np.unique(place)
+            texts = _texts(sizes, raw)
+            for i in range(0, len(at), 5_000):
+                p = at[i : i + 5_000]
+                yield pa.record_batch([pa.nulls(len(p), pa.int64()), pa.array(node[p]), pa.array(doc[p]), pa.array(line[p]), pa.array([texts[x] for x in p.tolist()], pa.binary())], names)
+
+        for batch in batches:
+            for chunk, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    if hits:
+                        yield from out()
+                    now, own, hits = chunk, None, []
+                if kind == 0:
+                    own = data
                 else:
-                    parts.append(c)
-        if parts:
-            key, node, mark = (np.concatenate([c[i] for c in parts]) for i in range(3))
-            order = np.argsort(key)
-            key, node, mark = key[order], node[order], mark[order]
-            count = np.diff(np.append(runs(key), len(key)))
-            several = (np.repeat(count, count) > 1) & (mark == 0)
-            yield from rows(key[several], node[several])
+                    hits.append(unpack(data))
+        if hits:
+            yield from out()
+
+    met = lines.mapInArrow(send, "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(gather, "chunk long, kind int, data binary")
+    both = met.unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data"))
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, doc long, line long, text binary")
+
+
+def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 48-bit band keys of a chunk's lines, and the line's place of each."""
+    *_, sizes, raw = unpack(data)
+    texts, keys, at = _texts(sizes, raw), [], 0
+    while at < len(texts):
+        size, end = 0, at
+        while end < len(texts) and (size < 400_000 or end == at):
+            size += len(texts[end])
+            end += 1
+        keys.append(signatures(texts[at:end])[1])
+        at = end
+    packed = np.sort(np.concatenate(keys).ravel() >> U(16) << U(16) | np.repeat(np.arange(len(texts), dtype=U), BANDS))
+    return packed >> U(16), (packed & U(65535)).astype(np.uint16)
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """node, doc, line of distinct lines that occur more than once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                node, doc, line, count, _, _ = unpack(data)
+                at = count > 1
+                yield pa.record_batch([pa.array(node[at]), pa.array(doc[at]), pa.array(line[at])], ["node", "doc", "line"])
 
-    sent = lines.mapInArrow(send, "bucket int, kind int, data binary")
-    pairs = materialise(sent.repartition(parts, "bucket").mapInArrow(gather, "key long, node long"), "bands")
-    return pairs.join(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "key").select("key", "node", "k")
+    return lines.select("data").mapInArrow(rows, "node long, doc long, line long")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -223,12 +296,14 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).alias("text"))
     lines = materialise(distinct_lines(plain), "lines")
-    postings = materialise(band_postings(lines.select("node", "text")), "band-postings")
-    wanted = postings.select("node").distinct()
-    items = lines.select("node", F.col("text").alias("payload")).join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    found = link(postings, items, decode, share)
-    marked = lines.select("node", "doc", "line", "count").join(found, "node", "left").filter("count > 1 or comp is not null").withColumn("comp", F.coalesce("comp", "node"))
-    marked = materialise(marked, "marked")
+    groups = materialise(band_groups(lines), "line-groups")
+    pairs = groups.filter("key is not null").select("key", "node")
+    postings = pairs.join(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "key").select("key", "node", "k")
+    postings = materialise(postings, "postings")
+    items = groups.filter("key is null")
+    found = link(postings, items.select("node", F.col("text").alias("payload")), decode, share)
+    marked = repeated_lines(lines).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = materialise(marked.unionByName(items.select("node", "doc", "line").join(found, "node")).distinct(), "marked")
     kept = marked.groupBy("comp").agg(F.min(F.struct("doc", "line")).alias("kept"))
     rule = marked.select("node", "comp").join(kept, "comp").select("node", F.col("kept.doc").alias("kdoc"), F.col("kept.line").alias("kline"))
     gone = places(plain).join(rule, "node").filter("doc != kdoc or line != kline").select("doc", "line").distinct()

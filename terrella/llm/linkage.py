@@ -4,8 +4,8 @@ Items share keys (prefix n-grams, signature bands). Each item has one home block
 whose group is dealt into blocks of about ``BLOCK`` items by hash. First all pairs within blocks are decided, for large groups
 in two independent dealings, and components formed. A group of near copies, however large, is then mostly one component,
 inside which no pair needs deciding any more. Last, every remaining pair of items that share a key and lie in different
-components is decided exactly once: items visit the other blocks of their keys' groups, large components have blocks of
-their own, and a block of the item's own large component is never visited. So the work is linear in a group's size plus
+components is decided exactly once: blocks visit the other blocks of their keys' groups, large components have blocks of
+their own, and two blocks of one large component never meet. So the work is linear in a group's size plus
 the pairs that truly stay apart, no group has to fit in a task, and no pair is left out.
 
 A pair is decided by length, position in the shared keys, the suffix filter (counts of elements by hash range bound the
@@ -15,6 +15,7 @@ difference from below), then the exact overlap, by merging for few pairs or one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .blocks import runs
 from .common import materialise
 
 BLOCK, LARGE, RANGES = 256, 64, 32
+#: Pairs decided one by one, and rows decoded together.
+SMALL, HELD = 40, 1500
 Decode = Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]
 
 
@@ -34,11 +37,21 @@ class Items:
     def __init__(self, nodes: list[int], decoded: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], comps: list[int]):
         self.nodes, self.comps = nodes, comps
         self.keys = [d[0] for d in decoded]
-        self.left = [d[3] - d[1] - 1 for d in decoded]
+        self.positions = [d[1] for d in decoded]
         self.elements = [d[2] for d in decoded]
         self.size = np.array([d[3] for d in decoded], np.int64)
-        self.spread = np.array([np.bincount((e >> np.uint64(43)).astype(np.int64) % RANGES, minlength=RANGES) for e in self.elements], np.int32).reshape(-1, RANGES)
-        self.rest = self.size - np.array([len(e) for e in self.elements], np.int64)
+
+    @cached_property
+    def left(self) -> list[np.ndarray]:
+        return [n - p - 1 for n, p in zip(self.size.tolist(), self.positions)]
+
+    @cached_property
+    def spread(self) -> np.ndarray:
+        return np.array([np.bincount((e >> np.uint64(43)).astype(np.int64) % RANGES, minlength=RANGES) for e in self.elements], np.int32).reshape(-1, RANGES)
+
+    @cached_property
+    def rest(self) -> np.ndarray:
+        return self.size - np.array([len(e) for e in self.elements], np.int64)
 
     def __len__(self) -> int:
         return len(self.nodes)
@@ -112,6 +125,8 @@ class Forest:
 def decide(a: Items, b: Items, forest: Forest, share: tuple[int, int], within: bool) -> list[tuple[int, int]]:
     """Links between the two blocks' items (or within one) that join what the forest has apart."""
     p, q = share
+    if len(a) * len(b) <= SMALL:
+        return _decide_few(a, b, forest, p, q, within)
     u = bounds(a, b)
     total = a.size[:, None] + b.size[None, :]
     need = -(-p * total // (p + q))
@@ -141,40 +156,81 @@ def decide(a: Items, b: Items, forest: Forest, share: tuple[int, int], within: b
     return links
 
 
+def _decide_few(a: Items, b: Items, forest: Forest, p: int, q: int, within: bool) -> list[tuple[int, int]]:
+    """The same for a few items of one block, pair by pair: length, then the overlap itself."""
+    links = []
+    na, nb = a.size.tolist(), b.size.tolist()
+    for i, n in enumerate(na):
+        for j in range(i + 1 if within else 0, len(nb)):
+            m = nb[j]
+            if q * min(m, n) < p * max(m, n) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
+                continue
+            if (p + q) * len(np.intersect1d(a.elements[i], b.elements[j], assume_unique=True)) >= p * (m + n):
+                forest.join(a.comps[i], b.comps[j])
+                links.append((a.nodes[i], b.nodes[j]))
+    return links
+
+
+class _Group:
+    """Rows of one block: members, then visitors; decided members stay while more visitors come."""
+
+    def __init__(self, inner: bool):
+        self.inner, self.forest = inner, Forest()
+        self.members: list[tuple] = []
+        self.visitors: list[tuple] = []
+        self.block: Items | None = None
+
+
 def _kernel(decode: Decode, share: tuple[int, int]):
-    """Over rows (block, role, inner, node, comp, payload) sorted by block and role: links within members, then of visitors."""
+    """Over rows (block, role, inner, node, comp, payload) sorted by block and role: links within members, then of visitors.
+
+    Many small blocks are decoded together; visitors of a large one are settled as they come.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
-        members: list[tuple] = []
-        visitors: list[tuple] = []
-        block: Items | None = None
-        inner, forest, links = False, Forest(), []
-
-        def items(found: list[tuple]) -> Items:
-            return Items([x[0] for x in found], decode([x[2] for x in found]), [x[1] for x in found])
+        open_: list[_Group] = []
+        held, links = 0, []
 
         def settle() -> None:
-            nonlocal block, members, visitors
-            if block is None and members:
-                block, members = items(members), []
-                if inner and len(block) > 1:
-                    links.extend(decide(block, block, forest, share, True))
-            if block is not None and visitors:
-                links.extend(decide(block, items(visitors), forest, share, False))
-            visitors = []
+            nonlocal held
+            fresh = [x for g in open_ for x in (*(g.members if g.block is None else ()), *g.visitors)]
+            decoded = iter(decode([x[2] for x in fresh])) if fresh else iter(())
+
+            def items(found: list[tuple]) -> Items:
+                return Items([x[0] for x in found], [next(decoded) for _ in found], [x[1] for x in found])
+
+            for g in open_:
+                if g.block is None:
+                    g.block = items(g.members)
+                    g.members = []
+                    if g.inner and len(g.block) > 1:
+                        links.extend(decide(g.block, g.block, g.forest, share, True))
+                if g.visitors:
+                    guests = items(g.visitors)
+                    g.visitors = []
+                    links.extend(decide(g.block, guests, g.forest, share, False))
+            held = 0
 
         for batch in batches:
-            for b, role, inn, node, comp, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, role, inner, node, comp, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != now:
-                    settle()
-                    now, members, visitors, block, inner, forest = b, [], [], None, inn, Forest()
+                    if held >= HELD:
+                        settle()
+                    if not held:
+                        open_.clear()
+                    open_.append(_Group(inner))
+                    now = b
+                g = open_[-1]
                 if role == 0:
-                    members.append((node, comp, payload))
+                    g.members.append((node, comp, payload))
                 else:
-                    visitors.append((node, comp, payload))
-                    if len(visitors) >= BLOCK:
+                    g.visitors.append((node, comp, payload))
+                    if len(g.visitors) >= BLOCK:
                         settle()
+                        del open_[:-1]
+                        continue
+                held += 1
             if len(links) > 1000:
                 yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
                 links.clear()
@@ -232,15 +288,15 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
     labelled = labelled.withColumn("block", F.xxhash64("hkey", F.coalesce("big", F.lit(-1)), F.pmod(F.xxhash64("node", F.lit(2)), chunks)))
     labelled = materialise(labelled.select("node", "comp", F.coalesce("big", F.lit(-1)).alias("big"), (F.col("hk") > BLOCK).alias("cut"), "block", "payload"), "blocks")
     places = labelled.select("node", "big", "block")
-    spots = postings.select("key", "node").join(places.hint("shuffle_hash"), "node")
-    groups = spots.select("key", F.col("block").alias("to"), F.col("big").alias("tobig")).distinct()
-    open_keys = groups.groupBy("key").agg(F.min("tobig").alias("lo"), F.max("tobig").alias("hi")).filter("lo != hi or lo = -1").select("key")
-    targets = groups.join(open_keys, "key")
-    visits = spots.join(targets, "key").filter("block < to and (big != tobig or big = -1)").select("node", F.col("to").alias("block")).distinct()
+    spots = postings.select("key", "node").join(places.hint("shuffle_hash"), "node").select("key", "block", "big").distinct()
+    open_keys = spots.groupBy("key").agg(F.min("big").alias("lo"), F.max("big").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1 and (lo != hi or lo = -1)").select("key")
+    spots = spots.join(open_keys, "key")
+    targets = spots.select("key", F.col("block").alias("to"), F.col("big").alias("tobig"))
+    visits = spots.join(targets, "key").filter("block < to and (big != tobig or big = -1)").select(F.col("block").alias("from"), F.col("to").alias("block")).distinct()
     visits = materialise(visits, "visits")
     mixed = (F.col("big") == -1) & F.col("cut")  # whole groups were decided within their one block already
     members = labelled.join(visits.select(F.col("block").alias("vb")).distinct(), F.col("block") == F.col("vb"), "left").filter(mixed | F.col("vb").isNotNull())
     members = members.select("block", F.lit(0).alias("role"), mixed.alias("inner"), "node", "comp", "payload")
-    guests = visits.join(labelled.select("node", "comp", "payload"), "node").select("block", F.lit(1).alias("role"), F.lit(False).alias("inner"), "node", "comp", "payload")
+    guests = visits.join(labelled.select(F.col("block").alias("from"), "node", "comp", "payload"), "from").select("block", F.lit(1).alias("role"), F.lit(False).alias("inner"), "node", "comp", "payload")
     more = members.unionByName(guests).repartition("block").sortWithinPartitions("block", "role").mapInArrow(kernel, "a long, b long")
     return components(links.union(materialise(more, "far")))
