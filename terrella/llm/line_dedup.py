@@ -30,8 +30,9 @@ from .linkage import link
 from .textkit import U, mix
 
 MIN_WORDS, SHINGLE, SHARE = 5, 5, (80, 100)
-#: 21 bands of 6 of 128 slots: pairs of similarity 0.8 share one with probability 0.998, of 0.85 with 0.9999, of 0.3 with 0.02.
-BINS, BANDS, ROWS = 128, 21, 6
+#: 21 bands of 5 of 128 slots; pairs are candidates that share two, or one that more than FEW nodes have: at similarity 0.8
+#: with probability 0.997 or more, at 0.85 with 0.9999, at 0.3 of 0.001, so candidates do not grow with the square of the corpus.
+BINS, BANDS, ROWS, FEW = 128, 21, 5, 8
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
 
@@ -274,6 +275,18 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return lines.select("data").mapInArrow(rows, "node long, doc long, line long")
 
 
+def candidates(pairs: DataFrame) -> DataFrame:
+    """key, node, k for the linkage: keys of many nodes as they are; of keys of few nodes, the pairs that share two of them."""
+    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    known = materialise(pairs.join(counts, "key"), "band-keys")
+    many = known.filter(F.col("k") > FEW).select("key", "node", "k")
+    few = known.filter(F.col("k") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s"))
+    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    twice = few.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    made = twice.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"), F.lit(2).cast("long").alias("k"))
+    return many.unionByName(made)
+
+
 def places(docs: DataFrame) -> DataFrame:
     """doc, line, node of every line that takes part. docs: id, text."""
 
@@ -298,9 +311,9 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     lines = materialise(distinct_lines(plain), "lines")
     groups = materialise(band_groups(lines), "line-groups")
     pairs = groups.filter("key is not null").select("key", "node")
-    postings = pairs.join(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "key").select("key", "node", "k")
-    postings = materialise(postings, "postings")
-    items = groups.filter("key is null")
+    postings = materialise(candidates(pairs), "postings")
+    wanted = postings.select("node").distinct()
+    items = groups.filter("key is null").join(wanted.hint("shuffle_hash"), "node", "left_semi")
     found = link(postings, items.select("node", F.col("text").alias("payload")), decode, share)
     marked = repeated_lines(lines).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = materialise(marked.unionByName(items.select("node", "doc", "line").join(found, "node")).distinct(), "marked")

@@ -290,9 +290,12 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
     places = labelled.select("node", "big", "block")
     spots = postings.select("key", "node").join(places.hint("shuffle_hash"), "node").select("key", "block", "big").distinct()
     open_keys = spots.groupBy("key").agg(F.min("big").alias("lo"), F.max("big").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1 and (lo != hi or lo = -1)").select("key")
-    spots = spots.join(open_keys, "key")
-    targets = spots.select("key", F.col("block").alias("to"), F.col("big").alias("tobig"))
-    visits = spots.join(targets, "key").filter("block < to and (big != tobig or big = -1)").select(F.col("block").alias("from"), F.col("to").alias("block")).distinct()
+    amounts = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    spots = spots.join(open_keys, "key").join(amounts, "block").select("key", "big", F.struct("n", "block").alias("at"))
+    targets = spots.select("key", F.col("at").alias("host"), F.col("big").alias("tobig"))
+    # the smaller block visits the larger
+    visits = spots.join(targets, "key").filter("at < host and (big != tobig or big = -1)").select(F.col("at.block").alias("block"), F.col("host.block").alias("to"))
+    visits = visits.select(F.col("block").alias("from"), F.col("to").alias("block")).distinct()
     visits = materialise(visits, "visits")
     mixed = (F.col("big") == -1) & F.col("cut")  # whole groups were decided within their one block already
     members = labelled.join(visits.select(F.col("block").alias("vb")).distinct(), F.col("block") == F.col("vb"), "left").filter(mixed | F.col("vb").isNotNull())
