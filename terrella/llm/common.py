@@ -41,18 +41,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
 
-    Shuffle files behind it are of no more use; dropping references lets Spark's cleaner free them.
+    ``free``: the shuffle files behind it are large and of no more use; a collection lets Spark's cleaner delete them now.
     """
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 

@@ -308,8 +308,8 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     """doc (the lowest long for null) and the sorted numbers of its lines that go; documents that keep all are absent."""
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).alias("text"))
-    lines = materialise(distinct_lines(plain), "lines")
-    groups = materialise(band_groups(lines), "line-groups")
+    lines = materialise(distinct_lines(plain), "lines", free=True)
+    groups = materialise(band_groups(lines), "line-groups", free=True)
     pairs = groups.filter("key is not null").select("key", "node")
     postings = materialise(candidates(pairs), "postings")
     wanted = postings.select("node").distinct()
@@ -334,7 +334,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text; columns and their order stay."""
-    gone = materialise(dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("dropped").alias("_gone_lines")), "dropped")
+    gone = materialise(dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("dropped").alias("_gone_lines")), "dropped", free=True)
 
     @F.arrow_udf("string")
     def without(text: pa.Array, lines: pa.Array) -> pa.Array:

@@ -248,6 +248,8 @@ def components(links: DataFrame) -> DataFrame:
     contracts the links; rounds go on until no link joins two roots.
     """
     links = materialise(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = both(links).select(F.col("a").alias("node")).distinct()
     labels: DataFrame | None = None
@@ -273,6 +275,8 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
 
     postings: key, node, distinct, where ``k`` is the number of nodes of the key, above 1. items: node, payload, one per node.
     """
+    if postings.isEmpty():
+        return postings.select("node", F.col("node").alias("comp"))
     pair = (share[0], share[1])
     kernel = _kernel(decode, pair)
     home = postings.groupBy("node").agg(F.max(F.struct("k", "key")).alias("h")).select("node", F.col("h.k").alias("hk"), F.col("h.key").alias("hkey"))
@@ -297,6 +301,8 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
     visits = spots.join(targets, "key").filter("at < host and (big != tobig or big = -1)").select(F.col("at.block").alias("block"), F.col("host.block").alias("to"))
     visits = visits.select(F.col("block").alias("from"), F.col("to").alias("block")).distinct()
     visits = materialise(visits, "visits")
+    if visits.isEmpty() and not labelled.filter("cut and big = -1").limit(1).count():
+        return found
     mixed = (F.col("big") == -1) & F.col("cut")  # whole groups were decided within their one block already
     members = labelled.join(visits.select(F.col("block").alias("vb")).distinct(), F.col("block") == F.col("vb"), "left").filter(mixed | F.col("vb").isNotNull())
     members = members.select("block", F.lit(0).alias("role"), mixed.alias("inner"), "node", "comp", "payload")

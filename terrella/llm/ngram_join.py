@@ -240,7 +240,7 @@ def prefixes(docs: DataFrame, n: int, share: tuple[int, int], id_col: str = "doc
 
 def jaccard_components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id of its component)."""
-    table = materialise(prefixes(docs, n, share, id_col, text_col), "prefixes")
+    table = materialise(prefixes(docs, n, share, id_col, text_col), "prefixes", free=True)
     items = materialise(table.filter("keys is not null").select("node", "keys", "payload").dropDuplicates(["node"]), "prefix-sets")
     pairs = items.select("node", F.explode("keys").alias("key"))
     groups = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")

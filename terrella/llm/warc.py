@@ -213,7 +213,7 @@ def merge_index(archives: DataFrame) -> DataFrame:
 
 def capture_histories(pages: DataFrame) -> DataFrame:
     """Write, read back and order: one row per page with its record's facts and its place in the merged index."""
-    archives = materialise(write_archives(pages), "archives")
+    archives = materialise(write_archives(pages), "archives", free=True)
     records = read_archives(archives).select("archive", "offset", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return merge_index(archives).join(records, ["archive", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp", "archive", "offset", "length", "position"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terrella.llm import elias_fano, line_dedup, linkage, lm_score, ngram_join, queries, warc
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
+FIRST, LAST = "\n start", "\n end"  # no words of any text
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -158,13 +159,13 @@ def test_bands_have_high_recall():
 
 
 def test_language_model(docs, rows, empty):
-    tok = [[*words(t), "</s>"] for _, t in rows]
+    tok = [[*words(t), LAST] for _, t in rows]
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
     uni, pair, after, kinds = Counter(), Counter(), Counter(), Counter()
     for t, h in zip(tok, held):
         if not h:
             uni.update(t)
-            pair.update(zip(["<s>", *t], t))
+            pair.update(zip([FIRST, *t], t))
     for (u, _), c in pair.items():
         after[u] += c
         kinds[u] += 1
@@ -174,7 +175,7 @@ def test_language_model(docs, rows, empty):
         low = (uni[w] + 1) / (n + v + 1)
         return math.log10(low if not after[u] else max(pair[u, w] - 0.75, 0) / after[u] + 0.75 * kinds[u] / after[u] * low)
 
-    want = sorted((-1 if i is None else i, h, len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), sum(logp(u, w) for u, w in zip(["<s>", *t], t))) for (i, _), t, h in zip(rows, tok, held))
+    want = sorted((-1 if i is None else i, h, len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), sum(logp(u, w) for u, w in zip([FIRST, *t], t))) for (i, _), t, h in zip(rows, tok, held))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], *tuple(r)[1:]) for r in lm_score.lm_scores(docs).collect())
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
