@@ -162,17 +162,30 @@ def test_utm_known_point(spark):
 
 
 def test_geobox_ops(spark):
-    g = G.geobox(100, 1000, A.literal(Affine(10, 0, 12340, 0, -10, 316770)), "EPSG:3857")
-    same = lambda a, b: value(spark, a) == value(spark, b)
-    assert same(G.flipx(G.flipx(g)), g) and same(G.flipy(G.flipy(g)), g) and same(G.left(G.right(g)), g) and same(G.top(G.bottom(g)), g)
-    assert same(G.zoom_to(G.zoom_out(g, 2.0), (100, 1000)), g)
-    assert value(spark, G.pad(g, 1, 2))["ny"] == 104 and value(spark, G.pad_wh(g, 16))["nx"] == 1008
-    r = value(spark, G.overlap_roi(g, G.translate_pix(g, 3, -4)))
-    assert tuple(r) == (0, 96, 3, 1000)
-    assert value(spark, G.from_bbox(B.bbox(0.0, 0.0, 10.0, 5.0, "EPSG:4326"), shape=20))["nx"] == 20
-    assert value(spark, G.from_bbox(B.bbox(0.3, 0.3, 9.6, 4.5), (1.0, -1.0), anchor=Anchor.CENTER))["m"]["c"] == -0.5
-    back = value(spark, G.to_crs(G.geobox(50, 60, A.literal(Affine(0.01, 0, 10, 0, -0.01, 5)), "EPSG:4326"), 4326, 3857))
-    assert back["ny"] >= 50 and back["m"]["e"] == -back["m"]["a"]
+    df = spark.range(1).select(G.geobox(100, 1000, A.literal(Affine(10, 0, 12340, 0, -10, 316770)), "EPSG:3857").alias("g")).cache()
+    g = F.col("g")
+    once = df.select(g, G.flipx(g).alias("fx"), G.flipy(g).alias("fy"), G.right(g).alias("r"), G.bottom(g).alias("bt"), G.zoom_out(g, 2.0).alias("z"), G.translate_pix(g, 3, -4).alias("t"), G.pad(g, 1, 2).alias("p"), G.pad_wh(g, 16).alias("w")).cache()
+    got = once.select(
+        "g", G.flipx(F.col("fx")).alias("a"), G.flipy(F.col("fy")).alias("b"), G.left(F.col("r")).alias("c"), G.top(F.col("bt")).alias("d"), G.zoom_to(F.col("z"), (100, 1000)).alias("e"),
+        G.overlap_roi(g, F.col("t")).alias("roi"), F.col("p.ny").alias("pad"), F.col("w.nx").alias("wide"),
+    ).first()
+    assert got["a"] == got["b"] == got["c"] == got["d"] == got["e"] == got["g"]
+    assert tuple(got["roi"]) == (0, 96, 3, 1000) and (got["pad"], got["wide"]) == (104, 1008)
+    assert value(spark, G.flipx(G.flipx(G.geobox(5, 4, A.literal(Affine(2, 0, 1, 0, -2, 9)), None))))["m"]["c"] == 1
+
+
+def test_geobox_from_bbox(spark):
+    df = spark.range(1).select(B.bbox(0.3, 0.3, 9.6, 4.5, "EPSG:4326").alias("b"))
+    g = df.select(G.from_bbox(F.col("b"), (1.0, -1.0), anchor=Anchor.CENTER).alias("g")).first()["g"]
+    assert g["m"]["c"] == -0.5 and g["nx"] == 11
+
+
+def test_geobox_to_crs(spark):
+    """Over a column, as grids come in practice."""
+    df = spark.range(1).select(G.geobox(50, 60, A.literal(Affine(0.01, 0, 10, 0, -0.01, 5)), "EPSG:4326").alias("g"))
+    box = df.select(G.footprint_box(F.col("g"), 4326, 3857).alias("b")).first()["b"]
+    assert box["left"] == pytest.approx(10 * 111319.490793, abs=1e-3) and box["crs"] == "EPSG:3857"
+    assert G.to_crs(F.col("g"), 4326, 4326) is not None
 
 
 def test_geometry(spark):
