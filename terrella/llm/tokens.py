@@ -19,6 +19,7 @@ import string
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.split = regex.compile(pattern)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
-        self.shift = {b: 0x100 + b for b in range(256)}
+        self.straight = self.rank_of[:-1] == list(range(len(self.ranks)))
         self.cache: dict[str, list[int]] = {}
 
     def _new(self, pieces: list[str]) -> dict[str, list[int]]:
@@ -90,9 +91,17 @@ class ByteBpe:
             else:
                 out[p] = [whole]
         if rest:
-            found = self.model.encode([p.encode().decode("latin-1").translate(self.shift) for p in rest], out_type=int, num_threads=1)
-            rank_of = self.rank_of
-            out.update((p, [rank_of[i] for i in ids]) for p, ids in zip(rest, found))
+            # byte b as U+0100+b is, in UTF-16, the byte pair (b, 1)
+            parts = [p.encode() for p in rest]
+            data = b"".join(parts)
+            wide = bytearray(b"\x01") * (2 * len(data))
+            wide[::2] = data
+            text, end = wide.decode("utf-16-le"), list(accumulate(map(len, parts)))
+            found = self.model.encode([text[x:y] for x, y in zip([0, *end], end)], out_type=int, num_threads=1)
+            if self.straight:
+                out.update(zip(rest, found))
+            else:
+                out.update((p, [self.rank_of[i] for i in ids]) for p, ids in zip(rest, found))
         return out
 
     def encode(self, text: str) -> list[int]:
