@@ -2,8 +2,9 @@
 
 A line takes part with at least ``MIN_WORDS`` words, compared with A-Z in lower case and white space runs as one blank.
 Equal lines are one node. A node's signature has ``BINS`` slots: its shingles of ``SHINGLE`` code points are hashed once, a
-slot holds the least hash of its range, an empty slot borrows from the next full one. ``BANDS`` bands of the slots collide
-with probability above 0.999 at the similarity wanted. Nodes that share a band are verified exactly and linked.
+slot holds the least hash of its range, an empty slot borrows from the first full one in a random order of its own, so the
+slots of short lines, of which few are full, are drawn independently too. ``BANDS`` bands of the slots collide with
+probability above 0.999 at the similarity wanted. All nodes that share a band are verified exactly and linked.
 Band keys are packed by chunk and hash bucket like the n-grams of the n-gram join; keys that many nodes of one chunk have
 go straight to the postings, so no bucket holds a row per node of a frequent key. Of a component the line of the smallest
 document id stays, in it the first.
@@ -30,11 +31,12 @@ from .linkage import link
 from .textkit import U, mix
 
 MIN_WORDS, SHINGLE, SHARE = 5, 5, (80, 100)
-#: 21 bands of 5 of 128 slots; pairs are candidates that share two, or one that more than FEW nodes have: at similarity 0.8
-#: with probability 0.997 or more, at 0.85 with 0.9999, at 0.3 of 0.001, so candidates do not grow with the square of the corpus.
-BINS, BANDS, ROWS, FEW = 128, 21, 5, 8
+#: 21 bands of 5 of 128 slots; pairs that share one are candidates: at similarity 0.8 with probability 0.9998, at 0.3 of 0.05.
+BINS, BANDS, ROWS = 128, 21, 5
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
+#: Of each slot, the order in which it looks for a full one.
+_LOOK = np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
 def normal(line: bytes) -> bytes | None:
@@ -66,9 +68,14 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     full = np.zeros((len(texts), BINS), bool)
     r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(41) & U(BINS - 1)).astype(np.int64)
     table[r, c], full[r, c] = key[slot] & U((1 << 41) - 1), True
-    twice = np.where(np.concatenate([full, full], 1), np.arange(2 * BINS), 4 * BINS)
-    source = np.minimum.accumulate(twice[:, ::-1], 1)[:, ::-1][:, :BINS]
-    table = np.take_along_axis(table, source % BINS, 1) + (source - np.arange(BINS)).astype(U) * U(0x9E3779B97F4A7C15)
+    source = np.arange(len(texts) * BINS)
+    empty, step = np.flatnonzero(~full), 0
+    while len(empty):
+        other = empty // BINS * BINS + _LOOK[empty % BINS, step]
+        hit = full.ravel()[other]
+        source[empty[hit]] = other[hit]
+        empty, step = empty[~hit], step + 1
+    table = table.ravel()[source].reshape(len(texts), BINS)
     bands = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (len(texts), 1))
     for i in range(ROWS):
         bands = bands * U(0xD1342543DE82EF95) + table[:, i * BANDS : (i + 1) * BANDS]
@@ -275,18 +282,6 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return lines.select("data").mapInArrow(rows, "node long, doc long, line long")
 
 
-def candidates(pairs: DataFrame) -> DataFrame:
-    """key, node, k for the linkage: keys of many nodes as they are; of keys of few nodes, the pairs that share two of them."""
-    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    known = materialise(pairs.join(counts, "key"), "band-keys")
-    many = known.filter(F.col("k") > FEW).select("key", "node", "k")
-    few = known.filter(F.col("k") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s"))
-    both = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice(F.col("s"), i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    twice = few.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    made = twice.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"), F.lit(2).cast("long").alias("k"))
-    return many.unionByName(made)
-
-
 def places(docs: DataFrame) -> DataFrame:
     """doc, line, node of every line that takes part. docs: id, text."""
 
@@ -311,9 +306,9 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     lines = materialise(distinct_lines(plain), "lines", free=True)
     groups = materialise(band_groups(lines), "line-groups", free=True)
     pairs = groups.filter("key is not null").select("key", "node")
-    postings = materialise(candidates(pairs), "postings")
-    wanted = postings.select("node").distinct()
-    items = groups.filter("key is null").join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    postings = materialise(pairs.join(counts, "key").select("key", "node", "k"), "postings")
+    items = groups.filter("key is null")
     found = link(postings, items.select("node", F.col("text").alias("payload")), decode, share)
     marked = repeated_lines(lines).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     marked = materialise(marked.unionByName(items.select("node", "doc", "line").join(found, "node")).distinct(), "marked")

@@ -158,6 +158,25 @@ def test_bands_have_high_recall():
     assert total > 50 and hits / total > 0.97
 
 
+def test_line_pairs_are_found_at_any_length(spark):
+    """Pairs of similarity 0.8 exactly, of 18 to 90 shingles, each alone with its bands."""
+    rng = random.Random(12)
+    first, second = [], []
+    for n in (18, 27, 45, 90):
+        for _ in range(150):
+            a = [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n + 4)]
+            a[3::4] = " " * len(a[3::4])
+            a[-1] = "y"
+            b = a[: -(n // 9)] + [rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n // 9 - 1)] + ["z"]
+            sets = [{x[i : i + 5] for i in range(n)} for x in ("".join(a).lower(), "".join(b).lower())]
+            if len(sets[0]) == len(sets[1]) == n and 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]):
+                first.append("".join(a))
+                second.append("".join(b))
+    got = line_dedup.dropped_lines(spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(second))], "doc_id long, text string"))
+    found = {r["doc"]: set(r["dropped"]) for r in got.collect()}
+    assert len(first) > 500 and set(found) == {2} and len(found[2]) >= 0.99 * len(first)
+
+
 def test_language_model(docs, rows, empty):
     tok = [[*words(t), LAST] for _, t in rows]
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
