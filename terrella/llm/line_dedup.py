@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find; one line per component stays.
 
-A line takes part with at least ``MIN_WORDS`` words, compared with A-Z in lower case and white space runs as one blank.
+Every line with a word takes part, of any length and script, compared with A-Z in lower case and white space runs as one blank.
 Equal lines are one node. A node's signature has ``BINS`` slots: its shingles of ``SHINGLE`` code points are hashed once, a
 slot holds the least hash of its range, an empty slot borrows from the first full one in a random order of its own, so the
 slots of short lines, of which few are full, are drawn independently too. ``BANDS`` bands of the slots collide with
@@ -9,7 +9,7 @@ Band keys are packed by chunk and hash bucket like the n-grams of the n-gram joi
 go straight to the postings, so no bucket holds a row per node of a frequent key. Of a component the line of the smallest
 document id stays, in it the first.
 
-Defined cases: a null or empty text is one line without words and keeps it; lines below the minimum stay; rows of one id count as
+Defined cases: a null or empty text is one line without words and keeps it; lines without words stay; rows of one id count as
 one document and lose the same lines, as do all rows without an id; an empty table gives an empty result; other columns
 are kept by ``dedup`` and ignored else; texts of any length are taken whole.
 """
@@ -30,7 +30,7 @@ from .common import even_keys, materialise, parts_for, ship
 from .linkage import link
 from .textkit import U, mix
 
-MIN_WORDS, SHINGLE, SHARE = 5, 5, (80, 100)
+MIN_WORDS, SHINGLE, SHARE = 1, 5, (80, 100)
 #: 21 bands of 5 of 128 slots; pairs that share one are candidates: at similarity 0.8 with probability 0.9998, at 0.3 of 0.05.
 BINS, BANDS, ROWS = 128, 21, 5
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
@@ -40,7 +40,7 @@ _LOOK = np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BINS, 1)),
 
 
 def normal(line: bytes) -> bytes | None:
-    """The compared form, or None for a line with too few words."""
+    """The compared form, or None for a line without words."""
     words = line.lower().split()
     return b" ".join(words) if len(words) >= MIN_WORDS else None
 
@@ -51,8 +51,8 @@ def node_of(text: bytes) -> int:
 
 def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Of at most 65,536 lines: sorted distinct 48-bit shingle hashes, and the band keys (lines x BANDS)."""
-    strings = [t.decode().ljust(SHINGLE, "\0") for t in texts]
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(U)
+    strings = [t.decode().ljust(SHINGLE, "\ud800") for t in texts]  # filled up with what no text has
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     size = np.array([len(s) for s in strings], np.int64)
     line = np.repeat(np.arange(len(texts)), size - SHINGLE + 1)
     at = np.arange(len(line)) + (SHINGLE - 1) * line

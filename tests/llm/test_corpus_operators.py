@@ -177,6 +177,15 @@ def test_line_pairs_are_found_at_any_length(spark):
     assert len(first) > 500 and set(found) == {2} and len(found[2]) >= 0.99 * len(first)
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    """Repeats of few words, of one sign, and of scripts without blanks go as well; near copies too; blank lines stay."""
+    chinese = "他们在河边的小屋里住了很多年后来搬到了城里的一条安静的街道上"
+    a = "\n".join(["All rights reserved.", "", "x", chinese, "https://example.org/a/long/path/without/any/blank"])
+    b = "\n".join(["all  rights reserved.", "", "x", chinese[:-1] + "中", "own words here", "https://example.org/a/long/path/without/any/blank", " "])
+    got = line_dedup.line_report(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dropped"] for r in got} == {1: [], 2: [0, 2, 3, 5]}
+
+
 def test_language_model(docs, rows, empty):
     tok = [[*words(t), LAST] for _, t in rows]
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
