@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["crc_mod", "delete_path", "even_keys", "materialise", "parts_for", "shared_dir", "ship", "table_path"]
+__all__ = ["crc_mod", "delete_path", "even_keys", "materialise", "parts_for", "row_key", "shared_dir", "ship", "table_path"]
 
 _OWN: list[str] = []
 _TABLES: list[tuple[SparkSession, str]] = []
@@ -84,3 +84,8 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 def crc_mod(col, n: int):
     """crc32 of a column as text, modulo n; null ids count as the text 'null'."""
     return F.expr(f"pmod(crc32(cast(coalesce(cast({col} as string), 'null') as binary)), {n})")
+
+
+def row_key(id_col: str, text_col: str):
+    """A hash by which rows of one id, or without one, are told apart by their text."""
+    return F.xxhash64(F.col(text_col), F.col(id_col).cast("long"))

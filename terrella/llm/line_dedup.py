@@ -9,9 +9,11 @@ Band keys are packed by chunk and hash bucket like the n-grams of the n-gram joi
 go straight to the postings, so no bucket holds a row per node of a frequent key. Of a component the line of the smallest
 document id stays, in it the first.
 
-Defined cases: a null or empty text is one line without words and keeps it; lines without words stay; rows of one id count as
-one document and lose the same lines, as do all rows without an id; an empty table gives an empty result; other columns
-are kept by ``dedup`` and ignored else; texts of any length are taken whole.
+Defined cases: a null or empty text is one line without words and keeps it; lines without words stay; a row is known
+by its id and a hash of its text: rows equal in both are one document and lose the same lines, other rows of one id are told
+apart, the smallest hash first; each row without an id is a document of its own, so of several equal ones the first keeps what
+they keep and the others lose every line with a word; an empty table gives an empty result; other columns are kept by
+``dedup`` and ignored else; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, runs, steps, unpack
-from .common import even_keys, materialise, parts_for, ship
+from .common import even_keys, materialise, parts_for, row_key, ship
 from .linkage import link
 from .textkit import U, mix
 
@@ -89,11 +91,11 @@ def decode(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _chunk(found: list[tuple[bytes, list[int]]]) -> bytes:
-    """Distinct lines as one blob: node, document, line, count, size, bytes."""
+    """Distinct lines as one blob: node, document, row, line, count, size, bytes."""
     texts = [t for t, _ in found]
     place = np.array([p for _, p in found], np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
-    return pack(np.array([node_of(t) for t in texts], np.int64), place[:, 0], place[:, 1], place[:, 2], sizes, np.frombuffer(b"".join(texts), np.uint8))
+    return pack(np.array([node_of(t) for t in texts], np.int64), place[:, 0], place[:, 1], place[:, 2], place[:, 3], sizes, np.frombuffer(b"".join(texts), np.uint8))
 
 
 def _texts(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
@@ -102,7 +104,7 @@ def _texts(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Every distinct line that takes part with its first place and count, packed in chunks (chunk, data). docs: id, text.
+    """Every distinct line that takes part with its first place and count, packed in chunks (chunk, data). docs: doc, row, text.
 
     A task's distinct lines go to their node's bucket as one compressed blob.
     """
@@ -122,23 +124,23 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                 own = [texts[i] for i in order[x:y]]
                 rows = place[order[x:y]]
                 names.append(int(buckets[b]))
-                blobs.append(pack(rows[:, 0], rows[:, 1], rows[:, 2], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8)))
+                blobs.append(pack(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8)))
         return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list[int]] = {}
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
                 for i, raw in enumerate((text or b"").split(b"\n")):
                     if (key := normal(raw)) is None:
                         continue
                     if (old := found.get(key)) is None:
-                        found[key] = [doc, i, 1]
+                        found[key] = [doc, row, i, 1]
                         held += len(key) + 100
                     else:
-                        old[2] += 1
-                        old[:2] = min(old[:2], [doc, i])
+                        old[3] += 1
+                        old[:3] = min(old[:3], [doc, row, i])
                 if held > FLUSH:
                     yield send(found)
                     found, held = {}, 0
@@ -149,13 +151,13 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
         found: dict[bytes, list[int]] = {}
         for batch in batches:
             for data in batch.column(1).to_pylist():
-                docs_, lines, counts, sizes, raw = unpack(data)
-                for doc, line, count, key in zip(docs_.tolist(), lines.tolist(), counts.tolist(), _texts(sizes, raw)):
+                docs_, rows, lines, counts, sizes, raw = unpack(data)
+                for doc, row, line, count, key in zip(docs_.tolist(), rows.tolist(), lines.tolist(), counts.tolist(), _texts(sizes, raw)):
                     if (old := found.get(key)) is None:
-                        found[key] = [doc, line, count]
+                        found[key] = [doc, row, line, count]
                     else:
-                        old[2] += count
-                        old[:2] = min(old[:2], [doc, line])
+                        old[3] += count
+                        old[:3] = min(old[:3], [doc, row, line])
         task, items = TaskContext.get().partitionId(), list(found.items())
         for i in range(0, len(items), CHUNK):
             yield pa.record_batch([pa.array([task << 24 | i // CHUNK]), pa.array([_chunk(items[i : i + CHUNK])], pa.binary())], ["chunk", "data"])
@@ -164,7 +166,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def band_groups(lines: DataFrame) -> DataFrame:
-    """Of chunks of lines: (key, node) of band keys that several nodes have, and (node, doc, line, text) of those nodes with a null key.
+    """Of chunks of lines: (key, node) of band keys that several nodes have, and (node, doc, row, line, text) of those nodes with a null key.
 
     Keys meet by hash bucket, what they find returns to the chunk, where the lines are.
     """
@@ -213,11 +215,11 @@ def band_groups(lines: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([chunk]), pa.array([1], pa.int32()), pa.array([pack(steps(k[hit]), place[hit], (mark[hit] > 0).astype(np.uint8))], pa.binary())], ["chunk", "kind", "data"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "doc", "line", "text"]
+        names = ["key", "node", "doc", "row", "line", "text"]
         now, own, hits = None, None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            node, doc, line, _, sizes, raw = unpack(own)
+            node, doc, row, line, _, sizes, raw = unpack(own)
             key = np.concatenate([np.cumsum(h[0], dtype=U) for h in hits])
             place, mark = np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits]).astype(bool)
             if mark.any():  # keys that stand for many: all their places are found again here
@@ -229,12 +231,12 @@ def band_groups(lines: DataFrame) -> DataFrame:
             for i in range(0, len(key), 50_000):
                 k = key[i : i + 50_000].astype(np.int64)
                 none = pa.nulls(len(k), pa.int64())
-                yield pa.record_batch([pa.array(k), pa.array(node[place[i : i + 50_000]]), none, none, pa.nulls(len(k), pa.binary())], names)
+                yield pa.record_batch([pa.array(k), pa.array(node[place[i : i + 50_000]]), none, none, none, pa.nulls(len(k), pa.binary())], names)
             at = np.unique(place)
             texts = _texts(sizes, raw)
             for i in range(0, len(at), 5_000):
                 p = at[i : i + 5_000]
-                yield pa.record_batch([pa.nulls(len(p), pa.int64()), pa.array(node[p]), pa.array(doc[p]), pa.array(line[p]), pa.array([texts[x] for x in p.tolist()], pa.binary())], names)
+                yield pa.record_batch([pa.nulls(len(p), pa.int64()), pa.array(node[p]), pa.array(doc[p]), pa.array(row[p]), pa.array(line[p]), pa.array([texts[x] for x in p.tolist()], pa.binary())], names)
 
         for batch in batches:
             for chunk, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -251,7 +253,7 @@ def band_groups(lines: DataFrame) -> DataFrame:
 
     met = lines.mapInArrow(send, "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(gather, "chunk long, kind int, data binary")
     both = met.unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data"))
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, doc long, line long, text binary")
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, doc long, row long, line long, text binary")
 
 
 def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -270,39 +272,40 @@ def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_lines(lines: DataFrame) -> DataFrame:
-    """node, doc, line of distinct lines that occur more than once."""
+    """node, doc, row, line of distinct lines that occur more than once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                node, doc, line, count, _, _ = unpack(data)
+                node, doc, row, line, count, _, _ = unpack(data)
                 at = count > 1
-                yield pa.record_batch([pa.array(node[at]), pa.array(doc[at]), pa.array(line[at])], ["node", "doc", "line"])
+                yield pa.record_batch([pa.array(x[at]) for x in (node, doc, row, line)], ["node", "doc", "row", "line"])
 
-    return lines.select("data").mapInArrow(rows, "node long, doc long, line long")
+    return lines.select("data").mapInArrow(rows, "node long, doc long, row long, line long")
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc, line, node of every line that takes part. docs: id, text."""
+    """doc, row, line, node of every line that takes part. docs: doc, row, text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, line, node = [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+            at, line, node = [], [], []
+            for k, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
                 for i, raw in enumerate((text or b"").split(b"\n")):
                     if (key := normal(raw)) is not None:
-                        doc.append(d)
+                        at.append(k)
                         line.append(i)
                         node.append(node_of(key))
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(node, pa.int64())], ["doc", "line", "node"])
+            own = pa.array(at, pa.int64())
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(line, pa.int32()), pa.array(node, pa.int64())], ["doc", "row", "line", "node"])
 
-    return docs.mapInArrow(rows, "doc long, line int, node long")
+    return docs.mapInArrow(rows, "doc long, row long, line int, node long")
 
 
 def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (the lowest long for null) and the sorted numbers of its lines that go; documents that keep all are absent."""
+    """doc (the lowest long for null), row (``row_key``) and the sorted numbers of its lines that go; rows that keep all are absent."""
     ship(docs.sparkSession)
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).alias("text"))
+    plain = docs.select(_doc(id_col).alias("doc"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     lines = materialise(distinct_lines(plain), "lines", free=True)
     groups = materialise(band_groups(lines), "line-groups", free=True)
     pairs = groups.filter("key is not null").select("key", "node")
@@ -311,25 +314,56 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     items = groups.filter("key is null")
     found = link(postings, items.select("node", F.col("text").alias("payload")), decode, share)
     marked = repeated_lines(lines).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = materialise(marked.unionByName(items.select("node", "doc", "line").join(found, "node")).distinct(), "marked")
-    kept = marked.groupBy("comp").agg(F.min(F.struct("doc", "line")).alias("kept"))
-    rule = marked.select("node", "comp").join(kept, "comp").select("node", F.col("kept.doc").alias("kdoc"), F.col("kept.line").alias("kline"))
-    gone = places(plain).join(rule, "node").filter("doc != kdoc or line != kline").select("doc", "line").distinct()
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+    marked = materialise(marked.unionByName(items.select("node", "doc", "row", "line").join(found, "node")).distinct(), "marked")
+    kept = marked.groupBy("comp").agg(F.min(F.struct("doc", "row", "line")).alias("kept"))
+    rule = marked.select("node", "comp").join(kept, "comp").select("node", F.col("kept.doc").alias("kdoc"), F.col("kept.row").alias("krow"), F.col("kept.line").alias("kline"))
+    gone = places(plain).join(rule, "node").filter("doc != kdoc or row != krow or line != kline").select("doc", "row", "line").distinct()
+    return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+
+
+def _doc(id_col: str):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+
+
+def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_gone_lines``, the numbers of the lines that go, or null.
+
+    Rows without id that are equal in text share a key: all but one of them lose every line with a word.
+    """
+    gone = materialise(dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("dropped").alias("_gone_lines")), "dropped", free=True)
+    row = row_key(id_col, text_col)
+    joined = docs.join(gone, (_doc(id_col) == gone["_gone_doc"]) & (row == gone["_gone_row"]), "left").drop("_gone_doc", "_gone_row")
+    nameless = docs.filter(F.col(id_col).cast("long").isNull() & F.col(text_col).isNotNull())
+    equal = materialise(nameless.groupBy(row.alias("_equal")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_equal"), "equal-rows")
+    if equal.isEmpty():
+        return joined
+
+    @F.arrow_udf("array<int>")
+    def worded(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [i for i, x in enumerate(t.encode().split(b"\n")) if normal(x) is not None] for t in text.to_pylist()], pa.list_(pa.int32()))
+
+    joined = joined.withColumn("_row", F.when(F.col(id_col).cast("long").isNull(), row)).join(equal, F.col("_row") == F.col("_equal"), "left")
+    one = joined.filter("_equal is null").drop("_row", "_equal")
+    # the first of each task, then the first of those: a large group is not dealt to one task
+    several = joined.filter("_equal is not null").withColumn("_task", F.spark_partition_id())
+    several = several.withColumn("_nth", F.row_number().over(Window.partitionBy("_row", "_task").orderBy("_task")))
+    several = materialise(several, "nameless")
+    ahead = several.filter("_nth = 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_task")))
+    later = ahead.filter("_nth > 1").unionByName(several.filter("_nth > 1")).withColumn("_gone_lines", worded(F.col(text_col)))
+    return one.unionByName(ahead.filter("_nth = 1").unionByName(later).select(*one.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: number of lines, and the numbers (from 0) of those dropped."""
-    gone = dropped_lines(docs, SHARE, id_col, text_col)
+    found = _with_drops(docs.select(id_col, text_col), id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    plain = plain.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST))).join(gone, "doc", "left")
-    return plain.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    gone = F.col("_gone_lines")
+    return found.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(gone, F.array().cast("array<int>")).alias("dropped"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text; columns and their order stay."""
-    gone = materialise(dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("dropped").alias("_gone_lines")), "dropped", free=True)
 
     @F.arrow_udf("string")
     def without(text: pa.Array, lines: pa.Array) -> pa.Array:
@@ -341,8 +375,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST)) == gone["_gone_doc"], "left")
-    joined = joined.withColumn(text_col, without(F.col(text_col), F.col("_gone_lines"))).drop("_gone_doc", "_gone_lines")
+    joined = _with_drops(docs, id_col, text_col)
+    joined = joined.withColumn(text_col, without(F.col(text_col), F.col("_gone_lines"))).drop("_gone_lines")
     if length_col and length_col in docs.columns:
         joined = joined.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
     return joined.select(*docs.columns)

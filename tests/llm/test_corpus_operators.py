@@ -186,6 +186,18 @@ def test_short_lines_and_lines_without_blanks(spark):
     assert {r["doc_id"]: r["dropped"] for r in got} == {1: [], 2: [0, 2, 3, 5]}
 
 
+def test_lines_go_row_by_row(spark):
+    """Rows without an id, and rows of one id, lose only lines of their own that others keep."""
+    a, b, c = ("this is the first common line of all", "here stands quite another sentence instead", "nothing like it was ever written before")
+    rows = [(1, f"{a}\n{b}"), (None, f"{c}\nunique words of the first nameless row\n{a}"), (None, f"{b}\n{c}\nclean text that only this row has got"), (None, f"twice the same\n\n{a}"), (None, f"twice the same\n\n{a}")]
+    rows += [(7, f"{b}\nseven has a line like no other"), (7, "seven begins with its own words\nand ends with different ones too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["text"]) for r in line_dedup.dedup(df).collect()]
+    assert len(out) == len(rows)
+    assert Counter(x for _, t in out for x in t.split("\n") if x) == Counter({x for _, t in rows for x in t.split("\n") if x})
+    assert Counter((r["doc_id"], r["n_lines"]) for r in line_dedup.line_report(df).collect()) == Counter((i, t.count("\n") + 1) for i, t in rows)
+
+
 def test_language_model(docs, rows, empty):
     tok = [[*words(t), LAST] for _, t in rows]
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
