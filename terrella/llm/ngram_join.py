@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, runs, steps, unpack
-from .common import even_keys, materialise, parts_for, ship
+from .common import even_keys, materialise, parts_for, row_key, ship
 from .linkage import link
 from .textkit import Slice, U, mix, slices
 
@@ -64,11 +64,13 @@ class Chunk:
 
     def __init__(self) -> None:
         self.ids: list[int | None] = []
+        self.rows: list[int] = []
         self.sets: list[np.ndarray] = []
         self.entries = 0
 
-    def add(self, doc: int | None, elements: np.ndarray) -> None:
+    def add(self, doc: int | None, row: int, elements: np.ndarray) -> None:
         self.ids.append(doc)
+        self.rows.append(row)
         self.sets.append(elements)
         self.entries += len(elements)
 
@@ -90,7 +92,7 @@ class Chunk:
         often = np.repeat(hot, count)
         null = np.array([x is None for x in self.ids], np.uint8)
         ids = np.array([0 if x is None else x for x in self.ids], np.int64)
-        yield int(buckets[chunk % len(buckets)]), chunk, 0, pack(ids, null, n, one, two, steps(h[often]), doc[often])
+        yield int(buckets[chunk % len(buckets)]), chunk, 0, pack(ids, null, np.array(self.rows, np.int64), n, one, two, steps(h[often]), doc[often])
         keep = ~often
         keep[start[hot]] = True
         hot_counts = np.zeros(len(h), np.uint32)
@@ -147,7 +149,7 @@ def _settle(share: tuple[int, int]):
         replies: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            ids, null, n, one, two, hot_h, hot_doc = unpack(head)
+            ids, null, row, n, one, two, hot_h, hot_doc = unpack(head)
             hot_h = np.cumsum(hot_h, dtype=U)
             parts = [unpack(r) for r in replies]
             h = np.concatenate([np.cumsum(x[0], dtype=U) for x in parts]) if parts else np.zeros(0, U)
@@ -178,8 +180,8 @@ def _settle(share: tuple[int, int]):
                 payload.append(pack(own, np.array([n[i], alone[i]], np.int64), steps(np.sort(ranked[a:b]))))
             node = mix(one ^ mix(two)).astype(np.int64)
             return pa.record_batch(
-                [pa.array(ids, mask=null.astype(bool)), pa.array(n), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
-                ["doc_id", "n", "node", "keys", "payload"],
+                [pa.array(ids, mask=null.astype(bool)), pa.array(row), pa.array(n), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
+                ["doc_id", "row", "n", "node", "keys", "payload"],
             )
 
         for batch in batches:
@@ -207,10 +209,11 @@ def decode(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def prefixes(docs: DataFrame, n: int, share: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, set size, class, and prefix keys with shared entries where it has any."""
+    """One row per input row: doc_id, row (``_row_key`` of ``docs``, or 0), set size, class, and prefix keys with shared entries where it has any."""
     spark = docs.sparkSession
     ship(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col("_row_key") if "_row_key" in docs.columns else F.lit(0).cast("long")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
     size = (plain.sample(0.05, seed=5).agg(F.avg(F.octet_length("text")).alias("b")).collect()[0]["b"] or 1000.0) * plain.count()
     parts = parts_for(spark, size, PART_BYTES)
     buckets = np.array(even_keys(spark, parts), np.int64)
@@ -223,10 +226,10 @@ def prefixes(docs: DataFrame, n: int, share: tuple[int, int], id_col: str = "doc
             return pa.record_batch([pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "chunk", "kind", "data"])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s in slices(batch.column(1), lower=True):
                 for i, elements in enumerate(document_sets(s, n)):
-                    chunk.add(ids[s.first + i], elements)
+                    chunk.add(ids[s.first + i], keys[s.first + i], elements)
                 if chunk.full():
                     yield out()
                     number, chunk = number + 1, Chunk()
@@ -235,11 +238,11 @@ def prefixes(docs: DataFrame, n: int, share: tuple[int, int], id_col: str = "doc
 
     sent = plain.mapInArrow(rows, "bucket int, chunk long, kind int, data binary")
     counted = sent.repartition(parts, "bucket").mapInArrow(_count, "chunk long, kind int, data binary")
-    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_settle(share), "doc_id long, n long, node long, keys array<long>, payload binary")
+    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_settle(share), "doc_id long, row long, n long, node long, keys array<long>, payload binary")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id of its component)."""
+def _components(docs: DataFrame, n: int, share: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row per input row with its class (null for an empty set), and the component of every class that has words."""
     table = materialise(prefixes(docs, n, share, id_col, text_col), "prefixes", free=True)
     items = materialise(table.filter("keys is not null").select("node", "keys", "payload").dropDuplicates(["node"]), "prefix-sets")
     pairs = items.select("node", F.explode("keys").alias("key"))
@@ -247,15 +250,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80
     postings = materialise(pairs.join(groups, "key").select("key", "node", "k"), "postings")
     found = link(postings, items.select("node", "payload"), decode, share)
     classes = table.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return table.withColumn("node", F.when(F.col("n") > 0, F.col("node"))), classes
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest id of its component)."""
+    table, classes = _components(docs, n, share, id_col, text_col)
     linked = classes.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("c"))
     named = classes.join(linked, "comp").select("node", "component_id")
-    return table.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left").select(
+    return table.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are the smallest id of their component, all columns kept; rows without words stay too."""
-    found = jaccard_components(docs, n, share, id_col, text_col)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of each component, all columns kept: of the smallest id, null ids last, then of the smallest ``row_key``.
+
+    Of several rows equal in id and text any one stays; rows without words stay too.
+    """
+    table, classes = _components(docs.withColumn("_row_key", row_key(id_col, text_col)), n, share, id_col, text_col)
+    rows = table.filter("node is not null").join(classes.select("node", "comp"), "node").select("comp", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row").alias("at"))
+    rows = materialise(rows.groupBy("comp", "at").agg(F.count(F.lit(1)).alias("c")), "component-rows")
+    kept = rows.groupBy("comp").agg(F.min("at").alias("kept"))
+    gone = rows.join(kept, "comp").filter("at != kept or c > 1")
+    gone = materialise(gone.select(F.col("at.doc_id").alias("_gone_id"), F.col("at.row").alias("_gone_row"), (F.col("at") == F.col("kept")).alias("_gone_but_one")), "gone-rows")
+    same = (row_key(id_col, text_col) == gone["_gone_row"]) & F.col(id_col).cast("long").eqNullSafe(gone["_gone_id"])
+    stay = docs.join(gone, same, "left_anti")
+    several = gone.filter("_gone_but_one")
+    if several.isEmpty():
+        return stay
+    again = docs.join(several, same, "left_semi").withColumn("_gone_key", row_key(id_col, text_col)).dropDuplicates(["_gone_key"])
+    return stay.unionByName(again.select(*docs.columns))

@@ -66,6 +66,19 @@ def test_keep_one(docs):
     assert 0 in ids and None in ids and len(ids) < docs.count()
 
 
+def test_keep_one_row_of_each_component(spark):
+    """Equal ids and null ids are told apart by row; equal rows leave one."""
+    rng = random.Random(15)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (2, a + " more"), (None, a), (None, b), (None, b), (None, b + " more"), (3, c), (5, c + " more"), (5, d), (6, e), (None, e), (None, None), (None, None), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.keep_one(df).collect())
+    nameless = Counter({k: v for k, v in got.items() if k[1] in (b, b + " more")})
+    assert got - nameless == Counter([(1, a), (3, c), (5, d), (6, e), (None, None), (None, None), (7, " ")])
+    assert sum(nameless.values()) == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 900 + i) for i in range(40)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(7, 7)]
