@@ -6,16 +6,19 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["crc_mod", "delete_path", "even_keys", "materialise", "parts_for", "row_key", "shared_dir", "ship", "table_path"]
+__all__ = ["crc_mod", "delete_path", "discard", "even_keys", "materialise", "parts_for", "row_key", "scratch", "shared_dir", "ship", "table_path"]
 
 _OWN: list[str] = []
-_TABLES: list[tuple[SparkSession, str]] = []
+#: Tables by scope: the first one's stay until the driver exits, the others' until their ``scratch`` ends.
+_SCOPES: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,33 +26,54 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="terrella-shared-"))
     return f"file://{_OWN[0]}"
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver exits."""
+def table_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder, deleted when its scope ends; ``lasting``: when the scope around that ends."""
     path = f"{shared_dir(spark)}/terrella/{name}-{uuid.uuid4().hex}"
-    _TABLES.append((spark, path))
+    _SCOPES[max(len(_SCOPES) - 1 - lasting, 0)].append((spark, path))
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for the lasting ones: what is returned must read those alone."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            delete_path(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` wrote for ``df`` before its scope ends."""
+    delete_path(df.sparkSession, df._table)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = False, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
 
     ``free``: the shuffle files behind it are large and of no more use; a collection lets Spark's cleaner delete them now.
+    ``lasting``: the table outlives the ``scratch`` it is written in.
     """
     spark = df.sparkSession
-    path = table_path(spark, name)
+    path = table_path(spark, name, lasting)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
     del df
     if free:
         gc.collect()
@@ -59,7 +83,7 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _TABLES:
+    for spark, path in _SCOPES[0]:
         try:
             delete_path(spark, path)
         except Exception:  # the JVM may be gone already; nothing else to do at exit

@@ -4,7 +4,7 @@ Every line with a word takes part, of any length and script, compared with A-Z i
 Equal lines are one node. A node's signature has ``BINS`` slots: its shingles of ``SHINGLE`` code points are hashed once, a
 slot holds the least hash of its range, an empty slot borrows from the first full one in a random order of its own, so the
 slots of short lines, of which few are full, are drawn independently too. ``BANDS`` bands of the slots collide with
-probability above 0.999 at the similarity wanted. All nodes that share a band are verified exactly and linked.
+probability 0.997 at the similarity wanted, more above. All nodes that share a band are verified exactly and linked.
 Band keys are packed by chunk and hash bucket like the n-grams of the n-gram join; keys that many nodes of one chunk have
 go straight to the postings, so no bucket holds a row per node of a frequent key. Of a component the line of the smallest
 document id stays, in it the first.
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, runs, steps, unpack
-from .common import even_keys, materialise, parts_for, row_key, ship
+from .common import discard, even_keys, materialise, parts_for, row_key, scratch, ship
 from .linkage import link
 from .textkit import U, mix
 
 MIN_WORDS, SHINGLE, SHARE = 1, 5, (80, 100)
-#: 21 bands of 5 of 128 slots; pairs that share one are candidates: at similarity 0.8 with probability 0.9998, at 0.3 of 0.05.
-BINS, BANDS, ROWS = 128, 21, 5
+#: 32 bands of 8 of 256 slots; pairs that share one are candidates: at similarity 0.8 with probability 0.997, at 0.3 of 0.002, at
+#: 0.2 of 0.0001. Unlike lines of one language share a tenth of their shingles, so shorter bands make candidates of a number of
+#: pairs that grows with the square of the input.
+BINS, BANDS, ROWS = 256, 32, 8
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
 #: Of each slot, the order in which it looks for a full one.
@@ -65,11 +67,11 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     key = key[runs(key)]
     cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
     elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
-    slot = runs(key >> U(41))
+    slot = runs(key >> U(40))
     table = np.zeros((len(texts), BINS), U)
     full = np.zeros((len(texts), BINS), bool)
-    r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(41) & U(BINS - 1)).astype(np.int64)
-    table[r, c], full[r, c] = key[slot] & U((1 << 41) - 1), True
+    r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(40) & U(BINS - 1)).astype(np.int64)
+    table[r, c], full[r, c] = key[slot] & U((1 << 40) - 1), True
     source = np.arange(len(texts) * BINS)
     empty, step = np.flatnonzero(~full), 0
     while len(empty):
@@ -166,13 +168,13 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def band_groups(lines: DataFrame) -> DataFrame:
-    """Of chunks of lines: (key, node) of band keys that several nodes have, and (node, doc, row, line, text) of those nodes with a null key.
+    """Of chunks of lines: (key, node, k) of band keys that k nodes have, k above 1, and of those nodes, with a null key, place, text and home key.
 
-    Keys meet by hash bucket, what they find returns to the chunk, where the lines are.
+    Keys meet by hash bucket, what they find returns to the chunk, where the lines are. The home key is the one of a node that most nodes have.
     """
     spark = lines.sparkSession
     size = lines.select(F.sum(F.octet_length("data"))).collect()[0][0] or 0
-    parts = parts_for(spark, size * 1.2, PART_BYTES / 2)
+    parts = parts_for(spark, size * 2, PART_BYTES)
     buckets = np.array(even_keys(spark, parts), np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,37 +208,44 @@ def band_groups(lines: DataFrame) -> DataFrame:
             return
         key = np.sort(np.concatenate([c[0] for c in found]))
         start = runs(key)
-        several = key[start][np.diff(np.append(start, len(key))) > 1]
-        for chunk, (k, place, mark) in zip(chunks, found):
-            hit = mark > 0
-            if len(several):
-                hit |= several[np.minimum(np.searchsorted(several, k), len(several) - 1)] == k
+        key, count = key[start], np.diff(np.append(start, len(key)))
+        for c in found:
+            hot = np.flatnonzero(c[2])
+            count[np.searchsorted(key, c[0][hot])] += c[2][hot].astype(np.int64) - 1
+        key, count = key[count > 1], count[count > 1]
+        for chunk, (k, place, mark) in zip(chunks, found) if len(key) else ():
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            hit = key[at] == k
             if hit.any():
-                yield pa.record_batch([pa.array([chunk]), pa.array([1], pa.int32()), pa.array([pack(steps(k[hit]), place[hit], (mark[hit] > 0).astype(np.uint8))], pa.binary())], ["chunk", "kind", "data"])
+                yield pa.record_batch([pa.array([chunk]), pa.array([1], pa.int32()), pa.array([pack(steps(k[hit]), place[hit], (mark[hit] > 0).astype(np.uint8), count[at[hit]])], pa.binary())], ["chunk", "kind", "data"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "node", "doc", "row", "line", "text"]
+        names = ["key", "node", "k", "doc", "row", "line", "hk", "hkey", "text"]
         now, own, hits = None, None, []
 
         def out() -> Iterator[pa.RecordBatch]:
             node, doc, row, line, _, sizes, raw = unpack(own)
             key = np.concatenate([np.cumsum(h[0], dtype=U) for h in hits])
-            place, mark = np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits]).astype(bool)
+            place, mark, count = np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits]).astype(bool), np.concatenate([h[3] for h in hits])
             if mark.any():  # keys that stand for many: all their places are found again here
                 all_key, all_place = _keys_of(own)
-                wanted = np.sort(key[mark])
-                at = np.minimum(np.searchsorted(wanted, all_key), len(wanted) - 1)
-                again = wanted[at] == all_key
-                key, place = np.concatenate([key[~mark], all_key[again]]), np.concatenate([place[~mark], all_place[again]])
+                order = np.flatnonzero(mark)[np.argsort(key[mark])]
+                at = np.minimum(np.searchsorted(key[order], all_key), len(order) - 1)
+                again = key[order][at] == all_key
+                key, place, count = np.concatenate([key[~mark], all_key[again]]), np.concatenate([place[~mark], all_place[again]]), np.concatenate([count[~mark], count[order][at[again]]])
             for i in range(0, len(key), 50_000):
-                k = key[i : i + 50_000].astype(np.int64)
-                none = pa.nulls(len(k), pa.int64())
-                yield pa.record_batch([pa.array(k), pa.array(node[place[i : i + 50_000]]), none, none, none, pa.nulls(len(k), pa.binary())], names)
-            at = np.unique(place)
+                p = slice(i, i + 50_000)
+                n = len(key[p])
+                none = pa.nulls(n, pa.int64())
+                yield pa.record_batch([pa.array(key[p].astype(np.int64)), pa.array(node[place[p]]), pa.array(count[p]), *[none] * 5, pa.nulls(n, pa.binary())], names)
+            order = np.lexsort((key, count, place))
+            last = np.append(runs(place[order])[1:], len(order)) - 1  # of every place the key of most nodes
+            at, hk, hkey = place[order][last], count[order][last], key[order][last].astype(np.int64)
             texts = _texts(sizes, raw)
             for i in range(0, len(at), 5_000):
-                p = at[i : i + 5_000]
-                yield pa.record_batch([pa.nulls(len(p), pa.int64()), pa.array(node[p]), pa.array(doc[p]), pa.array(row[p]), pa.array(line[p]), pa.array([texts[x] for x in p.tolist()], pa.binary())], names)
+                p = slice(i, i + 5_000)
+                none = pa.nulls(len(at[p]), pa.int64())
+                yield pa.record_batch([none, pa.array(node[at[p]]), none, *(pa.array(c[at[p]]) for c in (doc, row, line)), pa.array(hk[p]), pa.array(hkey[p]), pa.array([texts[x] for x in at[p].tolist()], pa.binary())], names)
 
         for batch in batches:
             for chunk, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -253,7 +262,7 @@ def band_groups(lines: DataFrame) -> DataFrame:
 
     met = lines.mapInArrow(send, "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(gather, "chunk long, kind int, data binary")
     both = met.unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data"))
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, doc long, row long, line long, text binary")
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, k long, doc long, row long, line long, hk long, hkey long, text binary")
 
 
 def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -308,13 +317,12 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     plain = docs.select(_doc(id_col).alias("doc"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     lines = materialise(distinct_lines(plain), "lines", free=True)
     groups = materialise(band_groups(lines), "line-groups", free=True)
-    pairs = groups.filter("key is not null").select("key", "node")
-    counts = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    postings = materialise(pairs.join(counts, "key").select("key", "node", "k"), "postings")
     items = groups.filter("key is null")
-    found = link(postings, items.select("node", F.col("text").alias("payload")), decode, share)
+    found = link(groups.filter("key is not null").select("key", "node", "k"), items.select("node", "hk", "hkey", F.col("text").alias("payload")), decode, share)
     marked = repeated_lines(lines).join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = materialise(marked.unionByName(items.select("node", "doc", "row", "line").join(found, "node")).distinct(), "marked")
+    marked = materialise(marked.unionByName(items.select("node", "doc", "row", "line").join(found, "node")).distinct(), "marked", free=True)
+    discard(lines)
+    discard(groups)
     kept = marked.groupBy("comp").agg(F.min(F.struct("doc", "row", "line")).alias("kept"))
     rule = marked.select("node", "comp").join(kept, "comp").select("node", F.col("kept.doc").alias("kdoc"), F.col("kept.row").alias("krow"), F.col("kept.line").alias("kline"))
     gone = places(plain).join(rule, "node").filter("doc != kdoc or row != krow or line != kline").select("doc", "row", "line").distinct()
@@ -330,7 +338,9 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Rows without id that are equal in text share a key: all but one of them lose every line with a word.
     """
-    gone = materialise(dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("dropped").alias("_gone_lines")), "dropped", free=True)
+    with scratch():
+        gone = dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("dropped").alias("_gone_lines"))
+        gone = materialise(gone, "dropped", free=True, lasting=True)
     row = row_key(id_col, text_col)
     joined = docs.join(gone, (_doc(id_col) == gone["_gone_doc"]) & (row == gone["_gone_row"]), "left").drop("_gone_doc", "_gone_row")
     nameless = docs.filter(F.col(id_col).cast("long").isNull() & F.col(text_col).isNotNull())

@@ -3,10 +3,11 @@
 Items share keys (prefix n-grams, signature bands). Each item has one home block: of its keys the one with most items,
 whose group is dealt into blocks of about ``BLOCK`` items by hash. First all pairs within blocks are decided, for large groups
 in two independent dealings, and components formed. A group of near copies, however large, is then mostly one component,
-inside which no pair needs deciding any more. Last, every remaining pair of items that share a key and lie in different
-components is decided exactly once: blocks visit the other blocks of their keys' groups, large components have blocks of
-their own, and two blocks of one large component never meet. So the work is linear in a group's size plus
-the pairs that truly stay apart, no group has to fit in a task, and no pair is left out.
+inside which no pair needs deciding any more. Last, the items of keys that have several components left visit the other blocks
+of those keys' groups, so every remaining pair that shares a key is decided: once, as a pair that was in one block before is
+left out. Large components have blocks of their own, and two blocks of one large component never meet; a block with many
+visitors is copied, each copy taking a share of them. So the work is linear in a group's size plus the pairs that truly
+stay apart, no group has to fit in a task, and no pair is left out.
 
 A pair is decided by length, position in the shared keys, the suffix filter (counts of elements by hash range bound the
 difference from below), then the exact overlap, by merging for few pairs or one matrix product for many.
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs
-from .common import materialise
+from .common import discard, materialise, parts_for
 
-BLOCK, LARGE, RANGES = 256, 64, 32
+BLOCK, LARGE, RANGES, PART_BYTES = 256, 64, 32, 8 << 20
 #: Pairs decided one by one, and rows decoded together.
 SMALL, HELD = 40, 1500
 Decode = Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]
@@ -34,8 +35,10 @@ Decode = Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray, np.ndarray,
 class Items:
     """Decoded items of one block: keys with positions, sorted elements, and set sizes."""
 
-    def __init__(self, nodes: list[int], decoded: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], comps: list[int]):
+    def __init__(self, nodes: list[int], decoded: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], comps: list[int], met: list[list[int | None]]):
         self.nodes, self.comps = nodes, comps
+        #: In which earlier blocks each item was; a missing one is unlike all others.
+        self.met = [np.array([-1 - i if x is None else x & (1 << 63) - 1 for i, x in enumerate(m)], np.int64).reshape(-1) for m in met]
         self.keys = [d[0] for d in decoded]
         self.positions = [d[1] for d in decoded]
         self.elements = [d[2] for d in decoded]
@@ -122,6 +125,11 @@ class Forest:
         return a != b
 
 
+def _met(a: Items, b: Items) -> np.ndarray:
+    """Which pairs were in one block before, and so are decided."""
+    return np.logical_or.reduce([(x[:, None] == y[None, :]) & (x[:, None] >= 0) for x, y in zip(a.met, b.met)])
+
+
 def decide(a: Items, b: Items, forest: Forest, share: tuple[int, int], within: bool) -> list[tuple[int, int]]:
     """Links between the two blocks' items (or within one) that join what the forest has apart."""
     p, q = share
@@ -136,6 +144,7 @@ def decide(a: Items, b: Items, forest: Forest, share: tuple[int, int], within: b
     ra = np.array([forest.find(c) for c in a.comps])
     rb = np.array([forest.find(c) for c in b.comps])
     ok &= ra[:, None] != rb[None, :]
+    ok &= ~_met(a, b)
     i, j = np.nonzero(ok)
     if not len(i):
         return []
@@ -160,10 +169,11 @@ def _decide_few(a: Items, b: Items, forest: Forest, p: int, q: int, within: bool
     """The same for a few items of one block, pair by pair: length, then the overlap itself."""
     links = []
     na, nb = a.size.tolist(), b.size.tolist()
+    met = _met(a, b)
     for i, n in enumerate(na):
         for j in range(i + 1 if within else 0, len(nb)):
             m = nb[j]
-            if q * min(m, n) < p * max(m, n) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
+            if met[i, j] or q * min(m, n) < p * max(m, n) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
                 continue
             if (p + q) * len(np.intersect1d(a.elements[i], b.elements[j], assume_unique=True)) >= p * (m + n):
                 forest.join(a.comps[i], b.comps[j])
@@ -182,7 +192,7 @@ class _Group:
 
 
 def _kernel(decode: Decode, share: tuple[int, int]):
-    """Over rows (block, role, inner, node, comp, payload) sorted by block and role: links within members, then of visitors.
+    """Over rows (block, role, inner, node, comp, b0, b1, payload) sorted by block and role: links within members, then of visitors.
 
     Many small blocks are decoded together; visitors of a large one are settled as they come.
     """
@@ -195,10 +205,10 @@ def _kernel(decode: Decode, share: tuple[int, int]):
         def settle() -> None:
             nonlocal held
             fresh = [x for g in open_ for x in (*(g.members if g.block is None else ()), *g.visitors)]
-            decoded = iter(decode([x[2] for x in fresh])) if fresh else iter(())
+            decoded = iter(decode([x[4] for x in fresh])) if fresh else iter(())
 
             def items(found: list[tuple]) -> Items:
-                return Items([x[0] for x in found], [next(decoded) for _ in found], [x[1] for x in found])
+                return Items([x[0] for x in found], [next(decoded) for _ in found], [x[1] for x in found], [[x[k] for x in found] for k in (2, 3)])
 
             for g in open_:
                 if g.block is None:
@@ -213,7 +223,7 @@ def _kernel(decode: Decode, share: tuple[int, int]):
             held = 0
 
         for batch in batches:
-            for b, role, inner, node, comp, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, role, inner, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != now:
                     if held >= HELD:
                         settle()
@@ -223,9 +233,9 @@ def _kernel(decode: Decode, share: tuple[int, int]):
                     now = b
                 g = open_[-1]
                 if role == 0:
-                    g.members.append((node, comp, payload))
+                    g.members.append(row)
                 else:
-                    g.visitors.append((node, comp, payload))
+                    g.visitors.append(row)
                     if len(g.visitors) >= BLOCK:
                         settle()
                         del open_[:-1]
@@ -251,7 +261,6 @@ def components(links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = both(links).select(F.col("a").alias("node")).distinct()
     labels: DataFrame | None = None
     while True:
         up = both(links).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up"))
@@ -259,53 +268,75 @@ def components(links: DataFrame) -> DataFrame:
             up = up.alias("x").join(up.select(F.col("node").alias("n2"), F.col("up").alias("u2")), F.col("up") == F.col("n2"), "left").select("node", F.coalesce("u2", "up").alias("up"))
         up = materialise(up, "roots")
         if labels is None:
-            labels = up.select("node", F.col("up").alias("comp"))
+            new = up.select("node", F.col("up").alias("comp"))
         else:
-            labels = labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        labels = materialise(labels, "labels")
+            new = labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        new = materialise(new, "labels")
         left, right = up.select(F.col("node").alias("a"), F.col("up").alias("ua")), up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        links = links.join(left, "a").join(right, "b").filter("ua != ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        links = materialise(links, "links")
+        rest = links.join(left, "a").join(right, "b").filter("ua != ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+        rest = materialise(rest, "links")
+        for old in (links, up, labels):
+            if old is not None:
+                discard(old)
+        labels, links = new, rest
         if links.isEmpty():
-            return nodes.join(labels, "node") if labels is None else labels
+            return labels
 
 
 def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int, int]) -> DataFrame:
     """Components (node, comp) over all pairs of items that share a key and whose sets' Jaccard index is share[0]/share[1] or more.
 
-    postings: key, node, distinct, where ``k`` is the number of nodes of the key, above 1. items: node, payload, one per node.
+    postings: key, node, k: the number of nodes of the key, above 1; distinct. items: node, payload, one per node, and perhaps
+    hk, hkey: its key with most nodes, the largest of equal ones.
     """
     if postings.isEmpty():
         return postings.select("node", F.col("node").alias("comp"))
-    pair = (share[0], share[1])
-    kernel = _kernel(decode, pair)
-    home = postings.groupBy("node").agg(F.max(F.struct("k", "key")).alias("h")).select("node", F.col("h.k").alias("hk"), F.col("h.key").alias("hkey"))
-    chunks = F.ceil(F.col("hk") / BLOCK).cast("long")
-    homed = materialise(items.join(home.hint("shuffle_hash"), "node"), "items")
-    salt = F.explode(F.when(F.col("hk") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    dealt = homed.withColumn("salt", salt).withColumn("block", F.xxhash64("hkey", "salt", F.pmod(F.xxhash64("node", "salt"), chunks)))
-    first = dealt.select("block", F.lit(0).alias("role"), F.lit(True).alias("inner"), "node", F.col("node").alias("comp"), "payload")
-    links = materialise(first.repartition("block").sortWithinPartitions("block", "role").mapInArrow(kernel, "a long, b long"), "near")
-    found = components(links)
-    sizes = found.groupBy("comp").count().filter(F.col("count") >= LARGE).select(F.col("comp").alias("big"))
-    labelled = homed.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sizes, F.col("comp") == F.col("big"), "left")
-    labelled = labelled.withColumn("block", F.xxhash64("hkey", F.coalesce("big", F.lit(-1)), F.pmod(F.xxhash64("node", F.lit(2)), chunks)))
-    labelled = materialise(labelled.select("node", "comp", F.coalesce("big", F.lit(-1)).alias("big"), (F.col("hk") > BLOCK).alias("cut"), "block", "payload"), "blocks")
-    places = labelled.select("node", "big", "block")
-    spots = postings.select("key", "node").join(places.hint("shuffle_hash"), "node").select("key", "block", "big").distinct()
-    open_keys = spots.groupBy("key").agg(F.min("big").alias("lo"), F.max("big").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1 and (lo != hi or lo = -1)").select("key")
-    amounts = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    spots = spots.join(open_keys, "key").join(amounts, "block").select("key", "big", F.struct("n", "block").alias("at"))
-    targets = spots.select("key", F.col("at").alias("host"), F.col("big").alias("tobig"))
-    # the smaller block visits the larger
-    visits = spots.join(targets, "key").filter("at < host and (big != tobig or big = -1)").select(F.col("at.block").alias("block"), F.col("host.block").alias("to"))
-    visits = visits.select(F.col("block").alias("from"), F.col("to").alias("block")).distinct()
-    visits = materialise(visits, "visits")
-    if visits.isEmpty() and not labelled.filter("cut and big = -1").limit(1).count():
+    kernel, spark = _kernel(decode, share), postings.sparkSession
+    if "hkey" not in items.columns:
+        home = postings.groupBy("node").agg(F.max(F.struct("k", "key")).alias("h")).select("node", F.col("h.k").alias("hk"), F.col("h.key").alias("hkey"))
+        items = items.join(home.hint("shuffle_hash"), "node")
+    dealt = lambda salt: F.xxhash64("hkey", F.lit(salt), F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("hk") / BLOCK).cast("long")))
+    cut = F.col("hk") > BLOCK
+    # b0 and b1: the blocks of the two dealings of a large group; a pair that met in one is not decided again
+    homed = items.select("node", "hk", "hkey", dealt(0).alias("b0"), F.when(cut, dealt(1)).otherwise(dealt(0)).alias("b1"), "payload")
+    homed = materialise(homed, "items")
+    bulk = homed.agg(F.sum(F.octet_length("payload") + 100)).collect()[0][0]
+    once = homed.select(F.col("b0").alias("block"), F.lit(0).alias("role"), F.lit(True).alias("inner"), "node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("b0"), F.lit(None).cast("long").alias("b1"), "payload")
+    twice = homed.filter(cut).select(F.col("b1").alias("block"), F.lit(0).alias("role"), F.lit(True).alias("inner"), "node", F.col("node").alias("comp"), "b0", F.lit(None).cast("long").alias("b1"), "payload")
+    links = materialise(_decided(once.unionByName(twice), parts_for(spark, bulk * 1.5, PART_BYTES), kernel), "near")
+    found = materialise(components(links), "near-components")
+    big = found.groupBy("comp").count().filter(F.col("count") >= LARGE).select("comp", F.col("comp").alias("big"))
+    # keys whose nodes are not all in one component yet, and the nodes that have them, in blocks of one large component or of none
+    named = found.join(big, "comp", "left").select("node", "comp", F.coalesce("big", F.lit(-1)).alias("big"))
+    spots = postings.select("key", "node").join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_keys = spots.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    spots = materialise(spots.join(open_keys, "key").select("key", "node", "comp", F.coalesce("big", F.lit(-1)).alias("big")), "open")
+    if spots.isEmpty():
         return found
-    mixed = (F.col("big") == -1) & F.col("cut")  # whole groups were decided within their one block already
-    members = labelled.join(visits.select(F.col("block").alias("vb")).distinct(), F.col("block") == F.col("vb"), "left").filter(mixed | F.col("vb").isNotNull())
-    members = members.select("block", F.lit(0).alias("role"), mixed.alias("inner"), "node", "comp", "payload")
-    guests = visits.join(labelled.select(F.col("block").alias("from"), "node", "comp", "payload"), "from").select("block", F.lit(1).alias("role"), F.lit(False).alias("inner"), "node", "comp", "payload")
-    more = members.unionByName(guests).repartition("block").sortWithinPartitions("block", "role").mapInArrow(kernel, "a long, b long")
-    return components(links.union(materialise(more, "far")))
+    active = spots.select("node", "comp", "big").distinct()
+    block = F.when(cut, F.xxhash64("hkey", "big", F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("hk") / BLOCK).cast("long")))).otherwise(F.col("b0"))
+    members = homed.join(active, "node").select("node", "comp", F.when(cut, F.col("big")).otherwise(F.lit(-1)).alias("big"), cut.alias("cut"), block.alias("block"), "b0", "b1", "payload")
+    members = materialise(members, "members")
+    amounts = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    where = spots.select("key", "node").join(members.select("node", "big", "block"), "node")
+    blocks = where.select("key", "block", "big").distinct().join(amounts, "block").select("key", "big", F.struct("n", "block").alias("at"))
+    hosts = blocks.select("key", F.col("at").alias("host"), F.col("big").alias("tobig"))
+    # of two blocks that share an open key the smaller one's items with that key visit the larger
+    visits = blocks.join(hosts, "key").filter("at < host and (big != tobig or big = -1)").select("key", F.col("at.block").alias("block"), F.col("host.block").alias("to"))
+    visits = where.select("key", "node", "block").join(visits, ["key", "block"]).select("node", "to").distinct()
+    visits = materialise(visits, "visits")
+    # a block with many visitors stands in several copies, each for a share of them
+    crowds = visits.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("copies"))
+    placed = visits.join(crowds, "to").select("node", F.xxhash64("to", F.pmod(F.xxhash64("node", F.lit(3)), F.col("copies"))).alias("to"))
+    inner = F.col("cut") & (F.col("big") == -1)  # of other blocks, the pairs within were decided or are in one component
+    stay = members.join(crowds, F.col("block") == F.col("to"), "left").filter(inner | F.col("to").isNotNull())
+    stay = stay.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    stay = stay.select(F.xxhash64("block", "copy").alias("block"), F.lit(0).alias("role"), (inner & (F.col("copy") == 0)).alias("inner"), "node", "comp", "b0", "b1", "payload")
+    guests = placed.join(members.select("node", "comp", "b0", "b1", "payload"), "node").select(F.col("to").alias("block"), F.lit(1).alias("role"), F.lit(False).alias("inner"), "node", "comp", "b0", "b1", "payload")
+    rows = stay.unionByName(guests)
+    far = materialise(_decided(rows, parts_for(spark, bulk + 2e3 * visits.count(), PART_BYTES), kernel), "far")
+    return found if far.isEmpty() else components(links.union(far))
+
+
+def _decided(rows: DataFrame, parts: int, kernel) -> DataFrame:
+    return rows.select("block", "role", "inner", "node", "comp", "b0", "b1", "payload").repartition(parts, "block").sortWithinPartitions("block", "role").mapInArrow(kernel, "a long, b long")
