@@ -323,7 +323,7 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     marked = materialise(marked.unionByName(items.select("node", "doc", "row", "line").join(found, "node")).distinct(), "marked", free=True)
     discard(lines)
     discard(groups)
-    kept = marked.groupBy("comp").agg(F.min(F.struct("doc", "row", "line")).alias("kept"))
+    kept = materialise(marked.groupBy("comp").agg(F.min(F.struct("doc", "row", "line")).alias("kept")), "kept")
     rule = marked.select("node", "comp").join(kept, "comp").select("node", F.col("kept.doc").alias("kdoc"), F.col("kept.row").alias("krow"), F.col("kept.line").alias("kline"))
     gone = places(plain).join(rule, "node").filter("doc != kdoc or row != krow or line != kline").select("doc", "row", "line").distinct()
     return gone.groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
@@ -333,8 +333,8 @@ def _doc(id_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
 
 
-def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_gone_lines``, the numbers of the lines that go, or null.
+def _with_drops(docs: DataFrame, columns: list, id_col: str, text_col: str) -> DataFrame:
+    """``columns`` of ``docs`` with ``_gone_lines``, the numbers of the lines that go, or null.
 
     Rows without id that are equal in text share a key: all but one of them lose every line with a word.
     """
@@ -342,34 +342,39 @@ def _with_drops(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         gone = dropped_lines(docs, SHARE, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("row").alias("_gone_row"), F.col("dropped").alias("_gone_lines"))
         gone = materialise(gone, "dropped", free=True, lasting=True)
     row = row_key(id_col, text_col)
-    joined = docs.join(gone, (_doc(id_col) == gone["_gone_doc"]) & (row == gone["_gone_row"]), "left").drop("_gone_doc", "_gone_row")
-    nameless = docs.filter(F.col(id_col).cast("long").isNull() & F.col(text_col).isNotNull())
-    equal = materialise(nameless.groupBy(row.alias("_equal")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_equal"), "equal-rows")
+    nameless = F.col(id_col).cast("long").isNull()
+    joined = docs.select(*columns, _doc(id_col).alias("_doc"), row.alias("_row"), nameless.alias("_nameless")).join(gone, (F.col("_doc") == gone["_gone_doc"]) & (F.col("_row") == gone["_gone_row"]), "left")
+    joined = joined.drop("_doc", "_gone_doc", "_gone_row")
+    equal = docs.filter(nameless & F.col(text_col).isNotNull()).groupBy(row.alias("_equal")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_equal")
+    equal = materialise(equal, "equal-rows")
     if equal.isEmpty():
-        return joined
+        return joined.drop("_row", "_nameless")
 
     @F.arrow_udf("array<int>")
     def worded(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else [i for i, x in enumerate(t.encode().split(b"\n")) if normal(x) is not None] for t in text.to_pylist()], pa.list_(pa.int32()))
 
-    joined = joined.withColumn("_row", F.when(F.col(id_col).cast("long").isNull(), row)).join(equal, F.col("_row") == F.col("_equal"), "left")
-    one = joined.filter("_equal is null").drop("_row", "_equal")
+    # the lines with a word of such a text, once per text: its later rows lose them all
+    all_lines = docs.filter(nameless).select(row.alias("_equal"), F.col(text_col).alias("_text")).join(equal, "_equal").groupBy("_equal").agg(F.first("_text").alias("_text"))
+    all_lines = materialise(all_lines.select("_equal", worded("_text").alias("_all_lines")), "equal-lines")
+    joined = joined.withColumn("_key", F.when(F.col("_nameless"), F.col("_row"))).join(all_lines, F.col("_key") == F.col("_equal"), "left")
+    one = joined.filter("_equal is null").drop("_row", "_nameless", "_key", "_equal", "_all_lines")
     # the first of each task, then the first of those: a large group is not dealt to one task
     several = joined.filter("_equal is not null").withColumn("_task", F.spark_partition_id())
     several = several.withColumn("_nth", F.row_number().over(Window.partitionBy("_row", "_task").orderBy("_task")))
     several = materialise(several, "nameless")
     ahead = several.filter("_nth = 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_task")))
-    later = ahead.filter("_nth > 1").unionByName(several.filter("_nth > 1")).withColumn("_gone_lines", worded(F.col(text_col)))
+    later = ahead.filter("_nth > 1").unionByName(several.filter("_nth > 1")).withColumn("_gone_lines", F.col("_all_lines"))
     return one.unionByName(ahead.filter("_nth = 1").unionByName(later).select(*one.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: number of lines, and the numbers (from 0) of those dropped."""
-    found = _with_drops(docs.select(id_col, text_col), id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    found = _with_drops(docs, [F.col(id_col).cast("long").alias("doc_id"), n.alias("n_lines")], id_col, text_col)
     gone = F.col("_gone_lines")
-    return found.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(gone, F.array().cast("array<int>")).alias("dropped"))
+    return found.select("doc_id", "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(gone, F.array().cast("array<int>")).alias("dropped"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -385,7 +390,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = _with_drops(docs, id_col, text_col)
+    joined = _with_drops(docs, docs.columns, id_col, text_col)
     joined = joined.withColumn(text_col, without(F.col(text_col), F.col("_gone_lines"))).drop("_gone_lines")
     if length_col and length_col in docs.columns:
         joined = joined.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))

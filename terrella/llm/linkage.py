@@ -303,7 +303,7 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
     bulk = homed.agg(F.sum(F.octet_length("payload") + 100)).collect()[0][0]
     once = homed.select(F.col("b0").alias("block"), F.lit(0).alias("role"), F.lit(True).alias("inner"), "node", F.col("node").alias("comp"), F.lit(None).cast("long").alias("b0"), F.lit(None).cast("long").alias("b1"), "payload")
     twice = homed.filter(cut).select(F.col("b1").alias("block"), F.lit(0).alias("role"), F.lit(True).alias("inner"), "node", F.col("node").alias("comp"), "b0", F.lit(None).cast("long").alias("b1"), "payload")
-    links = materialise(_decided(once.unionByName(twice), parts_for(spark, bulk * 1.5, PART_BYTES), kernel), "near")
+    links = materialise(_decided(once.unionByName(twice), parts_for(spark, bulk * 1.5, PART_BYTES), kernel), "near", free=True)
     found = materialise(components(links), "near-components")
     big = found.groupBy("comp").count().filter(F.col("count") >= LARGE).select("comp", F.col("comp").alias("big"))
     # keys whose nodes are not all in one component yet, and the nodes that have them, in blocks of one large component or of none
@@ -318,23 +318,22 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
     members = homed.join(active, "node").select("node", "comp", F.when(cut, F.col("big")).otherwise(F.lit(-1)).alias("big"), cut.alias("cut"), block.alias("block"), "b0", "b1", "payload")
     members = materialise(members, "members")
     amounts = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    where = spots.select("key", "node").join(members.select("node", "big", "block"), "node")
-    blocks = where.select("key", "block", "big").distinct().join(amounts, "block").select("key", "big", F.struct("n", "block").alias("at"))
+    blocks = spots.select("key", "node").join(members.select("node", "big", "block"), "node").select("key", "block", "big").distinct()
+    blocks = blocks.join(amounts, "block").select("key", "big", F.struct("n", "block").alias("at"))
     hosts = blocks.select("key", F.col("at").alias("host"), F.col("big").alias("tobig"))
-    # of two blocks that share an open key the smaller one's items with that key visit the larger
-    visits = blocks.join(hosts, "key").filter("at < host and (big != tobig or big = -1)").select("key", F.col("at.block").alias("block"), F.col("host.block").alias("to"))
-    visits = where.select("key", "node", "block").join(visits, ["key", "block"]).select("node", "to").distinct()
+    # of two blocks that share an open key the smaller one's items visit the larger
+    visits = blocks.join(hosts, "key").filter("at < host and (big != tobig or big = -1)").select(F.col("at.block").alias("block"), F.col("host.block").alias("to")).distinct()
     visits = materialise(visits, "visits")
+    going = members.select("node", "block").join(visits, "block").select("node", "to")
     # a block with many visitors stands in several copies, each for a share of them
-    crowds = visits.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("copies"))
-    placed = visits.join(crowds, "to").select("node", F.xxhash64("to", F.pmod(F.xxhash64("node", F.lit(3)), F.col("copies"))).alias("to"))
+    crowds = going.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("copies"))
+    placed = going.join(crowds, "to").select("node", F.xxhash64("to", F.pmod(F.xxhash64("node", F.lit(3)), F.col("copies"))).alias("to"))
     inner = F.col("cut") & (F.col("big") == -1)  # of other blocks, the pairs within were decided or are in one component
     stay = members.join(crowds, F.col("block") == F.col("to"), "left").filter(inner | F.col("to").isNotNull())
     stay = stay.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     stay = stay.select(F.xxhash64("block", "copy").alias("block"), F.lit(0).alias("role"), (inner & (F.col("copy") == 0)).alias("inner"), "node", "comp", "b0", "b1", "payload")
     guests = placed.join(members.select("node", "comp", "b0", "b1", "payload"), "node").select(F.col("to").alias("block"), F.lit(1).alias("role"), F.lit(False).alias("inner"), "node", "comp", "b0", "b1", "payload")
-    rows = stay.unionByName(guests)
-    far = materialise(_decided(rows, parts_for(spark, bulk + 2e3 * visits.count(), PART_BYTES), kernel), "far")
+    far = materialise(_decided(stay.unionByName(guests), parts_for(spark, bulk * 1.5, PART_BYTES), kernel), "far", free=True)
     return found if far.isEmpty() else components(links.union(far))
 
 
