@@ -77,6 +77,7 @@ def materialise(df: DataFrame, name: str, free: bool = False, lasting: bool = Fa
     del df
     if free:
         gc.collect()
+        spark.range(0, 64, 1, 16).count()  # the scheduler's threads hold on to the last job until they see another
         spark._jvm.System.gc()
     return out
 
