@@ -60,10 +60,10 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     size = np.array([len(s) for s in strings], np.int64)
     line = np.repeat(np.arange(len(texts)), size - SHINGLE + 1)
     at = np.arange(len(line)) + (SHINGLE - 1) * line
-    g = np.zeros(len(at), U)
+    g = np.zeros(len(points) - SHINGLE + 1, U)
     for i in range(SHINGLE):
-        g += points[at + i] * _FACTORS[i]
-    key = np.sort(line.astype(U) << U(48) | mix(g) >> U(16))
+        g += points[i : len(points) - SHINGLE + 1 + i] * _FACTORS[i]
+    key = np.sort(line.astype(U) << U(48) | mix(g[at]) >> U(16))
     key = key[runs(key)]
     cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
     elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
