@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_capture_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_histories(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.capture_histories(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp", "capture")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,16 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "op1_capture_histories": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-             f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+             f AS (SELECT payload_digest AS d, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1),
+             r AS (SELECT page_id AS id, regexp_replace(coalesce(url, ''), '^.*?://', '') AS rest FROM pages),
+             s AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(regexp_extract(rest, '^[^/]*'), '[^@]*$')), ':80$', ''), ':443$', ''), '^www[.]', '') AS host,
+                          regexp_extract(rest, '/.*$', 0, 's') AS path FROM r),
+             u AS (SELECT id, CASE WHEN host = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path END AS urlkey,
+                          strftime(TIMESTAMP '2020-01-01' + to_seconds(coalesce(id, 0) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM s)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
-        FROM p LEFT JOIN f ON payload_digest = d
+               CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to,
+               urlkey, stamp, row_number() OVER (PARTITION BY urlkey ORDER BY stamp, page_id) AS capture
+        FROM p JOIN u ON page_id = id LEFT JOIN f ON payload_digest = d
     """
 }

@@ -5,7 +5,7 @@ captures sorted by URL key, timestamp and page. Archives are rows of a table in
 protocol covers retried tasks on any file system Spark can write; ``data`` is the exact content of a .warc.gz file, and
 ``export`` writes them out. ``merge_index`` merges all runs into one global order: captures are range-partitioned by the
 whole sort key, so one URL with very many captures spreads over partitions, each partition sorts its share by run (Spark
-sorts externally), and a loser tree merges the k runs. ``read_archives`` parses the archives again.
+sorts externally), and a loser tree merges the k runs, read through one cursor each. ``read_archives`` parses the archives again.
 
 Of records with equal payloads of at least ``REVISIT_BYTES``, that of the smallest page id is the response and the others
 revisit it.
@@ -13,7 +13,7 @@ revisit it.
 Defined cases: a null html is an empty payload and always a response; a null url has the empty key; rows repeated with
 the smallest id are all responses; a null id is never the one revisited unless all ids of the payload are null, in which case all
 are responses; line breaks and controls in a url are percent-encoded; ties of key and time are ordered by page, archive
-and offset; an empty table gives an empty result.
+and offset; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, parts_for, ship
 
 REVISIT_BYTES, ARCHIVE_BYTES, PART_BYTES = 100, 8 << 20, 16 << 20
+#: Bytes given to the decompressor at once, rows of a run decoded at once, and bytes of a capture in a range, on average.
+FEED, AHEAD, CAPTURE_BYTES = 16 << 10, 512, 200
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 RUN = "array<struct<urlkey: string, stamp: string, page_id: long, offset: long, length: long>>"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -79,13 +81,15 @@ def parse(data: bytes) -> dict:
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """Offset, length and content of each gzip member."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        content = d.decompress(memoryview(data)[at:])
-        size = len(data) - at - len(d.unused_data)
-        yield at, size, content
-        at += size
+        d, end, content = zlib.decompressobj(31), at, []
+        while not d.eof and end < len(data):
+            content.append(d.decompress(view[end : end + FEED]))
+            end = min(end + FEED, len(data))
+        end -= len(d.unused_data)
+        yield at, end - at, b"".join(content)
+        at = end
 
 
 class LoserTree:
@@ -184,31 +188,55 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     return archives.select("archive", "data").mapInArrow(rows, schema)
 
 
+def _cursor(chunks: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """Captures of one sorted run as sort keys, a few rows decoded at a time; chunks are let go as they are used up."""
+    chunks.reverse()
+    while chunks:
+        chunk = chunks.pop()
+        for i in range(0, chunk.num_rows, AHEAD):
+            for u, s, p, a, o, n in zip(*(c.to_pylist() for c in chunk.slice(i, AHEAD).columns)):
+                yield u, s, p is None, p or 0, a, o, n
+
+
 def merge_index(archives: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, timestamp, page: ``position`` grows along it."""
-    ship(archives.sparkSession)
+    """All captures in global order of URL key, timestamp, page, with ``capture``: the place, from 1, in the history of its URL key.
+
+    ``position`` grows along the order: the number of the range above its lowest 40 bits, the place in the range in these. Ranges have about ``PART_BYTES``
+    of captures. A task holds its range as Arrow columns, one cursor per run, and merges them by the loser tree.
+    """
+    spark = archives.sparkSession
+    ship(spark)
+    n = archives.agg(F.sum(F.size("run"))).collect()[0][0] or 0
     entries = archives.select("archive", F.explode("run").alias("e")).select("archive", "e.*")
     keys = ["urlkey", "stamp", "page_id", "archive", "offset"]
-    dealt = entries.repartitionByRange(*keys).sortWithinPartitions("archive", *keys[:3], "offset").select(*keys, "length")
+    dealt = entries.repartitionByRange(parts_for(spark, n * CAPTURE_BYTES, PART_BYTES), *keys).sortWithinPartitions("archive", *keys[:3], "offset").select(*keys, "length")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for u, s, p, a, o, n in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(a, []).append((u, s, p is None, p or 0, a, o, n))
-        position, out = TaskContext.get().partitionId() << 40, []
-        names = ["position", "urlkey", "stamp", "page_id", "archive", "offset", "length"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        for u, s, null, p, a, o, n in LoserTree(runs.values()):
-            out.append((position, u, s, None if null else p, a, o, n))
-            position += 1
+            names = batch.column(3)
+            cut = [0, *(i for i in range(1, batch.num_rows) if names[i] != names[i - 1]), batch.num_rows] if batch.num_rows else [0]
+            for x, y in zip(cut, cut[1:]):
+                runs.setdefault(names[x].as_py(), []).append(batch.slice(x, y - x))
+        part, nth, url, capture, out = TaskContext.get().partitionId(), 0, None, 0, []
+        fields = ["part", "nth", "capture", "urlkey", "stamp", "page_id", "archive", "offset", "length"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        for u, s, null, p, a, o, n in LoserTree(_cursor(r) for r in runs.values()):
+            capture, url = capture + 1 if u == url else 1, u
+            out.append((part, nth, capture, u, s, None if null else p, a, o, n))
+            nth += 1
             if len(out) == 10_000:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], fields)
                 out = []
         if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], fields)
 
-    return dealt.mapInArrow(rows, "position long, urlkey string, stamp string, page_id long, archive string, offset long, length long")
+    merged = materialise(dealt.mapInArrow(rows, "part int, nth long, capture long, urlkey string, stamp string, page_id long, archive string, offset long, length long"), "merged")
+    # a history that goes on in later ranges: what the earlier ranges have of it is added
+    ends = merged.groupBy("part").agg(F.min("urlkey").alias("lo"), F.max("urlkey").alias("hi")).select("part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("urlkey"))
+    pieces = merged.groupBy("part", "urlkey").agg(F.max("capture").alias("n")).join(ends, ["part", "urlkey"])
+    earlier = pieces.select("part", "urlkey", (F.sum("n").over(Window.partitionBy("urlkey").orderBy("part")) - F.col("n")).alias("earlier")).filter("earlier > 0")
+    return merged.join(earlier, ["part", "urlkey"], "left").withColumn("capture", F.col("capture") + F.coalesce("earlier", F.lit(0))).withColumn("position", F.shiftleft(F.col("part").cast("long"), 40) + F.col("nth")).drop("earlier", "part", "nth")
 
 
 def capture_histories(pages: DataFrame) -> DataFrame:
@@ -216,7 +244,7 @@ def capture_histories(pages: DataFrame) -> DataFrame:
     archives = materialise(write_archives(pages), "archives", free=True)
     records = read_archives(archives).select("archive", "offset", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return merge_index(archives).join(records, ["archive", "offset"]).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp", "archive", "offset", "length", "position"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "stamp", "capture", "archive", "offset", "length", "position"
     )
 
 
