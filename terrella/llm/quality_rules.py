@@ -3,9 +3,12 @@
 Each line with a word is a position of the chain, its state content or boilerplate. A document stays when at least
 ``share`` of its words stand in content lines and the base rules hold.
 
-The field is trained by gradient ascent on the conditional log-likelihood of at most ``SAMPLE`` labelled documents, the
-first by a hash of their ids, of each at most ``SAMPLE_LINES`` lines. Lines of low-quality documents are weak examples of
-boilerplate. Decoding covers all documents and all their lines. Without labels, ``DEFAULT`` serves.
+The field is trained on at most ``SAMPLE`` labelled documents, the first by a hash of their ids; of a longer one than
+``SAMPLE_LINES`` lines ``RUNS`` runs of lines, spread evenly over the whole text, stand for it. Line states are latent, the
+label only says that most words of a good document are content and of a bad one boilerplate. Training starts from the label
+for every line and then alternates: decode the states, mend a document whose share contradicts its label by its lines of
+least evidence, and fit the field to these states by gradient ascent on their conditional log-likelihood. So documents of
+both kinds of lines come about. Decoding covers all documents and all their lines. Without labels, ``DEFAULT`` serves.
 
 Defined cases: a null or empty text has no words and fails the base rules; rows are judged one by one, so repeated rows
 and repeated or null ids each get their own equal verdict; an empty table gives an empty result; other columns of the
@@ -26,7 +29,7 @@ from .common import ship
 from .docstats import LINE_FEATURES, Counts
 from .textkit import slices
 
-SAMPLE, SAMPLE_LINES = 2048, 64
+SAMPLE, SAMPLE_LINES, RUNS, ROUNDS = 2048, 64, 4, 3
 MIN_WORDS, MAX_REPEAT = 20, 30
 SHARE = 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
@@ -80,7 +83,7 @@ def viterbi(field: Field, features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1e-3) -> Field:
+def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1e-3, start_at: Field | None = None) -> Field:
     """Maximise the conditional log-likelihood of the line labels; forward-backward over all chains, Adam steps."""
     _, start, count = _chains(doc)
     width, n = int(count[0]), len(count)
@@ -89,7 +92,7 @@ def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int
     at = np.where(real, start[:, None] + pos, 0)
     y = labels[at]
     pairs = real[:, 1:]
-    theta = np.concatenate([np.zeros(features.shape[1]), np.zeros(2), np.zeros(4)])
+    theta = np.zeros(features.shape[1] + 6) if start_at is None else np.concatenate([x.ravel() for x in start_at])
     k = features.shape[1]
     moment, second = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):
@@ -121,16 +124,51 @@ def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int
     return Field(theta[:k], theta[k : k + 2], theta[k + 2 :].reshape(2, 2))
 
 
+def constrained(states: np.ndarray, score: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """``states`` with the fewest words changed, by evidence, so that half of the words of every document have its label's state.
+
+    ``score``: evidence of boilerplate by line; ``bad``: by document.
+    """
+    out = states.copy()
+    label = bad[doc].astype(np.int8)
+    order = np.lexsort((np.where(label == 1, -score, score), states != label, doc))  # lines that agree first, then the next best
+    w = words[order].astype(np.float64)
+    before = np.cumsum(w) - w
+    start = np.searchsorted(doc[order], np.arange(len(bad)))
+    before -= before[np.minimum(start, len(w) - 1)][doc[order]]
+    needed = before * 2 < np.bincount(doc, words, minlength=len(bad))[doc[order]]
+    out[order[needed]] = label[order[needed]]
+    return out
+
+
+def learn(features: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray) -> Field:
+    """A field from documents' labels: line states are decoded, held to the labels' shares, and learnt again."""
+    field = train(features, doc, bad[doc].astype(np.int64))
+    for i in range(ROUNDS):
+        score = features @ field.emission
+        # transitions learnt from one label for all lines of a document only say that states stay: at first, lines speak alone
+        found = viterbi(field if i else field._replace(step=np.zeros((2, 2))), features, doc)
+        states = constrained(found, score, words, doc, bad)
+        if len(np.unique(states)) < 2:
+            break
+        field = train(features, doc, states.astype(np.int64), rounds=50, start_at=field)
+    return field
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         quality = batch.column(1).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(0)):
-            x, doc, _ = Counts(s).line_features()
-            ids, start, count = np.unique(doc, return_index=True, return_counts=True)
-            yield pa.record_batch(
-                [pa.array([int(quality[s.first + d]) for d in ids], pa.int32()), pa.array([x[a : a + min(c, SAMPLE_LINES)].astype(np.float32).tobytes() for a, c in zip(start, count)], pa.binary())],
-                ["quality", "lines"],
-            )
+            x, doc, words = Counts(s).line_features()
+            x = np.concatenate([x, words[:, None]], 1).astype(np.float32)
+            labels, lines = [], []
+            for d, a, c in zip(*np.unique(doc, return_index=True, return_counts=True)):
+                n = c if c <= SAMPLE_LINES else SAMPLE_LINES // RUNS
+                for k in range(1 if c <= SAMPLE_LINES else RUNS):
+                    at = a + (c - n) * k // max(RUNS - 1, 1)
+                    labels.append(int(quality[s.first + d]))
+                    lines.append(x[at : at + n].tobytes())
+            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(lines, pa.binary())], ["quality", "lines"])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> Field:
@@ -140,14 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).dropna().orderBy(F.xxhash64("id"), "id", "quality").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "quality").mapInArrow(_line_rows, "quality int, lines binary").collect()
-    rows.sort(key=lambda r: (r["quality"], bytes(r["lines"])))  # the same field, whatever order rows come in
-    rows = rows[:SAMPLE] if len(rows) <= SAMPLE else [rows[i * len(rows) // SAMPLE] for i in range(SAMPLE)]
+    rows = texts.join(F.broadcast(chosen), "id").select("text", "quality").mapInArrow(_line_rows, "quality int, lines binary")
+    # bounded where labels or ids repeat, and the same rows, whatever order they come in
+    rows = rows.orderBy(F.xxhash64("lines"), "lines", "quality").limit(RUNS * SAMPLE).collect()
     if len({r["quality"] for r in rows}) < 2:
         return DEFAULT
-    parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(LINE_FEATURES)) for r in rows]
+    parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(LINE_FEATURES) + 1) for r in rows]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return train(np.concatenate(parts).astype(np.float64), doc, np.array([int(r["quality"] == 0) for r in rows])[doc])
+    x = np.concatenate(parts).astype(np.float64)
+    return learn(x[:, :-1], x[:, -1], doc, np.array([int(r["quality"] == 0) for r in rows]))
 
 
 def judge(c: Counts, field: Field, share: float) -> dict[str, np.ndarray]:
