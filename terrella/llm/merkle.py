@@ -7,8 +7,8 @@ fingerprint names the root's digest, which settles equality, then every section
 two fingerprints show where they differ. Likeness is twice the shared leaves over all leaves of both (as multisets).
 
 Defined cases: a null text equals an empty one (a tree without leaves; two such have likeness 1); repeated rows and equal
-ids are ordered by text and each follows the other; null ids come first in the order; the last row is followed by the
-first, a single row by itself; an empty table gives an empty result.
+ids are ordered by a hash of the text and each follows the other; null ids come first in the order; the last row is followed by the
+first, a single row by itself; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import even_keys, parts_for, ship
 from .textkit import as_strings
 
 LEAF, PART_BYTES, LOWEST = 4, 16 << 20, -(1 << 63)
+#: Rows of which the bounds of ranges are taken; they steer balance alone.
+SAMPLE = 20_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _CUT = re.compile(r"(?<=[.!?])[ \t]+")
 
@@ -141,31 +143,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each document, of its edit by the next in id order, and their likenesses.
 
-    Rows are range-partitioned by id. The first row of every partition also goes to the one before (the very first to the
+    Rows are range-partitioned by id and a hash of the text, so many rows of one id, or without one, are spread. The first row of every partition also goes to the one before (the very first to the
     last), so each partition holds the successor of each of its rows. Only bounds and first ids reach the driver.
     """
     spark = docs.sparkSession
     ship(spark)
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    stats = plain.sample(0.05, seed=3).agg(F.avg(F.octet_length("text")).alias("b")).collect()[0]["b"] or 1000.0
-    n = plain.count()
-    parts = parts_for(spark, stats * n, PART_BYTES)
-    cuts = np.array(plain.select("k").approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts) if n else [], np.float64)
-    cuts = np.unique(np.floor(cuts)).astype(np.int64)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    size = plain.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()[0]
+    parts = parts_for(spark, size["b"] or 0, PART_BYTES)
+    sample = plain.select("k", "h").sample(min(1.0, SAMPLE / max(size["n"], 1)), seed=3).collect()
+    pair = np.dtype([("k", np.int64), ("h", np.int64)])
+    sample = np.sort(np.array([(r["k"], r["h"]) for r in sample], pair))
+    cuts = np.unique(sample[[i * len(sample) // parts for i in range(1, parts)]]) if len(sample) else sample
+
+    def part_in_order(k: pa.Array, h: pa.Array) -> np.ndarray:
+        at = np.empty(len(k), pair)
+        at["k"], at["h"] = k.to_numpy(), h.to_numpy()
+        return np.searchsorted(cuts, at, "right")
 
     @F.arrow_udf("int")
-    def part_of(k: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
+    def part_of(k: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(part_in_order(k, h).astype(np.int32))
 
-    least = plain.select("k").groupBy(part_of("k").alias("part")).agg(F.min("k").alias("k")).orderBy("part").collect()
-    before = {r["k"]: least[i - 1]["part"] for i, r in enumerate(least)}
+    least = plain.select("k", "h").groupBy(part_of("k", "h").alias("part")).agg(F.min(F.struct("k", "h")).alias("at")).orderBy("part").collect()
+    before = {tuple(r["at"]): least[i - 1]["part"] for i, r in enumerate(least)}
     keys = np.array(even_keys(spark, max(parts, len(cuts) + 1)), np.int64)
 
     @F.arrow_udf("array<struct<part: int, tail: boolean>>")
-    def homes(k: pa.Array) -> pa.Array:
-        own = np.searchsorted(cuts, k.to_numpy(), "right")
+    def homes(k: pa.Array, h: pa.Array) -> pa.Array:
+        own = part_in_order(k, h)
         out = []
-        for p, v in zip(own.tolist(), k.to_pylist()):
+        for p, *v in zip(own.tolist(), k.to_pylist(), h.to_pylist()):
+            v = tuple(v)
             out.append([{"part": int(keys[p]), "tail": False}] + ([{"part": int(keys[before[v]]), "tail": True}] if v in before else []))
         return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("tail", pa.bool_())])))
 
@@ -190,6 +200,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
 
-    # Rows of equal first id share a partition; of its copies in the partition before, the first in order is used.
-    placed = plain.withColumn("h", F.explode(homes("k"))).select(F.col("h.part").alias("part"), F.col("h.tail").alias("tail"), "k", "text")
-    return placed.repartition(len(keys), "part").sortWithinPartitions("part", "tail", "k", "text").mapInArrow(rows, SCHEMA)
+    # Rows of equal first id and text share a partition; of its copies in the partition before, the first in order is used.
+    placed = plain.withColumn("home", F.explode(homes("k", "h"))).select(F.col("home.part").alias("part"), F.col("home.tail").alias("tail"), "k", "h", "text")
+    placed = placed.repartition(len(keys), "part").sortWithinPartitions("part", "tail", "k", "h", "text")
+    return placed.select("part", "tail", "k", "text").mapInArrow(rows, SCHEMA)
