@@ -277,6 +277,29 @@ def test_archives(spark, tmp_path):
     assert warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_histories_over_ranges(spark):
+    """One url in most captures: its history goes on over several ranges."""
+    rows = [(i, "http://www.a.org/x" if i % 4 else f"https://b.org:443/{i % 7}", "x" * (i % 300)) for i in range(900)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    size, warc.CAPTURE_BYTES = warc.CAPTURE_BYTES, 1 << 20
+    try:
+        merged = warc.merge_index(archives)
+        got = merged.orderBy("position").collect()
+    finally:
+        warc.CAPTURE_BYTES = size
+    assert len({r["position"] >> 40 for r in got}) > 10
+    assert [(r["urlkey"], r["stamp"], r["page_id"]) for r in got] == sorted((r["urlkey"], r["stamp"], r["page_id"]) for r in got)
+    seen = Counter()
+    for r in got:
+        seen[r["urlkey"]] += 1
+        assert r["capture"] == seen[r["urlkey"]]
+
+
+def test_members_of_long_archives():
+    data = [bytes([i]) * (i * 997) for i in range(60)] + [b"end"]
+    assert [c for _, _, c in warc.members(b"".join(gzip.compress(x) for x in data))] == data
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(9):

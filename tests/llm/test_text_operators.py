@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrella.llm import docstats, longest_match, merkle, packing, quality_classifier, quality_rules, textkit, tokens
+from terrella.llm.docstats import Counts
 from tests.llm.conftest import HOSTILE
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +80,62 @@ def test_training_separates_lines():
     assert (quality_rules.viterbi(field, x, doc) == y).mean() > 0.98
 
 
+def test_states_of_lines_are_latent():
+    """Good documents with a planted block of boilerplate, bad ones with a few good lines: labels are of documents alone."""
+    rng = np.random.default_rng(4)
+    bad = np.repeat([0, 1], 60)
+    truth = np.concatenate([np.r_[np.zeros(6), np.ones(3), np.zeros(3)] if not b and i % 2 else np.full(12, b) if i % 3 else np.r_[np.full(9, b), np.zeros(3)] for i, b in enumerate(bad)])
+    doc = np.repeat(np.arange(120), 12)
+    x = np.stack([np.ones(len(doc)), np.clip(truth * 0.8 + rng.uniform(0, 0.2, len(doc)), 0, 1)], 1)
+    field = quality_rules.learn(x, np.full(len(doc), 9.0), doc, bad)
+    got = quality_rules.viterbi(field, x, doc)
+    assert (got == truth).mean() > 0.97
+    share = np.bincount(doc, got == 0) / 12
+    assert ((share > 0) & (share < 1)).sum() >= 30
+
+
+def test_states_keep_to_the_label():
+    doc, bad = np.repeat([0, 1], 4), np.array([0, 1])
+    words, score = np.array([10.0, 1, 1, 9, 5, 5, 5, 5]), np.array([3.0, 1, 2, 4, -1, -2, -3, -4])
+    got = quality_rules.constrained(np.array([1, 1, 1, 1, 0, 0, 0, 0], np.int8), score, words, doc, bad)
+    assert got.tolist() == [0, 0, 0, 1, 1, 1, 0, 0]  # by least evidence, until half of the words agree
+
+
+def test_kept_equals_plain_code(docs, rows):
+    field = quality_rules.DEFAULT
+    for r in quality_rules.quality_rules(docs).collect():
+        assert r["kept"] == (not r["base_failed"] and r["content_share"] >= quality_rules.SHARE)
+    text = "word words more words here to read on.\n" * 3 + "| | | # # $ $ | |\n" * 2
+    s = next(textkit.slices(pa.array([text])))
+    x, doc, words = Counts(s).line_features()
+    n = len(doc)
+    e = x @ field.emission
+    score = lambda p: field.first[p[0]] + sum(e[t] * p[t] for t in range(n)) + sum(field.step[p[t - 1], p[t]] for t in range(1, n))
+    best = max(([k >> i & 1 for i in range(n)] for k in range(2**n)), key=score)
+    assert quality_rules.judge(Counts(s), field, 0.5)["content_share"][0] == sum(w for w, b in zip(words.tolist(), best) if not b) / words.sum()
+
+
+def test_scores_equal_plain_ridge(spark):
+    """Features, normal equations, cross-fitted calibration: against one matrix in memory."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    stats = quality_classifier.statistics(docs)
+    model = quality_classifier.fit(stats, labels)
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    table = [(r["doc_id"], np.frombuffer(r["stats"], np.float64)) for r in stats.collect()]
+    train = [(i, x, known[i]) for i, x in table if i in known and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([t[1] for t in train]), np.array([t[2] for t in train], float)
+    fold = np.array([zlib.crc32(str(t[0]).encode()) // 5 % quality_classifier.CROSS for t in train])
+    z = np.sqrt(2 / quality_classifier.FEATURES) * np.cos(np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -4, 4) @ model.waves + model.phase)
+    z = np.concatenate([z, np.ones((len(z), 1))], 1)
+    penalty = np.diag([quality_classifier.RIDGE] * quality_classifier.FEATURES + [1e-9])
+    solve = lambda m: np.linalg.solve(z[m].T @ z[m] + penalty, z[m].T @ y[m])
+    assert np.allclose(model.weights, solve(np.full(len(y), True)), atol=1e-5)
+    seen = np.array([z[i] @ solve(fold != fold[i]) for i in range(len(y))])
+    low, high = seen[y == 0], seen[y == 1]
+    assert np.all(np.diff(model.values) >= 0) and model.knots[0] >= seen.min() - 1e-6 and model.knots[-1] <= seen.max() + 1e-6 and low.mean() < high.mean()
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -171,6 +228,22 @@ def _by_id(rows):
     return out
 
 
+def test_equal_texts_have_equal_vectors():
+    texts = ["one text to place", "", "ab", None, "another, much longer text " * 9]
+    alone = [packing.projected(pa.array([t], pa.string()))[0] for t in texts]
+    together = packing.projected(pa.array([*texts, *reversed(texts)], pa.string()))
+    assert np.array_equal(together, np.array(alone + alone[::-1]))
+
+
+def test_neighbours_in_sequences_are_near(spark):
+    """Texts of four kinds: most neighbours along the sequences are of one kind."""
+    kinds = ["alpha beta gamma delta ", "12 345 6789 0 ", "ÄÖÜ ßéè ", "x+y=z; {a: b} "]
+    rows = [(i, kinds[i % 4] * (20 + i % 7)) for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB).orderBy("sequence_id", "offset").collect()
+    ids = [r["doc_id"] % 4 for r in got if r["start"] == 0]
+    assert sum(a == b for a, b in zip(ids, ids[1:])) > 0.8 * len(ids)
+
+
 def test_hilbert_curve_is_continuous():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = packing.hilbert(g, 3)
