@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["crc_mod", "delete_path", "discard", "even_keys", "materialise", "parts_for", "row_key", "scratch", "shared_dir", "ship", "table_path"]
+__all__ = ["crc_mod", "delete_path", "discard", "even_keys", "materialise", "parts_for", "row_key", "scratch", "shared_dir", "ship", "table_path", "trimmed"]
 
 _OWN: list[str] = []
 #: Tables by scope: the first one's stay until the driver exits, the others' until their ``scratch`` ends.
@@ -91,6 +94,18 @@ def _sweep() -> None:
             break
 
 
+def trimmed(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows`` for ``mapInArrow``; at the end of a task the worker gives freed memory back, as it stays alive beside those of later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def parts_for(spark: SparkSession, total_bytes: float, each: float) -> int:
     """Partitions of about ``each`` bytes, and at least two for every core."""
     return int(max(total_bytes // each + 1, 2 * spark.sparkContext.defaultParallelism, 1))

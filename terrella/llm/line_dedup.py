@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import pack, runs, steps, unpack
-from .common import discard, even_keys, materialise, parts_for, row_key, scratch, ship
+from .common import discard, even_keys, materialise, parts_for, row_key, scratch, ship, trimmed
 from .linkage import link
 from .textkit import U, mix
 
@@ -37,7 +37,7 @@ MIN_WORDS, SHINGLE, SHARE = 1, 5, (80, 100)
 #: 0.2 of 0.0001. Unlike lines of one language share a tenth of their shingles, so shorter bands make candidates of a number of
 #: pairs that grows with the square of the input.
 BINS, BANDS, ROWS = 256, 32, 8
-PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 12 << 20, 60_000, 32, -(1 << 63)
+PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 8 << 20, 24_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
 #: Of each slot, the order in which it looks for a full one.
 _LOOK = np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
@@ -164,7 +164,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
         for i in range(0, len(items), CHUNK):
             yield pa.record_batch([pa.array([task << 24 | i // CHUNK]), pa.array([_chunk(items[i : i + CHUNK])], pa.binary())], ["chunk", "data"])
 
-    return docs.mapInArrow(split, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(merge, "chunk long, data binary")
+    return docs.mapInArrow(trimmed(split), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(trimmed(merge), "chunk long, data binary")
 
 
 def band_groups(lines: DataFrame) -> DataFrame:
@@ -260,9 +260,9 @@ def band_groups(lines: DataFrame) -> DataFrame:
         if hits:
             yield from out()
 
-    met = lines.mapInArrow(send, "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(gather, "chunk long, kind int, data binary")
+    met = lines.mapInArrow(trimmed(send), "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(trimmed(gather), "chunk long, kind int, data binary")
     both = met.unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data"))
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(name, "key long, node long, k long, doc long, row long, line long, hk long, hkey long, text binary")
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(trimmed(name), "key long, node long, k long, doc long, row long, line long, hk long, hkey long, text binary")
 
 
 def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
                 at = count > 1
                 yield pa.record_batch([pa.array(x[at]) for x in (node, doc, row, line)], ["node", "doc", "row", "line"])
 
-    return lines.select("data").mapInArrow(rows, "node long, doc long, row long, line long")
+    return lines.select("data").mapInArrow(trimmed(rows), "node long, doc long, row long, line long")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def places(docs: DataFrame) -> DataFrame:
             own = pa.array(at, pa.int64())
             yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(line, pa.int32()), pa.array(node, pa.int64())], ["doc", "row", "line", "node"])
 
-    return docs.mapInArrow(rows, "doc long, row long, line int, node long")
+    return docs.mapInArrow(trimmed(rows), "doc long, row long, line int, node long")
 
 
 def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

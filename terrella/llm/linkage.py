@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs
-from .common import discard, materialise, parts_for
+from .common import discard, materialise, parts_for, trimmed
 
 BLOCK, LARGE, RANGES, PART_BYTES = 256, 64, 32, 8 << 20
 #: Pairs decided one by one, and rows decoded together.
@@ -338,4 +338,4 @@ def link(postings: DataFrame, items: DataFrame, decode: Decode, share: tuple[int
 
 
 def _decided(rows: DataFrame, parts: int, kernel) -> DataFrame:
-    return rows.select("block", "role", "inner", "node", "comp", "b0", "b1", "payload").repartition(parts, "block").sortWithinPartitions("block", "role").mapInArrow(kernel, "a long, b long")
+    return rows.select("block", "role", "inner", "node", "comp", "b0", "b1", "payload").repartition(parts, "block").sortWithinPartitions("block", "role").mapInArrow(trimmed(kernel), "a long, b long")

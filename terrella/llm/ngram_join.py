@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import pack, runs, steps, unpack
-from .common import even_keys, materialise, parts_for, row_key, ship
+from .common import even_keys, materialise, parts_for, row_key, ship, trimmed
 from .linkage import link
 from .textkit import Slice, U, mix, slices
 
-CHUNK, CHUNK_DOCS, HOT = 1_200_000, 60_000, 32
-PART_BYTES = 24 << 20
+CHUNK, CHUNK_DOCS, HOT = 600_000, 60_000, 32
+PART_BYTES = 12 << 20
 MARK = 65535
 
 
@@ -236,9 +236,9 @@ def prefixes(docs: DataFrame, n: int, share: tuple[int, int], id_col: str = "doc
         if chunk.ids:
             yield out()
 
-    sent = plain.mapInArrow(rows, "bucket int, chunk long, kind int, data binary")
-    counted = sent.repartition(parts, "bucket").mapInArrow(_count, "chunk long, kind int, data binary")
-    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_settle(share), "doc_id long, row long, n long, node long, keys array<long>, payload binary")
+    sent = plain.mapInArrow(trimmed(rows), "bucket int, chunk long, kind int, data binary")
+    counted = sent.repartition(parts, "bucket").mapInArrow(trimmed(_count), "chunk long, kind int, data binary")
+    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(trimmed(_settle(share)), "doc_id long, row long, n long, node long, keys array<long>, payload binary")
 
 
 def _components(docs: DataFrame, n: int, share: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, parts_for, ship
+from .common import even_keys, parts_for, ship, trimmed
 from .textkit import U, as_strings, mix, slices
 from .tokens import word_ids
 
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield out
 
     placed = plain.withColumn("p", place("text", "tie")).select(F.col("p.part").alias("part"), F.col("p.k").alias("k"), "doc_id", "text")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "k", "doc_id").select("part", "doc_id", "text").mapInArrow(rows, SCHEMA)
+    return placed.repartition(parts, "part").sortWithinPartitions("part", "k", "doc_id").select("part", "doc_id", "text").mapInArrow(trimmed(rows), SCHEMA)
