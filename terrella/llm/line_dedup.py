@@ -39,8 +39,8 @@ MIN_WORDS, SHINGLE, SHARE = 1, 5, (80, 100)
 BINS, BANDS, ROWS = 256, 32, 8
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 8 << 20, 24_000, 32, -(1 << 63)
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
-#: Of each slot, the order in which it looks for a full one.
-_LOOK = np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
+#: The order in which each slot (column) looks for a full one.
+_LOOK = np.ascontiguousarray(np.random.default_rng(23).permuted(np.tile(np.arange(BINS, dtype=np.int32), (BINS, 1)), axis=1).T)
 
 
 def normal(line: bytes) -> bytes | None:
@@ -53,8 +53,8 @@ def node_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of at most 65,536 lines: sorted distinct 48-bit shingle hashes, and the band keys (lines x BANDS)."""
+def signatures(texts: list[bytes], sets: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of at most 65,536 lines: sorted distinct 48-bit shingle hashes (if ``sets``), and the band keys (lines x BANDS)."""
     strings = [t.decode().ljust(SHINGLE, "\ud800") for t in texts]  # filled up with what no text has
     points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     size = np.array([len(s) for s in strings], np.int64)
@@ -64,22 +64,23 @@ def signatures(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     for i in range(SHINGLE):
         g += points[i : len(points) - SHINGLE + 1 + i] * _FACTORS[i]
     key = np.sort(line.astype(U) << U(48) | mix(g[at]) >> U(16))
-    key = key[runs(key)]
-    cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
-    elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
+    elements = []
+    if sets:
+        key = key[runs(key)]
+        cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
+        elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
     slot = runs(key >> U(40))
     table = np.zeros((len(texts), BINS), U)
     full = np.zeros((len(texts), BINS), bool)
     r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(40) & U(BINS - 1)).astype(np.int64)
     table[r, c], full[r, c] = key[slot] & U((1 << 40) - 1), True
-    source = np.arange(len(texts) * BINS)
-    empty, step = np.flatnonzero(~full), 0
+    flat, full = table.ravel(), full.ravel()
+    empty, step = np.flatnonzero(~full).astype(np.int32), 0
     while len(empty):
-        other = empty // BINS * BINS + _LOOK[empty % BINS, step]
-        hit = full.ravel()[other]
-        source[empty[hit]] = other[hit]
+        other = (empty & ~(BINS - 1)) + _LOOK[step][empty & (BINS - 1)]
+        hit = full[other]
+        flat[empty[hit]] = flat[other[hit]]
         empty, step = empty[~hit], step + 1
-    table = table.ravel()[source].reshape(len(texts), BINS)
     bands = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (len(texts), 1))
     for i in range(ROWS):
         bands = bands * U(0xD1342543DE82EF95) + table[:, i * BANDS : (i + 1) * BANDS]
@@ -274,7 +275,7 @@ def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         while end < len(texts) and (size < 400_000 or end == at):
             size += len(texts[end])
             end += 1
-        keys.append(signatures(texts[at:end])[1])
+        keys.append(signatures(texts[at:end], sets=False)[1])
         at = end
     packed = np.sort(np.concatenate(keys).ravel() >> U(16) << U(16) | np.repeat(np.arange(len(texts), dtype=U), BANDS))
     return packed >> U(16), (packed & U(65535)).astype(np.uint16)
