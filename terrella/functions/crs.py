@@ -204,7 +204,8 @@ def _latitude_of_q(q: Column, e: float, qp: float) -> Column:
 
 def _mercator(c: CRS) -> tuple[Callable, Callable]:
     r = c.a
-    fwd = lambda x, y: (x * (RAD * r), F.log(F.tan(y * (RAD / 2) + math.pi / 4)) * r)
+    # degrees to radians first: at a tile's edge, the product in another order may fall short of it
+    fwd = lambda x, y: (x * RAD * r, F.log(F.tan(y * (RAD / 2) + math.pi / 4)) * r)
     inv = lambda x, y: (x / r * DEG, (F.atan(F.exp(y / r)) * 2 - math.pi / 2) * DEG)
     return fwd, inv
 

@@ -236,15 +236,17 @@ def interpolate(g: Column, distance) -> Column:
 
 
 def contains_point(g: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule over all rings: holes are outside."""
+    """Even-odd rule over all rings: holes are outside, and so are points on an edge."""
     def crossing(e: Column) -> Column:
         p, q = e["p"], e["q"]
         spans = (p["y"] > y) != (q["y"] > y)
         at = (q["x"] - p["x"]) * F.try_divide(y - p["y"], q["y"] - p["y"]) + p["x"]
-        return F.when(spans & (x < at), F.lit(1)).otherwise(F.lit(0))
+        on = ((x - p["x"]) * (q["y"] - p["y"]) == (y - p["y"]) * (q["x"] - p["x"])) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]))
+        on = on & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+        return F.when(on, F.lit(-1)).when(spans & (x < at), F.lit(1)).otherwise(F.lit(0))
 
     edges = F.flatten(F.transform(F.flatten(g["parts"]), _edges))
-    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+    return F.aggregate(edges, F.lit(0), lambda acc, e: F.when((acc < 0) | (crossing(e) < 0), F.lit(-2)).otherwise(acc + crossing(e))) % 2 == 1
 
 
 def sides(g: Column) -> Column:

@@ -53,5 +53,7 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str
     q = _cells(polygons.withColumn("_b", Geo.boundingbox(F.col(geom))), "_b", cell, "_r")
     b = F.col("_b")
     inside = (F.col(x) >= b["left"]) & (F.col(x) <= b["right"]) & (F.col(y) >= b["bottom"]) & (F.col(y) <= b["top"])
-    met = p.join(q, (F.col("_lcy") == F.col("_rcy")) & (F.col("_lcx") == F.col("_rcx")) & inside)
-    return met.filter(Geo.contains_point(F.col(geom), F.col(x), F.col(y))).drop("_lcy", "_lcx", "_rcy", "_rcx", "_b")
+    # one CASE, so the optimiser cannot put the ring test before the box test
+    test = F.when(inside, Geo.contains_point(F.col(geom), F.col(x), F.col(y))).otherwise(F.lit(False))
+    met = p.join(q, (F.col("_lcy") == F.col("_rcy")) & (F.col("_lcx") == F.col("_rcx")) & test)
+    return met.drop("_lcy", "_lcx", "_rcy", "_rcx", "_b")

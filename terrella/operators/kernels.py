@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.geometry import TYPE
+from ..values import CRSMismatch
 
 Ring = np.ndarray
 
@@ -64,7 +65,22 @@ def segment_hits(s: np.ndarray, t: np.ndarray) -> tuple[bool, bool]:
     return bool((cross | touch).any()), bool(cross.any())
 
 
-def place(points: np.ndarray, g) -> np.ndarray:
+def _reach(*geometries) -> float:
+    """Distance below which places count as equal: rounding of coordinates of this size."""
+    points = np.concatenate([_points(g) for g in geometries])
+    return 1e-12 * max(1.0, float(np.abs(points).max(initial=0)))
+
+
+def _near(points: np.ndarray, s: np.ndarray, eps: float) -> np.ndarray:
+    """Whether each point is on each segment, points down, segments across."""
+    d = s[:, 2:] - s[:, :2]
+    length = np.maximum((d**2).sum(1), 1e-300)
+    rel = points[:, None] - s[None, :, :2]
+    t = np.clip((rel * d).sum(-1) / length, 0, 1)
+    return ((rel - t[..., None] * d) ** 2).sum(-1) <= eps * eps
+
+
+def place(points: np.ndarray, g, eps: float | None = None) -> np.ndarray:
     """Of each point: 1 inside the polygon, 0 on its boundary, -1 outside."""
     s = _segments(g)
     if not len(s) or not len(points):
@@ -73,10 +89,7 @@ def place(points: np.ndarray, g) -> np.ndarray:
     x0, y0, x1, y1 = s.T
     with np.errstate(divide="ignore", invalid="ignore"):
         hit = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    inside = hit.sum(1) % 2 == 1
-    o = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-    edge = (np.abs(o) == 0) & (np.minimum(x0, x1) <= x) & (x <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
-    return np.where(edge.any(1), 0, np.where(inside, 1, -1))
+    return np.where(_near(points, s, _reach(g) if eps is None else eps).any(1), 0, np.where(hit.sum(1) % 2 == 1, 1, -1))
 
 
 def _points(g) -> np.ndarray:
@@ -84,71 +97,174 @@ def _points(g) -> np.ndarray:
     return np.concatenate(r) if r else np.zeros((0, 2))
 
 
-def _samples(g) -> np.ndarray:
-    """Vertices and edge midpoints."""
-    s = _segments(g)
-    return np.concatenate([_points(g), (s[:, :2] + s[:, 2:]) / 2])
-
-
 def _dim(g) -> int:
     return 2 if g["type"].endswith("Polygon") else 1 if g["type"].endswith("LineString") else 0
 
 
+def _pieces(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
+    """Midpoints of the segments s cut wherever they meet a segment of t."""
+    out = []
+    for x in s:
+        p, d = x[:2], x[2:] - x[:2]
+        span = float((d**2).sum())
+        if not span:
+            continue
+        u, v = t[:, :2], t[:, 2:] - t[:, :2]
+        cross = d[0] * v[:, 1] - d[1] * v[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = ((u - p)[:, 0] * v[:, 1] - (u - p)[:, 1] * v[:, 0]) / cross
+            there = ((u - p)[:, 0] * d[1] - (u - p)[:, 1] * d[0]) / cross
+        ok = (cross != 0) & (at > 0) & (at < 1) & (there >= -1e-12) & (there <= 1 + 1e-12)
+        ends = np.concatenate([t[:, :2], t[:, 2:]])  # ends on the segment cut it too: parallel pieces overlap from there
+        on = _near(ends, x[None], eps)[:, 0] if len(ends) else np.zeros(0, bool)
+        cuts = np.unique(np.concatenate([[0.0, 1.0], at[ok], ((ends[on] - p) @ d) / span]).clip(0, 1))
+        cuts = cuts[np.concatenate([[True], np.diff(cuts) * span**0.5 > eps])]
+        if len(cuts) > 1:
+            out.append(p + d * ((cuts[1:] + cuts[:-1]) / 2)[:, None])
+    return np.concatenate(out) if out else np.zeros((0, 2))
+
+
+def _inner_points(g) -> np.ndarray:
+    """A point in the interior of each part of a polygon: the middle of the widest span of a line between two of its heights."""
+    out = []
+    for part in _rings(g):
+        own = {"type": "Polygon", "parts": [[[{"x": x, "y": y} for x, y in r] for r in part]]}
+        s, ys = _segments(own), np.unique(_points(own)[:, 1])
+        for y in (ys[1:] + ys[:-1]) / 2:
+            cut = s[(s[:, 1] > y) != (s[:, 3] > y)]
+            xs = np.sort(cut[:, 0] + (y - cut[:, 1]) / (cut[:, 3] - cut[:, 1]) * (cut[:, 2] - cut[:, 0]))
+            if len(xs) > 1 and (widest := int(np.argmax(xs[1::2] - xs[::2]))) >= 0 and xs[2 * widest + 1] > xs[2 * widest]:
+                out.append(((xs[2 * widest] + xs[2 * widest + 1]) / 2, y))
+                break
+    return np.array(out).reshape(-1, 2)
+
+
+def _line_ends(g) -> np.ndarray:
+    """The boundary of lines: ends that an odd number of them has."""
+    ends: dict[tuple, int] = {}
+    for part in _rings(g):
+        for r in part:
+            if len(r):
+                for p in (tuple(r[0]), tuple(r[-1])):
+                    ends[p] = ends.get(p, 0) + 1
+    return np.array([p for p, n in ends.items() if n % 2]).reshape(-1, 2)
+
+
 def relation(a, b) -> str:
-    """disjoint, touches, equals, within, contains, overlaps or crosses."""
-    pa, pb = _samples(a), _samples(b)
-    if not len(pa) or not len(pb):
+    """disjoint, touches, equals, within, contains, overlaps or crosses.
+
+    Boundaries are cut where they meet, so every piece lies inside, outside or on the other geometry as its middle does.
+    """
+    va, vb = _points(a), _points(b)
+    if not len(va) or not len(vb):
         return "disjoint"
     da, db = _dim(a), _dim(b)
     if da < db:
         r = relation(b, a)
         return {"within": "contains", "contains": "within"}.get(r, r)
-    meets, crosses = segment_hits(_segments(a), _segments(b))
+    eps = _reach(a, b)
+    sa, sb = _segments(a), _segments(b)
+    if da == 2 and db == 2:
+        pa, pb = place(_pieces(sa, sb, eps), b, eps), place(_pieces(sb, sa, eps), a, eps)
+        inner = (pa > 0).any() or (pb > 0).any() or (place(_inner_points(a), b, eps) > 0).any() or (place(_inner_points(b), a, eps) > 0).any()
+        if not inner:
+            return "touches" if (pa == 0).any() or (pb == 0).any() or (place(va, b, eps) == 0).any() or (place(vb, a, eps) == 0).any() else "disjoint"
+        a_out, b_out = (pa < 0).any() or (pb > 0).any(), (pb < 0).any() or (pa > 0).any()
+        return "overlaps" if a_out and b_out else "contains" if a_out else "within" if b_out else "equals"
     if da == 2:
-        ib = place(pb, a)
-        ia = place(pa, b) if db == 2 else np.full(1, -1)
-        if db == 2:
-            if not crosses and (ib >= 0).all() and (ia >= 0).all() and (ib == 0).all():
-                return "equals"
-            if not crosses and (ib >= 0).all():
-                return "contains"
-            if not crosses and (ia >= 0).all():
-                return "within"
-            if crosses or (ib > 0).any() or (ia > 0).any():
-                return "overlaps"
-            return "touches" if meets or (ib == 0).any() or (ia == 0).any() else "disjoint"
-        if (ib > 0).all() or ((ib >= 0).all() and (ib > 0).any() and not crosses):
-            return "contains"
-        if (ib > 0).any() or crosses:
-            return "crosses"
-        return "touches" if meets or (ib == 0).any() else "disjoint"
+        spots = place(_pieces(sb, sa, eps) if db == 1 else vb, a, eps)
+        if not (spots > 0).any():
+            return "touches" if (spots == 0).any() or (place(vb, a, eps) == 0).any() or (db == 1 and len(va) and _near(va, sb, eps).any()) else "disjoint"
+        return "crosses" if (spots < 0).any() else "contains"
+    if da == 1 and db == 1:
+        on_a, on_b = _near(_pieces(sb, sa, eps), sa, eps).any(1), _near(_pieces(sa, sb, eps), sb, eps).any(1)
+        if on_a.any():
+            return "equals" if on_a.all() and on_b.all() else "contains" if on_a.all() else "within" if on_b.all() else "overlaps"
+        meets, crosses = segment_hits(sa, sb)
+        if crosses or not meets:
+            return "crosses" if crosses else "disjoint"
+        # they meet at vertices alone: a crossing, if one of these is an end of neither
+        shared = np.concatenate([va[_near(va, sb, eps).any(1)], vb[_near(vb, sa, eps).any(1)]])
+        ends = np.concatenate([_line_ends(a), _line_ends(b)])
+        free = ~(np.abs(shared[:, None] - ends[None]).max(-1) <= eps).any(1) if len(ends) else np.full(len(shared), True)
+        return "crosses" if free.any() else "touches"
     if da == 1:
-        if db == 1:
-            return "crosses" if crosses else "touches" if meets else "disjoint"
-        pts = _points(b)
-        s = np.concatenate([pts, pts], 1)
-        on = np.array([segment_hits(_segments(a), s[i : i + 1])[0] for i in range(len(s))])
-        return "contains" if on.all() else "crosses" if on.any() else "disjoint"
-    sa, sb = {tuple(p) for p in _points(a)}, {tuple(p) for p in _points(b)}
-    return "equals" if sa == sb else "contains" if sa > sb else "within" if sa < sb else "overlaps" if sa & sb else "disjoint"
+        on = _near(vb, sa, eps).any(1)
+        ends = _line_ends(a)
+        inner = on & ~(np.abs(vb[:, None] - ends[None]).max(-1) <= eps).any(1) if len(ends) else on
+        return "disjoint" if not on.any() else "touches" if not inner.any() else "contains" if on.all() else "crosses"
+    pa, pb = {tuple(p) for p in va}, {tuple(p) for p in vb}
+    return "equals" if pa == pb else "contains" if pa > pb else "within" if pa < pb else "overlaps" if pa & pb else "disjoint"
+
+
+def covered(a, b) -> bool:
+    """Whether no point of b is outside a; unlike containment, b may lie in a's boundary."""
+    r = relation(a, b)
+    if r in ("contains", "equals"):
+        return True
+    if r != "touches" or _dim(a) < _dim(b):
+        return False
+    eps = _reach(a, b)
+    spots = np.concatenate([_points(b), _pieces(_segments(b), _segments(a), eps)])
+    return bool(_near(spots, _segments(a), eps).any(1).all()) if _dim(b) < 2 else False
+
+
+def _by_pair(f, a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    """f of the pairs of which both are there; an error where their coordinate systems differ."""
+    out = np.full(len(a), None, object)
+    at = np.flatnonzero(a["type"].notna().to_numpy() & b["type"].notna().to_numpy())
+    ca, cb = (g["crs"].iloc[at].where(g["crs"].iloc[at].notna(), None) for g in (a, b))
+    if (ca.to_numpy() != cb.to_numpy()).any():
+        raise CRSMismatch("the geometries' coordinate systems differ")
+    out[at] = [f(x, y) for x, y in zip(_rows(a.iloc[at]), _rows(b.iloc[at]))]
+    return pd.Series(out, dtype=object)
+
+
+def _extent(g) -> tuple[float, float, float, float, bool] | None:
+    """Bounding box, and whether the polygon fills it."""
+    points = [(p["x"], p["y"]) for part in g["parts"] for ring in part for p in ring]
+    if not points:
+        return None
+    xs, ys = zip(*points)
+    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
+    full = g["type"] == "Polygon" and len(points) == 5 and set(points) == {(x0, y0), (x0, y1), (x1, y0), (x1, y1)} and x0 < x1 and y0 < y1
+    return x0, x1, y0, y1, full and all((p[0] == q[0]) != (p[1] == q[1]) for p, q in zip(points, points[1:]))
+
+
+def _quick(a, b) -> str:
+    """The relation, by the bounding boxes alone where these decide it."""
+    p, q = _extent(a), _extent(b)
+    if not p or not q or p[0] > q[1] or q[0] > p[1] or p[2] > q[3] or q[2] > p[3]:
+        return "disjoint"
+    if not (p[4] and q[4]):
+        return relation(a, b)
+    if not (p[0] < q[1] and q[0] < p[1] and p[2] < q[3] and q[2] < p[3]):
+        return "touches"
+    out, in_ = (x[0] <= y[0] and x[1] >= y[1] and x[2] <= y[2] and x[3] >= y[3] for x, y in ((p, q), (q, p)))
+    return "equals" if out and in_ else "contains" if out else "within" if in_ else "overlaps"
 
 
 @_later("string")
 def _relation(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([relation(x, y) for x, y in zip(_rows(a), _rows(b))], dtype=object)
+    return _by_pair(_quick, a, b)
+
+
+@_later("boolean")
+def _covered(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    return _by_pair(covered, a, b)
 
 
 def _plain(g: Column) -> Column:
     return F.struct(g["type"].alias("type"), g["parts"].alias("parts"))
 
 
-def relate(a: Column, b: Column) -> Column:
-    """The relation's name; disjoint bounding boxes never reach Python."""
-    from ..functions import bbox as B
-    from ..functions import geometry as Geo
+def _with_crs(g: Column) -> Column:
+    return F.struct(g["type"].alias("type"), g["parts"].alias("parts"), g["crs"].alias("crs"))
 
-    far = ~B.overlaps(Geo.boundingbox(a), Geo.boundingbox(b))
-    return F.when(far, F.lit("disjoint")).otherwise(_relation(_plain(a), _plain(b)))
+
+def relate(a: Column, b: Column) -> Column:
+    """The relation's name; an error where the coordinate systems differ. Bounding boxes decide first, in the kernel, for disjoint pairs and rectangles."""
+    return _relation(_with_crs(a), _with_crs(b))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -167,7 +283,9 @@ def contains(a: Column, b: Column) -> Column:
     return relate(a, b).isin("contains", "equals")
 
 
-covers = contains
+def covers(a: Column, b: Column) -> Column:
+    """Whether no point of b is outside a; unlike ``contains``, of a line in a polygon's boundary as well."""
+    return _covered(_with_crs(a), _with_crs(b))
 
 
 def within(a: Column, b: Column) -> Column:

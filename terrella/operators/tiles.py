@@ -88,7 +88,8 @@ class GridSpec:
         from .kernels import intersects
 
         w = self.explode_tiles(df.withColumn("_g", geom), Geo.boundingbox(F.col("_g")))
-        return w.filter(intersects(F.col("_g"), Geo.from_bbox(self.tile_bbox(F.col("ix"), F.col("iy"))))).drop("_g")
+        w = w.withColumn("_b", Geo.from_bbox(self.tile_bbox(F.col("ix"), F.col("iy"))))
+        return w.filter(intersects(F.col("_g"), F.col("_b"))).drop("_g", "_b")
 
     def geojson(self, df: DataFrame) -> DataFrame:
         """Of rows with ix, iy: a GeoJSON feature per tile."""
