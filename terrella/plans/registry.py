@@ -353,11 +353,9 @@ def quasi_random_r2(spark: SparkSession, d: str) -> DataFrame:
 # -- overlap -------------------------------------------------------------------------------------------------------
 
 @query(
-    """SELECT k, CAST(CASE WHEN flip THEN 100 - so ELSE si END AS BIGINT) AS s0, CAST(CASE WHEN flip THEN 100 - si ELSE so END AS BIGINT) AS s1, CAST(di AS BIGINT) AS d0, CAST(dout AS BIGINT) AS d1 FROM (
-        SELECT k, flip, CASE WHEN t < 0 THEN 0 ELSE least(floor(t), 100) END AS si, CASE WHEN t < 0 THEN least(floor(-t*(1/s)), 20) ELSE 0 END AS di,
-               CASE WHEN ceil(20*s + t) <= 100 THEN greatest(ceil(20*s + t), 0) ELSE 100 END AS so, CASE WHEN ceil(20*s + t) <= 100 THEN 20 ELSE greatest(0, ceil(100*(1/s) + -t*(1/s))) END AS dout
-        FROM (SELECT k, s < 0 AS flip, abs(s) AS s, CASE WHEN s < 0 THEN 100 - t ELSE t END AS t
-              FROM (SELECT k, CASE k % 4 WHEN 0 THEN 1.0E0 WHEN 1 THEN 2.0E0 WHEN 2 THEN -2.0E0 ELSE 0.5E0 END AS s, CAST(k % 130 AS DOUBLE) - 15 AS t FROM t)))""",
+    """SELECT k, CAST(least(100, greatest(0, floor(least(t, t + 20*s)))) AS BIGINT) AS s0, CAST(least(100, greatest(0, ceil(greatest(t, t + 20*s)))) AS BIGINT) AS s1,
+        CAST(least(20, greatest(0, floor(least(-t/s, (100 - t)/s)))) AS BIGINT) AS d0, CAST(least(20, greatest(0, ceil(greatest(-t/s, (100 - t)/s)))) AS BIGINT) AS d1
+        FROM (SELECT k, [1.0E0, 2.0E0, -2.0E0, 0.5E0][k % 4 + 1] AS s, CAST(k % 130 AS DOUBLE) - 15 AS t FROM t)""",
     t=INTS,
 )
 def axis_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +366,7 @@ def axis_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT k, CASE WHEN k % 5 = 0 THEN 'has rotation or shear' WHEN k % 5 = 1 THEN 'non-integer scale' WHEN k % 5 = 2 THEN 'sx!=sy, probably' WHEN k % 5 = 3 THEN 'sub-pixel translation' END AS reason,
+    """SELECT k, CASE WHEN k % 5 = 0 THEN 'the axes turn' WHEN k % 5 = 1 THEN 'the scale is no whole number' WHEN k % 5 = 2 THEN 'the axes differ in scale' WHEN k % 5 = 3 THEN 'the shift is no whole number of pixels' END AS reason,
         CAST(CASE k % 5 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 1 END AS INT) AS shrink FROM t""",
     t=INTS,
 )

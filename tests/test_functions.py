@@ -23,13 +23,11 @@ def value(spark, c):
     ("a", "b", "res", "off", "tol", "want"),
     [
         (20, 30, 10, 0.0, 1e-6, (20, 1)), (20, 30.5, 10, 0.0, 1e-6, (20, 2)), (20, 30, 10, 0.3, 1e-6, (13, 2)), (20, 30, -10, 0.0, 1e-6, (30, 1)),
-        (19.5, 30, -10, 0.0, 1e-6, (30, 2)), (20, 30, -10, 0.3, 1e-6, (33, 2)), (19.5, 30, 10, None, 1e-6, (19.5, 2)), (0.95, 10.12, 1, 0.0, 0.1, (0, 11)), (0.95, 10.05, 1, 0.0, 0.1, (1, 9)),
+        (19.5, 30, -10, 0.0, 1e-6, (30, 2)), (20, 30, -10, 0.3, 1e-6, (33, 2)), (19.5, 30, 10, None, 1e-6, (19.5, 2)), (0.95, 10.12, 1, 0.0, 0.1, (1, 10)), (0.95, 10.05, 1, 0.0, 0.1, (1, 9)),
     ],
 )
 def test_snap_grid(spark, a, b, res, off, tol, want):
     got = value(spark, S.snap_grid(F.lit(float(a)), F.lit(float(b)), float(res), off, tol))
-    if (a, b) == (0.95, 10.12):
-        want = (1, 10)
     assert (round(got["origin"], 9), got["n"]) == want
 
 
@@ -78,7 +76,7 @@ def test_axis_overlap(spark, case, want):
 
 @pytest.mark.parametrize(
     ("m", "want"),
-    [(Affine(1, 0.1), "has rotation or shear"), (Affine.scale(2.5), "non-integer scale"), (Affine.scale(2, 4), "sx!=sy, probably"), (Affine.translation(0.3, 0), "sub-pixel translation"), (Affine.translation(3, 4), None), (Affine.scale(3), None)],
+    [(Affine(1, 0.1), "the axes turn"), (Affine.scale(2.5), "the scale is no whole number"), (Affine.scale(2, 4), "the axes differ in scale"), (Affine.translation(0.3, 0), "the shift is no whole number of pixels"), (Affine.translation(3, 4), None), (Affine.scale(3), None)],
 )
 def test_paste(spark, m, want):
     assert value(spark, A.paste_problem(A.literal(m))) == want

@@ -137,7 +137,7 @@ def test_gcp_fit():
 
 
 def test_cog_layout_and_file(spark, tmp_path):
-    assert cog.adjust_blocksize(17) == 32 and cog.num_overviews(512, 2048) == 2 and cog.predictor("float32") == 3 and cog.predictor("uint8") == 2
+    assert cog.tile_side(17) == 32 and cog.tile_side(512, 40) == 48 and [cog.halvings(n, 512) for n in (512, 513, 1025, 1026, 2048)] == [0, 1, 1, 2, 2] and cog.predictor("float32") == 3 and cog.predictor("uint8") == 2
     shape, tile, levels = cog.cog_spec((100, 100), (16, 16))
     assert levels == 3 and shape == (104, 104) and cog.Layout((100, 50), (16, 16)).chunked == (7, 4)
     with pytest.raises(IndexError):
