@@ -101,8 +101,8 @@ def _dim(g) -> int:
     return 2 if g["type"].endswith("Polygon") else 1 if g["type"].endswith("LineString") else 0
 
 
-def _pieces(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
-    """Midpoints of the segments s cut wherever they meet a segment of t."""
+def cut(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
+    """The segments s, cut wherever they meet a segment of t."""
     out = []
     for x in s:
         p, d = x[:2], x[2:] - x[:2]
@@ -120,8 +120,16 @@ def _pieces(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
         cuts = np.unique(np.concatenate([[0.0, 1.0], at[ok], ((ends[on] - p) @ d) / span]).clip(0, 1))
         cuts = cuts[np.concatenate([[True], np.diff(cuts) * span**0.5 > eps])]
         if len(cuts) > 1:
-            out.append(p + d * ((cuts[1:] + cuts[:-1]) / 2)[:, None])
-    return np.concatenate(out) if out else np.zeros((0, 2))
+            at = p + d * cuts[:, None]
+            at[-1] = x[2:] if cuts[-1] == 1 else at[-1]
+            out.append(np.concatenate([at[:-1], at[1:]], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4))
+
+
+def _pieces(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
+    """Midpoints of the cut segments."""
+    c = cut(s, t, eps)
+    return (c[:, :2] + c[:, 2:]) / 2
 
 
 def _inner_points(g) -> np.ndarray:
