@@ -140,3 +140,25 @@ def _agg(b: Column, ops: tuple) -> Column:
     one = F.min(crs) == F.max(crs)
     name = F.when(one, F.min(b["crs"])).otherwise(F.raise_error(F.lit("boxes are in different reference systems")).cast("string"))
     return F.struct(*(op(b[n]).alias(n) for op, n in zip(ops, SIDES)), name.alias("crs"))
+
+
+def map_bounds(b: Column, source=None) -> Column:
+    """struct(south_west, north_east), each struct(lat, lon)."""
+    from .crs import transform as project
+
+    def at(x: Column, y: Column) -> Column:
+        lon, lat = (x, y) if source is None else project(x, y, source, 4326)
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    return F.struct(at(b["left"], b["bottom"]).alias("south_west"), at(b["right"], b["top"]).alias("north_east"))
+
+
+def area_of_interest(b: Column, source=None) -> Column:
+    """The box in longitude and latitude, around its boundary points there."""
+    from .crs import transform as project
+
+    if source is None:
+        return b
+    pts = F.transform(boundary(b, 21), lambda p: F.struct(*(v.alias(n) for v, n in zip(project(p["x"], p["y"], source, 4326), "xy"))))
+    side = lambda k: F.transform(pts, lambda p: p[k])
+    return bbox(F.array_min(side("x")), F.array_min(side("y")), F.array_max(side("x")), F.array_max(side("y")), "EPSG:4326")

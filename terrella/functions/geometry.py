@@ -318,3 +318,44 @@ def geojson(g: Column) -> Column:
         .when(g["type"] == "Polygon", F.to_json(rings(g["parts"][0]))).otherwise(F.to_json(F.transform(g["parts"], rings)))
     )
     return F.concat(F.lit('{"type":"'), g["type"], F.lit('","coordinates":'), text, F.lit("}"))
+
+
+def geoms(g: Column) -> Column:
+    """Array of a geometry's parts, each as a geometry of its own."""
+    kind = F.regexp_replace(g["type"], "^Multi", "")
+    return F.transform(g["parts"], lambda part: geometry(kind, F.array(part), g["crs"]))
+
+
+def boundary(g: Column) -> Column:
+    """Rings of polygons as lines; ends of open lines as points; of points, empty."""
+    rings = F.transform(F.flatten(g["parts"]), lambda r: F.array(r))
+    open_ = F.filter(F.flatten(g["parts"]), lambda r: F.element_at(r, 1) != F.element_at(r, -1))
+    ends = F.flatten(F.transform(open_, lambda r: F.array(F.array(F.array(F.element_at(r, 1))), F.array(F.array(F.element_at(r, -1))))))
+    many = F.when(F.size(rings) > 1, F.lit("MultiLineString")).otherwise(F.lit("LineString"))
+    area_, line_ = g["type"].endswith("Polygon"), g["type"].endswith("LineString")
+    return geometry(F.when(area_, many).otherwise(F.lit("MultiPoint")), F.when(area_, rings).when(line_, ends).otherwise(F.slice(rings, 1, 0)), g["crs"])
+
+
+def mid_longitude(g: Column, source) -> Column:
+    """Longitude of the centroid."""
+    from .crs import transform as project
+    from .scalar import let
+
+    return let(centroid(g), lambda c: project(c["x"], c["y"], source, 4326)[0])
+
+
+def meets_box(g: Column, b: Column) -> Column:
+    """Whether a polygon and a box share a point: an edge meets the box, or the box lies inside.
+
+    An edge meets it when their bounding boxes meet and the edge's line does not pass it on one side.
+    """
+    hx, hy = (b["right"] - b["left"]) / 2, (b["top"] - b["bottom"]) / 2
+    cx, cy = (b["right"] + b["left"]) / 2, (b["top"] + b["bottom"]) / 2
+
+    def meets(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        near = (F.least(p["x"], q["x"]) <= b["right"]) & (F.greatest(p["x"], q["x"]) >= b["left"]) & (F.least(p["y"], q["y"]) <= b["top"]) & (F.greatest(p["y"], q["y"]) >= b["bottom"])
+        return near & (F.abs(dx * (cy - p["y"]) - dy * (cx - p["x"])) <= F.abs(dx) * hy + F.abs(dy) * hx)
+
+    return F.exists(F.flatten(F.transform(F.flatten(g["parts"]), _edges)), meets) | contains_point(g, cx, cy)

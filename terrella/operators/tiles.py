@@ -173,3 +173,28 @@ def grid_intersect_linear(dst: DataFrame, m: Column, src: tuple[int, int, int, i
     r = dst.withColumn("_r", tile_range(b, ny, nx, th, tw))
     r = r.withColumn("sy", F.explode(F.sequence(F.col("_r.ty0"), F.col("_r.ty1"))))
     return r.withColumn("sx", F.explode(F.sequence(F.col("_r.tx0"), F.col("_r.tx1")))).drop("_r")
+
+
+def grid_intersect(dst: DataFrame, grid: Column, source: Column, target_crs, source_crs, src: tuple[int, int, int, int], per_side: int = 5) -> DataFrame:
+    """Source tiles (sy, sx) that each row's destination tile ``grid`` meets, the systems and shapes being any.
+
+    A tile's edge is mapped to the source's pixels. The tiles under its bounding box are generated by row, without a join,
+    and decided exactly; a destination tile off the source image, or off its projection, meets none.
+    """
+    from ..functions import geometry as Geo
+    from ..functions import reproject as R
+
+    ny, nx, th, tw = src
+    out = dst.withColumn("_g", R.tile_footprint(grid, source, target_crs, source_crs, per_side)).withColumn("_b", Geo.boundingbox(F.col("_g")))
+    plane = B.bbox(F.lit(0), F.lit(0), F.lit(nx), F.lit(ny))
+    out = out.filter(B.overlaps(F.col("_b"), plane)).withColumn("_r", tile_range(F.col("_b"), ny, nx, th, tw))
+    out = out.withColumn("sy", F.explode(F.sequence(F.col("_r.ty0"), F.col("_r.ty1")))).withColumn("sx", F.explode(F.sequence(F.col("_r.tx0"), F.col("_r.tx1"))))
+    y0, y1, x0, x1 = tile_slices(F.col("sy"), F.col("sx"), ny, nx, th, tw)
+    return out.filter(Geo.meets_box(F.col("_g"), B.bbox(x0, y0, x1, y1))).drop("_g", "_b", "_r")
+
+
+def tiles_of(selection: DataFrame, y: tuple[Column, Column], x: tuple[Column, Column], ny: int, nx: int, th: int, tw: int) -> DataFrame:
+    """Tiles (ty, tx) that a half-open pixel region of each row touches; an empty region, none."""
+    hit = selection.filter((y[1] > y[0]) & (x[1] > x[0]))
+    hit = hit.withColumn("_r", tile_range(B.bbox(x[0], y[0], x[1], y[1]), ny, nx, th, tw))
+    return hit.withColumn("ty", F.explode(F.sequence(F.col("_r.ty0"), F.col("_r.ty1")))).withColumn("tx", F.explode(F.sequence(F.col("_r.tx0"), F.col("_r.tx1")))).drop("_r")

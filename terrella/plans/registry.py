@@ -673,3 +673,6 @@ def cog_bytes(spark: SparkSession, d: str) -> DataFrame:
 
     t = p.groupBy("raster", "ty", "tx").applyInPandas(tile, "raster int, ifd int, plane int, ty int, tx int, h int, w int, data binary")
     return cog.offsets(cog.compress_tiles(t, "float32", (16, 16)), ["raster"], cog.write_order()).select("raster", "ty", "tx", "size", "offset")
+
+
+from . import planning  # noqa: E402,F401  registers its queries

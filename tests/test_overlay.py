@@ -75,3 +75,17 @@ def test_columns(spark):
     assert row["halves"] == 2
     with pytest.raises(Exception, match="coordinate systems differ"):
         spark.range(1).select(overlay.union(a, wide).alias("u")).collect()
+
+
+def test_meets_box(spark):
+    """Against the relation of the same polygon and box, at random."""
+    from terrella.functions import bbox as B
+
+    r = np.random.default_rng(11)
+    rows = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in np.concatenate([r.uniform(-3, 8, (150, 2)), r.uniform(0.1, 4, (150, 2))], 1)]
+    boxes = spark.createDataFrame(rows, "l double, b double, r double, t double")
+    for g in (RING, COMB, SLANT):
+        lit = Geo.polygon([(p["x"], p["y"]) for p in g["parts"][0][0]], None, *([(p["x"], p["y"]) for p in ring] for ring in g["parts"][0][1:]))
+        for row in boxes.select("*", Geo.meets_box(lit, B.bbox(F.col("l"), F.col("b"), F.col("r"), F.col("t"))).alias("m")).collect():
+            box = shape([(row.l, row.b), (row.r, row.b), (row.r, row.t), (row.l, row.t)])
+            assert row.m == (kernels.relation(g, box) != "disjoint")
