@@ -235,18 +235,30 @@ def interpolate(g: Column, distance) -> Column:
     return F.struct(out["x"].alias("x"), out["y"].alias("y"))
 
 
+def edges(g: Column) -> Column:
+    """Array of struct(p, q): the edges of all rings."""
+    return F.flatten(F.transform(F.flatten(g["parts"]), _edges))
+
+
 def contains_point(g: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over all rings: holes are outside, and so are points on an edge."""
-    def crossing(e: Column) -> Column:
+    from .scalar import let
+
+    return let(edges(g), lambda e: inside(e, x, y))
+
+
+def inside(all_edges: Column, x: Column, y: Column) -> Column:
+    """``contains_point`` on edges computed before: a ray to the right crosses an odd number of them."""
+    def crossed(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * F.try_divide(y - p["y"], q["y"] - p["y"]) + p["x"])
+
+    def on(e: Column) -> Column:
         p, q = e["p"], e["q"]
-        spans = (p["y"] > y) != (q["y"] > y)
-        at = (q["x"] - p["x"]) * F.try_divide(y - p["y"], q["y"] - p["y"]) + p["x"]
-        on = ((x - p["x"]) * (q["y"] - p["y"]) == (y - p["y"]) * (q["x"] - p["x"])) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]))
-        on = on & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-        return F.when(on, F.lit(-1)).when(spans & (x < at), F.lit(1)).otherwise(F.lit(0))
+        near = x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+        return near & ((x - p["x"]) * (q["y"] - p["y"]) == (y - p["y"]) * (q["x"] - p["x"]))
 
-    edges = F.flatten(F.transform(F.flatten(g["parts"]), _edges))
-    return F.aggregate(edges, F.lit(0), lambda acc, e: F.when((acc < 0) | (crossing(e) < 0), F.lit(-2)).otherwise(acc + crossing(e))) % 2 == 1
+    return (F.size(F.filter(all_edges, crossed)) % 2 == 1) & ~F.exists(all_edges, on)
 
 
 def sides(g: Column) -> Column:
@@ -358,4 +370,4 @@ def meets_box(g: Column, b: Column) -> Column:
         near = (F.least(p["x"], q["x"]) <= b["right"]) & (F.greatest(p["x"], q["x"]) >= b["left"]) & (F.least(p["y"], q["y"]) <= b["top"]) & (F.greatest(p["y"], q["y"]) >= b["bottom"])
         return near & (F.abs(dx * (cy - p["y"]) - dy * (cx - p["x"])) <= F.abs(dx) * hy + F.abs(dy) * hx)
 
-    return F.exists(F.flatten(F.transform(F.flatten(g["parts"]), _edges)), meets) | contains_point(g, cx, cy)
+    return F.exists(edges(g), meets) | contains_point(g, cx, cy)

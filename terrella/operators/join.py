@@ -46,14 +46,14 @@ def box_anti_join(left: DataFrame, right: DataFrame, left_box: str, right_box: s
 
 
 def point_in_polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, geom: str, cell: float) -> DataFrame:
-    """Pairs of a point and a polygon that contains it: a point is in one cell, a polygon in those its box touches."""
+    """Pairs of a point and a polygon that contains it: a point is in one cell, a polygon, with its edges, in those its box touches."""
     from ..functions import geometry as Geo
 
     p = points.withColumn("_lcy", F.floor(F.col(y) / cell)).withColumn("_lcx", F.floor(F.col(x) / cell))
-    q = _cells(polygons.withColumn("_b", Geo.boundingbox(F.col(geom))), "_b", cell, "_r")
+    q = _cells(polygons.withColumn("_b", Geo.boundingbox(F.col(geom))).withColumn("_e", Geo.edges(F.col(geom))), "_b", cell, "_r")
     b = F.col("_b")
     inside = (F.col(x) >= b["left"]) & (F.col(x) <= b["right"]) & (F.col(y) >= b["bottom"]) & (F.col(y) <= b["top"])
     # one CASE, so the optimiser cannot put the ring test before the box test
-    test = F.when(inside, Geo.contains_point(F.col(geom), F.col(x), F.col(y))).otherwise(F.lit(False))
+    test = F.when(inside, Geo.inside(F.col("_e"), F.col(x), F.col(y))).otherwise(F.lit(False))
     met = p.join(q, (F.col("_lcy") == F.col("_rcy")) & (F.col("_lcx") == F.col("_rcx")) & test)
-    return met.drop("_lcy", "_lcx", "_rcy", "_rcx", "_b")
+    return met.drop("_lcy", "_lcx", "_rcy", "_rcx", "_b", "_e")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import affine as A
 from ..functions import bbox as B
 from ..functions import geobox as G
-from ..functions.scalar import bin_index
+from ..functions.scalar import bin_index, let
 
 
 @dataclass(frozen=True)
@@ -185,9 +185,10 @@ def grid_intersect(dst: DataFrame, grid: Column, source: Column, target_crs, sou
     from ..functions import reproject as R
 
     ny, nx, th, tw = src
-    out = dst.withColumn("_g", R.tile_footprint(grid, source, target_crs, source_crs, per_side)).withColumn("_b", Geo.boundingbox(F.col("_g")))
+    out = dst.withColumn("_g", R.tile_footprint(grid, source, target_crs, source_crs, per_side)).withColumn("_b", let(F.col("_g"), Geo.boundingbox))
     plane = B.bbox(F.lit(0), F.lit(0), F.lit(nx), F.lit(ny))
-    out = out.filter(B.overlaps(F.col("_b"), plane)).withColumn("_r", tile_range(F.col("_b"), ny, nx, th, tw))
+    # bound once: the optimiser moves this filter below the columns it reads, and would repeat them for every use
+    out = out.filter(let(F.col("_b"), lambda b: B.overlaps(b, plane))).withColumn("_r", tile_range(F.col("_b"), ny, nx, th, tw))
     out = out.withColumn("sy", F.explode(F.sequence(F.col("_r.ty0"), F.col("_r.ty1")))).withColumn("sx", F.explode(F.sequence(F.col("_r.tx0"), F.col("_r.tx1"))))
     y0, y1, x0, x1 = tile_slices(F.col("sy"), F.col("sx"), ny, nx, th, tw)
     return out.filter(Geo.meets_box(F.col("_g"), B.bbox(x0, y0, x1, y1))).drop("_g", "_b", "_r")
