@@ -309,6 +309,23 @@ def transform(x: Column, y: Column, source, target) -> Pair:
     return F.when(bad, nan).otherwise(px), F.when(bad, nan).otherwise(py)
 
 
+def to_own_utm(lon: Column, lat: Column) -> Column:
+    """struct(epsg, x, y): each place in its own UTM zone. Zones differ by their meridian alone, so one zone's formula serves all."""
+    from .scalar import let
+
+    def place(z: Column) -> Column:
+        x, y = transform(lon - ((z % 100) * 6 - 183) + 3, lat, 4326, 32631)
+        return F.struct(z.alias("epsg"), x.alias("x"), F.when(z >= 32700, y + 10000000.0).otherwise(y).alias("y"))
+
+    return let(utm_zone(lon, lat), place)
+
+
+def from_own_utm(epsg: Column, x: Column, y: Column) -> Pair:
+    """Longitude and latitude of a place in the UTM zone of its row."""
+    lon, lat = transform(x, F.when(epsg >= 32700, y - 10000000.0).otherwise(y), 32631, 4326)
+    return lon - 3 + ((epsg % 100) * 6 - 183), lat
+
+
 def units_per_degree(target, lon: Column, lat: Column, step: float = 0.1) -> Column:
     """Units of a system per degree of longitude at a place, over a step that turns west at the antimeridian."""
     other = F.when(lon + step <= 180, lon + step).otherwise(lon - step)

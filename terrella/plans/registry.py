@@ -422,16 +422,16 @@ def _albers_sql() -> str:
     big = m(lat1) ** 2 + n * q(lat1)
     rho0 = _R * math.sqrt(big - n * q(lat0)) / n
     rho, turn = f"(sqrt({big!r}E0 - {n!r}E0*{_q_sql('s', e)})*({_R / n!r}E0))", f"((lon - {lon0!r}E0)*({n * math.pi / 180!r}E0))"
-    return f"SELECT ok, ln, round({rho}*sin({turn}), 3) AS x, round({rho0!r}E0 - {rho}*cos({turn}), 3) AS y FROM (SELECT *, sin(lat*{math.pi / 180!r}E0) AS s FROM p WHERE lat < 20)"
+    return f"SELECT ok, ln, round({rho}*sin({turn}), 3) AS x, round({rho0!r}E0 - {rho}*cos({turn}), 3) AS y FROM (SELECT *, sin(lat*{math.pi / 180!r}E0) AS s FROM p)"
 
 
 @query(_albers_sql(), p=PTS)
 def proj_3577(spark: SparkSession, d: str) -> DataFrame:
     x, y = C.transform(F.col("lon"), F.col("lat"), 4326, 3577)
-    return pts(spark, d).filter("lat < 20").select("ok", "ln", rnd(x, 3, "x"), rnd(y, 3, "y"))
+    return pts(spark, d).select("ok", "ln", rnd(x, 3, "x"), rnd(y, 3, "y"))
 
 
-def _utm_sql(zone: int) -> str:
+def _utm_sql() -> str:
     f = 1 / 298.257223563
     n = f / (2 - f)
     radius = _R / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
@@ -440,21 +440,23 @@ def _utm_sql(zone: int) -> str:
     east = " + ".join(["eta", *(f"cos(xi*{2 * j})*sinh(eta*{2 * j})*({a!r}E0)" if "e" not in repr(a) else f"cos(xi*{2 * j})*sinh(eta*{2 * j})*({a!r})" for j, a in enumerate(alpha, 1))])
     north = east.replace("cos(xi", "SIN(xi").replace("sinh(eta", "cosh(eta").replace("eta +", "xi +", 1)
     rad = repr(math.pi / 180) + "E0"
-    return f"""SELECT ok, ln, round(({east})*{radius!r}E0 + 500000, 3) AS x, round(({north})*{radius!r}E0, 3) AS y FROM (
-        SELECT ok, ln, atan2(tt, cos(lam)) AS xi, atanh(sin(lam)/sqrt(tt*tt + 1)) AS eta FROM (
-          SELECT ok, ln, (lon - {zone * 6 - 183}.0E0)*{rad} AS lam, sinh(atanh(sin(lat*{rad})) - atanh(sin(lat*{rad})*{e!r}E0)*{e!r}E0) AS tt FROM p WHERE lon >= {zone * 6 - 190} AND lon <= {zone * 6 - 176}))"""
+    return f"""SELECT ok, ln, round(({east})*{radius!r}E0 + 500000, 3) AS x, round(({north})*{radius!r}E0 + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y FROM (
+        SELECT ok, ln, lat, atan2(tt, cos(lam)) AS xi, atanh(sin(lam)/sqrt(tt*tt + 1)) AS eta FROM (
+          SELECT ok, ln, lat, (lon - (least(60, floor((lon + 180)/6.0E0) + 1)*6 - 183))*{rad} AS lam, sinh(atanh(sin(lat*{rad})) - atanh(sin(lat*{rad})*{e!r}E0)*{e!r}E0) AS tt FROM p))"""
 
 
-@query(_utm_sql(31), p=PTS)
+@query(_utm_sql(), p=PTS)
 def proj_utm(spark: SparkSession, d: str) -> DataFrame:
-    x, y = C.transform(F.col("lon"), F.col("lat"), 4326, 32631)
-    return pts(spark, d).filter("lon >= -4 AND lon <= 10").select("ok", "ln", rnd(x, 3, "x"), rnd(y, 3, "y"))
+    """Every point in its own zone."""
+    u = pts(spark, d).select("ok", "ln", C.to_own_utm(F.col("lon"), F.col("lat")).alias("u"))
+    return u.select("ok", "ln", rnd(F.col("u.x"), 3, "x"), rnd(F.col("u.y"), 3, "y"))
 
 
-@query("SELECT ok, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p WHERE lon >= -4 AND lon <= 10", p=PTS)
+@query("SELECT ok, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p", p=PTS)
 def proj_utm_inverse(spark: SparkSession, d: str) -> DataFrame:
-    lon, lat = C.transform(*C.transform(F.col("lon"), F.col("lat"), 4326, 32631), 32631, 4326)
-    return pts(spark, d).filter("lon >= -4 AND lon <= 10").select("ok", "ln", rnd(lon, 6, "lon"), rnd(lat, 6, "lat"))
+    u = pts(spark, d).select("ok", "ln", C.to_own_utm(F.col("lon"), F.col("lat")).alias("u"))
+    lon, lat = C.from_own_utm(F.col("u.epsg"), F.col("u.x"), F.col("u.y"))
+    return u.select("ok", "ln", rnd(lon, 6, "lon"), rnd(lat, 6, "lat"))
 
 
 @query("SELECT ok, ln, CAST((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + least(60, floor((lon + 180)/6.0E0) + 1) AS INT) AS epsg FROM p", p=PTS)
@@ -502,7 +504,7 @@ def densified_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def convex_hulls(spark: SparkSession, d: str) -> DataFrame:
-    p = pts(spark, d).filter("lat > -60").withColumn("g", F.col("ok") % 20)
+    p = pts(spark, d).withColumn("g", F.col("ok") % 20)
     g = p.groupBy("g").agg(Geo.geometry("MultiPoint", F.collect_list(F.array(F.array(Geo.vertex(F.col("lon"), F.col("lat")))))).alias("m"))
     h = g.select("g", kernels.convex_hull("m").alias("h"))
     return h.select("g", F.size(Geo.exterior(F.col("h"))).alias("n"), rnd(Geo.area(F.col("h")), 3, "area"))
