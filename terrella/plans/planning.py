@@ -194,7 +194,8 @@ def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     x, y = (l + r) / 2, (b + t) / 2
     ell = Geo.polygon(F.array(*(Geo.vertex(*p) for p in ((l, b), (r, b), (r, y), (x, y), (x, t), (l, t), (l, b)))), "EPSG:4326")
     j = J.box_join(boxes(spark, d).select("ck", "box", ell.alias("g")), sboxes(spark, d).select("sk", "sbox"), "box", "sbox", 8.0, B.interiors_meet)
-    j = j.select("ck", "sk", "g", Geo.from_bbox(F.col("sbox")).alias("h"))
+    # milliseconds a pair: spread by number of cores, as adaptive execution would coalesce so few bytes to one task
+    j = j.select("ck", "sk", "g", Geo.from_bbox(F.col("sbox")).alias("h")).repartition(4 * spark.sparkContext.defaultParallelism, "ck", "sk")
     ops = {"inter": overlay.intersection, "uni": overlay.union, "diff": overlay.difference, "sym": overlay.symmetric_difference}
     j = j.select("ck", "sk", *(op(F.col("g"), F.col("h")).alias(n) for n, op in ops.items()))
     return j.select("ck", "sk", *(rnd(Geo.area(F.col(n)), 6, n) for n in ops))
