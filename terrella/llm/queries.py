@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, tokens, warc
+from . import infill, line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, tokens, warc
 
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -56,9 +56,13 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.neighbour_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle_digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_capture_histories, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_byte_bpe,
-    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints,
+    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints, op11_fill_in_middle,
 )}
 
 ORACLES = {
@@ -75,5 +79,15 @@ ORACLES = {
                CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to,
                urlkey, stamp, row_number() OVER (PARTITION BY urlkey ORDER BY stamp, page_id) AS capture
         FROM p JOIN u ON page_id = id LEFT JOIN f ON payload_digest = d
-    """
+    """,
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+             g AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS u, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS v, CAST('0x' || h[17:24] AS BIGINT) % 100 AS cut, CAST('0x' || h[25:32] AS BIGINT) % 100 AS way FROM d),
+             f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR cut >= 90 THEN 'plain' WHEN way < 20 THEN 'spm' ELSE 'psm' END AS form, least(u, v) AS a, greatest(u, v) AS b FROM g),
+             p AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
