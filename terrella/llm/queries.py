@@ -6,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import infill, line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, tokens, warc
+from . import infill, line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, tokens, vector_codes, warc
 
 WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -60,11 +60,25 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle_digests(_read(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_errors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_capture_histories, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_byte_bpe,
-    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints, op11_fill_in_middle,
+    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints, op11_fill_in_middle, op12_vector_codes,
 )}
 
+
+
+def _codebook_rounds(rounds: int = 4) -> str:
+    """Assignments and codebooks of every round, each from those before."""
+    search = """a{i} AS MATERIALIZED (SELECT r, j, min(d) AS d, min_by(i, d*256 + i) AS i FROM (SELECT r, p.j, c.i, vv - 2*list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v) AS d FROM p JOIN c{i} c ON p.j = c.j) GROUP BY r, j)"""
+    update = """m{i} AS (SELECT j, i, list(x ORDER BY pos) AS v FROM (SELECT p.j, a.i, pos, floor(sum(p.v[pos])/count(*)) AS x FROM a{i} a JOIN p ON p.r = a.r AND p.j = a.j, (SELECT unnest(range(1, (SELECT max(w) + 1 FROM k))) AS pos) GROUP BY ALL) GROUP BY j, i),
+        c{n} AS MATERIALIZED (SELECT c.j, c.i, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.j = c.j AND m.i = c.i)"""
+    return ",\n        ".join(search.format(i=i) + (",\n        " + update.format(i=i, n=i + 1) if i < rounds else "") for i in range(rounds + 1))
+
+
 ORACLES = {
     "op1_capture_histories": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -90,4 +104,14 @@ ORACLES = {
                sha256(text) AS restored_sha256
         FROM p
     """,
+    "op12_vector_codes": f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, len(embedding)//4 AS w, list_transform(embedding, lambda x: floor(1024*CAST(x AS DOUBLE))) AS e
+                  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS vv FROM (SELECT r, j, e[j*w + 1:j*w + w] AS v FROM k, (SELECT unnest(range(4)) AS j))),
+        c0 AS MATERIALIZED (SELECT j, r - 1 AS i, v FROM p WHERE r <= 256),
+        {_codebook_rounds()},
+        t AS (SELECT r, string_agg(printf('%02x', i), '' ORDER BY j) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r),
+        h AS (SELECT sha256(string_agg(s, ',' ORDER BY j, i)) AS codebooks_sha256 FROM (SELECT j, i, list_aggregate(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ',') AS s FROM c4))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN t USING (r), h
+    """,
 }
