@@ -6,9 +6,9 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import infill, line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, tokens, vector_codes, warc
+from . import infill, line_dedup, lm_score, longest_match, merkle, ngram_join, packing, quality_classifier, quality_rules, token_files, tokens, vector_codes, warc
 
-WORD_TOKENIZER, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER, BYTE_RANKS, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,9 +64,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_errors(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(_read(spark, sf_dir, "documents"), P.path(BYTE_TOKENIZER))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_capture_histories, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_byte_bpe,
-    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints, op11_fill_in_middle, op12_vector_codes,
+    op7_ngram_jaccard, op8_lm_scoring, op9_token_counts, op10_merkle_fingerprints, op11_fill_in_middle, op12_vector_codes, op13_token_files,
 )}
 
 
