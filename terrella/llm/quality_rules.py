@@ -3,12 +3,14 @@
 Each line with a word is a position of the chain, its state content or boilerplate. A document stays when at least
 ``share`` of its words stand in content lines and the base rules hold.
 
-The field is trained on at most ``SAMPLE`` labelled documents, the first by a hash of their ids; of a longer one than
-``SAMPLE_LINES`` lines ``RUNS`` runs of lines, spread evenly over the whole text, stand for it. Line states are latent, the
-label only says that most words of a good document are content and of a bad one boilerplate. Training starts from the label
-for every line and then alternates: decode the states, mend a document whose share contradicts its label by its lines of
-least evidence, and fit the field to these states by gradient ascent on their conditional log-likelihood. So documents of
-both kinds of lines come about. Decoding covers all documents and all their lines. Without labels, ``DEFAULT`` serves.
+The field is trained on at most ``SAMPLE`` labelled documents, the first by a hash of their ids among those of at most
+``MAX_LINES`` lines, whole. Line states are latent: a label only says where most words of a document stand. So a document is
+one observation, its lines weigh by their share of its words, and each line is taken to carry the label of its document
+truly or, with probability ``NOISE``, falsely; the evidence of lines is fitted to that. Transitions have a prior by which
+states stay (``STAY``); they are first fitted to lines decided one by one and held to their labels. Field and states are
+then fitted to each other by expectations: forward-backward gives the probabilities of states and of moves, tilted for a
+document whose expected share contradicts its label just so far that half of its words agree, and the field is fitted to
+these expectations. Decoding covers all documents and all their lines. Without labels, ``DEFAULT`` serves.
 
 Defined cases: a null or empty text has no words and fails the base rules; rows are judged one by one, so repeated rows
 and repeated or null ids each get their own equal verdict; an empty table gives an empty result; other columns of the
@@ -29,7 +31,8 @@ from .common import ship
 from .docstats import LINE_FEATURES, Counts
 from .textkit import slices
 
-SAMPLE, SAMPLE_LINES, RUNS, ROUNDS = 2048, 64, 4, 3
+SAMPLE, MAX_LINES, ROUNDS = 2048, 1024, 2
+NOISE, STAY = 0.1, 1.0
 MIN_WORDS, MAX_REPEAT = 20, 30
 SHARE = 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
@@ -83,47 +86,94 @@ def viterbi(field: Field, features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1e-3, start_at: Field | None = None) -> Field:
-    """Maximise the conditional log-likelihood of the line labels; forward-backward over all chains, Adam steps."""
+def expectations(field: Field, evidence: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over all chains at once, one position of every chain per step: the probability of boilerplate
+    by line, the expected number of chains that begin in each state, and of each move.
+
+    ``evidence``: of boilerplate by line, beside the field's first states and moves.
+    """
     _, start, count = _chains(doc)
-    width, n = int(count[0]), len(count)
-    pos = np.arange(width)
-    real = pos < count[:, None]
-    at = np.where(real, start[:, None] + pos, 0)
-    y = labels[at]
-    pairs = real[:, 1:]
-    theta = np.zeros(features.shape[1] + 6) if start_at is None else np.concatenate([x.ravel() for x in start_at])
+    emit = np.stack([np.zeros(len(doc)), evidence], 1)
+    ahead, behind = np.zeros((len(doc), 2)), np.zeros((len(doc), 2))
+    live = [start[: int(np.searchsorted(-count, -t, "left"))] + t for t in range(int(count[0]))]
+    ahead[live[0]] = field.first + emit[live[0]]
+    for at in live[1:]:
+        ahead[at] = np.logaddexp(ahead[at - 1, :1] + field.step[0], ahead[at - 1, 1:] + field.step[1]) + emit[at]
+    moves = np.zeros((2, 2))
+    for at in live[:0:-1]:
+        ending = emit[at] + behind[at]
+        behind[at - 1] = np.logaddexp(field.step[:, 0] + ending[:, :1], field.step[:, 1] + ending[:, 1:])
+    z = np.logaddexp(*(ahead + behind).T)
+    one = np.exp(ahead[:, 1] + behind[:, 1] - z)
+    if len(live) > 1:
+        at = np.concatenate(live[1:])
+        moves = np.exp(ahead[at - 1][:, :, None] + field.step + (emit[at] + behind[at])[:, None, :] - z[at][:, None, None]).sum(0)
+    begin = one[start].sum()
+    return one, np.array([len(start) - begin, begin]), moves
+
+
+def train(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 1e-3, start_at: Field | None = None, first: np.ndarray | None = None, moves: np.ndarray | None = None) -> Field:
+    """Maximise the conditional log-likelihood of states by Adam steps, with a ridge around ``start_at``.
+
+    ``labels``: states of lines, or their probabilities of boilerplate; for the latter, ``first`` and ``moves`` give the expected
+    numbers of first states and of moves.
+    """
     k = features.shape[1]
+    if first is None or moves is None:
+        y = labels.astype(np.int64)
+        _, start, _ = _chains(doc)
+        at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+        first = np.bincount(y[start], minlength=2).astype(float)
+        moves = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2).astype(float)
+    centre = np.zeros(k + 6) if start_at is None else np.concatenate([x.ravel() for x in start_at])
+    theta = centre.copy()
     moment, second = np.zeros_like(theta), np.zeros_like(theta)
     for i in range(1, rounds + 1):
-        first, step = theta[k : k + 2], theta[k + 2 :].reshape(2, 2)
-        emit = np.zeros((n, width, 2))
-        emit[:, :, 1] = (features @ theta[:k])[at]
-        ahead, behind = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        ahead[:, 0] = first + emit[:, 0]
-        for t in range(1, width):
-            m = np.logaddexp(ahead[:, t - 1, :1] + step[0], ahead[:, t - 1, 1:] + step[1]) + emit[:, t]
-            ahead[:, t] = np.where(real[:, t, None], m, ahead[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            nxt = emit[:, t + 1] + behind[:, t + 1]
-            m = np.logaddexp(step[:, 0] + nxt[:, :1], step[:, 1] + nxt[:, 1:])
-            behind[:, t] = np.where(real[:, t + 1, None], m, 0)
-        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        one = np.where(real, np.exp(ahead[:, :, 1] + behind[:, :, 1] - z[:, None]), 0)
-        slope = np.zeros_like(theta)
-        slope[:k] = features.T @ np.bincount(at[real], (y - one)[real], minlength=len(features))
-        slope[k : k + 2] = [np.sum(1 - y[:, 0] - (1 - one[:, 0])), np.sum(y[:, 0] - one[:, 0])]
-        if width > 1:
-            joint = ahead[:, :-1, :, None] + step + (emit + behind)[:, 1:, None, :] - z[:, None, None, None]
-            expected = np.where(pairs[:, :, None, None], np.exp(np.minimum(joint, 0)), 0).sum((0, 1))
-            seen = np.array([[np.sum(pairs & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)])
-            slope[k + 2 :] = (seen - expected).ravel()
-        slope = slope / max(1, real.sum()) - ridge * theta
+        field = Field(theta[:k], theta[k : k + 2], theta[k + 2 :].reshape(2, 2))
+        one, begin, moved = expectations(field, features @ theta[:k], doc)
+        slope = np.concatenate([features.T @ (labels - one), first - begin, (moves - moved).ravel()]) / max(1, len(doc)) - ridge * (theta - centre)
         moment, second = 0.9 * moment + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta + rate * (moment / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
     return Field(theta[:k], theta[k : k + 2], theta[k + 2 :].reshape(2, 2))
 
 
+def line_evidence(features: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray, noise: float = NOISE, rounds: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of boilerplate by line alone: both labels weigh alike, documents of a label alike, and lines by words; a label is false with probability ``noise``."""
+    share = words / np.maximum(np.bincount(doc, words, minlength=len(bad)), 1)[doc]
+    kinds = np.bincount(bad[np.unique(doc)], minlength=2)
+    weight = share / np.maximum(kinds, 1)[bad[doc]] / 2
+    label, theta = bad[doc], np.zeros(features.shape[1])
+    moment, second = np.zeros_like(theta), np.zeros_like(theta)
+    for i in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
+        seen = noise + (1 - 2 * noise) * p
+        slope = features.T @ (weight * (1 - 2 * noise) * p * (1 - p) * (label / seen - (1 - label) / (1 - seen))) - ridge * theta
+        moment, second = 0.9 * moment + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        theta = theta + rate * (moment / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
+    return theta
+
+
+def tilted(field: Field, evidence: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray, steps: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectations as near to the field's as can be with half of every document's words, in expectation, where its label is.
+
+    The nearest distribution adds a multiple of a line's share of words to its evidence; the multiple is found by halving.
+    """
+    share = words / np.maximum(np.bincount(doc, words, minlength=len(bad)), 1)[doc]
+    way = np.where(bad, 1.0, -1.0)[doc]
+    agree = lambda one: np.bincount(doc, share * np.where(way > 0, one, 1 - one), minlength=len(bad))
+    short = agree(expectations(field, evidence, doc)[0]) < 0.5
+    low, high = np.zeros(len(bad)), np.where(short, 4096.0, 0.0)
+    own = short[doc]
+    if own.any():
+        for _ in range(steps):
+            middle = (low + high) / 2
+            one = np.zeros(len(doc))
+            one[own] = expectations(field, (evidence + way * share * middle[doc])[own], doc[own])[0]
+            enough = agree(one) >= 0.5
+            low, high = np.where(short & ~enough, middle, low), np.where(short & enough, middle, high)
+    return expectations(field, evidence + way * share * high[doc], doc)
+
+
 def constrained(states: np.ndarray, score: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """``states`` with the fewest words changed, by evidence, so that half of the words of every document have its label's state.
 
@@ -142,16 +192,18 @@ def constrained(states: np.ndarray, score: np.ndarray, words: np.ndarray, doc: n
 
 
 def learn(features: np.ndarray, words: np.ndarray, doc: np.ndarray, bad: np.ndarray) -> Field:
-    """A field from documents' labels: line states are decoded, held to the labels' shares, and learnt again."""
-    field = train(features, doc, bad[doc].astype(np.int64))
-    for i in range(ROUNDS):
-        score = features @ field.emission
-        # transitions learnt from one label for all lines of a document only say that states stay: at first, lines speak alone
-        found = viterbi(field if i else field._replace(step=np.zeros((2, 2))), features, doc)
-        states = constrained(found, score, words, doc, bad)
-        if len(np.unique(states)) < 2:
-            break
-        field = train(features, doc, states.astype(np.int64), rounds=50, start_at=field)
+    """A field from documents' labels: evidence of lines, then states and moves by expectations under the labels' shares."""
+    stay = STAY * np.array([[1.0, -1.0], [-1.0, 1.0]]) / 2
+    field = Field(line_evidence(features, words, doc, bad), np.zeros(2), stay)
+    score = features @ field.emission
+    # the first guess of moves: lines by themselves, held to the labels by those of least evidence
+    guess = constrained((score > 0).astype(np.int8), score, words, doc, bad)
+    if len(np.unique(guess)) < 2:
+        return field
+    field = train(features, doc, guess, rounds=60, rate=0.1, ridge=1e-2, start_at=field)
+    for _ in range(ROUNDS):
+        one, first, moves = tilted(field, features @ field.emission, words, doc, bad)
+        field = train(features, doc, one, rounds=40, rate=0.1, ridge=1e-2, start_at=field, first=first, moves=moves)
     return field
 
 
@@ -161,14 +213,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batch.column(0)):
             x, doc, words = Counts(s).line_features()
             x = np.concatenate([x, words[:, None]], 1).astype(np.float32)
-            labels, lines = [], []
-            for d, a, c in zip(*np.unique(doc, return_index=True, return_counts=True)):
-                n = c if c <= SAMPLE_LINES else SAMPLE_LINES // RUNS
-                for k in range(1 if c <= SAMPLE_LINES else RUNS):
-                    at = a + (c - n) * k // max(RUNS - 1, 1)
-                    labels.append(int(quality[s.first + d]))
-                    lines.append(x[at : at + n].tobytes())
-            yield pa.record_batch([pa.array(labels, pa.int32()), pa.array(lines, pa.binary())], ["quality", "lines"])
+            ids, start, count = np.unique(doc, return_index=True, return_counts=True)
+            whole = [(int(quality[s.first + d]), x[a : a + c].tobytes()) for d, a, c in zip(ids, start, count) if c <= MAX_LINES]
+            yield pa.record_batch([pa.array([q for q, _ in whole], pa.int32()), pa.array([b for _, b in whole], pa.binary())], ["quality", "lines"])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> Field:
@@ -180,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("text", "quality").mapInArrow(_line_rows, "quality int, lines binary")
     # bounded where labels or ids repeat, and the same rows, whatever order they come in
-    rows = rows.orderBy(F.xxhash64("lines"), "lines", "quality").limit(RUNS * SAMPLE).collect()
+    rows = rows.orderBy(F.xxhash64("lines"), "lines", "quality").limit(SAMPLE).collect()
     if len({r["quality"] for r in rows}) < 2:
         return DEFAULT
     parts = [np.frombuffer(r["lines"], np.float32).reshape(-1, len(LINE_FEATURES) + 1) for r in rows]

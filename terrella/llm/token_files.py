@@ -35,7 +35,7 @@ MAX_BITS, STEP, BLOCK = 20, 128, 1 << 16
 #: Bytes of text in a range of documents, until there are so many ranges that they grow instead.
 RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 #: White space of the pre-tokenizer's pattern (fixed values).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CACHE, CACHE_CHARS = 400_000, 48
 
 
@@ -107,7 +107,7 @@ class ByteIds:
                 continue
             stem = body.rstrip(string.punctuation)
             # letters of long standing: all versions of the character tables agree on them
-            if stem.isalpha() and max(stem) < "Ԁ":
+            if stem.isalpha() and ord(max(stem)) < 0x500:
                 if len(stem) == len(body):
                     need(k, True)
                 else:

@@ -101,6 +101,37 @@ def test_states_keep_to_the_label():
     assert got.tolist() == [0, 0, 0, 1, 1, 1, 0, 0]  # by least evidence, until half of the words agree
 
 
+def test_expectations_are_sums_over_paths():
+    rng = np.random.default_rng(1)
+    field = quality_rules.Field(rng.normal(size=1), rng.normal(size=2), rng.normal(size=(2, 2)))
+    doc = np.repeat([0, 1, 2], [1, 5, 3])
+    e = rng.normal(size=len(doc))
+    one, first, moves = quality_rules.expectations(field, e, doc)
+    want_one, want_first, want_moves = np.zeros(len(doc)), np.zeros(2), np.zeros((2, 2))
+    for d in range(3):
+        at = np.flatnonzero(doc == d)
+        paths = [[k >> i & 1 for i in range(len(at))] for k in range(2 ** len(at))]
+        w = np.exp([field.first[p[0]] + sum(e[i] * s for i, s in zip(at, p)) + sum(field.step[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        for p, x in zip(paths, w / w.sum()):
+            want_one[at] += x * np.array(p)
+            want_first[p[0]] += x
+            for a, b in zip(p, p[1:]):
+                want_moves[a, b] += x
+    assert np.allclose(one, want_one) and np.allclose(first, want_first) and np.allclose(moves, want_moves)
+
+
+def test_expected_shares_keep_to_the_label():
+    """Only documents that contradict their label are tilted, and no further than half of their words."""
+    doc, bad = np.repeat([0, 1, 2], 4), np.array([0, 1, 0])
+    words = np.array([10.0, 1, 1, 9, 5, 5, 5, 5, 3, 3, 3, 3])
+    evidence = np.array([3.0, 2, 2, 4, -1, -2, -3, -4, -2, -2, 1, -2])
+    field = quality_rules.Field(np.zeros(1), np.zeros(2), np.array([[0.5, -0.5], [-0.5, 0.5]]))
+    one, _, _ = quality_rules.tilted(field, evidence, words, doc, bad)
+    share = np.bincount(doc, words * one) / np.bincount(doc, words)
+    assert share[:2] == pytest.approx([0.5, 0.5], abs=1e-2)
+    assert np.allclose(one[8:], quality_rules.expectations(field, evidence, doc)[0][8:])
+
+
 def test_kept_equals_plain_code(docs, rows):
     field = quality_rules.DEFAULT
     for r in quality_rules.quality_rules(docs).collect():
