@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import os
 import re
-import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,7 @@ MAX_BITS, STEP, BLOCK = 20, 128, 1 << 16
 RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 #: White space of the pre-tokenizer's pattern (fixed values).
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANK = frozenset(SPACES)
 CACHE, CACHE_CHARS = 400_000, 48
 
 
@@ -43,8 +44,9 @@ class ByteIds:
     """Ids of a byte-level vocabulary file, cached by chunk.
 
     The pre-tokenizer starts a piece at every blank before a character that is no white space, and at both ends of a line
-    break between two such characters or of two of them. So chunks between these encode apart. Texts with other white space
-    at such a place are cut by the pattern ``pieces`` instead, which keeps white space as the pre-tokenizer does.
+    break between two such characters or of two of them. So chunks between these encode apart, and unknown ones are encoded
+    in one text, with blanks or line breaks between them. Texts with other white space at such a place are cut by the
+    pattern ``pieces`` instead, which keeps white space as the pre-tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -56,72 +58,43 @@ class ByteIds:
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.opens = np.zeros(self.size, bool)
+        self.opens, self.breaks = np.zeros(self.size, bool), np.zeros(self.size, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.breaks[vocabulary["Ċ"]] = True
         self.pieces = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
         # keys: a chunk behind a blank, \0 and a chunk at the start of a line or text, and the line break
-        self.cache: dict[str, bytes] = {}
+        self.fixed = {"\0": b"", "\n": np.array([vocabulary["Ċ"]], self.kind).tobytes()}
+        self.cache: dict[str, bytes] = dict(self.fixed)
         self.old: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.fixed = {"\0": b"", "\n": self._ids(["\n"])[0]}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Words of letters, each behind a blank: encoded as one text, told apart by tokens that open with a blank."""
-        if not words:
+    def _joined(self, chunks: list[str], blank: bool) -> list[bytes]:
+        """Chunks each behind a blank, or each on a line of its own: encoded as one text, cut at tokens that open with a blank, or at line breaks."""
+        if not chunks:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(words):
-            return self._ids([" " + w for w in words])
-        data, cut = ids.tobytes(), [*(self.kind.itemsize * at).tolist(), None]
-        return [data[a:b] for a, b in zip(cut, cut[1:])]
-
-    def _new(self, keys: dict[str, None]) -> tuple[dict[str, bytes], set[str]]:
-        """Ids of chunks that the cache lacks, and chunks with white space at an end, which cannot stand for themselves."""
-        out, bad, old, cache = {}, set(), self.old, self.cache
-        words: dict[str, None] = {}
-        rest: dict[str, None] = {}
-        joined = []
-
-        def need(k: str, letters: bool) -> None:
-            if k in cache or k in out:
-                return
-            known = old.get(k)
-            if known is not None:
-                out[k] = known
-            elif letters and k[0] != "\0":
-                words[k] = None
-            else:
-                rest[k] = None
-
-        for k in keys:
-            if (known := old.get(k) or self.fixed.get(k)) is not None:
-                out[k] = known
-                continue
-            body = k[1:] if k[0] == "\0" else k
-            if body[0] in SPACES or body[-1] in SPACES:
-                bad.add(k)
-                continue
-            stem = body.rstrip(string.punctuation)
-            # letters of long standing: all versions of the character tables agree on them
-            if stem.isalpha() and ord(max(stem)) < 0x500:
-                if len(stem) == len(body):
-                    need(k, True)
-                else:
-                    a, b = k[: len(k) - len(body) + len(stem)], "\0" + body[len(stem) :]
-                    need(a, True)
-                    need(b, False)
-                    joined.append((k, a, b))
-            else:
-                rest[k] = None
-        out.update(zip(words, self._words(list(words))))
-        out.update(zip(rest, self._ids([k[1:] if k[0] == "\0" else " " + k for k in rest])))
-        for k, a, b in joined:
-            out[k] = (out[a] if a in out else cache[a]) + (out[b] if b in out else cache[b])
-        return out, bad
+        text = " " + " ".join(chunks) if blank else "\n".join(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        at = np.flatnonzero((self.opens if blank else self.breaks)[ids])
+        if len(at) != len(chunks) - (not blank):
+            return self._ids([" " + c if blank else c for c in chunks])
+        data, size = ids.tobytes(), self.kind.itemsize
+        if blank:
+            start, end = at, np.append(at[1:], len(ids))
+        else:
+            start, end = np.append(0, at + 1), np.append(at, len(ids))
+        return [data[a:b] for a, b in zip((size * start).tolist(), (size * end).tolist())]
+
+    def _learn(self, keys: set[str]) -> None:
+        """Put chunks into the cache."""
+        known = keys & self.old.keys()
+        self.cache.update(zip(known, map(self.old.__getitem__, known)))
+        keys -= known
+        blank, lead = [k for k in keys if k[0] != "\0"], [k for k in keys if k[0] == "\0"]
+        self.cache.update(zip(blank, self._joined(blank, True)))
+        self.cache.update(zip(lead, self._joined([k[1:] for k in lead], False)))
 
     def _whole(self, text: str) -> bytes:
         pieces = self.pieces(text)
@@ -133,36 +106,37 @@ class ByteIds:
         self.plain.update((p, x) for p, x in found.items() if len(p) <= CACHE_CHARS)
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cache, missing, split = self.cache, {}, []
-        for t in texts:
-            if "\0" in t or "\n\n\n" in t or t.endswith("\n\n"):
-                split.append((None, ()))
-                continue
-            keys = t.replace("\n", " \n \0").split(" ")
-            keys[0] = "\0" + keys[0]
-            found = list(map(cache.get, keys))
-            gaps = ()
-            if None in found:
-                if "" in keys:  # blanks in a row, or at the end
-                    split.append((None, ()))
-                    continue
-                gaps = [(i, k) for i, (k, f) in enumerate(zip(keys, found)) if f is None]
-                missing.update((k, None) for _, k in gaps)
-            split.append((found, gaps))
-        new, bad = self._new(missing) if missing else ({}, ())
-        out = []
-        for t, (found, gaps) in zip(texts, split):
-            if found is None or bad and any(k in bad for _, k in gaps):
-                out.append(self._whole(t))
-                continue
-            for i, k in gaps:
-                found[i] = new[k]
-            out.append(b"".join(found))
-        cache.update((k, x) for k, x in new.items() if len(k) <= CACHE_CHARS)
-        if len(cache) > CACHE:
-            self.old, self.cache = cache, {}
-        return out
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text of a column: its chunks are cut and told apart as Arrow arrays, so Python sees each kind of chunk once."""
+        column = as_strings(column)
+        if not len(column):
+            return []
+        odd = pc.or_(pc.or_(pc.match_substring(column, "\0"), pc.match_substring(column, "\n\n\n")), pc.ends_with(column, "\n\n"))
+        lines = pc.replace_substring(column, "\n", " \n \0")
+        odd = pc.or_(odd, pc.or_(pc.match_substring(lines, "  "), pc.ends_with(lines, " "))).to_numpy(zero_copy_only=False).copy()
+        cut = pc.split_pattern(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) for x in ("\0",)), lines, pa.scalar("", pa.large_string())), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        kind, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        new = {k for k in keys if k not in self.cache}
+        # chunks with white space at an end, and empty ones, cannot stand for themselves
+        bad = {k for k in new if not k or k[-1] in BLANK or (k[1:2] if k[0] == "\0" else k[0]) in BLANK}
+        self._learn(new - bad)
+        if bad:
+            odd |= np.logical_or.reduceat(np.array([k in bad for k in keys])[kind], offsets[:-1] - offsets[0])
+        found = [self.cache.get(k, b"") for k in keys]
+        for k in [k for k in new if len(k) > CACHE_CHARS]:
+            self.cache.pop(k, None)
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, dict(self.fixed)
+        size = self.kind.itemsize
+        ids, each = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // size
+        first = np.cumsum(each) - each
+        n = each[kind]
+        total = np.cumsum(n)
+        out = ids[np.repeat(first[kind] - (total - n), n) + np.arange(total[-1])].tobytes()
+        ends = (size * total[offsets[1:] - offsets[0] - 1]).tolist()
+        return [self._whole(column[i].as_py()) if o else out[a:b] for i, (o, a, b) in enumerate(zip(odd.tolist(), [0, *ends], ends))]
 
 
 @lru_cache(maxsize=4)
@@ -282,7 +256,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         end = b"" if end_id is None else np.array([end_id], t.kind).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [x + end for x in t.encode_many(as_strings(b.column(1)).to_pylist())]
+            ids = [x + end for x in t.encode_column(b.column(1))]
             n = np.array([len(x) for x in ids], np.int64) // t.kind.itemsize
             at = before + np.cumsum(n) - n
             before += int(n.sum())

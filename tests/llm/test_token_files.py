@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,7 +38,7 @@ def ids_of(library, text):
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x00\x85\xa0 　ab'st.,!Aé0я漢😀"), st.characters(exclude_categories=["Cs", "Cn"], max_codepoint=0x2FFF)), max_size=25), max_size=4))
 def test_ids_of_any_text(texts):
     t = tokenizer()
-    got = T.byte_ids(PATH).encode_many(texts)
+    got = T.byte_ids(PATH).encode_column(pa.array(texts, pa.string()))
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -45,7 +46,7 @@ def test_ids_of_texts(rows, library):
     texts = [t or "" for _, t in rows] + ["don't we'll I'M", "a  b   c ", "\n\na\n\n\nb\n\n", "x\n y\n  z\t\n", "<|endoftext|> x<|endoftext|>", "word, 'word' (word) w0rd̀", "ÀÉ Ж́ 12,3"]
     t = T.ByteIds(PATH)
     for _ in range(2):  # the second time from the cache
-        assert [np.frombuffer(x, "<u2").tolist() for x in t.encode_many(texts)] == [ids_of(library, x) for x in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in t.encode_column(pa.array(texts))] == [ids_of(library, x) for x in texts]
 
 
 @settings(max_examples=80, deadline=None)
