@@ -114,17 +114,22 @@ class ByteIds:
         odd = pc.or_(pc.or_(pc.match_substring(column, "\0"), pc.match_substring(column, "\n\n\n")), pc.ends_with(column, "\n\n"))
         lines = pc.replace_substring(column, "\n", " \n \0")
         odd = pc.or_(odd, pc.or_(pc.match_substring(lines, "  "), pc.ends_with(lines, " "))).to_numpy(zero_copy_only=False).copy()
-        cut = pc.split_pattern(pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) for x in ("\0",)), lines, pa.scalar("", pa.large_string())), " ")
+        # a mark between a letter and a blank is a piece by itself
+        lines = pc.replace_substring_regex(lines, "([A-Za-z])([.,;:!?]) ", "\\1 \0\\2 ")
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         kind, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        new = {k for k in keys if k not in self.cache}
+        found = list(map(self.cache.get, keys))
+        gaps = [i for i, f in enumerate(found) if f is None]
+        new = {keys[i] for i in gaps}
         # chunks with white space at an end, and empty ones, cannot stand for themselves
         bad = {k for k in new if not k or k[-1] in BLANK or (k[1:2] if k[0] == "\0" else k[0]) in BLANK}
         self._learn(new - bad)
         if bad:
             odd |= np.logical_or.reduceat(np.array([k in bad for k in keys])[kind], offsets[:-1] - offsets[0])
-        found = [self.cache.get(k, b"") for k in keys]
+        for i in gaps:
+            found[i] = self.cache.get(keys[i], b"")
         for k in [k for k in new if len(k) > CACHE_CHARS]:
             self.cache.pop(k, None)
         if len(self.cache) > CACHE:
