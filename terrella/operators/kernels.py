@@ -1,68 +1,72 @@
 """Geometry kernels that need loops or sorting: NumPy over Arrow batches.
 
-Predicates and set operations cover points, lines and polygons; overlay is exact for convex polygons and boxes, and raises
-for others rather than give a wrong answer.
+Relations cover points, lines and polygons of any shape; lines and polygons are decided by their arrangement (``topology``).
+``intersection`` here is the fast way for polygons without holes of which one is convex, and raises for others; ``overlay``
+has the general operations.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import geometry as Geo
 from ..functions.geometry import TYPE
-from ..values import CRSMismatch
+from ..functions.scalar import let
+from .shapes import decode, encode, later, pairs, whole
+from .topology import ON, Arrangement, meeting_pairs, meetings, winding_inside
 
 Ring = np.ndarray
 
 
-def _later(ddl: str):
-    """A pandas UDF made when first used, as its type can only be parsed with a session."""
-    def wrap(f):
-        made: list = []
-
-        def call(*columns: Column) -> Column:
-            if not made:
-                made.append(F.pandas_udf(f, ddl))
-            return made[0](*columns)
+def _rings(g) -> list[list[Ring]]:
+    """Rings as arrays; those of a plain row's vertices are converted."""
+    return [[ring if isinstance(ring, np.ndarray) else np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in part] for part in g["parts"]]
 
-        call.__doc__ = f.__doc__
-        return call
 
-    return wrap
+def _segments(g) -> np.ndarray:
+    out = [np.concatenate([r[:-1], r[1:]], 1) for part in _rings(g) for r in part if len(r) > 1]
+    return np.concatenate(out) if out else np.zeros((0, 4))
 
 
-def _rings(g) -> list[list[Ring]]:
-    return [[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in part] for part in g["parts"]]
+def signed_area(r: np.ndarray) -> float:
+    q = r - r[0]
+    return float((q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1]).sum() / 2)
 
 
-def _rows(df: pd.DataFrame) -> list[dict]:
-    return df.to_dict("records")
+def oriented(g) -> np.ndarray:
+    """Edges with the interior to the left: outer rings counter-clockwise, holes clockwise."""
+    out = [np.zeros((0, 4))]
+    for part in _rings(g):
+        for i, r in enumerate(part):
+            if len(r) > 3:
+                r = r if (signed_area(r) > 0) == (i == 0) else r[::-1]
+                out.append(np.concatenate([r[:-1], r[1:]], 1))
+    return np.concatenate(out)
 
 
-def _segments(g) -> np.ndarray:
-    out = [np.concatenate([r[:-1], r[1:]], 1) for part in _rings(g) for r in part if len(r) > 1]
-    return np.concatenate(out) if out else np.zeros((0, 4))
+def arrangement(a, b) -> Arrangement:
+    """Of two geometries that are no point sets."""
+    areal = _dim(a) == 2, _dim(b) == 2
+    s, t = (oriented(g) if area else _segments(g) for g, area in zip((a, b), areal))
+    return Arrangement(s[(s[:, :2] != s[:, 2:]).any(1)], t[(t[:, :2] != t[:, 2:]).any(1)], areal, _reach(a, b) / ON)
 
 
 def _orient(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
 
 
-def segment_hits(s: np.ndarray, t: np.ndarray) -> tuple[bool, bool]:
-    """Whether any segment of s meets one of t, and whether any two cross in their interiors."""
-    if not len(s) or not len(t):
-        return False, False
-    p, q, u, v = s[:, None, :2], s[:, None, 2:], t[None, :, :2], t[None, :, 2:]
+def hits(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether each segment of s meets the one of t beside it."""
+    p, q, u, v = s[:, :2], s[:, 2:], t[:, :2], t[:, 2:]
     o1, o2, o3, o4 = _orient(p, q, u), _orient(p, q, v), _orient(u, v, p), _orient(u, v, q)
-    cross = (o1 * o2 < 0) & (o3 * o4 < 0)
 
     def on(a, b, c, o):
         return (o == 0) & (np.minimum(a, b) <= c).all(-1) & (c <= np.maximum(a, b)).all(-1)
 
-    touch = on(p, q, u, o1) | on(p, q, v, o2) | on(u, v, p, o3) | on(u, v, q, o4)
-    return bool((cross | touch).any()), bool(cross.any())
+    return (o1 * o2 < 0) & (o3 * o4 < 0) | on(p, q, u, o1) | on(p, q, v, o2) | on(u, v, p, o3) | on(u, v, q, o4)
 
 
 def _reach(*geometries) -> float:
@@ -80,16 +84,31 @@ def _near(points: np.ndarray, s: np.ndarray, eps: float) -> np.ndarray:
     return ((rel - t[..., None] * d) ** 2).sum(-1) <= eps * eps
 
 
+def near_any(points: np.ndarray, s: np.ndarray, eps: float) -> np.ndarray:
+    """Whether each point is on any segment: one that is meets it, as a segment without length."""
+    out = np.zeros(len(points), bool)
+    block = max(1, 500_000 // max(len(s), 1))
+    for k in range(0, len(points) if len(s) else 0, block):
+        out[k : k + block] = _near(points[k : k + block], s, eps).any(1)
+    return out
+
+
 def place(points: np.ndarray, g, eps: float | None = None) -> np.ndarray:
-    """Of each point: 1 inside the polygon, 0 on its boundary, -1 outside."""
+    """Of each point: 1 inside the polygon, 0 on its boundary, -1 outside; in blocks, so that memory is bounded."""
     s = _segments(g)
     if not len(s) or not len(points):
         return np.full(len(points), -1)
-    x, y = points[:, None, 0], points[:, None, 1]
-    x0, y0, x1, y1 = s.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return np.where(_near(points, s, _reach(g) if eps is None else eps).any(1), 0, np.where(hit.sum(1) % 2 == 1, 1, -1))
+    return np.where(near_any(points, s, _reach(g) if eps is None else eps), 0, np.where(winding_inside(points, s), 1, -1))
+
+
+def members(points: np.ndarray, g, eps: float) -> np.ndarray:
+    """Whether points belong to a geometry."""
+    if _dim(g) == 2:
+        return place(points, g, eps) >= 0
+    if _dim(g) == 1:
+        return near_any(points, _segments(g), eps)
+    own = {tuple(p) for p in _points(g).tolist()}
+    return np.array([tuple(p) in own for p in points.tolist()], bool)
 
 
 def _points(g) -> np.ndarray:
@@ -102,49 +121,20 @@ def _dim(g) -> int:
 
 
 def cut(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
-    """The segments s, cut wherever they meet a segment of t."""
-    out = []
-    for x in s:
-        p, d = x[:2], x[2:] - x[:2]
-        span = float((d**2).sum())
-        if not span:
-            continue
-        u, v = t[:, :2], t[:, 2:] - t[:, :2]
-        cross = d[0] * v[:, 1] - d[1] * v[:, 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            at = ((u - p)[:, 0] * v[:, 1] - (u - p)[:, 1] * v[:, 0]) / cross
-            there = ((u - p)[:, 0] * d[1] - (u - p)[:, 1] * d[0]) / cross
-        ok = (cross != 0) & (at > 0) & (at < 1) & (there >= -1e-12) & (there <= 1 + 1e-12)
-        ends = np.concatenate([t[:, :2], t[:, 2:]])  # ends on the segment cut it too: parallel pieces overlap from there
-        on = _near(ends, x[None], eps)[:, 0] if len(ends) else np.zeros(0, bool)
-        cuts = np.unique(np.concatenate([[0.0, 1.0], at[ok], ((ends[on] - p) @ d) / span]).clip(0, 1))
-        cuts = cuts[np.concatenate([[True], np.diff(cuts) * span**0.5 > eps])]
-        if len(cuts) > 1:
-            at = p + d * cuts[:, None]
-            at[-1] = x[2:] if cuts[-1] == 1 else at[-1]
-            out.append(np.concatenate([at[:-1], at[1:]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 4))
-
-
-def _pieces(s: np.ndarray, t: np.ndarray, eps: float) -> np.ndarray:
-    """Midpoints of the cut segments."""
-    c = cut(s, t, eps)
-    return (c[:, :2] + c[:, 2:]) / 2
-
-
-def _inner_points(g) -> np.ndarray:
-    """A point in the interior of each part of a polygon: the middle of the widest span of a line between two of its heights."""
-    out = []
-    for part in _rings(g):
-        own = {"type": "Polygon", "parts": [[[{"x": x, "y": y} for x, y in r] for r in part]]}
-        s, ys = _segments(own), np.unique(_points(own)[:, 1])
-        for y in (ys[1:] + ys[:-1]) / 2:
-            cut = s[(s[:, 1] > y) != (s[:, 3] > y)]
-            xs = np.sort(cut[:, 0] + (y - cut[:, 1]) / (cut[:, 3] - cut[:, 1]) * (cut[:, 2] - cut[:, 0]))
-            if len(xs) > 1 and (widest := int(np.argmax(xs[1::2] - xs[::2]))) >= 0 and xs[2 * widest + 1] > xs[2 * widest]:
-                out.append(((xs[2 * widest] + xs[2 * widest + 1]) / 2, y))
-                break
-    return np.array(out).reshape(-1, 2)
+    """The segments s, cut wherever they meet a segment of t, in their order and along each."""
+    s = s[(s[:, :2] != s[:, 2:]).any(1)]
+    (seg, at, point), _, new = meetings(s, t, eps)
+    points = np.concatenate([s.reshape(-1, 2), t.reshape(-1, 2), new])
+    n = np.arange(len(s))
+    seg, at, point = np.concatenate([seg, n, n]), np.concatenate([at, np.zeros(len(s)), np.ones(len(s))]), np.concatenate([point, 2 * n, 2 * n + 1])
+    order = np.lexsort((at, seg))
+    # a place within rounding of the last one kept is the same; the ends are kept
+    seg, xy = seg[order], points[point[order]]
+    fresh = np.ones(len(seg), bool)
+    fresh[1:] = (seg[1:] != seg[:-1]) | (((xy[1:] - xy[:-1]) ** 2).sum(1) > eps * eps)
+    seg, xy = seg[fresh], xy[fresh]
+    step = seg[1:] == seg[:-1]
+    return np.concatenate([xy[:-1][step], xy[1:][step]], 1)
 
 
 def _line_ends(g) -> np.ndarray:
@@ -159,10 +149,7 @@ def _line_ends(g) -> np.ndarray:
 
 
 def relation(a, b) -> str:
-    """disjoint, touches, equals, within, contains, overlaps or crosses.
-
-    Boundaries are cut where they meet, so every piece lies inside, outside or on the other geometry as its middle does.
-    """
+    """disjoint, touches, equals, within, contains, overlaps or crosses."""
     va, vb = _points(a), _points(b)
     if not len(va) or not len(vb):
         return "disjoint"
@@ -170,109 +157,93 @@ def relation(a, b) -> str:
     if da < db:
         r = relation(b, a)
         return {"within": "contains", "contains": "within"}.get(r, r)
-    eps = _reach(a, b)
-    sa, sb = _segments(a), _segments(b)
+    if db == 0:
+        return _relation_to_points(a, b, va, vb)
+    r = arrangement(a, b)
+    meet = r.common_nodes()
     if da == 2 and db == 2:
-        pa, pb = place(_pieces(sa, sb, eps), b, eps), place(_pieces(sb, sa, eps), a, eps)
-        inner = (pa > 0).any() or (pb > 0).any() or (place(_inner_points(a), b, eps) > 0).any() or (place(_inner_points(b), a, eps) > 0).any()
-        if not inner:
-            return "touches" if (pa == 0).any() or (pb == 0).any() or (place(va, b, eps) == 0).any() or (place(vb, a, eps) == 0).any() else "disjoint"
-        a_out, b_out = (pa < 0).any() or (pb > 0).any(), (pb < 0).any() or (pa > 0).any()
+        # every face of either has an edge, and what lies beside the edges decides
+        sides = [np.concatenate([r.left[i], r.right[i]]) for i in (0, 1)]
+        if not (sides[0] & sides[1]).any():
+            return "touches" if len(meet) else "disjoint"
+        a_out, b_out = (sides[0] & ~sides[1]).any(), (sides[1] & ~sides[0]).any()
         return "overlaps" if a_out and b_out else "contains" if a_out else "within" if b_out else "equals"
     if da == 2:
-        spots = place(_pieces(sb, sa, eps) if db == 1 else vb, a, eps)
+        left, right = r.left[0][r.on[1]], r.right[0][r.on[1]]
+        if not (left & right).any():
+            return "touches" if len(meet) else "disjoint"
+        return "contains" if (left | right).all() else "crosses"
+    if (r.on[0] & r.on[1]).any():
+        a_in, b_in = r.on[1][r.on[0]].all(), r.on[0][r.on[1]].all()
+        return "equals" if a_in and b_in else "contains" if b_in else "within" if a_in else "overlaps"
+    # they meet at nodes alone: a crossing, if one of these is an end of neither
+    inner = [n[meet] % 2 == 0 for n in r.ends]
+    return "disjoint" if not len(meet) else "crosses" if (inner[0] & inner[1]).any() else "touches"
+
+
+def _relation_to_points(a, b, va: np.ndarray, vb: np.ndarray) -> str:
+    eps = _reach(a, b)
+    if _dim(a) == 2:
+        spots = place(vb, a, eps)
         if not (spots > 0).any():
-            return "touches" if (spots == 0).any() or (place(vb, a, eps) == 0).any() or (db == 1 and len(va) and _near(va, sb, eps).any()) else "disjoint"
+            return "touches" if (spots == 0).any() else "disjoint"
         return "crosses" if (spots < 0).any() else "contains"
-    if da == 1 and db == 1:
-        on_a, on_b = _near(_pieces(sb, sa, eps), sa, eps).any(1), _near(_pieces(sa, sb, eps), sb, eps).any(1)
-        if on_a.any():
-            return "equals" if on_a.all() and on_b.all() else "contains" if on_a.all() else "within" if on_b.all() else "overlaps"
-        meets, crosses = segment_hits(sa, sb)
-        if crosses or not meets:
-            return "crosses" if crosses else "disjoint"
-        # they meet at vertices alone: a crossing, if one of these is an end of neither
-        shared = np.concatenate([va[_near(va, sb, eps).any(1)], vb[_near(vb, sa, eps).any(1)]])
-        ends = np.concatenate([_line_ends(a), _line_ends(b)])
-        free = ~(np.abs(shared[:, None] - ends[None]).max(-1) <= eps).any(1) if len(ends) else np.full(len(shared), True)
-        return "crosses" if free.any() else "touches"
-    if da == 1:
-        on = _near(vb, sa, eps).any(1)
+    if _dim(a) == 1:
+        on = near_any(vb, _segments(a), eps)
         ends = _line_ends(a)
         inner = on & ~(np.abs(vb[:, None] - ends[None]).max(-1) <= eps).any(1) if len(ends) else on
         return "disjoint" if not on.any() else "touches" if not inner.any() else "contains" if on.all() else "crosses"
-    pa, pb = {tuple(p) for p in va}, {tuple(p) for p in vb}
-    return "equals" if pa == pb else "contains" if pa > pb else "within" if pa < pb else "overlaps" if pa & pb else "disjoint"
+    pa_, pb = {tuple(p) for p in va.tolist()}, {tuple(p) for p in vb.tolist()}
+    return "equals" if pa_ == pb else "contains" if pa_ > pb else "within" if pa_ < pb else "overlaps" if pa_ & pb else "disjoint"
 
 
 def covered(a, b) -> bool:
     """Whether no point of b is outside a; unlike containment, b may lie in a's boundary."""
-    r = relation(a, b)
-    if r in ("contains", "equals"):
-        return True
-    if r != "touches" or _dim(a) < _dim(b):
+    if not len(_points(a)) or not len(_points(b)) or _dim(a) < _dim(b):
         return False
-    eps = _reach(a, b)
-    spots = np.concatenate([_points(b), _pieces(_segments(b), _segments(a), eps)])
-    return bool(_near(spots, _segments(a), eps).any(1).all()) if _dim(b) < 2 else False
-
-
-def _by_pair(f, a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    """f of the pairs of which both are there; an error where their coordinate systems differ."""
-    out = np.full(len(a), None, object)
-    at = np.flatnonzero(a["type"].notna().to_numpy() & b["type"].notna().to_numpy())
-    ca, cb = (g["crs"].iloc[at].where(g["crs"].iloc[at].notna(), None) for g in (a, b))
-    if (ca.to_numpy() != cb.to_numpy()).any():
-        raise CRSMismatch("the geometries' coordinate systems differ")
-    out[at] = [f(x, y) for x, y in zip(_rows(a.iloc[at]), _rows(b.iloc[at]))]
-    return pd.Series(out, dtype=object)
-
-
-def _extent(g) -> tuple[float, float, float, float, bool] | None:
-    """Bounding box, and whether the polygon fills it."""
-    points = [(p["x"], p["y"]) for part in g["parts"] for ring in part for p in ring]
-    if not points:
-        return None
-    xs, ys = zip(*points)
-    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
-    full = g["type"] == "Polygon" and len(points) == 5 and set(points) == {(x0, y0), (x0, y1), (x1, y0), (x1, y1)} and x0 < x1 and y0 < y1
-    return x0, x1, y0, y1, full and all((p[0] == q[0]) != (p[1] == q[1]) for p, q in zip(points, points[1:]))
-
-
-def _quick(a, b) -> str:
-    """The relation, by the bounding boxes alone where these decide it."""
-    p, q = _extent(a), _extent(b)
-    if not p or not q or p[0] > q[1] or q[0] > p[1] or p[2] > q[3] or q[2] > p[3]:
-        return "disjoint"
-    if not (p[4] and q[4]):
-        return relation(a, b)
-    if not (p[0] < q[1] and q[0] < p[1] and p[2] < q[3] and q[2] < p[3]):
-        return "touches"
-    out, in_ = (x[0] <= y[0] and x[1] >= y[1] and x[2] <= y[2] and x[3] >= y[3] for x, y in ((p, q), (q, p)))
-    return "equals" if out and in_ else "contains" if out else "within" if in_ else "overlaps"
+    if _dim(b) == 0:
+        return bool(members(_points(b), a, _reach(a, b)).all())
+    r = arrangement(a, b)
+    return bool(r.member(0)[r.on[1]].all()) if _dim(b) == 1 else not (r.left[1] & ~r.left[0] | r.right[1] & ~r.right[0]).any()
 
 
-@_later("string")
-def _relation(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return _by_pair(_quick, a, b)
+@later("string")
+def _relation(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else relation(*p) for p in pairs(a, b)], pa.string())
 
 
-@_later("boolean")
-def _covered(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return _by_pair(covered, a, b)
+@later("boolean")
+def _covered(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else covered(*p) for p in pairs(a, b)], pa.bool_())
 
 
-def _plain(g: Column) -> Column:
-    return F.struct(g["type"].alias("type"), g["parts"].alias("parts"))
+def _is_rectangle(g: Column, box: Column) -> Column:
+    """Whether a polygon fills its bounding box."""
+    ring = g["parts"][0][0]
+    corner = lambda p: p["x"].isin(box["left"], box["right"]) & p["y"].isin(box["bottom"], box["top"])
+    straight = F.forall(Geo.edges(g), lambda e: (e["p"]["x"] == e["q"]["x"]) != (e["p"]["y"] == e["q"]["y"]))
+    shape = (g["type"] == "Polygon") & (F.size(g["parts"]) == 1) & (F.size(g["parts"][0]) == 1) & (F.size(ring) == 5)
+    return shape & (box["left"] < box["right"]) & (box["bottom"] < box["top"]) & F.forall(ring, corner) & straight
 
 
-def _with_crs(g: Column) -> Column:
-    return F.struct(g["type"].alias("type"), g["parts"].alias("parts"), g["crs"].alias("crs"))
+def relate(a: Column, b: Column) -> Column:
+    """The relation's name; an error where the coordinate systems differ. Disjoint boxes and rectangles are decided by columns; the kernel gets nulls for these."""
+    facts = lambda g: let(Geo.boundingbox(g), lambda box: F.struct(box.alias("box"), F.coalesce(_is_rectangle(g, box), F.lit(False)).alias("full")))
 
+    def decide(p: Column) -> Column:
+        x, y, full = p["x"]["box"], p["y"]["box"], p["x"]["full"] & p["y"]["full"]
+        over = lambda v, w: (v["left"] <= w["left"]) & (v["right"] >= w["right"]) & (v["bottom"] <= w["bottom"]) & (v["top"] >= w["top"])
+        inner = (x["left"] < y["right"]) & (y["left"] < x["right"]) & (x["bottom"] < y["top"]) & (y["bottom"] < x["top"])
+        closed = (x["left"] <= y["right"]) & (y["left"] <= x["right"]) & (x["bottom"] <= y["top"]) & (y["bottom"] <= x["top"])
+        by_box = F.when(~inner, "touches").when(over(x, y) & over(y, x), "equals").when(over(x, y), "contains").when(over(y, x), "within").otherwise("overlaps")
+        return F.when(~F.coalesce(closed, F.lit(False)), "disjoint").when(full, by_box)
 
-def relate(a: Column, b: Column) -> Column:
-    """The relation's name; an error where the coordinate systems differ. Bounding boxes decide first, in the kernel, for disjoint pairs and rectangles."""
-    return _relation(_with_crs(a), _with_crs(b))
+    given = a.isNotNull() & b.isNotNull() & a["type"].isNotNull() & b["type"].isNotNull()
+    agree = F.when(given & ~a["crs"].eqNullSafe(b["crs"]), F.raise_error(F.lit("CRSMismatch: the geometries' coordinate systems differ")).cast("string"))
+    quick = F.when(given, F.coalesce(agree, let(F.struct(facts(a).alias("x"), facts(b).alias("y")), decide)))
+    none = F.lit(None).cast(TYPE)
+    todo = given & quick.isNull()
+    return F.coalesce(quick, _relation(F.when(todo, whole(a)).otherwise(none), F.when(todo, whole(b)).otherwise(none)))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -293,7 +264,7 @@ def contains(a: Column, b: Column) -> Column:
 
 def covers(a: Column, b: Column) -> Column:
     """Whether no point of b is outside a; unlike ``contains``, of a line in a polygon's boundary as well."""
-    return _covered(_with_crs(a), _with_crs(b))
+    return _covered(whole(a), whole(b))
 
 
 def within(a: Column, b: Column) -> Column:
@@ -356,12 +327,9 @@ def simplify_ring(r: np.ndarray, tol: float) -> np.ndarray:
 def is_simple(r: np.ndarray) -> bool:
     """No two edges meet but neighbours at their common vertex."""
     s = np.concatenate([r[:-1], r[1:]], 1)
-    n = len(s)
-    for i in range(n - 1):
-        last = n - 1 if i == 0 and (r[0] == r[-1]).all() else n
-        if i + 2 < last and segment_hits(s[i : i + 1], s[i + 2 : last])[0]:
-            return False
-    return True
+    i, j = meeting_pairs(s, s, 0.0)
+    apart = (i + 1 < j) & ~((i == 0) & (j == len(s) - 1) & bool((r[0] == r[-1]).all()))
+    return not hits(s[i[apart]], s[j[apart]]).any()
 
 
 def clip_convex(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -425,70 +393,91 @@ def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _geom(kind: str, crs, rings: list[list[np.ndarray]]) -> dict:
-    return {"type": kind, "crs": crs, "parts": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in part] for part in rings]}
+    return {"type": kind, "crs": crs, "parts": rings}
+
 
+def _mapped(column: pa.Array, f) -> pa.Array:
+    return encode([None if g is None else f(g) for g in decode(column)])
 
-def _frame(found: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["type", "crs", "parts"])
 
+@later(TYPE)
+def _convex_hull(g: pa.Array) -> pa.Array:
+    return _mapped(g, lambda x: _geom("Polygon", x["crs"], [[hull(_points(x))]]))
 
-@_later(TYPE)
-def convex_hull(g: pd.DataFrame) -> pd.DataFrame:
-    return _frame([_geom("Polygon", x["crs"], [[hull(_points(x))]]) for x in _rows(g)])
+
+def convex_hull(g: Column | str) -> Column:
+    return _convex_hull(whole(F.col(g) if isinstance(g, str) else g))
 
 
 def simplify(g: Column, tolerance: float) -> Column:
     """Douglas-Peucker by ring; a polygon's ring that would collapse stays as it was."""
 
-    @F.pandas_udf(TYPE)
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x in _rows(g):
-            least = 4 if x["type"].endswith("Polygon") else 2
-            out.append(_geom(x["type"], x["crs"], [[s if len(s := simplify_ring(r, tolerance)) >= least else r for r in part] if x["type"] not in ("Point", "MultiPoint") else part for part in _rings(x)]))
-        return _frame(out)
+    def thin(x):
+        least = 4 if x["type"].endswith("Polygon") else 2
+        ring = lambda r: s if len(s := simplify_ring(r, tolerance)) >= least else r
+        return _geom(x["type"], x["crs"], [[ring(r) for r in part] if _dim(x) else part for part in _rings(x)])
 
-    return run(g)
+    @F.arrow_udf(TYPE)
+    def run(g: pa.Array) -> pa.Array:
+        return _mapped(g, thin)
 
+    return run(whole(g))
 
-@_later("boolean")
-def is_valid(g: pd.DataFrame) -> pd.Series:
-    """Finite, rings closed and simple."""
+
+@later("boolean")
+def _is_valid(g: pa.Array) -> pa.Array:
     def ok(x) -> bool:
         rings = [r for part in _rings(x) for r in part]
         if not all(np.isfinite(r).all() for r in rings):
             return False
         return not x["type"].endswith("Polygon") or all(len(r) >= 4 and (r[0] == r[-1]).all() and is_simple(r) for r in rings)
 
-    return pd.Series([ok(x) for x in _rows(g)])
+    return pa.array([None if x is None else ok(x) for x in decode(g)], pa.bool_())
 
 
-@_later(TYPE)
-def intersection(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Of two polygons without holes, at least one convex."""
+def is_valid(g: Column | str) -> Column:
+    """Finite, rings closed and simple."""
+    return _is_valid(whole(F.col(g) if isinstance(g, str) else g))
+
+
+@later(TYPE)
+def _clipped(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
-    for x, y in zip(_rows(a), _rows(b)):
+    for p in pairs(a, b):
+        if p is None:
+            out.append(None)
+            continue
+        x, y = p
         (rx,), (ry,) = _rings(x)[0], _rings(y)[0]
         if len(_rings(x)) > 1 or len(_rings(y)) > 1 or not (is_convex(rx) or is_convex(ry)):
             raise NotImplementedError("intersection of general polygons")
         ring = clip_convex(rx, ry) if is_convex(ry) else clip_convex(ry, rx)
         out.append(_geom("Polygon", x["crs"], [[ring]] if len(ring) else []))
-    return _frame(out)
+    return encode(out)
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """Of two polygons without holes, at least one convex."""
+    return _clipped(whole(a), whole(b))
+
+
+@later("array<struct<a:int,b:int,c:int>>")
+def _triangulate(g: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [{"a": a, "b": b, "c": c} for a, b, c in delaunay(_points(x))] for x in decode(g)], pa.list_(pa.struct([(k, pa.int32()) for k in "abc"])))
 
 
-@_later("array<struct<a:int,b:int,c:int>>")
-def triangulate(g: pd.DataFrame) -> pd.Series:
+def triangulate(g: Column | str) -> Column:
     """Delaunay triangles as vertex numbers."""
-    return pd.Series([[{"a": a, "b": b, "c": c} for a, b, c in delaunay(_points(x))] for x in _rows(g)])
+    return _triangulate(whole(F.col(g) if isinstance(g, str) else g))
 
 
 def buffer_points(g: Column, distance: float, quadrant: int = 30) -> Column:
     """Disc around each vertex, as polygons of 4 * quadrant sides."""
+    t = np.linspace(0, -2 * np.pi, 4 * quadrant + 1)
+    ring = distance * np.stack([np.cos(t), np.sin(t)], 1)
 
-    @F.pandas_udf(TYPE)
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        t = np.linspace(0, -2 * np.pi, 4 * quadrant + 1)
-        ring = distance * np.stack([np.cos(t), np.sin(t)], 1)
-        return _frame([_geom("Polygon" if len(_points(x)) == 1 else "MultiPolygon", x["crs"], [[p + ring] for p in _points(x)]) for x in _rows(g)])
+    @F.arrow_udf(TYPE)
+    def run(g: pa.Array) -> pa.Array:
+        return _mapped(g, lambda x: _geom("Polygon" if len(_points(x)) == 1 else "MultiPolygon", x["crs"], [[p + ring] for p in _points(x)]))
 
-    return run(g)
+    return run(whole(g))

@@ -1,125 +1,125 @@
-"""Set operations on polygons of any shape, with holes and several parts, and splitting by lines.
+"""Set operations on geometries of any shape and dimension, and splitting by lines.
 
-Both boundaries are cut where they meet; every piece lies inside, outside or on the other polygon as its middle does. A set
-operation is a choice of pieces and of their direction, interior to the left; the chosen ones are joined end to end into
-rings, turning left as far as possible wherever several go on. One row is one pair, so nothing is gathered.
+Both geometries become one arrangement of nodes and edges (``topology``), which knows on which sides of every edge each of
+the two lies. An area of a result is bounded by the edges on one side of which it lies; lines of a result are the edges in
+it that its areas leave uncovered; points, the nodes that only touch. One row is one pair, so nothing is gathered;
+``dissolve`` merges the polygons of many rows by cells, level by level.
 
-Defined cases: a null gives null; different coordinate systems are an error; no area in common gives a polygon without
-parts, also where boundaries touch, as lines and points that are left over are no part of a result.
+Defined cases: a null gives null; different coordinate systems are an error. ``pieces`` gives a result's points, lines and
+areas apart; the other functions give its highest dimension: of two polygons always an area, without parts where they have
+none in common, of a polygon and a line what the operation leaves of the line (a union is the polygon, and the line outside
+by ``pieces``), of two lines lines or else the points where they cross.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as Geo
 from ..functions.crs import projected_lon
 from ..functions.geometry import TYPE
-from .kernels import _by_pair, _dim, _frame, _geom, _later, _near, _reach, _rings, _segments, _with_crs, cut, place
+from .kernels import _dim, _geom, _near, _points, _reach, _rings, _segments, arrangement, cut, members, oriented, place, signed_area
+from .shapes import decode, encode, later, pairs, same_system, whole
+from .topology import ON, ONE, Arrangement, numbered, paths, rings
 
-# which pieces stay: of a by their place in b (1 inside, 0 on its boundary, -1 outside), then of b in a; -1 turns them round
-UNION, INTERSECTION, DIFFERENCE, SYMMETRIC = ({-1: 1}, {-1: 1}, 1), ({1: 1}, {1: 1}, 1), ({-1: 1}, {1: -1}, -1), ({-1: 1, 1: -1}, {-1: 1, 1: -1}, 0)
+#: What a result has, by what the two operands have.
+UNION, INTERSECTION, SYMMETRIC = np.logical_or, np.logical_and, np.logical_xor
 
 
-def signed_area(r: np.ndarray) -> float:
-    q = r - r[0]
-    return float((q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1]).sum() / 2)
+def DIFFERENCE(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # noqa: N802
+    return a & ~b
 
 
-def oriented(g) -> np.ndarray:
-    """Edges with the interior to the left: outer rings counter-clockwise, holes clockwise."""
-    out = [np.zeros((0, 4))]
-    for part in _rings(g):
-        for i, r in enumerate(part):
-            if len(r) > 3:
-                r = r if (signed_area(r) > 0) == (i == 0) else r[::-1]
-                out.append(np.concatenate([r[:-1], r[1:]], 1))
-    return np.concatenate(out)
+OPERATIONS = {"union": UNION, "intersection": INTERSECTION, "difference": DIFFERENCE, "symmetric": SYMMETRIC}
 
 
 def turned(s: np.ndarray) -> np.ndarray:
     return s[:, [2, 3, 0, 1]]
 
 
-def _numbered(points: np.ndarray, tol: float) -> tuple[list[int], list[tuple[float, float]]]:
-    """Points within a tolerance are one vertex."""
-    seen: dict[tuple[int, int], int] = {}
-    ids, places = [], []
-    for x, y in points.tolist():
-        i, j = round(x / tol), round(y / tol)
-        found = next((k for a in (i, i - 1, i + 1) for b in (j, j - 1, j + 1) if (k := seen.get((a, b))) is not None), None)
-        if found is None:
-            found = seen[i, j] = len(places)
-            places.append((x, y))
-        ids.append(found)
-    return ids, places
-
-
-def rings_of(edges: np.ndarray, cancel: bool = True) -> list[np.ndarray]:
-    """Closed rings of directed edges; ``cancel`` drops edges that run both ways."""
-    if not len(edges):
+def polygons_of(found: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Outer rings, each with the holes in it; a hole goes to the smallest ring around it. Rings do not cross."""
+    if not found:
         return []
-    ids, places = _numbered(edges.reshape(-1, 2), 1e3 * 1e-12 * max(1.0, float(np.abs(edges).max())))
-    pairs = {(a, b) for a, b in zip(ids[::2], ids[1::2]) if a != b}
-    if cancel:
-        pairs = {(a, b) for a, b in pairs if (b, a) not in pairs}
-    onward = defaultdict(list)
-    for a, b in sorted(pairs):
-        onward[a].append(b)
-    angle = lambda a, b: np.arctan2(places[b][1] - places[a][1], places[b][0] - places[a][0])
-    out = []
-    for start in sorted(onward):
-        while onward[start]:
-            path = [start, onward[start].pop()]
-            while path[-1] != start and onward[path[-1]]:
-                here, back = path[-1], angle(path[-1], path[-2])
-                best = min(onward[here], key=lambda b: (back - angle(here, b) - 1e-12) % (2 * np.pi))
-                onward[here].remove(best)
-                path.append(best)
-            if path[-1] == start and len(path) > 3:
-                out.append(np.array([places[i] for i in path]))
-    return out
-
-
-def polygons_of(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Outer rings, each with the holes in it; a hole goes to the smallest ring around it."""
-    sized = sorted(((signed_area(r), r) for r in rings), key=lambda t: t[0])
-    parts = [[r] for a, r in sized if a > 0]
-    for a, hole in sized:
-        if a < 0:
-            for part in parts:
-                if (place(hole, _geom("Polygon", None, [[part[0]]])) >= 0).all() and abs(a) < signed_area(part[0]):
-                    part.append(hole)
-                    break
+    flat, start = np.concatenate(found), np.cumsum([0] + [len(r) for r in found[:-1]])
+    q = flat - np.repeat(flat[start], np.diff(np.append(start, len(flat))), axis=0)
+    turn = np.append(q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1], 0.0)
+    turn[start[1:] - 1] = 0  # from ring to ring
+    areas = np.add.reduceat(turn, start) / 2
+    outer = [k for k in np.argsort(areas, kind="stable").tolist() if areas[k] > 0]
+    parts = [[found[k]] for k in outer]
+    holes = np.flatnonzero(areas < 0).tolist()
+    if len(outer) == 1:
+        parts[0] += [found[k] for k in holes]
+        return parts
+    low, high, sizes = np.minimum.reduceat(flat, start), np.maximum.reduceat(flat, start), areas[outer]
+    for h in holes:
+        around = np.flatnonzero((low[outer] <= low[h]).all(1) & (high[outer] >= high[h]).all(1) & (sizes > -areas[h]))
+        middle = (found[h][:1] + found[h][1:2]) / 2  # rings share points, not edges
+        for k in around.tolist():
+            # every hole is in some ring, so the only one it can be in needs no test
+            if len(around) == 1 or place(middle, _geom("Polygon", None, [[parts[k][0]]]))[0] > 0:
+                parts[k].append(found[h])
+                break
     return parts
 
 
-def _shaped(crs, parts: list[list[np.ndarray]]) -> dict:
-    return _geom("MultiPolygon" if len(parts) > 1 else "Polygon", crs, parts)
-
-
-def combine(a, b, rule) -> dict:
-    if _dim(a) != 2 or _dim(b) != 2:
-        raise NotImplementedError("set operations are of polygons")
-    of_a, of_b, along = rule
-    sa, sb, eps = oriented(a), oriented(b), _reach(a, b)
-    kept = [np.zeros((0, 4))]
-    for mine, other, shape, choice, shared in ((sa, sb, b, of_a, along), (sb, sa, a, of_b, 0)):
-        pieces = cut(mine, other, eps)
-        where = place((pieces[:, :2] + pieces[:, 2:]) / 2, shape, eps)
-        for side, way in choice.items():
-            kept.append(pieces[where == side] if way > 0 else turned(pieces[where == side]))
-        if shared and len(on := pieces[where == 0]):
-            near = _near((on[:, :2] + on[:, 2:]) / 2, other, eps)
-            d = other[near.argmax(1)]
-            same = ((on[:, 2:] - on[:, :2]) * (d[:, 2:] - d[:, :2])).sum(1)
-            kept.append(on[np.sign(same) == shared])
-    return _shaped(a["crs"], polygons_of(rings_of(np.concatenate(kept))))
+def _shaped(crs, kind: str, parts: list) -> dict:
+    return _geom(f"Multi{kind}" if len(parts) > 1 else kind, crs, parts)
+
+
+def _areas(r: Arrangement, crs, op) -> dict:
+    return _shaped(crs, "Polygon", polygons_of(rings(r.xy, r.area(op))))
+
+
+def apart(a, b, op) -> tuple[dict, dict, dict]:
+    """The points, lines and areas of a result."""
+    crs, none = a["crs"], lambda kind: _geom(kind, a["crs"], [])
+    dims = _dim(a), _dim(b)
+    if 0 not in dims:
+        r = arrangement(a, b)
+        area = _areas(r, crs, op) if 2 in dims else none("Polygon")
+        left = r.lines(op)
+        lines = _shaped(crs, "LineString", [[x] for x in paths(r.xy, left)])
+        spots = np.zeros(0, np.int64)
+        if op is INTERSECTION:
+            spots = r.common_nodes()
+            inside = op(r.left[0], r.left[1]) | op(r.right[0], r.right[1])
+            taken = np.concatenate([left.ravel(), r.u[inside], r.v[inside]])
+            spots = spots[~np.isin(spots, taken)]
+        return _shaped(crs, "Point", [[p[None]] for p in r.xy[spots]]), lines, area
+    eps = _reach(a, b)
+    # point sets: each point is in the result or not; what is no point set stays whole, but for an intersection
+    kept = [np.zeros((0, 2))]
+    rest = [none("Point"), none("LineString"), none("Polygon")]
+    for mine, other, first in ((a, b, True), (b, a, False)):
+        alone, shared = (op(np.array([x]), np.array([y]))[0] for x, y in (((True, False), (True, True)) if first else ((False, True), (True, True))))
+        if _dim(mine):
+            if alone:
+                rest[_dim(mine)] = mine
+            continue
+        p = np.unique(_points(mine), axis=0)
+        both = members(p, other, eps)
+        kept.append(p[~both & alone | both & shared])
+    p = np.unique(np.concatenate(kept), axis=0)
+    for g in rest[1:]:
+        if len(p) and g["parts"]:
+            p = p[~members(p, g, eps)]
+    rest[0] = _shaped(crs, "Point", [[x[None]] for x in p])
+    return tuple(rest)
+
+
+def combine(a, b, op) -> dict:
+    """The highest dimension of a result."""
+    if _dim(a) == 2 and _dim(b) == 2:
+        return _areas(arrangement(a, b), a["crs"], op)
+    found = apart(a, b, op)
+    return next((g for g in found[::-1] if g["parts"]), found[min(_dim(a), _dim(b))])
 
 
 def split_polygon(g, line) -> list[dict]:
@@ -131,14 +131,16 @@ def split_polygon(g, line) -> list[dict]:
     edge = cut(edge, ls, eps)
     while len(inner):
         ends = np.concatenate([edge, inner]).reshape(-1, 2)
-        ids, _ = _numbered(ends, 1e3 * eps)
+        ids = numbered(ends, eps * ONE / ON)
         degree = np.bincount(ids)
-        loose = (degree[np.array(ids).reshape(-1, 2)] < 2).any(1)[len(edge) :]
+        loose = (degree[ids.reshape(-1, 2)] < 2).any(1)[len(edge) :]
         if not loose.any():
             break
         inner = inner[~loose]
-    rings = rings_of(np.concatenate([edge, inner, turned(inner)]), cancel=False)
-    return [_geom("Polygon", g["crs"], [part]) for part in polygons_of(rings)]
+    every = np.concatenate([edge, inner, turned(inner)])
+    ids = numbered(every.reshape(-1, 2), eps * ONE / ON).reshape(-1, 2)
+    ids = np.unique(ids[ids[:, 0] != ids[:, 1]], axis=0)
+    return [_geom("Polygon", g["crs"], [part]) for part in polygons_of(rings(every.reshape(-1, 2), ids))]
 
 
 def split_line(g, by) -> list[dict]:
@@ -161,63 +163,83 @@ def split_line(g, by) -> list[dict]:
     return [_geom("LineString", g["crs"], [[r]]) for r in out]
 
 
-def _pairs(a: pd.DataFrame, b: pd.DataFrame, rule) -> pd.DataFrame:
-    none = {"type": None, "crs": None, "parts": None}
-    return _frame([none if r is None else r for r in _by_pair(lambda x, y: combine(x, y, rule), a, b)])
+def _operation(name: str) -> Callable[[Column, Column], Column]:
+    @later(TYPE)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return encode([None if p is None else combine(*p, OPERATIONS[name]) for p in pairs(a, b)])
 
+    return lambda a, b: run(whole(a), whole(b))
 
-@_later(TYPE)
-def _union(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return _pairs(a, b, UNION)
 
+_RUN = {name: _operation(name) for name in OPERATIONS}
 
-@_later(TYPE)
-def _intersection(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return _pairs(a, b, INTERSECTION)
 
+def union(a: Column, b: Column) -> Column:
+    return _RUN["union"](a, b)
 
-@_later(TYPE)
-def _difference(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return _pairs(a, b, DIFFERENCE)
 
+def intersection(a: Column, b: Column) -> Column:
+    return _RUN["intersection"](a, b)
 
-@_later(TYPE)
-def _symmetric(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    return _pairs(a, b, SYMMETRIC)
 
+def difference(a: Column, b: Column) -> Column:
+    return _RUN["difference"](a, b)
 
-def union(a: Column, b: Column) -> Column:
-    return _union(_with_crs(a), _with_crs(b))
 
+def symmetric_difference(a: Column, b: Column) -> Column:
+    return _RUN["symmetric"](a, b)
 
-def intersection(a: Column, b: Column) -> Column:
-    return _intersection(_with_crs(a), _with_crs(b))
 
+def _struct(columns: dict[str, pa.Array]) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-def difference(a: Column, b: Column) -> Column:
-    return _difference(_with_crs(a), _with_crs(b))
 
+@later(f"struct<{','.join(f'{n}:{TYPE}' for n in OPERATIONS)}>")
+def _every(a: pa.Array, b: pa.Array) -> pa.Array:
+    out: dict[str, list] = {n: [] for n in OPERATIONS}
+    for p in pairs(a, b):
+        shared = arrangement(*p) if p and _dim(p[0]) == _dim(p[1]) == 2 else None
+        for n, op in OPERATIONS.items():
+            out[n].append(None if p is None else _areas(shared, p[0]["crs"], op) if shared else combine(*p, op))
+    return _struct({n: encode(x) for n, x in out.items()})
 
-def symmetric_difference(a: Column, b: Column) -> Column:
-    return _symmetric(_with_crs(a), _with_crs(b))
 
+def every_operation(a: Column, b: Column) -> Column:
+    """struct(union, intersection, difference, symmetric): all of one arrangement."""
+    return _every(whole(a), whole(b))
+
+
+_PIECES: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def pieces(a: Column, b: Column, operation: str = "intersection") -> Column:
+    """struct(points, lines, areas) of a result; lines that its areas cover and points on either are no pieces of their own."""
+    if operation not in _PIECES:
+
+        @later(f"struct<points:{TYPE},lines:{TYPE},areas:{TYPE}>")
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            found = [(None, None, None) if p is None else apart(*p, OPERATIONS[operation]) for p in pairs(a, b)]
+            return _struct({n: encode([f[i] for f in found]) for i, n in enumerate(("points", "lines", "areas"))})
 
-def _folded(shapes, rule) -> dict | None:
+        _PIECES[operation] = run
+    return _PIECES[operation](whole(a), whole(b))
+
+
+def _folded(shapes, op) -> dict | None:
     """Neighbours first, so the operands stay small as long as possible."""
     todo = [g for g in shapes if g is not None]
-    if len({g["crs"] for g in todo}) > 1:
-        from ..values import CRSMismatch
-
-        raise CRSMismatch("the geometries' coordinate systems differ")
+    for g in todo[1:]:
+        same_system(todo[0], g)
     while len(todo) > 1:
-        todo = [combine(*todo[i : i + 2], rule) if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
+        todo = [combine(*todo[i : i + 2], op) if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
     return todo[0] if todo else None
 
 
-def _fold(rule):
-    @_later(f"struct<g:{TYPE}>")
-    def run(shapes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"g": [None if s is None else _folded(s, rule) for s in shapes]})
+def _fold(op):
+    @later(TYPE)
+    def run(shapes: pa.Array) -> pa.Array:
+        flat, ends = decode(shapes.flatten()), np.cumsum([0] + [len(x) if x.is_valid else 0 for x in shapes])
+        return encode([_folded(flat[a:b], op) for a, b in zip(ends, ends[1:])])
 
     return run
 
@@ -225,28 +247,73 @@ def _fold(rule):
 _unary_union, _unary_intersection = _fold(UNION), _fold(INTERSECTION)
 
 
+def _all_whole(shapes: Column) -> Column:
+    return F.transform(shapes, lambda g: F.when(g.isNotNull(), whole(g)))
+
+
 def unary_union(shapes: Column) -> Column:
-    """Union of an array of polygons in one row; null for an empty array."""
-    return _unary_union(shapes)["g"]
+    """Union of an array of geometries in one row; null for an empty array. Of the polygons of many rows, see ``dissolve``."""
+    return _unary_union(_all_whole(shapes))
 
 
 def unary_intersection(shapes: Column) -> Column:
-    return _unary_intersection(shapes)["g"]
+    return _unary_intersection(_all_whole(shapes))
 
 
-@_later(f"array<{TYPE}>")
-def _split(g: pd.DataFrame, by: pd.DataFrame) -> pd.Series:
-    return _by_pair(lambda x, y: split_polygon(x, y) if _dim(x) == 2 else split_line(x, y), g, by)
+@later(f"array<{TYPE}>")
+def _split(g: pa.Array, by: pa.Array) -> pa.Array:
+    found = [None if p is None else split_polygon(*p) if _dim(p[0]) == 2 else split_line(*p) for p in pairs(g, by)]
+    ends = np.cumsum([0] + [len(x or []) for x in found])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), encode([y for x in found for y in x or []]), mask=pa.array([x is None for x in found], pa.bool_()))
 
 
 def split(g: Column, by: Column) -> Column:
     """Array of the pieces of a polygon or of lines, cut by lines."""
-    return _split(_with_crs(g), _with_crs(by))
+    return _split(whole(g), whole(by))
 
 
 def chop_along_antimeridian(g: Column, crs, precision: float = 0.1) -> Column:
     """Pieces on each side of the antimeridian as one Multi geometry; the geometry itself where it does not meet it."""
     pieces = F.array_compact(split(g, Geo.line(projected_lon(crs, 180.0, step=precision), g["crs"])))
     single = F.regexp_replace(g["type"], "^Multi", "")
-    return F.when(F.size(pieces) < 2, _with_crs(g)).otherwise(_with_crs(Geo.geometry(F.concat(F.lit("Multi"), single), F.flatten(F.transform(pieces, lambda p: p["parts"])), g["crs"])))
-
+    return F.when(F.size(pieces) < 2, whole(g)).otherwise(whole(Geo.geometry(F.concat(F.lit("Multi"), single), F.flatten(F.transform(pieces, lambda p: p["parts"])), g["crs"])))
+
+
+#: Polygons that one task merges at a time, and cells of a level that become one of the next, along each axis.
+GROUP, FAN = 32, 2
+
+
+def dissolve(df: DataFrame, geom: str, keys: list[str], cell: float, group: int = GROUP) -> DataFrame:
+    """One row per key: the union of its polygons, as ``keys`` and ``geom``; rows without a polygon are left out.
+
+    Polygons are dealt to the cell of their box's corner, and the polygons of a cell to as many hands as keep each under
+    ``group``. Every round merges what shares a cell and a hand and then halves hands, or, where one is left everywhere, the
+    cells' resolution; only what is still apart moves. So no task holds more than ``group`` operands, whatever key or cell is
+    hot, and the rounds grow with the logarithm of the input. A key's result is one row, so the size of that is the data's.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    at = lambda k: F.floor(F.array_min(F.transform(Geo.vertices(F.col("_g")), lambda p: p[k])) / cell)
+    # what repeats adds nothing, and would all fall to one hand
+    t = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), whole(F.col(geom)).alias("_g")).filter(F.size("_g.parts") > 0).distinct()
+    t = t.withColumns({"_y": at("y"), "_x": at("x")})
+    place_of = [*names, "_y", "_x"]
+    sizes = t.groupBy(*place_of).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n"), F.min("_y"), F.max("_y"), F.min("_x"), F.max("_x")).first()
+    if most[0] is None:
+        return df.select(*keys, whole(F.col(geom)).alias(geom)).limit(0)
+    hands = -(-most[0] // group)
+    if hands > 1:
+        own = t.join(sizes.withColumnsRenamed({n: f"_s{n}" for n in place_of}), [F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in place_of])
+        t = own.select(*place_of, "_g", F.pmod(F.xxhash64("_g"), F.ceil(F.col("_n") / group)).alias("_h"))
+    else:
+        t = t.withColumn("_h", F.lit(0).cast("long"))
+    span = max(most[2] - most[1], most[4] - most[3]) + 1
+    while True:
+        t = t.groupBy(*place_of, "_h").agg(unary_union(F.collect_list("_g")).alias("_g"))
+        if hands > 1:
+            t, hands = t.withColumn("_h", F.floor(F.col("_h") / group)), -(-hands // group)
+        elif span > 1:
+            t = t.withColumns({k: F.floor((F.col(k) - low) / FAN) + low for k, low in (("_y", most[1]), ("_x", most[3]))})
+            span = -(-span // FAN)
+        else:
+            return t.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), F.col("_g").alias(geom))

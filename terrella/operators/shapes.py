@@ -55,7 +55,7 @@ def encode(found: list[dict | None]) -> pa.StructArray:
     a = pa.ListArray.from_arrays(ends([len(p) for p in parts]), a)
     a = pa.ListArray.from_arrays(ends([len(ps) for ps in each]), a)
     named = [pa.array([g[n] if g else None for g in found], pa.string()) for n in ("type", "crs")]
-    return pa.StructArray.from_arrays([*named, a], fields=list(KIND), mask=pa.array([g is None for g in found]))
+    return pa.StructArray.from_arrays([*named, a], fields=list(KIND), mask=pa.array([g is None for g in found], pa.bool_()))
 
 
 def same_system(a: dict, b: dict) -> None:

@@ -60,7 +60,8 @@ def meeting_pairs(s: np.ndarray, t: np.ndarray, pad: float) -> tuple[np.ndarray,
         n = last - first
         i = np.repeat(i, n)
         j = j[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(count)]
-        i, j = np.divmod(np.unique(i * len(t) + j), len(t))
+        key = np.sort(i * len(t) + j)
+        i, j = np.divmod(key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key, len(t))
     a, b = s[i], t[j]
     near = np.ones(len(i), bool)
     for k in (0, 1):
@@ -256,11 +257,11 @@ def rings(xy: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
         return []
     a, b = edges.T
     n = len(edges)
-    d = xy[b] - xy[a]
+    d, back = xy[b] - xy[a], xy[a] - xy[b]
     # at a node, clockwise: edges that arrive (by the way back) and edges that leave
     node = np.concatenate([b, a])
-    angle = np.concatenate([np.arctan2(-d[:, 1], -d[:, 0]), np.arctan2(d[:, 1], d[:, 0])])
-    order = np.lexsort((np.arange(2 * n), -angle, node))
+    angle = np.concatenate([np.arctan2(back[:, 1], back[:, 0]), np.arctan2(d[:, 1], d[:, 0])])
+    order = np.lexsort((np.arange(2 * n) < n, -angle, node))  # the way straight back comes last
     starts = np.flatnonzero(np.concatenate([[True], node[order[1:]] != node[order[:-1]]]))
     group = np.cumsum(np.bincount(starts, minlength=2 * n)) - 1
     leaves = np.where(order >= n, np.arange(2 * n), 4 * n)

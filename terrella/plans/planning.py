@@ -194,11 +194,62 @@ def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     x, y = (l + r) / 2, (b + t) / 2
     ell = Geo.polygon(F.array(*(Geo.vertex(*p) for p in ((l, b), (r, b), (r, y), (x, y), (x, t), (l, t), (l, b)))), "EPSG:4326")
     j = J.box_join(boxes(spark, d).select("ck", "box", ell.alias("g")), sboxes(spark, d).select("sk", "sbox"), "box", "sbox", 8.0, B.interiors_meet)
-    # milliseconds a pair: spread by number of cores, as adaptive execution would coalesce so few bytes to one task
-    j = j.select("ck", "sk", "g", Geo.from_bbox(F.col("sbox")).alias("h")).repartition(4 * spark.sparkContext.defaultParallelism, "ck", "sk")
-    ops = {"inter": overlay.intersection, "uni": overlay.union, "diff": overlay.difference, "sym": overlay.symmetric_difference}
-    j = j.select("ck", "sk", *(op(F.col("g"), F.col("h")).alias(n) for n, op in ops.items()))
-    return j.select("ck", "sk", *(rnd(Geo.area(F.col(n)), 6, n) for n in ops))
+    j = j.select("ck", "sk", overlay.every_operation(F.col("g"), Geo.from_bbox(F.col("sbox"))).alias("o"))
+    names = {"inter": "intersection", "uni": "union", "diff": "difference", "sym": "symmetric"}
+    return j.select("ck", "sk", *(rnd(Geo.area(F.col(f"o.{o}")), 6, n) for n, o in names.items()))
+
+
+_ACROSS = "greatest(0, least({}, sr) - greatest(l, sl))"
+
+
+@query(
+    f"""SELECT ck, sk, round(i, 6) AS inside, round(sr - sl - i, 6) AS outside, round(sr - sl - i, 6) AS beside FROM (SELECT ck, sk, sl, sr, CASE WHEN y < yb OR y > yt THEN 0 WHEN y <= ym THEN {_ACROSS.format('r')}
+        ELSE {_ACROSS.format('(l + r)/2')} END AS i FROM (SELECT *, round((sb + st)/2, 6) AS y, round(b, 6) AS yb, round(t, 6) AS yt, round((b + t)/2, 6) AS ym FROM c JOIN s ON l < sr AND sl < r AND b < st AND sb < t))""",
+    c=CBOX, s=SBOX,
+)
+def lines_by_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Lines clipped by L-shaped polygons: what lies in them, what outside, and what a union keeps beside them."""
+    l, b, r, t = (F.col(c) for c in "lbrt")
+    x, y = (l + r) / 2, (b + t) / 2
+    ell = Geo.polygon(F.array(*(Geo.vertex(*p) for p in ((l, b), (r, b), (r, y), (x, y), (x, t), (l, t), (l, b)))), "EPSG:4326")
+    j = J.box_join(boxes(spark, d).select("ck", "box", ell.alias("g")), sboxes(spark, d).select("sk", "sbox"), "box", "sbox", 8.0, B.interiors_meet)
+    s = F.col("sbox")
+    j = j.withColumn("h", Geo.line(F.array(Geo.vertex(s["left"], (s["bottom"] + s["top"]) / 2), Geo.vertex(s["right"], (s["bottom"] + s["top"]) / 2)), "EPSG:4326"))
+    g, h = F.col("g"), F.col("h")
+    j = j.select("ck", "sk", overlay.intersection(g, h).alias("i"), overlay.difference(h, g).alias("o"), overlay.pieces(g, h, "union").alias("p"))
+    return j.select("ck", "sk", rnd(Geo.length(F.col("i")), 6, "inside"), rnd(Geo.length(F.col("o")), 6, "outside"), rnd(Geo.length(F.col("p.lines")), 6, "beside"))
+
+
+@query(
+    """SELECT ck, sk, CAST(CASE WHEN x BETWEEN round(l, 6) AND round(r, 6) AND y BETWEEN round(sb, 6) AND round(st, 6) THEN 1 ELSE 0 END AS INT) AS n, CASE WHEN x BETWEEN round(l, 6) AND round(r, 6) AND y BETWEEN round(sb, 6) AND round(st, 6) THEN x END AS x,
+        CASE WHEN x BETWEEN round(l, 6) AND round(r, 6) AND y BETWEEN round(sb, 6) AND round(st, 6) THEN y END AS y FROM (SELECT *, round((sl + sr)/2, 6) AS x, round((b + t)/2, 6) AS y FROM c JOIN s ON l < sr AND sl < r AND b < st AND sb < t)""",
+    c=CBOX, s=SBOX,
+)
+def line_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Level lines through boxes and upright ones through others: the point where two cross, if they do."""
+    j = J.box_join(boxes(spark, d).select("ck", "box"), sboxes(spark, d).select("sk", "sbox"), "box", "sbox", 8.0, B.interiors_meet)
+    c, s = F.col("box"), F.col("sbox")
+    y, x = (c["bottom"] + c["top"]) / 2, (s["left"] + s["right"]) / 2
+    level, upright = Geo.line(F.array(Geo.vertex(c["left"], y), Geo.vertex(c["right"], y))), Geo.line(F.array(Geo.vertex(x, s["bottom"]), Geo.vertex(x, s["top"])))
+    j = j.select("ck", "sk", overlay.pieces(level, upright).alias("p"))
+    at = F.get(Geo.vertices(F.col("p.points")), F.lit(0))
+    return j.select("ck", "sk", F.size("p.points.parts").alias("n"), rnd(at["x"], 6, "x"), rnd(at["y"], 6, "y"))
+
+
+@query(
+    """SELECT nk, round(sum((x1 - x0)*high), 4) AS area, n FROM (SELECT nk, x0, x1, sum(top - bottom) AS high FROM (SELECT nk, x0, x1, island, max(t) AS top, min(b) AS bottom FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY nk, x0 ORDER BY b, t ROWS UNBOUNDED PRECEDING) AS island FROM (
+          SELECT x.nk, x0, x1, b, t, CASE WHEN b > max(t) OVER (PARTITION BY x.nk, x0 ORDER BY b, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh
+          FROM (SELECT nk, x AS x0, lead(x) OVER (PARTITION BY nk ORDER BY x) AS x1 FROM (SELECT nk, l AS x FROM c UNION SELECT nk, r FROM c)) x JOIN c ON c.nk = x.nk AND l <= x0 AND r >= x1))
+        GROUP BY nk, x0, x1, island) GROUP BY nk, x0, x1) JOIN (SELECT nk, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY nk) USING (nk) GROUP BY nk, n""",
+    c=CBOX,
+)
+def dissolved_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes of each nation as one geometry, merged by cells and then level by level."""
+    t = boxes(spark, d)
+    g = overlay.dissolve(t.select("nk", Geo.from_bbox(F.col("box")).alias("g")), "g", ["nk"], 16.0)
+    n = t.groupBy("nk").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("nk", rnd(Geo.area(F.col("g")), 4, "area")).join(n, "nk")
 
 
 @query(
