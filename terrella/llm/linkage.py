@@ -166,7 +166,7 @@ def decide(a: Items, b: Items, forest: Forest, share: tuple[int, int], within: b
 
 
 def _decide_few(a: Items, b: Items, forest: Forest, p: int, q: int, within: bool) -> list[tuple[int, int]]:
-    """The same for a few items of one block, pair by pair: length, then the overlap itself."""
+    """The same for a few items of one block, pair by pair: length, then the overlap itself, then a common key."""
     links = []
     na, nb = a.size.tolist(), b.size.tolist()
     met = _met(a, b)
@@ -175,7 +175,8 @@ def _decide_few(a: Items, b: Items, forest: Forest, p: int, q: int, within: bool
             m = nb[j]
             if met[i, j] or q * min(m, n) < p * max(m, n) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
                 continue
-            if (p + q) * len(np.intersect1d(a.elements[i], b.elements[j], assume_unique=True)) >= p * (m + n):
+            # as among many: only pairs that share a key
+            if (p + q) * len(np.intersect1d(a.elements[i], b.elements[j], assume_unique=True)) >= p * (m + n) and np.isin(a.keys[i], b.keys[j]).any():
                 forest.join(a.comps[i], b.comps[j])
                 links.append((a.nodes[i], b.nodes[j]))
     return links

@@ -196,7 +196,7 @@ class Code:
         """The id whose code leads each value of ``bits`` bits."""
         if self._table is None:
             t = np.repeat(self._order, self._width)
-            self._table = np.concatenate([t, np.zeros((1 << self.bits) - len(t), np.int64)]).astype(np.uint32)
+            self._table = np.concatenate([t, np.zeros((1 << self.bits) - len(t), np.int64)]).astype(np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32)
         return self._table
 
     def encode(self, ids: np.ndarray, step: int = STEP) -> tuple[bytes, np.ndarray]:
@@ -218,7 +218,7 @@ class Code:
         window = np.append(wide[:-1] << np.uint64(32) | wide[1:], np.uint64(0))
         at, last = starts.astype(np.int64), 32 * len(words) - 64
         table, lengths, keep = self.table, self.lengths, np.uint64((1 << self.bits) - 1)
-        out = np.empty((step, len(at)), np.uint32)
+        out = np.empty((step, len(at)), table.dtype)
         for i in range(step):
             shift = (64 - self.bits - (at & 31)).astype(np.uint64)
             out[i] = table[(window[at >> 5] >> shift) & keep]

@@ -333,3 +333,17 @@ def test_queries_are_registered():
 
     assert {f"op{i}" for i in range(1, 11)} <= {q.split("_")[0] for q in e.queries()} and "pipeline" in e.queries()
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("more", [0, 4, 60])
+def test_links_need_a_common_key_in_blocks_of_any_size(more):
+    """Two equal sets without a common key, and two with one, among items unlike all others."""
+    from terrella.llm import linkage
+
+    rng = np.random.default_rng(0)
+    same = np.sort(rng.integers(0, 1 << 62, 30).astype(np.uint64))
+    sets = [same, same, same] + [np.sort(rng.integers(0, 1 << 62, 30).astype(np.uint64)) for _ in range(more)]
+    keys = [[1], [2], [2]] + [[10 + i] for i in range(more)]
+    decoded = [(np.array(k, np.uint64), np.zeros(1, np.int64), e, 30) for k, e in zip(keys, sets)]
+    items = linkage.Items(list(range(len(sets))), decoded, list(range(len(sets))), [[None] * len(sets)])
+    assert linkage.decide(items, items, linkage.Forest(), (8, 10), True) == [(1, 2)]
