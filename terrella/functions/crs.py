@@ -254,8 +254,13 @@ def _sinusoidal(c: CRS) -> tuple[Callable, Callable]:
     return fwd, inv
 
 
-def _utm(c: CRS) -> tuple[Callable, Callable]:
-    """Transverse Mercator by Krueger's series to the third order in the third flattening."""
+def _krueger(c: CRS) -> tuple[Callable[[Column, Column], Column], Callable[[Column, Column], Column]]:
+    """Transverse Mercator by Krueger's series to the third order in the third flattening: struct(x, y) each way.
+
+    Every intermediate that the series use more than once is bound, so it is computed once a row.
+    """
+    from .scalar import let
+
     zone, south = c.params
     lon0, k0, fe, fn = zone * 6.0 - 183.0, 0.9996, 500000.0, 10000000.0 if south else 0.0
     f = 1 / c.rf
@@ -266,31 +271,50 @@ def _utm(c: CRS) -> tuple[Callable, Callable]:
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
     e = 2 * math.sqrt(n) / (1 + n)
 
-    def fwd(x: Column, y: Column) -> Pair:
-        lam, s = (x - lon0) * RAD, F.sin(y * RAD)
-        t = F.sinh(F.atanh(s) - F.atanh(s * e) * e)
-        xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-        ex, ny = eta, xi
-        for j, a in enumerate(alpha, 1):
-            ex = ex + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-            ny = ny + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
-        return ex * (k0 * radius) + fe, ny * (k0 * radius) + fn
+    def series(p: Column, sign: float, terms: tuple) -> tuple[Column, Column]:
+        xi, eta = p["xi"], p["eta"]
+        for j, a in enumerate(terms, 1):
+            xi = xi + F.sin(p["xi"] * (2 * j)) * F.cosh(p["eta"] * (2 * j)) * (sign * a)
+            eta = eta + F.cos(p["xi"] * (2 * j)) * F.sinh(p["eta"] * (2 * j)) * (sign * a)
+        return xi, eta
 
-    def inv(x: Column, y: Column) -> Pair:
-        xi, eta = (y - fn) / (k0 * radius), (x - fe) / (k0 * radius)
-        xs, es = xi, eta
-        for j, b in enumerate(beta, 1):
-            xs = xs - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
-            es = es - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
-        chi = F.asin(F.sin(xs) / F.cosh(es))
-        lat = chi
-        for j, d in enumerate(delta, 1):
-            lat = lat + F.sin(chi * (2 * j)) * d
-        return F.atan2(F.sinh(es), F.cos(xs)) * DEG + lon0, lat * DEG
+    def fwd(x: Column, y: Column) -> Column:
+        def place(p: Column) -> Column:
+            xi, eta = series(p, 1.0, alpha)
+            return F.struct((eta * (k0 * radius) + fe).alias("x"), (xi * (k0 * radius) + fn).alias("y"))
+
+        sphere = lambda p: F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("xi"), F.atanh(F.sin(p["lam"]) / F.sqrt(p["t"] * p["t"] + 1)).alias("eta"))
+        t = let(F.sin(y * RAD), lambda s: F.sinh(F.atanh(s) - F.atanh(s * e) * e))
+        return let(let(F.struct(((x - lon0) * RAD).alias("lam"), t.alias("t")), sphere), place)
+
+    def inv(x: Column, y: Column) -> Column:
+        def place(p: Column) -> Column:
+            def last(chi: Column) -> Column:
+                lat = chi
+                for j, d in enumerate(delta, 1):
+                    lat = lat + F.sin(chi * (2 * j)) * d
+                return F.struct((F.atan2(F.sinh(p["eta"]), F.cos(p["xi"])) * DEG + lon0).alias("x"), (lat * DEG).alias("y"))
+
+            return let(F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])), last)
+
+        plain = F.struct(((y - fn) / (k0 * radius)).alias("xi"), ((x - fe) / (k0 * radius)).alias("eta"))
+        return let(let(plain, lambda p: F.struct(*(v.alias(k) for k, v in zip(("xi", "eta"), series(p, -1.0, beta))))), place)
 
     return fwd, inv
 
 
+def _utm(c: CRS) -> tuple[Callable, Callable]:
+    def pair(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Pair]:
+        def run(x: Column, y: Column) -> Pair:
+            p = f(x, y)
+            return p["x"], p["y"]
+
+        return run
+
+    fwd, inv = _krueger(c)
+    return pair(fwd), pair(inv)
+
+
 _MAKE = {"mercator": _mercator, "cea": _cea, "albers": _albers, "sinusoidal": _sinusoidal, "utm": _utm}
 
 
@@ -309,21 +333,31 @@ def transform(x: Column, y: Column, source, target) -> Pair:
     return F.when(bad, nan).otherwise(px), F.when(bad, nan).otherwise(py)
 
 
+def _lost(x: Column, y: Column) -> Column:
+    return x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y)
+
+
 def to_own_utm(lon: Column, lat: Column) -> Column:
     """struct(epsg, x, y): each place in its own UTM zone. Zones differ by their meridian alone, so one zone's formula serves all."""
     from .scalar import let
 
+    fwd, nan = _krueger(crs(32631))[0], F.lit(float("nan"))
+
     def place(z: Column) -> Column:
-        x, y = transform(lon - ((z % 100) * 6 - 183) + 3, lat, 4326, 32631)
-        return F.struct(z.alias("epsg"), x.alias("x"), F.when(z >= 32700, y + 10000000.0).otherwise(y).alias("y"))
+        bad = _lost(lon, lat)
+        found = let(fwd(lon - ((z % 100) * 6 - 183) + 3, lat), lambda p: F.struct(z.alias("epsg"), p["x"].alias("x"), F.when(z >= 32700, p["y"] + 10000000.0).otherwise(p["y"]).alias("y")))
+        return F.when(bad, F.struct(z.alias("epsg"), nan.alias("x"), nan.alias("y"))).otherwise(found)
 
     return let(utm_zone(lon, lat), place)
 
 
-def from_own_utm(epsg: Column, x: Column, y: Column) -> Pair:
-    """Longitude and latitude of a place in the UTM zone of its row."""
-    lon, lat = transform(x, F.when(epsg >= 32700, y - 10000000.0).otherwise(y), 32631, 4326)
-    return lon - 3 + ((epsg % 100) * 6 - 183), lat
+def from_own_utm(epsg: Column, x: Column, y: Column) -> Column:
+    """struct(lon, lat) of a place in the UTM zone of its row."""
+    from .scalar import let
+
+    inv, nan = _krueger(crs(32631))[1], F.lit(float("nan"))
+    found = let(inv(x, F.when(epsg >= 32700, y - 10000000.0).otherwise(y)), lambda p: F.struct((p["x"] - 3 + ((epsg % 100) * 6 - 183)).alias("lon"), p["y"].alias("lat")))
+    return F.when(_lost(x, y), F.struct(nan.alias("lon"), nan.alias("lat"))).otherwise(found)
 
 
 def units_per_degree(target, lon: Column, lat: Column, step: float = 0.1) -> Column:

@@ -194,6 +194,8 @@ def polygon_overlay(spark: SparkSession, d: str) -> DataFrame:
     x, y = (l + r) / 2, (b + t) / 2
     ell = Geo.polygon(F.array(*(Geo.vertex(*p) for p in ((l, b), (r, b), (r, y), (x, y), (x, t), (l, t), (l, b)))), "EPSG:4326")
     j = J.box_join(boxes(spark, d).select("ck", "box", ell.alias("g")), sboxes(spark, d).select("sk", "sbox"), "box", "sbox", 8.0, B.interiors_meet)
+    # milliseconds a pair: spread by number of cores, as adaptive execution would coalesce so few bytes to one task
+    j = j.repartition(4 * spark.sparkContext.defaultParallelism, "ck", "sk")
     j = j.select("ck", "sk", overlay.every_operation(F.col("g"), Geo.from_bbox(F.col("sbox"))).alias("o"))
     names = {"inter": "intersection", "uni": "union", "diff": "difference", "sym": "symmetric"}
     return j.select("ck", "sk", *(rnd(Geo.area(F.col(f"o.{o}")), 6, n) for n, o in names.items()))

@@ -455,8 +455,8 @@ def proj_utm(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT ok, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p", p=PTS)
 def proj_utm_inverse(spark: SparkSession, d: str) -> DataFrame:
     u = pts(spark, d).select("ok", "ln", C.to_own_utm(F.col("lon"), F.col("lat")).alias("u"))
-    lon, lat = C.from_own_utm(F.col("u.epsg"), F.col("u.x"), F.col("u.y"))
-    return u.select("ok", "ln", rnd(lon, 6, "lon"), rnd(lat, 6, "lat"))
+    u = u.select("ok", "ln", C.from_own_utm(F.col("u.epsg"), F.col("u.x"), F.col("u.y")).alias("p"))
+    return u.select("ok", "ln", rnd(F.col("p.lon"), 6, "lon"), rnd(F.col("p.lat"), 6, "lat"))
 
 
 @query("SELECT ok, ln, CAST((CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END) + least(60, floor((lon + 180)/6.0E0) + 1) AS INT) AS epsg FROM p", p=PTS)
