@@ -47,11 +47,37 @@ def oriented(g) -> np.ndarray:
     return np.concatenate(out)
 
 
+def arrangements(found: list[tuple[dict, dict]]) -> Arrangement:
+    """One arrangement of many pairs, a group each; all pairs of the same dimensions, and no point sets."""
+    areal = tuple(_dim(g) == 2 for g in found[0])
+    sides = []
+    for k, area in enumerate(areal):
+        each = [oriented(p[k]) if area else _segments(p[k]) for p in found]
+        s, g = np.concatenate(each), np.repeat(np.arange(len(found)), [len(e) for e in each])
+        real = (s[:, :2] != s[:, 2:]).any(1)
+        sides.append((s[real], g[real]))
+    (s, gs), (t, gt) = sides
+    return Arrangement(s, t, areal, np.array([_reach(*p) / ON for p in found]), gs, gt)
+
+
 def arrangement(a, b) -> Arrangement:
-    """Of two geometries that are no point sets."""
-    areal = _dim(a) == 2, _dim(b) == 2
-    s, t = (oriented(g) if area else _segments(g) for g, area in zip((a, b), areal))
-    return Arrangement(s[(s[:, :2] != s[:, 2:]).any(1)], t[(t[:, :2] != t[:, 2:]).any(1)], areal, _reach(a, b) / ON)
+    return arrangements([(a, b)])
+
+
+def in_batches(found: list, most: int = 20_000):
+    """Numbers of the pairs that are there, in runs of the same dimensions and a bounded number of vertices."""
+    run, size, kind = [], 0, None
+    for i, p in enumerate(found):
+        if p is None:
+            continue
+        n, k = sum(len(r) for g in p for part in g["parts"] for r in part), (_dim(p[0]), _dim(p[1]))
+        if run and (k != kind or size + n > most):
+            yield run
+            run, size = [], 0
+        run.append(i)
+        size, kind = size + n, k
+    if run:
+        yield run
 
 
 def _orient(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -159,15 +185,10 @@ def relation(a, b) -> str:
         return {"within": "contains", "contains": "within"}.get(r, r)
     if db == 0:
         return _relation_to_points(a, b, va, vb)
+    if da == 2 and db == 2:
+        return _areal_relations([(a, b)])[0]
     r = arrangement(a, b)
     meet = r.common_nodes()
-    if da == 2 and db == 2:
-        # every face of either has an edge, and what lies beside the edges decides
-        sides = [np.concatenate([r.left[i], r.right[i]]) for i in (0, 1)]
-        if not (sides[0] & sides[1]).any():
-            return "touches" if len(meet) else "disjoint"
-        a_out, b_out = (sides[0] & ~sides[1]).any(), (sides[1] & ~sides[0]).any()
-        return "overlaps" if a_out and b_out else "contains" if a_out else "within" if b_out else "equals"
     if da == 2:
         left, right = r.left[0][r.on[1]], r.right[0][r.on[1]]
         if not (left & right).any():
@@ -181,6 +202,18 @@ def relation(a, b) -> str:
     return "disjoint" if not len(meet) else "crosses" if (inner[0] & inner[1]).any() else "touches"
 
 
+def _areal_relations(found: list[tuple[dict, dict]]) -> list[str]:
+    """Of pairs of polygons: every face of either has an edge, and what lies beside the edges decides."""
+    r = arrangements(found)
+    a, b = (np.concatenate([r.left[i], r.right[i]]) for i in (0, 1))
+    group = np.concatenate([r.group, r.group])
+    some = lambda m: np.bincount(group[m], minlength=len(found)) > 0
+    inner, a_out, b_out = some(a & b), some(a & ~b), some(b & ~a)
+    meet = np.bincount(r.node_group[r.common_nodes()], minlength=len(found)) > 0
+    names = np.select([~inner & ~meet, ~inner, a_out & b_out, a_out, b_out], ["disjoint", "touches", "overlaps", "contains", "within"], "equals")
+    return names.tolist()
+
+
 def _relation_to_points(a, b, va: np.ndarray, vb: np.ndarray) -> str:
     eps = _reach(a, b)
     if _dim(a) == 2:
@@ -209,7 +242,14 @@ def covered(a, b) -> bool:
 
 @later("string")
 def _relation(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else relation(*p) for p in pairs(a, b)], pa.string())
+    found = list(pairs(a, b))
+    out: list[str | None] = [None] * len(found)
+    for run in in_batches(found):
+        batch = [found[i] for i in run]
+        areal = all(_dim(g) == 2 and len(_points(g)) for p in batch for g in p)
+        for i, r in zip(run, _areal_relations(batch) if areal else [relation(*p) for p in batch]):
+            out[i] = r
+    return pa.array(out, pa.string())
 
 
 @later("boolean")

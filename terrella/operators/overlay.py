@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as Geo
 from ..functions.crs import projected_lon
 from ..functions.geometry import TYPE
-from .kernels import _dim, _geom, _near, _points, _reach, _rings, _segments, arrangement, cut, members, oriented, place, signed_area
+from .kernels import _dim, _geom, _near, _points, _reach, _rings, _segments, arrangement, arrangements, cut, in_batches, members, oriented, place, signed_area
 from .shapes import decode, encode, later, pairs, same_system, whole
 from .topology import ON, ONE, Arrangement, numbered, paths, rings
 
@@ -44,8 +44,8 @@ def turned(s: np.ndarray) -> np.ndarray:
 
 def polygons_of(found: list[np.ndarray]) -> list[list[np.ndarray]]:
     """Outer rings, each with the holes in it; a hole goes to the smallest ring around it. Rings do not cross."""
-    if not found:
-        return []
+    if len(found) < 2:
+        return [found] if found and signed_area(found[0]) > 0 else []
     flat, start = np.concatenate(found), np.cumsum([0] + [len(r) for r in found[:-1]])
     q = flat - np.repeat(flat[start], np.diff(np.append(start, len(flat))), axis=0)
     turn = np.append(q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1], 0.0)
@@ -73,8 +73,16 @@ def _shaped(crs, kind: str, parts: list) -> dict:
     return _geom(f"Multi{kind}" if len(parts) > 1 else kind, crs, parts)
 
 
+def _areas_by_group(r: Arrangement, systems: list[str | None], op) -> list[dict]:
+    found, heads = rings(r.xy, r.area(op))
+    by: list[list[np.ndarray]] = [[] for _ in systems]
+    for ring, g in zip(found, r.node_group[heads].tolist() if heads else ()):
+        by[g].append(ring)
+    return [_shaped(crs, "Polygon", polygons_of(each)) for crs, each in zip(systems, by)]
+
+
 def _areas(r: Arrangement, crs, op) -> dict:
-    return _shaped(crs, "Polygon", polygons_of(rings(r.xy, r.area(op))))
+    return _areas_by_group(r, [crs], op)[0]
 
 
 def apart(a, b, op) -> tuple[dict, dict, dict]:
@@ -140,7 +148,7 @@ def split_polygon(g, line) -> list[dict]:
     every = np.concatenate([edge, inner, turned(inner)])
     ids = numbered(every.reshape(-1, 2), eps * ONE / ON).reshape(-1, 2)
     ids = np.unique(ids[ids[:, 0] != ids[:, 1]], axis=0)
-    return [_geom("Polygon", g["crs"], [part]) for part in polygons_of(rings(every.reshape(-1, 2), ids))]
+    return [_geom("Polygon", g["crs"], [part]) for part in polygons_of(rings(every.reshape(-1, 2), ids)[0])]
 
 
 def split_line(g, by) -> list[dict]:
@@ -163,10 +171,23 @@ def split_line(g, by) -> list[dict]:
     return [_geom("LineString", g["crs"], [[r]]) for r in out]
 
 
+def combine_all(found: list[tuple[dict, dict] | None], ops: list) -> list[list[dict | None]]:
+    """``combine`` of many pairs, by operation; polygons are arranged many pairs at a time."""
+    out: list[list[dict | None]] = [[None] * len(found) for _ in ops]
+    for run in in_batches(found):
+        batch = [found[i] for i in run]
+        areal = _dim(batch[0][0]) == _dim(batch[0][1]) == 2
+        shared = arrangements(batch) if areal else None
+        for k, op in enumerate(ops):
+            for i, g in zip(run, _areas_by_group(shared, [a["crs"] for a, _ in batch], op) if areal else [combine(a, b, op) for a, b in batch]):
+                out[k][i] = g
+    return out
+
+
 def _operation(name: str) -> Callable[[Column, Column], Column]:
     @later(TYPE)
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return encode([None if p is None else combine(*p, OPERATIONS[name]) for p in pairs(a, b)])
+        return encode(combine_all(list(pairs(a, b)), [OPERATIONS[name]])[0])
 
     return lambda a, b: run(whole(a), whole(b))
 
@@ -196,12 +217,7 @@ def _struct(columns: dict[str, pa.Array]) -> pa.StructArray:
 
 @later(f"struct<{','.join(f'{n}:{TYPE}' for n in OPERATIONS)}>")
 def _every(a: pa.Array, b: pa.Array) -> pa.Array:
-    out: dict[str, list] = {n: [] for n in OPERATIONS}
-    for p in pairs(a, b):
-        shared = arrangement(*p) if p and _dim(p[0]) == _dim(p[1]) == 2 else None
-        for n, op in OPERATIONS.items():
-            out[n].append(None if p is None else _areas(shared, p[0]["crs"], op) if shared else combine(*p, op))
-    return _struct({n: encode(x) for n, x in out.items()})
+    return _struct({n: encode(x) for n, x in zip(OPERATIONS, combine_all(list(pairs(a, b)), list(OPERATIONS.values())))})
 
 
 def every_operation(a: Column, b: Column) -> Column:
@@ -225,21 +241,23 @@ def pieces(a: Column, b: Column, operation: str = "intersection") -> Column:
     return _PIECES[operation](whole(a), whole(b))
 
 
-def _folded(shapes, op) -> dict | None:
-    """Neighbours first, so the operands stay small as long as possible."""
-    todo = [g for g in shapes if g is not None]
-    for g in todo[1:]:
-        same_system(todo[0], g)
-    while len(todo) > 1:
-        todo = [combine(*todo[i : i + 2], op) if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
-    return todo[0] if todo else None
+def fold_all(groups: list[list[dict | None]], op) -> list[dict | None]:
+    """Each group folded to one geometry, neighbours first, so the operands stay small as long as possible; a level of all groups at a time."""
+    todo = [[g for g in shapes if g is not None] for shapes in groups]
+    for shapes in todo:
+        for g in shapes[1:]:
+            same_system(shapes[0], g)
+    while any(len(shapes) > 1 for shapes in todo):
+        met = iter(combine_all([(s[i], s[i + 1]) for s in todo for i in range(0, len(s) - 1, 2)], [op])[0])
+        todo = [[next(met) for _ in range(len(s) // 2)] + s[len(s) // 2 * 2 :] for s in todo]
+    return [s[0] if s else None for s in todo]
 
 
 def _fold(op):
     @later(TYPE)
     def run(shapes: pa.Array) -> pa.Array:
         flat, ends = decode(shapes.flatten()), np.cumsum([0] + [len(x) if x.is_valid else 0 for x in shapes])
-        return encode([_folded(flat[a:b], op) for a, b in zip(ends, ends[1:])])
+        return encode(fold_all([flat[a:b] for a, b in zip(ends, ends[1:])], op))
 
     return run
 

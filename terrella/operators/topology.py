@@ -1,5 +1,6 @@
-"""Arrangement of two geometries: the nodes where they meet, the edges between nodes, and on which side of each edge they lie.
+"""Arrangements of pairs of geometries: the nodes where two meet, the edges between nodes, and on which side of each edge they lie.
 
+Many pairs are arranged at once, told apart by a group number, so that small ones share the cost of array operations.
 Segments that can meet are found by a grid whose cells shrink until few segments share one. Meetings within a tolerance are
 one node. Around a node, edges in angular order say whether an edge lies inside the other polygon; along edges that touch it
 nowhere, this carries on; only a component without any contact needs a ray. So all work but sorting is in proportion to the
@@ -69,16 +70,37 @@ def meeting_pairs(s: np.ndarray, t: np.ndarray, pad: float) -> tuple[np.ndarray,
     return i[near], j[near]
 
 
+def pairs_by_group(s: np.ndarray, t: np.ndarray, pad: np.ndarray, gs: np.ndarray, gt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``meeting_pairs`` within groups, of segments ordered by group; ``pad`` by group."""
+    ns, nt = np.bincount(gs, minlength=len(pad)), np.bincount(gt, minlength=len(pad))
+    fs, ft = np.cumsum(ns) - ns, np.cumsum(nt) - nt
+    few = ns * nt <= FEW
+    i = np.flatnonzero(few[gs] & (nt[gs] > 0)) if len(s) else np.zeros(0, np.int64)
+    n = nt[gs[i]]
+    a = np.repeat(i, n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ft[gs[i]], n)
+    near = np.ones(len(a), bool)
+    for k in (0, 1):
+        near &= (np.minimum(s[a, k], s[a, k + 2]) <= np.maximum(t[b, k], t[b, k + 2]) + pad[gs[a]]) & (np.minimum(t[b, k], t[b, k + 2]) <= np.maximum(s[a, k], s[a, k + 2]) + pad[gs[a]])
+    found = [(a[near], b[near])]
+    for g in np.flatnonzero(~few).tolist():
+        x, y = meeting_pairs(s[fs[g] : fs[g] + ns[g]], t[ft[g] : ft[g] + nt[g]], float(pad[g]))
+        found.append((x + fs[g], y + ft[g]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]
 
 
-def meetings(s: np.ndarray, t: np.ndarray, eps: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def meetings(s: np.ndarray, t: np.ndarray, eps: float | np.ndarray, gs: np.ndarray | None = None, gt: np.ndarray | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """Where segments meet: for s and for t, the segment, the place along it and the point's number; and the new points.
 
-    Points are numbered: ends of s, ends of t (a segment's start and end in turn), then crossings.
+    Points are numbered: ends of s, ends of t (a segment's start and end in turn), then crossings. ``gs``, ``gt``: groups of the
+    segments, which are ordered by them and meet within one alone; ``eps`` is then by group.
     """
-    i, j = meeting_pairs(s, t, eps)
+    i, j = meeting_pairs(s, t, eps) if gs is None else pairs_by_group(s, t, eps, gs, gt)
+    eps = eps if gs is None else eps[gs[i]]
     p, d, u, e = s[i, :2], s[i, 2:] - s[i, :2], t[j, :2], t[j, 2:] - t[j, :2]
     out: tuple[list, list] = ([], [])
     ended = np.zeros(len(i), bool)
@@ -100,7 +122,7 @@ def meetings(s: np.ndarray, t: np.ndarray, eps: float) -> tuple[tuple[np.ndarray
     return *(tuple(map(np.concatenate, zip(*o))) for o in out), p[hit] + d[hit] * x[hit, None]
 
 
-def numbered(points: np.ndarray, tol: float) -> np.ndarray:
+def numbered(points: np.ndarray, tol: float | np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
     """Of each point the first of those that are the same within a tolerance: any two within half of it share one of four grids' cells."""
     label = np.arange(len(points))
     if not len(points):
@@ -108,7 +130,9 @@ def numbered(points: np.ndarray, tol: float) -> np.ndarray:
     for _ in range(2):
         for shift in ((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5)):
             cell = np.floor(points / tol + shift).astype(np.int64)
-            order = np.lexsort((cell[:, 1], cell[:, 0]))
+            if group is not None:
+                cell = np.column_stack([cell, group])
+            order = np.lexsort(cell.T)
             new = np.ones(len(order), bool)
             new[1:] = (cell[order[1:]] != cell[order[:-1]]).any(1)
             least = np.minimum.reduceat(label[order], np.flatnonzero(new))
@@ -143,24 +167,48 @@ def winding_inside(points: np.ndarray, s: np.ndarray) -> np.ndarray:
     return out
 
 
+def winding_by_group(points: np.ndarray, s: np.ndarray, g: np.ndarray, gs: np.ndarray, groups: int) -> np.ndarray:
+    """``winding_inside`` of points with the segments of their own groups, which are ordered by group."""
+    n = np.bincount(gs, minlength=groups)
+    first, out = np.cumsum(n) - n, np.zeros(len(points), bool)
+    ends = np.cumsum(n[g])
+    for a in range(0, len(points)):
+        if n[g[a]] > FEW:
+            out[a] = winding_inside(points[a : a + 1], s[first[g[a]] : first[g[a]] + n[g[a]]])[0]
+    rest = np.flatnonzero(n[g] <= FEW)
+    for block in np.split(rest, np.flatnonzero(np.diff(ends[rest] // 2_000_000)) + 1):
+        k = n[g[block]]
+        at = np.repeat(np.arange(len(block)), k)
+        x0, y0, x1, y1 = s[np.repeat(first[g[block]], k) + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)].T
+        x, y = points[block][at].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+        out[block] = np.bincount(at[hit], minlength=len(block)) % 2 == 1
+    return out
+
+
 class Arrangement:
-    """Two sets of segments, areas (directed, interior to the left) or lines.
+    """Two sets of segments, areas (directed, interior to the left) or lines; in groups, each a pair of its own.
 
     ``xy``: nodes; ``u``, ``v``: an edge's nodes, the lower first; ``on``: by source, whether an edge is one of its segments;
-    ``left``, ``right``: by source, whether an area lies on that side of u to v; ``ends``: by source, how many segments end at a node.
+    ``left``, ``right``: by source, whether an area lies on that side of u to v; ``ends``: by source, how many segments end at a node;
+    ``group``: of every edge. Segments are ordered by group; ``scale``, the size of coordinates, is by group.
     """
 
-    def __init__(self, s: np.ndarray, t: np.ndarray, areal: tuple[bool, bool], scale: float):
-        eps, tol = ON * scale, ONE * scale
-        (si, sx, sp), (ti, tx, tp), new = meetings(s, t, eps)
+    def __init__(self, s: np.ndarray, t: np.ndarray, areal: tuple[bool, bool], scale: np.ndarray, gs: np.ndarray, gt: np.ndarray):
+        self.groups = len(scale)
+        (si, sx, sp), (ti, tx, tp), new = meetings(s, t, ON * scale, gs, gt)
         both = np.concatenate([s, t])
         points = np.concatenate([both.reshape(-1, 2), new])
         n, m = len(s), len(both)
+        group = np.concatenate([np.repeat(np.concatenate([gs, gt]), 2), gs[si[sp >= 2 * m]]])
+        tol = (ONE * scale)[group][:, None]
         seg = np.concatenate([si, ti + n, np.arange(m), np.arange(m)])
         at = np.concatenate([sx, tx, np.zeros(m), np.ones(m)])
         point = np.concatenate([sp, tp, 2 * np.arange(m), 2 * np.arange(m) + 1])
-        node = numbered(points, tol)
+        node = numbered(points, tol, group)
         used, node = np.unique(node, return_inverse=True)
+        self.node_group = group[used]
         self.xy = points[used]
         k = len(used)
         self.ends = [np.bincount(node[a:b], minlength=k) for a, b in ((0, 2 * n), (2 * n, 2 * m))]
@@ -170,13 +218,14 @@ class Arrangement:
         a, b, source = stop[:-1][step], stop[1:][step], (seg[1:][step] >= n).astype(np.int64)
         key, edge = np.unique(np.minimum(a, b) * k + np.maximum(a, b), return_inverse=True)
         self.u, self.v = np.divmod(key, max(k, 1))
+        self.group = self.node_group[self.u]
         way = np.where(a < b, 1, -1)
         self.on = [np.bincount(edge[source == i], minlength=len(key)) > 0 for i in (0, 1)]
         self.left, self.right = [None, None], [None, None]
-        for i, (own, is_area) in enumerate(zip((s, t), areal)):
+        for i, (own, mine, is_area) in enumerate(zip((s, t), (gs, gt), areal)):
             if is_area:
                 net = np.bincount(edge[source == i], way[source == i], minlength=len(key)).astype(np.int64)
-                self.left[i], self.right[i] = self._sides(net, own)
+                self.left[i], self.right[i] = self._sides(net, own, mine)
             else:
                 self.left[i] = self.right[i] = np.zeros(len(key), bool)
 
@@ -190,7 +239,7 @@ class Arrangement:
             self._around = origin, order, np.flatnonzero(np.concatenate([[True], origin[order[1:]] != origin[order[:-1]]])) if len(order) else np.zeros(0, np.int64)
         return self._around
 
-    def _sides(self, net: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _sides(self, net: np.ndarray, own: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the area lies left and right of every edge: ``net`` has the direction of its boundary, 0 where an edge is none."""
         edge = net != 0
         left, right = net > 0, net < 0
@@ -219,7 +268,7 @@ class Arrangement:
             state[label[a[half]]] = inside[rest[half]]
         lone = np.unique(label[np.concatenate([u[~touched[u]], v[~touched[v]]])])
         lone = lone[state[lone] < 0]
-        state[lone] = winding_inside(self.xy[lone], own)
+        state[lone] = winding_by_group(self.xy[lone], own, self.node_group[lone], mine, self.groups)
         mine = np.where(~touched[u], state[label[u]], np.where(~touched[v], state[label[v]], inside[rest]))
         left[rest] = right[rest] = mine > 0
         return left, right
@@ -251,10 +300,10 @@ class Arrangement:
         return np.flatnonzero(at[0] & at[1])
 
 
-def rings(xy: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
-    """Closed rings of directed edges; where several go on, the leftmost, so areas that touch at a point stay apart."""
+def rings(xy: np.ndarray, edges: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Closed rings of directed edges, and a node of each; where several edges go on, the leftmost, so areas that touch at a point stay apart."""
     if not len(edges):
-        return []
+        return [], []
     a, b = edges.T
     n = len(edges)
     d, back = xy[b] - xy[a], xy[a] - xy[b]
@@ -272,7 +321,7 @@ def rings(xy: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
     arrives = order < n
     there = arrives & (ahead < 4 * n)
     onward[order[there]] = order[ahead[there]] - n
-    onward, out, seen = onward.tolist(), [], [False] * n
+    onward, out, heads, seen = onward.tolist(), [], [], [False] * n
     for first in range(n):
         path, e = [], first
         while e >= 0 and not seen[e]:
@@ -282,7 +331,8 @@ def rings(xy: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
         if e == first and len(path) > 2:
             r = xy[a[path]]
             out.append(np.concatenate([r, r[:1]]))
-    return out
+            heads.append(int(a[first]))
+    return out, heads
 
 
 def paths(xy: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
