@@ -278,6 +278,57 @@ def unary_intersection(shapes: Column) -> Column:
     return _unary_intersection(_all_whole(shapes))
 
 
+def _stadium(p: np.ndarray, q: np.ndarray, d: float, quadrant: int) -> np.ndarray:
+    """All places within d of a segment: its offsets to both sides, and half circles of ``2 * quadrant`` sides."""
+    way = np.arctan2(*(q - p)[::-1])
+    t = np.linspace(-np.pi / 2, np.pi / 2, 2 * quadrant + 1)
+    half = lambda c, a: c + d * np.stack([np.cos(a), np.sin(a)], 1)
+    ring = np.concatenate([half(q, way + t), half(p, way + np.pi + t)])
+    return np.concatenate([ring, ring[:1]])
+
+
+def _strokes(g, d: float, quadrant: int) -> list[dict]:
+    """Stadiums around every segment, discs around lone points."""
+    s = _segments(g)
+    s = s[(s[:, :2] != s[:, 2:]).any(1)]
+    around = [_stadium(x[:2], x[2:], d, quadrant) for x in s]
+    if not len(s):
+        t = np.linspace(0, 2 * np.pi, 4 * quadrant + 1)
+        around = [p + d * np.stack([np.cos(t), np.sin(t)], 1) for p in np.unique(_points(g), axis=0)]
+    return [_geom("Polygon", g["crs"], [[r]]) for r in around]
+
+
+def buffered(shapes: list[dict | None], distances: list[float | None], quadrant: int) -> list[dict | None]:
+    """Each geometry grown by its distance, or, a polygon by a negative one, shrunk: the union with, or difference from, what lies that near its segments."""
+    there = [g if g is not None and d is not None else None for g, d in zip(shapes, distances)]
+    near = fold_all([_strokes(g, abs(d), quadrant) if g is not None and d else [] for g, d in zip(there, distances)], UNION)
+    pairs_of = lambda grow: [(g, n) if g is not None and n is not None and _dim(g) == 2 and (d > 0) == grow else None for g, n, d in zip(there, near, distances)]
+    grown, shrunk = (combine_all(pairs_of(grow), [op])[0] for grow, op in ((True, UNION), (False, DIFFERENCE)))
+    out: list[dict | None] = []
+    for g, d, n, more, less in zip(there, distances, near, grown, shrunk):
+        if g is None or (_dim(g) == 2 and (not d or n is None)):
+            out.append(g)
+        elif _dim(g) == 2:
+            out.append(more if d > 0 else less)
+        else:
+            out.append(n if d > 0 and n is not None else _geom("Polygon", g["crs"], []))
+    return out
+
+
+def buffer(g: Column, distance: float | Column, quadrant: int = 30) -> Column:
+    """All places within a distance of a geometry, as polygons; round joins and caps of ``quadrant`` sides a quarter turn.
+
+    A polygon shrinks by a negative distance, to no parts in the end, and stays as it is for 0; of lines and points only
+    positive distances leave something. A null distance gives null.
+    """
+
+    @F.arrow_udf(TYPE)
+    def run(g: pa.Array, d: pa.Array) -> pa.Array:
+        return encode(buffered(decode(g), d.to_pylist(), quadrant))
+
+    return run(whole(g), (distance if isinstance(distance, Column) else F.lit(distance)).cast("double"))
+
+
 @later(f"array<{TYPE}>")
 def _split(g: pa.Array, by: pa.Array) -> pa.Array:
     found = [None if p is None else split_polygon(*p) if _dim(p[0]) == 2 else split_line(*p) for p in pairs(g, by)]

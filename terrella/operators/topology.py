@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Below so many pairs of segments all are tried; above, the grid; entries of segments in cells at most.
-FEW, MOST_ENTRIES = 4096, 8_000_000
+FEW, MOST_ENTRIES = 1 << 15, 8_000_000
 #: Relative tolerances: of a point on a segment, and of points that are one node.
 ON, ONE = 1e-12, 1e-9
 

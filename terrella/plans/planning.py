@@ -254,6 +254,24 @@ def dissolved_boxes(spark: SparkSession, d: str) -> DataFrame:
     return g.select("nk", rnd(Geo.area(F.col("g")), 4, "area")).join(n, "nk")
 
 
+_DISC = "(120*sin(pi()/60)/2)"  # of a polygon of 120 sides, of radius 1
+
+
+@query(
+    f"""SELECT ck, round(CASE WHEN d < 0 THEN greatest(0, w + 2*d)*greatest(0, h + 2*d) ELSE w*h + 2*d*(w + h) + d*d*{_DISC} END, 6) AS area, round(CASE WHEN d > 0 THEN 2*d*(w + h) + d*d*{_DISC} - d*d*(1 - {_DISC}/4) ELSE 0 END, 6) AS strip,
+        round(CASE WHEN d > 0 THEN d*d*{_DISC} ELSE 0 END, 6) AS spot FROM (SELECT ck, r - l AS w, t - b AS h, (ck % 7)*0.25E0 - 0.75E0 AS d FROM c)""",
+    c=CBOX,
+)
+def buffered_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes grown and shrunk, lines with a right angle, and points, by distances that vary by row."""
+    l, b, r, t = (F.col(c) for c in "lbrt")
+    far = (F.col("ck") % 7) * 0.25 - 0.75
+    bend = Geo.line(F.array(Geo.vertex(l, b), Geo.vertex(r, b), Geo.vertex(r, t)))
+    j = boxes(spark, d).repartition(2 * spark.sparkContext.defaultParallelism, "ck")
+    j = j.select("ck", overlay.buffer(Geo.from_bbox(F.col("box")), far).alias("g"), overlay.buffer(bend, far).alias("s"), overlay.buffer(Geo.point(l, b), far).alias("p"))
+    return j.select("ck", rnd(Geo.area(F.col("g")), 6, "area"), rnd(Geo.area(F.col("s")), 6, "strip"), rnd(Geo.area(F.col("p")), 6, "spot"))
+
+
 @query(
     """SELECT ck, CAST(2 AS INT) AS n_geoms, CAST(1 AS INT) AS n_rings, round((r - l + t - b)*2, 6) AS around, round((l + r)/2, 6) AS mid, round(b, 6) AS south, round(r, 6) AS east,
         CAST(CASE WHEN r > 170.5E0 THEN 2 ELSE 1 END AS INT) AS sides, round((r - l)*(t - b), 6) AS whole FROM c""",

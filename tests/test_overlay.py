@@ -189,3 +189,20 @@ def test_dissolve(spark):
                 grid[int(y) : int(y + h), int(x) : int(x + w)] = True
         assert got[k] == pytest.approx(grid.sum())
     assert overlay.dissolve(df.limit(0), "g", ["k"], 8.0).count() == 0
+
+
+@pytest.mark.parametrize("d", [-1.2, -0.4, 0.3, 1.0, 2.5])
+def test_buffers_by_distance(d):
+    """Places near enough, by their distance from the boundary; arcs of many sides leave a thin doubt."""
+    r = np.random.default_rng(3)
+    p = r.uniform(-4, 10, (3000, 2))
+    for g in (SQUARE, RING, ELL, COMB, SLANT, path((0, 0), (4, 1), (2, 5), (2, 1)), path((1, 1), (1, 1)), spots((0, 0), (3, 3))):
+        got = overlay.buffered([g], [d], 60)[0]
+        s = kernels._segments(g) if kernels._dim(g) else np.concatenate([kernels._points(g)] * 2, 1)
+        e, rel = s[:, 2:] - s[:, :2], p[:, None] - s[None, :, :2]
+        t = np.clip((rel * e).sum(-1) / np.maximum((e**2).sum(1), 1e-300), 0, 1)
+        away = np.sqrt(((rel - t[..., None] * e) ** 2).sum(-1)).min(1)
+        inside = kernels.place(p, g) > 0 if kernels._dim(g) == 2 else np.zeros(len(p), bool)
+        want = inside | (away < d) if d > 0 else inside & (away > -d)
+        sure = np.abs(away - abs(d)) > 1e-3
+        assert ((kernels.place(p, got) > 0) == want)[sure].all()
