@@ -9,9 +9,12 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import multipart
+
 TYPES = {"uint8": (1, 8), "uint16": (1, 16), "uint32": (1, 32), "int8": (2, 8), "int16": (2, 16), "int32": (2, 32), "float32": (3, 32), "float64": (3, 64)}
 
 
@@ -93,6 +96,17 @@ def encode_tile(a: np.ndarray, tile: tuple[int, int], level: int = 6, pred: int
     return zlib.compress(raw, level)
 
 
+def packed(tiles: DataFrame, values: str, dtype: str) -> DataFrame:
+    """Tiles whose pixels are an array of numbers, row by row, with raw payload as ``data``."""
+
+    @F.arrow_udf("binary")
+    def run(v: pa.Array) -> pa.Array:
+        flat, n = v.flatten().to_numpy(zero_copy_only=False).astype(dtype), [len(x) for x in v]
+        return pa.array([a.tobytes() for a in np.split(flat, np.cumsum(n)[:-1])] if n else [], pa.binary())
+
+    return tiles.withColumn("data", run(F.col(values))).drop(values)
+
+
 def compress_tiles(tiles: DataFrame, dtype: str, tile: tuple[int, int], level: int = 6, pred: int | None = None) -> DataFrame:
     """Rows (ifd, plane, ty, tx, h, w, data) with raw payload to the same with compressed payload and its size."""
     p = predictor(dtype) if pred is None else pred
@@ -170,10 +184,7 @@ def bigtiff(levels: list[Layout], dtype: str, tables: list[tuple[list[int], list
 
 
 class Parts:
-    """Multipart writing of an ordered byte stream: adjacent pieces merge, and full parts are written early.
-
-    A piece keeps its left edge until everything before it is known, so merging is associative and keeps order.
-    """
+    """Runs of pieces that make up the parts of a stream whose pieces are not to be cut; see ``multipart`` for cut ones."""
 
     def __init__(self, min_size: int = 5 << 20, max_size: int = 5 << 30, max_parts: int = 10_000):
         self.min_size, self.max_size, self.max_parts = min_size, max_size, max_parts
@@ -193,13 +204,13 @@ class Parts:
         return out
 
 
-def write_cog(tiles: DataFrame, path: str, levels: list[Layout], dtype: str, tags: list[tuple[int, int, list]], pred: int | None = None, nodata: float | None = None) -> int:
-    """Write compressed tiles (ifd, plane, ty, tx, data, size) as one file; returns its size.
+def write_cog(tiles: DataFrame, path: str | multipart.Sink, levels: list[Layout], dtype: str, tags: list[tuple[int, int, list]], pred: int | None = None, nodata: float | None = None) -> int:
+    """Write compressed tiles (ifd, plane, ty, tx, data, size) as one file, or to a sink; returns its size.
 
-    The driver takes the table of sizes and one tile at a time, in write order, never the whole image.
+    The driver takes the table of sizes, which the header states, and makes the header; tiles are written by the tasks.
     """
     p = predictor(dtype) if pred is None else pred
-    order = write_order()
+    spark = tiles.sparkSession
     sizes = {(r["ifd"], r["plane"], r["ty"], r["tx"]): r["size"] for r in tiles.select("ifd", "plane", "ty", "tx", "size").collect()}
     at, places = 0, {}
     for i in range(len(levels) - 1, -1, -1):
@@ -209,9 +220,9 @@ def write_cog(tiles: DataFrame, path: str, levels: list[Layout], dtype: str, tag
             at += n
     tables = [([places[(i, *t)][0] for t in v.tidx()], [places[(i, *t)][1] for t in v.tidx()]) for i, v in enumerate(levels)]
     head = bigtiff(levels, dtype, tables, tags, p, nodata)
-    total = len(head)
-    with open(path, "wb") as f:
-        f.write(head)
-        for r in tiles.orderBy(*order).select("data").toLocalIterator(prefetchPartitions=True):
-            total += f.write(r["data"])
-    return total
+    # a row per tile, as the header has
+    at_tile = spark.createDataFrame([(*k, len(head) + start) for k, (start, n) in places.items() if n] or [(-1, 0, 0, 0, 0)], "ifd int, plane int, ty int, tx int, offset long")
+    body = tiles.select("ifd", "plane", "ty", "tx", "data").join(at_tile, ["ifd", "plane", "ty", "tx"]).select("offset", "data")
+    first = spark.createDataFrame([(0, bytearray(head))], "offset long, data binary")
+    multipart.write(first.unionByName(body), len(head) + at, multipart.FileSink(path) if isinstance(path, str) else path)
+    return len(head) + at

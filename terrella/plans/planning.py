@@ -14,8 +14,10 @@ from ..functions import geobox as G
 from ..functions import geometry as Geo
 from ..functions import reproject as R
 from ..operators import join as J
-from ..operators import overlay, tiles
-from .registry import CBOX, SBOX, boxes, query, rnd, sboxes
+from ..operators import cog, multipart, overlay, tiles
+from ..session import shared_path
+from ..sources import geotiff
+from .registry import CBOX, PIX, SBOX, boxes, pixels, query, rnd, sboxes
 
 RADIUS = 6378137.0
 RAD = math.pi / 180
@@ -254,6 +256,19 @@ def dissolved_boxes(spark: SparkSession, d: str) -> DataFrame:
     return g.select("nk", rnd(Geo.area(F.col("g")), 4, "area")).join(n, "nk")
 
 
+@query("SELECT raster, y, x, CAST(value AS DOUBLE) AS value FROM px WHERE y >= 16 AND y < 48 AND x >= 32", px=PIX)
+def geotiff_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters as planes of one tiled file, written part by part by the tasks; of the tiles that a box needs, the pixels read back."""
+    p = pixels(spark, d).select("raster", (F.floor(F.col("y") / 16)).cast("int").alias("ty"), (F.floor(F.col("x") / 16)).cast("int").alias("tx"), (F.col("y") % 16 * 16 + F.col("x") % 16).alias("at"), F.col("value").cast("float").alias("value"))
+    # at most 256 pixels a tile; those that are missing are nodata
+    t = p.groupBy("raster", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("m"))
+    t = t.select(F.lit(0).alias("ifd"), F.col("raster").alias("plane"), "ty", "tx", F.lit(16).alias("h"), F.lit(16).alias("w"), F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.col("m")[i], F.lit(-1.0).cast("float"))).alias("values"))
+    path = f"{shared_path(spark, 'rasters')}.tif"
+    packed = cog.compress_tiles(cog.packed(t, "values", "float32"), "float32", (16, 16))
+    cog.write_cog(packed, multipart.FileSink(path, least=4096), cog.layouts((64, 64), (16, 16), 0, 5), "float32", cog.geo_tags((1.0, 0.0, 0.0, 0.0, -1.0, 64.0), 3857, False), nodata=-1.0)
+    return geotiff.pixels(geotiff.tiles(spark, path, 0, (32, 16, 64, 48))).select(F.col("plane").alias("raster"), "y", "x", "value")
+
+
 _DISC = "(120*sin(pi()/60)/2)"  # of a polygon of 120 sides, of radius 1
 
 

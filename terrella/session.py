@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +22,15 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", 4000)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; a temporary one where that is unset, on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="terrella-")
+    path = found.removeprefix("file://").rstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
