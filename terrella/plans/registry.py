@@ -649,15 +649,38 @@ def axis_affine(spark: SparkSession, d: str) -> DataFrame:
     return raster.axis_affine(o, ["g"], "i", "value").select("g", rnd(F.col("resolution"), 6, "resolution"), rnd(F.col("offset"), 6, "offset"))
 
 
-@query()
-def gcp_poly_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Control points per image mapped by a polynomial, fitted, and the largest error of the fit at the points."""
-    p = pts(spark, d).select((F.col("ok") % 25).alias("image"), F.col("lon").alias("px"), F.col("lat").alias("py"))
+def _control(spark: SparkSession, d: str) -> DataFrame:
+    """Control points per image, mapped by a polynomial, and the fits."""
+    p = pts(spark, d).select("ok", "ln", (F.col("ok") % 25).alias("image"), F.col("lon").alias("px"), F.col("lat").alias("py"))
     p = p.withColumn("wx", F.col("px") * 2 + F.col("px") * F.col("py") * 0.01 + 5).withColumn("wy", F.col("py") * -3 + F.col("px") * F.col("px") * 0.001)
-    fx = gcp.fit_images(p, ("px", "py"), ("wx", "wy"))
-    q = p.select("image", F.col("px").alias("x"), F.col("py").alias("y"), "wx", "wy").join(fx, "image")
-    u, v = gcp.evaluate(F.col("x"), F.col("y"))
-    return q.select("image", F.greatest(F.abs(u - F.col("wx")), F.abs(v - F.col("wy"))).alias("e")).groupBy("image").agg((F.max("e") < 1e-6).alias("exact"), F.count(F.lit(1)).alias("n"))
+    return p.join(gcp.fit_images(p, ("px", "py"), ("wx", "wy")).select("image", *(F.col(c).alias(f"f_{c}") for c in ("px", "py", "mx", "my", "scale", "terms"))), "image")
+
+
+@query("SELECT ok % 25 AS image, true AS exact, count(*) AS n FROM p GROUP BY 1", p=PTS)
+def gcp_poly_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The largest error of the fit at the points."""
+    u, v = gcp.evaluate(F.col("px"), F.col("py"), "f_")
+    t = _control(spark, d).select("image", F.greatest(F.abs(u - F.col("wx")), F.abs(v - F.col("wy"))).alias("e"))
+    return t.groupBy("image").agg((F.max("e") < 1e-6).alias("exact"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT ok, ln, round((lon - ok % 90)/2, 5) AS x, round((lat - ok % 70)/2, 5) AS y FROM p", p=PTS)
+def gcp_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Places in the world as pixels of a cropped and zoomed grid over the control points: the map's inverse by Newton steps."""
+    t = _control(spark, d)
+    g = G.zoom_out(G.crop(G.geobox(1000, 1000, A.affine()), F.col("ok") % 70, 1000, F.col("ok") % 90, 1000), 2.0)
+    t = t.select("ok", "ln", gcp.world_to_grid(g, F.col("wx"), F.col("wy"), "f_").alias("p"))
+    return t.select("ok", "ln", rnd(F.col("p.x"), 5, "x"), rnd(F.col("p.y"), 5, "y"))
+
+
+@query("SELECT ok, ln, round(x*2 + x*y*0.01E0 + 5, 5) AS wx, round(y*-3 + x*x*0.001E0, 5) AS wy FROM (SELECT ok, ln, floor(lon) AS x, floor(lat) AS y FROM p)", p=PTS)
+def gcp_substitution(spark: SparkSession, d: str) -> DataFrame:
+    """A map's own centring put into its coefficients, and these evaluated at raw pixels, whole ones."""
+    s, mx, my = (F.col(f"f_{c}") for c in ("scale", "mx", "my"))
+    t = _control(spark, d)
+    t = t.select("ok", "ln", F.floor("px").cast("double").alias("px"), F.floor("py").cast("double").alias("py"), *(gcp.substituted(F.col(f"f_{c}"), s, -mx * s, s, -my * s).alias(f"c{c}") for c in ("px", "py"))).toDF("ok", "ln", "x", "y", "cx", "cy")
+    at = lambda c: sum(F.col(c)[n] * F.pow("x", F.lit(i)) * F.pow("y", F.lit(j)) for n, (i, j) in enumerate(gcp.POWERS))
+    return t.select("ok", "ln", rnd(at("cx"), 5, "wx"), rnd(at("cy"), 5, "wy"))
 
 
 @query()
