@@ -12,6 +12,7 @@ from ..functions import affine as A
 from ..functions import bbox as B
 from ..functions import geobox as G
 from ..functions.scalar import bin_index, let
+from .scan import running_totals
 
 
 @dataclass(frozen=True)
@@ -131,10 +132,30 @@ def chunks(n: int, t: int) -> tuple[int, ...]:
 
 
 def offsets(chunk_table: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    """start and stop of variable chunks, by key: a running sum within each tiling, not over the table."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(size).over(w)
-    return chunk_table.withColumn("stop", stop).withColumn("start", stop - F.col(size))
+    """start and stop of variable chunks, by key, in order of a number; a tiling of any length is spread over tasks (``scan``)."""
+    return running_totals(chunk_table, {"stop": F.col(size)}, order, [key]).withColumn("start", F.col("stop") - F.col(size))
+
+
+def numbered_chunks(chunk_table: DataFrame, key: str, order: str, size: str) -> DataFrame:
+    """``offsets`` with the number of each chunk from 0."""
+    t = running_totals(chunk_table, {"stop": F.col(size), "_n": F.lit(1)}, order, [key])
+    return t.withColumns({"start": F.col("stop") - F.col(size), "number": (F.col("_n") - 1).cast("int")}).drop("_n")
+
+
+def crop_chunks(numbered: DataFrame, key: str, first: Column | int, last: Column | int) -> DataFrame:
+    """Chunks ``first`` to ``last``, the latter excluded, of every tiling as a tiling of their own: numbers and offsets begin at 0."""
+    first, last = (c if isinstance(c, Column) else F.lit(c) for c in (first, last))
+    kept = numbered.filter((F.col("number") >= first) & (F.col("number") < last))
+    low = kept.groupBy(F.col(key).alias("_k")).agg(F.min("number").alias("_n"), F.min("start").alias("_s"))
+    t = kept.join(low, F.col(key).eqNullSafe(F.col("_k")))
+    return t.withColumns({"number": F.col("number") - F.col("_n"), "start": F.col("start") - F.col("_s"), "stop": F.col("stop") - F.col("_s")}).drop("_k", "_n", "_s")
+
+
+def variable_tiles(rows: DataFrame, cols: DataFrame, key: str) -> DataFrame:
+    """Tiles (ty, tx, y0, y1, x0, x1, height, width) of the tilings whose axes two numbered chunk tables describe."""
+    axis = lambda t, a, k: t.select(F.col(key).alias(k), F.col("number").alias(f"t{a}"), F.col("start").alias(f"{a}0"), F.col("stop").alias(f"{a}1"))
+    t = axis(rows, "y", key).join(axis(cols, "x", "_k"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    return t.withColumns({"height": F.col("y1") - F.col("y0"), "width": F.col("x1") - F.col("x0")})
 
 
 def locate_variable(p: Column, sizes: tuple[int, ...]) -> Column:

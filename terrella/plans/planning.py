@@ -14,7 +14,7 @@ from ..functions import geobox as G
 from ..functions import geometry as Geo
 from ..functions import reproject as R
 from ..operators import join as J
-from ..operators import cog, multipart, overlay, tiles
+from ..operators import cog, multipart, overlay, scan, tiles
 from ..session import shared_path
 from ..sources import geotiff
 from .registry import CBOX, PIX, SBOX, boxes, pixels, query, rnd, sboxes
@@ -256,6 +256,26 @@ def dissolved_boxes(spark: SparkSession, d: str) -> DataFrame:
     return g.select("nk", rnd(Geo.area(F.col("g")), 4, "area")).join(n, "nk")
 
 
+@query("SELECT ok, ln, CAST(sum(q) OVER (ORDER BY ok, ln) - q AS BIGINT) AS start, CAST(row_number() OVER (ORDER BY ok, ln) - 1 AS BIGINT) AS number FROM (SELECT l_orderkey AS ok, l_linenumber AS ln, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)")
+def one_long_tiling(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of all orders as the chunks of one axis: where each starts, and its number."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    t = scan.running_totals(t, {"stop": F.col("q"), "n": F.lit(1).cast("long")}, "ok", then=["ln"])
+    return t.select("ok", "ln", (F.col("stop") - F.col("q")).alias("start"), (F.col("n") - 1).alias("number"))
+
+
+@query(
+    """WITH n AS (SELECT p_brand AS brand, p_size AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS number FROM part), c AS (SELECT brand, size, number - 2 AS number FROM n WHERE number >= 2 AND number < 9),
+        a AS (SELECT brand, CAST(number AS INT) AS number, CAST(sum(size) OVER (PARTITION BY brand ORDER BY number) AS BIGINT) AS stop, CAST(size AS BIGINT) AS size FROM c)
+       SELECT y.brand, y.number AS ty, x.number AS tx, y.stop - y.size AS y0, x.stop - x.size AS x0, y.size AS height, x.size AS width FROM a y JOIN a x USING (brand)"""
+)
+def cropped_variable_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Seven by seven tiles of each brand's tiling, whose chunks are sizes of parts: crops, offsets and shapes."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("i"), F.col("p_size").cast("long").alias("size"))
+    axis = tiles.crop_chunks(tiles.numbered_chunks(p, "brand", "i", "size"), "brand", 2, 9)
+    return tiles.variable_tiles(axis, axis, "brand").select("brand", "ty", "tx", "y0", "x0", "height", "width")
+
+
 @query("SELECT raster, y, x, CAST(value AS DOUBLE) AS value FROM px WHERE y >= 16 AND y < 48 AND x >= 32", px=PIX)
 def geotiff_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rasters as planes of one tiled file, written part by part by the tasks; of the tiles that a box needs, the pixels read back."""
