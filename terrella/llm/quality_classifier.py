@@ -24,8 +24,9 @@ from .common import crc_mod, materialise, ship
 from .docstats import DOC_FEATURES, Counts
 from .textkit import slices
 
-#: Partial sums are added up by SUMS tasks before they reach the driver; CROSS folds of the training rows for calibration.
-FEATURES, SUMS, BINS, CROSS = 256, 16, 512, 4
+#: Partial sums are added up as a tree, FAN to one and SUMS at the top, which reach the driver; CROSS folds of the training rows
+#: for calibration.
+FEATURES, SUMS, FAN, BINS, CROSS = 256, 16, 32, 512, 4
 WIDTH, RIDGE, THRESHOLD = 1.0, 0.5, 0.3
 SCHEMA = "doc_id long, stats binary"
 
@@ -98,6 +99,7 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> M
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().filter(crc_mod("doc_id", folds) != held)
     inner = F.expr(f"pmod(crc32(cast(cast(doc_id as string) as binary)) div {folds}, {CROSS})").cast("int")
     train = materialise(stats.join(chosen, "doc_id").select("stats", "quality", inner.alias("inner")), "labelled")
+    tasks = train.rdd.getNumPartitions()
 
     def summed(make, size: int) -> np.ndarray:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +117,12 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> M
                     total += np.frombuffer(part, np.float64)
             yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-        parts = train.mapInArrow(rows, "part binary").repartition(SUMS).mapInArrow(add, "part binary").collect()
-        return sum((np.frombuffer(r["part"], np.float64) for r in parts), np.zeros(size))
+        parts, width = train.mapInArrow(rows, "part binary"), tasks
+        while True:
+            width = max(SUMS, -(-width // FAN))
+            parts = parts.repartition(width).mapInArrow(add, "part binary")
+            if width == SUMS:
+                return sum((np.frombuffer(r["part"], np.float64) for r in parts.collect()), np.zeros(size))
 
     m = summed(lambda x, y, f: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 2 * k + 1)
     n = m[0]
