@@ -356,18 +356,15 @@ def mid_longitude(g: Column, source) -> Column:
     return let(centroid(g), lambda c: project(c["x"], c["y"], source, 4326)[0])
 
 
-def meets_box(g: Column, b: Column) -> Column:
-    """Whether a polygon and a box share a point: an edge meets the box, or the box lies inside.
-
-    An edge meets it when their bounding boxes meet and the edge's line does not pass it on one side.
-    """
-    hx, hy = (b["right"] - b["left"]) / 2, (b["top"] - b["bottom"]) / 2
-    cx, cy = (b["right"] + b["left"]) / 2, (b["top"] + b["bottom"]) / 2
+def edge_meets_box(e: Column, b: Column) -> Column:
+    """Whether an edge meets a box, its boundary included: their bounding boxes meet and the edge's line does not pass the box on one side."""
+    p, q = e["p"], e["q"]
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    hx, hy, cx, cy = (b["right"] - b["left"]) / 2, (b["top"] - b["bottom"]) / 2, (b["right"] + b["left"]) / 2, (b["top"] + b["bottom"]) / 2
+    near = (F.least(p["x"], q["x"]) <= b["right"]) & (F.greatest(p["x"], q["x"]) >= b["left"]) & (F.least(p["y"], q["y"]) <= b["top"]) & (F.greatest(p["y"], q["y"]) >= b["bottom"])
+    return near & (F.abs(dx * (cy - p["y"]) - dy * (cx - p["x"])) <= F.abs(dx) * hy + F.abs(dy) * hx)
 
-    def meets(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-        near = (F.least(p["x"], q["x"]) <= b["right"]) & (F.greatest(p["x"], q["x"]) >= b["left"]) & (F.least(p["y"], q["y"]) <= b["top"]) & (F.greatest(p["y"], q["y"]) >= b["bottom"])
-        return near & (F.abs(dx * (cy - p["y"]) - dy * (cx - p["x"])) <= F.abs(dx) * hy + F.abs(dy) * hx)
 
-    return F.exists(edges(g), meets) | contains_point(g, cx, cy)
+def meets_box(g: Column, b: Column) -> Column:
+    """Whether a polygon and a box share a point: an edge meets the box, or the box lies inside."""
+    return F.exists(edges(g), lambda e: edge_meets_box(e, b)) | contains_point(g, (b["right"] + b["left"]) / 2, (b["top"] + b["bottom"]) / 2)

@@ -46,14 +46,41 @@ def box_anti_join(left: DataFrame, right: DataFrame, left_box: str, right_box: s
 
 
 def point_in_polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, geom: str, cell: float) -> DataFrame:
-    """Pairs of a point and a polygon that contains it: a point is in one cell, a polygon, with its edges, in those its box touches."""
+    """Pairs of a point and a polygon that contains it: a point is in one cell, a polygon in those its box touches.
+
+    A cell that no edge of the polygon meets lies inside it or outside: inside, its points need no test; outside, it is
+    dropped before the join. Other cells keep the edges that a ray to the right from one of their points can cross. Cells of
+    about the size of a few polygons' edges serve best. Points on an edge are outside.
+    """
     from ..functions import geometry as Geo
+    from ..functions.scalar import let
 
     p = points.withColumn("_lcy", F.floor(F.col(y) / cell)).withColumn("_lcx", F.floor(F.col(x) / cell))
     q = _cells(polygons.withColumn("_b", Geo.boundingbox(F.col(geom))).withColumn("_e", Geo.edges(F.col(geom))), "_b", cell, "_r")
-    b = F.col("_b")
-    inside = (F.col(x) >= b["left"]) & (F.col(x) <= b["right"]) & (F.col(y) >= b["bottom"]) & (F.col(y) <= b["top"])
-    # one CASE, so the optimiser cannot put the ring test before the box test
-    test = F.when(inside, Geo.inside(F.col("_e"), F.col(x), F.col(y))).otherwise(F.lit(False))
-    met = p.join(q, (F.col("_lcy") == F.col("_rcy")) & (F.col("_lcx") == F.col("_rcx")) & test)
-    return met.drop("_lcy", "_lcx", "_rcy", "_rcx", "_b", "_e")
+    # a little more than the cell, as a point at its edge may be dealt to it by rounding
+    left, bottom, pad = F.col("_rcx") * cell, F.col("_rcy") * cell, 1e-9 * cell + 1e-12
+    place = B.bbox(left - pad, bottom - pad, left + (cell + pad), bottom + (cell + pad))
+    q = q.withColumn("_s", let(F.struct(place.alias("c"), F.col("_e").alias("e")), lambda v: _cell_state(v["c"], v["e"]))).filter("_s.state >= 0").drop("_b", "_e")
+    met = p.join(q, (F.col("_lcy") == F.col("_rcy")) & (F.col("_lcx") == F.col("_rcx")))
+    # one CASE, so the optimiser cannot put the ring test before the state
+    met = met.filter(F.when(F.col("_s.state") == 1, F.lit(True)).otherwise(Geo.inside(F.col("_s.edges"), F.col(x), F.col(y))))
+    return met.drop("_lcy", "_lcx", "_rcy", "_rcx", "_s")
+
+
+def _cell_state(cell: Column, edges: Column) -> Column:
+    """struct(state, edges): 1 for a cell inside, -1 for one outside, without edges, and 0 for one that edges meet, with those that matter in it."""
+    from ..functions import geometry as Geo
+    from ..functions.scalar import let
+
+    none = F.slice(edges, 1, 0)
+
+    def judge(v: Column) -> Column:
+        mid = lambda a, b: (cell[a] + cell[b]) / 2
+        whole = F.when(Geo.inside(edges, mid("left", "right"), mid("bottom", "top")), 1).otherwise(-1)
+        return F.when(v, F.struct(F.lit(0).alias("state"), F.filter(edges, ahead).alias("edges"))).otherwise(F.struct(whole.alias("state"), none.alias("edges")))
+
+    def ahead(e: Column) -> Column:
+        p, r = e["p"], e["q"]
+        return (F.least(p["y"], r["y"]) <= cell["top"]) & (F.greatest(p["y"], r["y"]) >= cell["bottom"]) & (F.greatest(p["x"], r["x"]) >= cell["left"])
+
+    return let(F.exists(edges, lambda e: Geo.edge_meets_box(e, cell)), judge)

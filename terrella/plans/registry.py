@@ -250,7 +250,7 @@ def point_in_polygon_join(spark: SparkSession, d: str) -> DataFrame:
     l, b, r, t = (F.col(c) for c in ("sl", "sb", "sr", "st"))
     cx, cy = (l + r) / 2, (b + t) / 2
     s = s.select("sk", Geo.polygon(F.array(Geo.vertex(l, cy), Geo.vertex(cx, t), Geo.vertex(r, cy), Geo.vertex(cx, b), Geo.vertex(l, cy)), "EPSG:4326").alias("g"))
-    return J.point_in_polygon_join(pts(spark, d).select("lon", "lat"), s, "lon", "lat", "g", 10.0).groupBy("sk").agg(F.count(F.lit(1)).alias("n"))
+    return J.point_in_polygon_join(pts(spark, d).select("lon", "lat"), s, "lon", "lat", "g", 2.5).groupBy("sk").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- scalars, regions ----------------------------------------------------------------------------------------------

@@ -195,3 +195,25 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.sql("select * from tile_counts").collect()) == 20
+
+
+@pytest.mark.parametrize("cell", [0.3, 1.0, 40.0])
+def test_points_in_polygons_by_cells(spark, cell):
+    """Cells inside, outside and crossed: the same pairs as every point with every polygon; holes, and points on edges and cell edges."""
+    rng = np.random.default_rng(6)
+    shapes = []
+    for i in range(12):
+        t, r = np.sort(rng.uniform(0, 2 * np.pi, 9)), rng.uniform(0.5, 3, 9)
+        ring = np.stack([rng.uniform(-5, 5) + r * np.cos(t), rng.uniform(-5, 5) + r * np.sin(t)], 1)
+        shapes.append((i, [[[(float(x), float(y)) for x, y in [*ring, ring[0]]]]]))
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
+    shapes.append((12, [[square(-6.0, 6.0), square(-3.0, 3.0)]]))
+    xy = np.concatenate([rng.uniform(-8, 8, (400, 2)), rng.integers(-7, 8, (100, 2))])
+    polys = spark.createDataFrame([(i, ("Polygon", None, parts)) for i, parts in shapes], "k int, g struct<type:string,crs:string,parts:array<array<array<struct<x:double,y:double>>>>>")
+    pts = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in enumerate(xy)], "n int, x double, y double")
+    got = {(r.n, r.k) for r in join.point_in_polygon_join(pts, polys, "x", "y", "g", cell).collect()}
+    want = set()
+    for i, parts in shapes:
+        inside = kernels.place(xy, {"type": "Polygon", "crs": None, "parts": [[np.array(r) for r in p] for p in parts]}, 0.0) > 0
+        want |= {(int(n), i) for n in np.flatnonzero(inside)}
+    assert got == want and len(want) > 300
