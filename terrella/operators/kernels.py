@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as Geo
@@ -240,13 +240,40 @@ def covered(a, b) -> bool:
     return bool(r.member(0)[r.on[1]].all()) if _dim(b) == 1 else not (r.left[1] & ~r.left[0] | r.right[1] & ~r.right[0]).any()
 
 
+def _extent(g) -> tuple[float, float, float, float, bool] | None:
+    """Bounding box, and whether the polygon fills it."""
+    p = _points(g)
+    if not len(p):
+        return None
+    (x0, y0), (x1, y1) = p.min(0).tolist(), p.max(0).tolist()
+    full = g["type"] == "Polygon" and len(p) == 5 and len(g["parts"][0]) == 1 and x0 < x1 and y0 < y1
+    if full:
+        d = np.diff(p, axis=0) == 0
+        full = bool(((p == (x0, y0)) | (p == (x1, y1))).all()) and bool((d[:, 0] != d[:, 1]).all())
+    return x0, y0, x1, y1, full
+
+
+def _by_boxes(a, b) -> str | None:
+    """The relation where bounding boxes decide it: of boxes apart, and of rectangles."""
+    p, q = _extent(a), _extent(b)
+    if not p or not q or p[0] > q[2] or q[0] > p[2] or p[1] > q[3] or q[1] > p[3]:
+        return "disjoint"
+    if not (p[4] and q[4]):
+        return None
+    if not (p[0] < q[2] and q[0] < p[2] and p[1] < q[3] and q[1] < p[3]):
+        return "touches"
+    out, in_ = (x[0] <= y[0] and x[1] <= y[1] and x[2] >= y[2] and x[3] >= y[3] for x, y in ((p, q), (q, p)))
+    return "equals" if out and in_ else "contains" if out else "within" if in_ else "overlaps"
+
+
 @later("string")
 def _relation(a: pa.Array, b: pa.Array) -> pa.Array:
     found = list(pairs(a, b))
-    out: list[str | None] = [None] * len(found)
-    for run in in_batches(found):
-        batch = [found[i] for i in run]
-        areal = all(_dim(g) == 2 and len(_points(g)) for p in batch for g in p)
+    out = [None if p is None else _by_boxes(*p) for p in found]
+    todo = [p if r is None else None for p, r in zip(found, out)]
+    for run in in_batches(todo):
+        batch = [todo[i] for i in run]
+        areal = all(_dim(g) == 2 for g in batch[0])
         for i, r in zip(run, _areal_relations(batch) if areal else [relation(*p) for p in batch]):
             out[i] = r
     return pa.array(out, pa.string())
@@ -267,7 +294,15 @@ def _is_rectangle(g: Column, box: Column) -> Column:
 
 
 def relate(a: Column, b: Column) -> Column:
-    """The relation's name; an error where the coordinate systems differ. Disjoint boxes and rectangles are decided by columns; the kernel gets nulls for these."""
+    """The relation's name; an error where the coordinate systems differ. Of many rectangles, or boxes apart, ``with_relation`` is faster."""
+    return _relation(whole(a), whole(b))
+
+
+def with_relation(df: DataFrame, a: str, b: str, name: str = "relation") -> DataFrame:
+    """``df`` with the relation of two geometry columns. Boxes apart and rectangles are decided by columns first; the kernel gets nulls for these.
+
+    The decision is a column of its own: functions of arrays inside a kernel's arguments would keep it from being used in filters.
+    """
     facts = lambda g: let(Geo.boundingbox(g), lambda box: F.struct(box.alias("box"), F.coalesce(_is_rectangle(g, box), F.lit(False)).alias("full")))
 
     def decide(p: Column) -> Column:
@@ -278,12 +313,12 @@ def relate(a: Column, b: Column) -> Column:
         by_box = F.when(~inner, "touches").when(over(x, y) & over(y, x), "equals").when(over(x, y), "contains").when(over(y, x), "within").otherwise("overlaps")
         return F.when(~F.coalesce(closed, F.lit(False)), "disjoint").when(full, by_box)
 
-    given = a.isNotNull() & b.isNotNull() & a["type"].isNotNull() & b["type"].isNotNull()
-    agree = F.when(given & ~a["crs"].eqNullSafe(b["crs"]), F.raise_error(F.lit("CRSMismatch: the geometries' coordinate systems differ")).cast("string"))
-    quick = F.when(given, F.coalesce(agree, let(F.struct(facts(a).alias("x"), facts(b).alias("y")), decide)))
-    none = F.lit(None).cast(TYPE)
-    todo = given & quick.isNull()
-    return F.coalesce(quick, _relation(F.when(todo, whole(a)).otherwise(none), F.when(todo, whole(b)).otherwise(none)))
+    x, y = F.col(a), F.col(b)
+    given = x.isNotNull() & y.isNotNull() & x["type"].isNotNull() & y["type"].isNotNull()
+    agree = F.when(given & ~x["crs"].eqNullSafe(y["crs"]), F.raise_error(F.lit("CRSMismatch: the geometries' coordinate systems differ")).cast("string"))
+    t = df.withColumn("_quick", F.when(given, F.coalesce(agree, let(F.struct(facts(x).alias("x"), facts(y).alias("y")), decide))))
+    none, todo = F.lit(None).cast(TYPE), given & F.col("_quick").isNull()
+    return t.withColumn(name, F.coalesce("_quick", _relation(F.when(todo, whole(x)).otherwise(none), F.when(todo, whole(y)).otherwise(none)))).drop("_quick")
 
 
 def intersects(a: Column, b: Column) -> Column:

@@ -518,7 +518,7 @@ def convex_hulls(spark: SparkSession, d: str) -> DataFrame:
 )
 def box_relations(spark: SparkSession, d: str) -> DataFrame:
     j = boxes(spark, d).withColumn("j", F.col("ck") % 100).join(sboxes(spark, d).withColumn("j", F.col("sk") % 100), "j")
-    return j.select("ck", "sk", kernels.relate(Geo.from_bbox(F.col("box")), Geo.from_bbox(F.col("sbox"))).alias("rel"))
+    return kernels.with_relation(j.select("ck", "sk", Geo.from_bbox(F.col("box")).alias("g"), Geo.from_bbox(F.col("sbox")).alias("h")), "g", "h", "rel").select("ck", "sk", "rel")
 
 
 @query(

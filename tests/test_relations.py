@@ -55,6 +55,19 @@ def test_rectangles_need_no_kernel(spark):
         assert r["rel"] == kernels.relation(corner(r[:4]), corner(r[4:8]))
 
 
+def test_relations_in_columns_and_filters(spark):
+    """By columns first, by the kernel alone, and in a filter: the same; rectangles, slanted shapes, nulls."""
+    boxes = [(0, 0, 4, 4), (4, 0, 8, 4), (1, 1, 3, 3), (9, 9, 10, 10)]
+    df = spark.createDataFrame([(*map(float, a), *map(float, b), s) for a in boxes for b in boxes for s in (True, False)], "a double, b double, c double, d double, e double, f double, g double, h double, s boolean")
+    x = Geo.box(*map(F.col, "abcd"))
+    tri = Geo.polygon(F.array(Geo.vertex(F.col("e"), F.col("f")), Geo.vertex(F.col("g"), F.col("f")), Geo.vertex(F.col("g"), F.col("h")), Geo.vertex(F.col("e"), F.col("f"))))
+    y = F.when(F.col("s"), Geo.box(*map(F.col, "efgh"))).otherwise(tri)
+    t = df.select(x.alias("x"), y.alias("y")).unionByName(df.limit(1).select(x.alias("x"), F.lit(None).cast(Geo.TYPE).alias("y")))
+    got = kernels.with_relation(t, "x", "y").withColumn("alone", kernels.relate(F.col("x"), F.col("y"))).collect()
+    assert len(got) == 33 and all(r.relation == r.alone for r in got) and {r.relation for r in got} >= {None, "disjoint", "touches", "contains", "equals", "overlaps"}
+    assert t.filter(kernels.intersects(F.col("x"), F.col("y"))).count() == sum(r.alone not in (None, "disjoint") for r in got)
+
+
 def test_systems_must_agree(spark):
     df = spark.createDataFrame([(0.0, 1.0)], "z double, o double")
     a, b = (Geo.box(F.col("z"), F.col("z"), F.col("o"), F.col("o"), crs) for crs in ("EPSG:4326", "EPSG:3857"))
