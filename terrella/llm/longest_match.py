@@ -7,7 +7,8 @@ of what is left, until what remains is a trie node again. Every single symbol is
 fails. Counts are summed along the links; no piece is built. All distinct words of a slice advance one symbol per step.
 
 Defined cases: a null or empty text has no words and no tokens; rows are counted one by one, so repeated rows and ids do
-not matter; words of any length are matched whole; an empty table gives an empty result.
+not matter; words and texts of any length are matched whole; an empty table gives an empty result. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations

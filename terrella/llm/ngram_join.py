@@ -15,7 +15,8 @@ Defined cases: a null or empty text, or one of white space, has an empty set, is
 component; texts with fewer words than n have their whole sequence as the only element; repeated rows and rows of one id
 are nodes by their sets, so each row gets the smallest id of its component; a row with a null id gets the smallest
 other id reachable, or null; an empty table gives an empty result. The input should be a table scan or written table, as
-packing relies on retried tasks reading the same rows.
+packing relies on retried tasks reading the same rows. Texts of any length count whole. Grams of equal frequency are ordered by
+their hash, and of a component the smallest id stays. Other columns are ignored by the report and kept by ``keep_one``.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ so what reaches the driver has a fixed size whatever the number of rows; so do t
 
 Defined cases: a null or empty text has zero statistics and is scored like any other; repeated rows get equal scores; a
 null id is never held out nor trained on; without training rows every score is 0.5; an empty table gives an empty result;
-of several labels of one document each counts once.
+of several labels of one document each counts once. Texts of any length are counted whole. Equal raw scores share a place on the
+calibration curve, so ties stay ties. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

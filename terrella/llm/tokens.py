@@ -7,7 +7,8 @@ Text is cut by ``PATTERN`` first; a pre-token that is itself in the vocabulary i
 bytes and ignores piece text. A bounded cache per worker process holds what recurring pre-tokens encode to.
 
 Defined cases: a null or empty text has no tokens, and its digests are of no bytes; rows are encoded one by one, so
-repeated rows and ids do not matter; texts of any length are encoded whole; an empty table gives an empty result.
+repeated rows and ids do not matter; texts of any length are encoded whole; an empty table gives an empty result. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
