@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
 
 Defined cases: documents with a null or empty text have no words and go with the first stage; rows without id are told
-apart by their texts, and go before others only as bad or as copies; rows that repeat are near duplicates of each other, so one stays, that of the smallest id; lines that come
-again keep their first place in the order of ids; an empty table runs through and packs to no pieces. Columns beside id and text
-pass through all stages but the last, whatever their names.
+apart by their texts, and go before others only as bad or as copies; rows that repeat are near duplicates of each other,
+so one stays, that of the smallest id; lines that come again keep their first place in the order of ids; an empty table
+runs through and packs to no pieces. Columns beside id and text pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
