@@ -220,6 +220,7 @@ def lines_by_polygons(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("sbox")
     j = j.withColumn("h", Geo.line(F.array(Geo.vertex(s["left"], (s["bottom"] + s["top"]) / 2), Geo.vertex(s["right"], (s["bottom"] + s["top"]) / 2)), "EPSG:4326"))
     g, h = F.col("g"), F.col("h")
+    j = j.repartition(4 * spark.sparkContext.defaultParallelism, "ck", "sk")  # as for polygon_overlay
     j = j.select("ck", "sk", overlay.intersection(g, h).alias("i"), overlay.difference(h, g).alias("o"), overlay.pieces(g, h, "union").alias("p"))
     return j.select("ck", "sk", rnd(Geo.length(F.col("i")), 6, "inside"), rnd(Geo.length(F.col("o")), 6, "outside"), rnd(Geo.length(F.col("p.lines")), 6, "beside"))
 
