@@ -21,9 +21,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +41,11 @@ MIN_WORDS, SHINGLE, SHARE = 1, 5, (80, 100)
 #: pairs that grows with the square of the input.
 BINS, BANDS, ROWS = 256, 32, 8
 PART_BYTES, FLUSH, CHUNK, HOT, LOWEST = 16 << 20, 8 << 20, 24_000, 32, -(1 << 63)
+#: Bytes of lines whose signatures are made together.
+BATCH = 60_000
 _FACTORS = mix(np.arange(11, 11 + SHINGLE, dtype=U)) | U(1)
-#: The order in which each slot (column) looks for a full one.
-_LOOK = np.ascontiguousarray(np.random.default_rng(23).permuted(np.tile(np.arange(BINS, dtype=np.int32), (BINS, 1)), axis=1).T)
+#: The order in which each slot (column) looks for a full one, as distances to it.
+_LOOK = np.ascontiguousarray(np.random.default_rng(23).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1).T) - np.arange(BINS)
 
 
 def normal(line: bytes) -> bytes | None:
@@ -50,42 +54,82 @@ def normal(line: bytes) -> bytes | None:
     return b" ".join(words) if len(words) >= MIN_WORDS else None
 
 
+def normals(text: bytes) -> list[bytes | None]:
+    """The compared forms of all lines of a text."""
+    if MIN_WORDS > 1 or b"  " in text or b"\t" in text or b"\r" in text or b"\v" in text or b"\f" in text:
+        return list(map(normal, text.split(b"\n")))
+    return [x.strip(b" ") or None for x in text.lower().split(b"\n")]
+
+
 def node_of(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+    return int(nodes_of([text])[0])
+
+
+def nodes_of(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in texts]), "<i8")
+
+
+def _shingles(texts: list[bytes]) -> np.ndarray:
+    """Shingle hashes of lines one after the other, each as line << 48 | hash."""
+    # a line of fewer code points than a shingle is filled up with what no text has
+    filled = [t if len(t) >= 4 * SHINGLE else t.decode().ljust(SHINGLE, "\ud800").encode("utf-8", "surrogatepass") for t in texts]
+    data, size = b"".join(filled), np.fromiter(map(len, filled), np.int64, len(filled))
+    points = np.frombuffer(data, np.uint8)
+    if not data.isascii():
+        size = np.add.reduceat((points & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+        points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = points.astype(U)
+    g = points[: len(points) - SHINGLE + 1] * _FACTORS[0]
+    part = np.empty_like(g)
+    for i in range(1, SHINGLE):
+        g += np.multiply(points[i : len(points) - SHINGLE + 1 + i], _FACTORS[i], out=part)
+    g = mix(g)
+    g >>= U(16)
+    size[-1] -= SHINGLE - 1
+    g |= np.repeat(np.arange(len(size), dtype=U) << U(48), size)
+    inside = np.ones(len(g), bool)  # not the shingles that reach into the next line
+    for i in range(1, SHINGLE):
+        inside[np.cumsum(size)[:-1] - i] = False
+    return g[inside]
 
 
 def signatures(texts: list[bytes], sets: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
     """Of at most 65,536 lines: sorted distinct 48-bit shingle hashes (if ``sets``), and the band keys (lines x BANDS)."""
-    strings = [t.decode().ljust(SHINGLE, "\ud800") for t in texts]  # filled up with what no text has
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    size = np.array([len(s) for s in strings], np.int64)
-    line = np.repeat(np.arange(len(texts)), size - SHINGLE + 1)
-    at = np.arange(len(line)) + (SHINGLE - 1) * line
-    g = np.zeros(len(points) - SHINGLE + 1, U)
-    for i in range(SHINGLE):
-        g += points[i : len(points) - SHINGLE + 1 + i] * _FACTORS[i]
-    key = np.sort(line.astype(U) << U(48) | mix(g[at]) >> U(16))
-    elements = []
-    if sets:
-        key = key[runs(key)]
-        cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=U) << U(48)) if len(texts) < 65536 else np.append(np.searchsorted(key, np.arange(65536, dtype=U) << U(48)), len(key))
-        elements = np.split(key & U((1 << 48) - 1), cut[1:-1])
-    slot = runs(key >> U(40))
-    table = np.zeros((len(texts), BINS), U)
-    full = np.zeros((len(texts), BINS), bool)
-    r, c = (key[slot] >> U(48)).astype(np.int64), (key[slot] >> U(40) & U(BINS - 1)).astype(np.int64)
-    table[r, c], full[r, c] = key[slot] & U((1 << 40) - 1), True
-    flat, full = table.ravel(), full.ravel()
-    empty, step = np.flatnonzero(~full).astype(np.int32), 0
+    elements: list[np.ndarray] = []
+    bands = np.empty((len(texts), BANDS), U)
+    at, ends = 0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    while at < len(texts):  # few lines at a time, whose arrays stay in a core's cache
+        end = max(at + 1, min(at + BATCH // 64, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH))))
+        key = _shingles(texts[at:end])
+        if sets:
+            key.sort()
+            key = key[runs(key)]
+            elements += np.split(key & U((1 << 48) - 1), np.searchsorted(key, np.arange(1, end - at, dtype=U) << U(48)))
+        bands[at:end] = _bands(key, end - at)
+        at = end
+    return elements, bands
+
+
+def _bands(key: np.ndarray, lines: int) -> np.ndarray:
+    """Band keys of lines from their shingles: the least hash of every slot, empty slots borrowed."""
+    flat = np.full(lines * BINS, ~U(0))
+    np.minimum.at(flat, (key >> U(40)).view(np.int64), key & U((1 << 40) - 1))
+    full = flat != ~U(0)
+    empty, step = np.flatnonzero(~full), 0
+    source = np.arange(len(flat))
+    slot = empty & (BINS - 1)
     while len(empty):
-        other = (empty & ~(BINS - 1)) + _LOOK[step][empty & (BINS - 1)]
-        hit = full[other]
-        flat[empty[hit]] = flat[other[hit]]
-        empty, step = empty[~hit], step + 1
-    bands = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (len(texts), 1))
+        other = _LOOK[step].take(slot)
+        other += empty
+        source[empty] = other
+        still = np.flatnonzero(~full.take(other))
+        empty, slot, step = empty.take(still), slot.take(still), step + 1
+    table = flat.take(source).reshape(lines, BINS)
+    bands = np.tile(mix(np.arange(1, BANDS + 1, dtype=U)), (lines, 1))
     for i in range(ROWS):
-        bands = bands * U(0xD1342543DE82EF95) + table[:, i * BANDS : (i + 1) * BANDS]
-    return elements, mix(bands)
+        bands *= U(0xD1342543DE82EF95)
+        bands += table[:, i * BANDS : (i + 1) * BANDS]
+    return mix(bands)
 
 
 def decode(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -94,12 +138,16 @@ def decode(payloads: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarr
     return [(b >> U(16), np.zeros(BANDS, np.int64), e, len(e)) for b, e in zip(bands, elements)]
 
 
-def _chunk(found: list[tuple[bytes, list[int]]]) -> bytes:
-    """Distinct lines as one blob: node, document, row, line, count, size, bytes."""
-    texts = [t for t, _ in found]
-    place = np.array([p for _, p in found], np.int64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    return pack(np.array([node_of(t) for t in texts], np.int64), place[:, 0], place[:, 1], place[:, 2], place[:, 3], sizes, np.frombuffer(b"".join(texts), np.uint8))
+def _firsts(which: list[int], places: tuple[np.ndarray, ...], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of n lines that come at (document, row, line), entry by entry ``which``: the least place of each, and where it is in the entries."""
+    of = np.array(which, np.int64)
+    at = np.empty(n, np.int64)
+    at[of[::-1]] = np.arange(len(of))[::-1]
+    several = np.flatnonzero(np.bincount(of, minlength=n)[of] > 1)
+    order = several[np.lexsort((*(x[several] for x in places[::-1]), of[several]))]
+    start = order[runs(of[order])]
+    at[of[start]] = start
+    return [x[at] for x in places], of
 
 
 def _texts(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
@@ -108,7 +156,7 @@ def _texts(sizes: np.ndarray, raw: np.ndarray) -> list[bytes]:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Every distinct line that takes part with its first place and count, packed in chunks (chunk, data). docs: doc, row, text.
+    """Every distinct line that takes part, in chunks: chunk, size, places (node, first place and count, packed), data (texts, packed). docs: doc, row, text.
 
     A task's distinct lines go to the bucket of a hash of their text as one compressed blob.
     """
@@ -116,57 +164,68 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     parts = parts_for(docs.sparkSession, size, PART_BYTES)
     buckets = np.array(even_keys(docs.sparkSession, parts), np.int64)
 
-    def send(found: dict[bytes, list[int]]) -> pa.RecordBatch:
+    def send(found: dict[bytes, int], which: list[int], entries: list[tuple]) -> pa.RecordBatch:
         texts = list(found)
-        place = np.array(list(found.values()), np.int64)
-        home = np.array([zlib.crc32(t) for t in texts], np.int64) % parts
+        (doc, row, line), of = _firsts(which, tuple(map(np.concatenate, zip(*entries))), len(texts))
+        count = np.bincount(of, minlength=len(texts))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        home = np.fromiter(map(zlib.crc32, texts), np.int64, len(texts)) % parts
         order = np.argsort(home, kind="stable")
         edge = np.searchsorted(home[order], np.arange(parts + 1))
         names, blobs = [], []
         for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
             if y > x:
-                own = [texts[i] for i in order[x:y]]
-                rows = place[order[x:y]]
+                own = order[x:y]
                 names.append(int(buckets[b]))
-                blobs.append(pack(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], np.array([len(t) for t in own], np.int64), np.frombuffer(b"".join(own), np.uint8)))
+                blobs.append(pack(doc[own], row[own], line[own], count[own], sizes[own], np.frombuffer(b"".join([texts[i] for i in own.tolist()]), np.uint8)))
         return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, int] = {}
+        which: list[int] = []
+        entries: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()):
-                for i, raw in enumerate((text or b"").split(b"\n")):
-                    if (key := normal(raw)) is None:
-                        continue
-                    if (old := found.get(key)) is None:
-                        found[key] = [doc, row, i, 1]
-                        held += len(key) + 100
-                    else:
-                        old[3] += 1
-                        old[:3] = min(old[:3], [doc, row, i])
+            column = batch.column(2).cast(pa.large_binary())
+            for i in range(0, len(column), 512):
+                at, line, before = [], [], len(found)
+                for k, text in enumerate(column.slice(i, 512).to_pylist(), i):
+                    forms = normals(text or b"")
+                    with_words = [j for j, x in enumerate(forms) if x is not None]
+                    line += with_words
+                    at.append(len(with_words))
+                    which += [found.setdefault(x, len(found)) for x in forms if x is not None]
+                doc, row = (np.repeat(batch.column(c).slice(i, 512).to_numpy(), at) for c in (0, 1))
+                entries.append((doc, row, np.array(line, np.int64)))
+                held += sum(map(len, islice(reversed(found), len(found) - before))) + 100 * (len(found) - before) + 24 * len(line)
                 if held > FLUSH:
-                    yield send(found)
-                    found, held = {}, 0
+                    yield send(found, which, entries)
+                    found, which, entries, held = {}, [], [], 0
         if found:
-            yield send(found)
+            yield send(found, which, entries)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[int]] = {}
+        found: dict[bytes, int] = {}
+        which: list[int] = []
+        entries: list[tuple] = []
         for batch in batches:
             for data in batch.column(1).to_pylist():
-                docs_, rows, lines, counts, sizes, raw = unpack(data)
-                for doc, row, line, count, key in zip(docs_.tolist(), rows.tolist(), lines.tolist(), counts.tolist(), _texts(sizes, raw)):
-                    if (old := found.get(key)) is None:
-                        found[key] = [doc, row, line, count]
-                    else:
-                        old[3] += count
-                        old[:3] = min(old[:3], [doc, row, line])
-        task, items = TaskContext.get().partitionId(), list(found.items())
-        for i in range(0, len(items), CHUNK):
-            yield pa.record_batch([pa.array([task << 24 | i // CHUNK]), pa.array([_chunk(items[i : i + CHUNK])], pa.binary())], ["chunk", "data"])
+                *entry, sizes, raw = unpack(data)
+                entries.append(tuple(entry))
+                which += [found.setdefault(t, len(found)) for t in _texts(sizes, raw)]
+        if not found:
+            return
+        *places_, counts = map(np.concatenate, zip(*entries))
+        (doc, row, line), of = _firsts(which, tuple(places_), len(found))
+        count = np.bincount(of, counts, len(found)).astype(np.int64)
+        task, texts = TaskContext.get().partitionId(), list(found)
+        for i in range(0, len(texts), CHUNK):
+            own, p = texts[i : i + CHUNK], slice(i, i + CHUNK)
+            places = pack(nodes_of(own), doc[p], row[p], line[p], count[p])
+            data = pack(np.fromiter(map(len, own), np.int64, len(own)), np.frombuffer(b"".join(own), np.uint8))
+            yield pa.record_batch([pa.array([task << 24 | i // CHUNK]), pa.array([len(places) + len(data)]), pa.array([places], pa.binary()), pa.array([data], pa.binary())], ["chunk", "size", "places", "data"])
 
-    return docs.mapInArrow(trimmed(split), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(trimmed(merge), "chunk long, data binary")
+    return docs.mapInArrow(trimmed(split), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(trimmed(merge), "chunk long, size long, places binary, data binary")
 
 
 def band_groups(lines: DataFrame) -> DataFrame:
@@ -175,7 +234,7 @@ def band_groups(lines: DataFrame) -> DataFrame:
     Keys meet by hash bucket, what they find returns to the chunk, where the lines are. The home key is the one of a node that most nodes have.
     """
     spark = lines.sparkSession
-    size = lines.select(F.sum(F.octet_length("data"))).collect()[0][0] or 0
+    size = lines.agg(F.sum("size")).collect()[0][0] or 0
     parts = parts_for(spark, size * 2, PART_BYTES)
     buckets = np.array(even_keys(spark, parts), np.int64)
 
@@ -215,7 +274,12 @@ def band_groups(lines: DataFrame) -> DataFrame:
             hot = np.flatnonzero(c[2])
             count[np.searchsorted(key, c[0][hot])] += c[2][hot].astype(np.int64) - 1
         key, count = key[count > 1], count[count > 1]
+        mask = (1 << max(16, (64 * len(key)).bit_length())) - 1  # most keys come once, and few of those pass by their low bits
+        low = np.zeros(mask + 1, bool)
+        low[key & U(mask)] = True
         for chunk, (k, place, mark) in zip(chunks, found) if len(key) else ():
+            some = np.flatnonzero(low.take((k & U(mask)).astype(np.intp)))
+            k, place, mark = k[some], place[some], mark[some]
             at = np.minimum(np.searchsorted(key, k), len(key) - 1)
             hit = key[at] == k
             if hit.any():
@@ -226,11 +290,12 @@ def band_groups(lines: DataFrame) -> DataFrame:
         now, own, hits = None, None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            node, doc, row, line, _, sizes, raw = unpack(own)
+            node, doc, row, line, _ = unpack(own[0])
+            sizes, raw = unpack(own[1])
             key = np.concatenate([np.cumsum(h[0], dtype=U) for h in hits])
             place, mark, count = np.concatenate([h[1] for h in hits]), np.concatenate([h[2] for h in hits]).astype(bool), np.concatenate([h[3] for h in hits])
             if mark.any():  # keys that stand for many: all their places are found again here
-                all_key, all_place = _keys_of(own)
+                all_key, all_place = _keys_of(own[1])
                 order = np.flatnonzero(mark)[np.argsort(key[mark])]
                 at = np.minimum(np.searchsorted(key[order], all_key), len(order) - 1)
                 again = key[order][at] == all_key
@@ -250,35 +315,28 @@ def band_groups(lines: DataFrame) -> DataFrame:
                 yield pa.record_batch([none, pa.array(node[at[p]]), none, *(pa.array(c[at[p]]) for c in (doc, row, line)), pa.array(hk[p]), pa.array(hkey[p]), pa.array([texts[x] for x in at[p].tolist()], pa.binary())], names)
 
         for batch in batches:
-            for chunk, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for chunk, kind, data, first in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
                     if hits:
                         yield from out()
                     now, own, hits = chunk, None, []
                 if kind == 0:
-                    own = data
+                    own = first, data
                 else:
                     hits.append(unpack(data))
         if hits:
             yield from out()
 
-    met = lines.mapInArrow(trimmed(send), "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(trimmed(gather), "chunk long, kind int, data binary")
-    both = met.unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data"))
+    met = lines.select("chunk", "data").mapInArrow(trimmed(send), "bucket int, chunk long, data binary").repartition(parts, "bucket").mapInArrow(trimmed(gather), "chunk long, kind int, data binary")
+    both = met.withColumn("places", F.lit(None).cast("binary")).unionByName(lines.select("chunk", F.lit(0).alias("kind"), "data", "places"))
     return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(trimmed(name), "key long, node long, k long, doc long, row long, line long, hk long, hkey long, text binary")
 
 
 def _keys_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 48-bit band keys of a chunk's lines, and the line's place of each."""
-    *_, sizes, raw = unpack(data)
-    texts, keys, at = _texts(sizes, raw), [], 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (size < 400_000 or end == at):
-            size += len(texts[end])
-            end += 1
-        keys.append(signatures(texts[at:end], sets=False)[1])
-        at = end
-    packed = np.sort(np.concatenate(keys).ravel() >> U(16) << U(16) | np.repeat(np.arange(len(texts), dtype=U), BANDS))
+    texts = _texts(*unpack(data))
+    keys = signatures(texts, sets=False)[1]
+    packed = np.sort(keys.ravel() >> U(16) << U(16) | np.repeat(np.arange(len(texts), dtype=U), BANDS))
     return packed >> U(16), (packed & U(65535)).astype(np.uint16)
 
 
@@ -288,11 +346,11 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                node, doc, row, line, count, _, _ = unpack(data)
+                node, doc, row, line, count = unpack(data)
                 at = count > 1
                 yield pa.record_batch([pa.array(x[at]) for x in (node, doc, row, line)], ["node", "doc", "row", "line"])
 
-    return lines.select("data").mapInArrow(trimmed(rows), "node long, doc long, row long, line long")
+    return lines.select("places").mapInArrow(trimmed(rows), "node long, doc long, row long, line long")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -300,15 +358,15 @@ def places(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, line, node = [], [], []
+            at, line, keys = [], [], []
             for k, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
-                for i, raw in enumerate((text or b"").split(b"\n")):
-                    if (key := normal(raw)) is not None:
-                        at.append(k)
-                        line.append(i)
-                        node.append(node_of(key))
+                forms = normals(text or b"")
+                with_words = [j for j, x in enumerate(forms) if x is not None]
+                at += [k] * len(with_words)
+                line += with_words
+                keys += [x for x in forms if x is not None]
             own = pa.array(at, pa.int64())
-            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(line, pa.int32()), pa.array(node, pa.int64())], ["doc", "row", "line", "node"])
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(line, pa.int32()), pa.array(nodes_of(keys))], ["doc", "row", "line", "node"])
 
     return docs.mapInArrow(trimmed(rows), "doc long, row long, line int, node long")
 
@@ -317,7 +375,7 @@ def dropped_lines(docs: DataFrame, share: tuple[int, int] = SHARE, id_col: str =
     """doc (the lowest long for null), row (``row_key``) and the sorted numbers of its lines that go; rows that keep all are absent."""
     ship(docs.sparkSession)
     plain = docs.select(_doc(id_col).alias("doc"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    lines = materialise(distinct_lines(plain), "lines", free=True)
+    lines = materialise(distinct_lines(plain), "lines", free=True, codec="none")  # its columns are compressed already
     groups = materialise(band_groups(lines), "line-groups", free=True)
     items = groups.filter("key is null")
     found = link(groups.filter("key is not null").select("key", "node", "k"), items.select("node", "hk", "hkey", F.col("text").alias("payload")), decode, share)
@@ -354,7 +412,7 @@ def _with_drops(docs: DataFrame, columns: list, id_col: str, text_col: str) -> D
 
     @F.arrow_udf("array<int>")
     def worded(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [i for i, x in enumerate(t.encode().split(b"\n")) if normal(x) is not None] for t in text.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([None if t is None else [i for i, x in enumerate(normals(t.encode())) if x is not None] for t in text.to_pylist()], pa.list_(pa.int32()))
 
     # the lines with a word of such a text, once per text: its later rows lose them all
     all_lines = docs.filter(nameless).select(row.alias("_equal"), F.col(text_col).alias("_text")).join(equal, "_equal").groupBy("_equal").agg(F.first("_text").alias("_text"))
@@ -372,9 +430,12 @@ def _with_drops(docs: DataFrame, columns: list, id_col: str, text_col: str) -> D
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: number of lines, and the numbers (from 0) of those dropped."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    found = _with_drops(docs, [F.col(id_col).cast("long").alias("doc_id"), n.alias("n_lines")], id_col, text_col)
+
+    @F.arrow_udf("long")
+    def n_lines(text: pa.Array) -> pa.Array:
+        return pc.add(pc.count_substring(text.fill_null(""), "\n").cast(pa.int64()), 1)
+
+    found = _with_drops(docs, [F.col(id_col).cast("long").alias("doc_id"), n_lines(F.col(text_col)).alias("n_lines")], id_col, text_col)
     gone = F.col("_gone_lines")
     return found.select("doc_id", "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(gone, F.array().cast("array<int>")).alias("dropped"))
 

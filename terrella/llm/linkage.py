@@ -27,8 +27,8 @@ from .blocks import runs
 from .common import discard, materialise, parts_for, trimmed
 
 BLOCK, LARGE, RANGES, PART_BYTES = 256, 64, 32, 8 << 20
-#: Pairs decided one by one, and rows decoded together.
-SMALL, HELD = 40, 1500
+#: Pairs decided one by one, rows decoded together, and pairs of one key above which they are a matrix of their own.
+SMALL, HELD, PAIRS = 40, 1500, 1024
 Decode = Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]]
 
 
@@ -71,20 +71,34 @@ def bounds(a: Items, b: Items) -> np.ndarray:
     order = np.lexsort((item, key))
     key, left, item = key[order], left[order], item[order]
     start = runs(key)
-    for s, e in zip(start, np.append(start[1:], len(key))):
-        if e - s < 2:
-            continue
-        cut = s + int(np.searchsorted(item[s:e], len(a)))
-        if s < cut < e:
-            at = np.ix_(item[s:cut], item[cut:e] - len(a))
-            out[at] = np.maximum(out[at], 1 + np.minimum(left[s:cut, None], left[None, cut:e]))
+    end = np.append(start[1:], len(key))
+    cut = start + np.add.reduceat(item < len(a), start, dtype=np.int64)
+    many = (end - cut) * (cut - start)
+    for k in np.flatnonzero(many > PAIRS):
+        s, c, e = start[k], cut[k], end[k]
+        at = np.ix_(item[s:c], item[c:e] - len(a))
+        out[at] = np.maximum(out[at], 1 + np.minimum(left[s:c, None], left[None, c:e]))
+    few = np.flatnonzero((many > 0) & (many <= PAIRS))
+    for k in np.split(few, np.flatnonzero(np.diff(np.cumsum(many[few]) >> 20)) + 1):
+        n = many[k]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(end[k] - cut[k], n)
+        x, y = np.repeat(start[k], n) + nth // wide, np.repeat(cut[k], n) + nth % wide
+        np.maximum.at(out.reshape(-1), item[x] * len(b) + item[y] - len(a), 1 + np.minimum(left[x], left[y]))
     return out
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two arrays of distinct ones share."""
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def overlaps(a: Items, b: Items, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact overlaps of the pairs (i, j)."""
     if len(i) <= 1500:
-        return np.array([len(np.intersect1d(a.elements[x], b.elements[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+        return np.array([_common(a.elements[x], b.elements[y]) for x, y in zip(i.tolist(), j.tolist())], np.int64)
     rows, ri = np.unique(i, return_inverse=True)
     cols, rj = np.unique(j, return_inverse=True)
     ea, eb = [a.elements[x] for x in rows], [b.elements[y] for y in cols]
@@ -169,14 +183,13 @@ def _decide_few(a: Items, b: Items, forest: Forest, p: int, q: int, within: bool
     """The same for a few items of one block, pair by pair: length, then the overlap itself, then a common key."""
     links = []
     na, nb = a.size.tolist(), b.size.tolist()
-    met = _met(a, b)
     for i, n in enumerate(na):
         for j in range(i + 1 if within else 0, len(nb)):
             m = nb[j]
-            if met[i, j] or q * min(m, n) < p * max(m, n) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
+            if q * min(m, n) < p * max(m, n) or any(x[i] == y[j] >= 0 for x, y in zip(a.met, b.met)) or forest.find(a.comps[i]) == forest.find(b.comps[j]):
                 continue
             # as among many: only pairs that share a key
-            if (p + q) * len(np.intersect1d(a.elements[i], b.elements[j], assume_unique=True)) >= p * (m + n) and np.isin(a.keys[i], b.keys[j]).any():
+            if (p + q) * _common(a.elements[i], b.elements[j]) >= p * (m + n) and not set(a.keys[i].tolist()).isdisjoint(b.keys[j].tolist()):
                 forest.join(a.comps[i], b.comps[j])
                 links.append((a.nodes[i], b.nodes[j]))
     return links

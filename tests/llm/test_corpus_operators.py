@@ -347,3 +347,75 @@ def test_links_need_a_common_key_in_blocks_of_any_size(more):
     decoded = [(np.array(k, np.uint64), np.zeros(1, np.int64), e, 30) for k, e in zip(keys, sets)]
     items = linkage.Items(list(range(len(sets))), decoded, list(range(len(sets))), [[None] * len(sets)])
     assert linkage.decide(items, items, linkage.Forest(), (8, 10), True) == [(1, 2)]
+
+
+def test_signatures_go_by_small_batches():
+    """Whatever lines stand beside it, a line has the signature it has alone, and few lines at a time are in memory as hashes."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    alphabets = ("abcdefgh ", "aé日😀 b", "x")
+    lines = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice((1, 3, 5, 60, 900)))).encode() for _ in range(2500)]
+    line_dedup.signatures(lines[:10])
+    tracemalloc.start()
+    line_dedup.signatures(lines, sets=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    elements, bands = line_dedup.signatures(lines)
+    assert len(elements) == len(bands) == len(lines)
+    for i in rng.sample(range(len(lines)), 200):
+        (own,), band = line_dedup.signatures([lines[i]])
+        text = lines[i].decode().ljust(line_dedup.SHINGLE, "\ud800")
+        assert (own == elements[i]).all() and (band[0] == bands[i]).all()
+        assert len(own) == len({text[j : j + line_dedup.SHINGLE] for j in range(len(text) - line_dedup.SHINGLE + 1)})
+
+
+def test_distinct_lines_keep_their_first_place(spark):
+    """Places and counts of lines stand beside the texts, and are read without them."""
+    from terrella.llm.blocks import unpack
+
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["one two", " One  TWO ", "three\tfour", "Three Four", "", " ", "日本 é", "\r", "x%d" % rng.randrange(30)]) for _ in range(rng.randrange(9))) for _ in range(80)]
+    rows = [(rng.randrange(20), rng.randrange(5), t) for t in texts] + [(7, 7, None)]
+    want: dict[bytes, list] = {}
+    for doc, row, text in rows:
+        for i, raw in enumerate((text or "").encode().split(b"\n")):
+            if (key := line_dedup.normal(raw)) is not None:
+                want.setdefault(key, []).append((doc, row, i))
+    lines = line_dedup.distinct_lines(spark.createDataFrame(rows, "doc long, row long, text string").repartition(3))
+    got = {}
+    for r in lines.collect():
+        node, doc, row, line, count = (x.tolist() for x in unpack(bytes(r["places"])))
+        for key, n, *place in zip(line_dedup._texts(*unpack(bytes(r["data"]))), node, doc, row, line, count):
+            assert key not in got and n == line_dedup.node_of(key)
+            got[key] = tuple(place)
+    assert got == {k: (*min(v), len(v)) for k, v in want.items()}
+    repeated = {tuple(r) for r in line_dedup.repeated_lines(lines).select("doc", "row", "line").collect()}
+    assert repeated == {min(v) for v in want.values() if len(v) > 1}
+
+
+@pytest.mark.parametrize("pairs", [0, 3, 1024])
+def test_bounds_of_many_keys_at_once(pairs, monkeypatch):
+    """Keys of few items are decided together, by themselves only where their pairs are many."""
+    monkeypatch.setattr(linkage, "PAIRS", pairs)
+    alone = []
+    ix = np.ix_
+    monkeypatch.setattr(linkage.np, "ix_", lambda *a: alone.append(a) or ix(*a))
+    r = np.random.default_rng(pairs)
+
+    def items(n: int) -> linkage.Items:
+        keys = [np.unique(r.integers(0, 40, 6)).astype(np.uint64) for _ in range(n)]
+        return linkage.Items(list(range(n)), [(k, r.integers(0, 5, len(k)), k, len(k) + 5) for k in keys], list(range(n)), [[None] * n] * 2)
+
+    a, b = items(25), items(30)
+    want = np.zeros((len(a), len(b)), np.int64)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            for k, p in zip(a.keys[i], a.left[i]):
+                for m, q in zip(b.keys[j], b.left[j]):
+                    if k == m:
+                        want[i, j] = max(want[i, j], 1 + min(p, q))
+    assert (linkage.bounds(a, b) == want).all()
+    assert len(alone) == 0 if pairs == 1024 else alone
+    assert (linkage.bounds(a, items(0)) == 0).all()
