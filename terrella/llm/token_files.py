@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import pack, unpack
 from .common import delete_path, parts_for, ship, table_path, trimmed
 from .textkit import as_strings
 
@@ -37,11 +38,19 @@ RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 #: White space of the pre-tokenizer's pattern (fixed values).
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 BLANK = frozenset(SPACES)
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 300_000, 48
+
+
+def _with(column: pa.Array, text: str) -> pa.Array:
+    """Which rows contain a text; where all their bytes together don't, no row does."""
+    raw, offs = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int64)
+    if raw is None or bytes(raw[offs[column.offset] : offs[column.offset + len(column)]]).find(text.encode()) < 0:
+        return pa.array(np.zeros(len(column), bool))
+    return pc.match_substring(column, text)
 
 
 class ByteIds:
-    """Ids of a byte-level vocabulary file, cached by chunk.
+    """Ids of a byte-level vocabulary file, cached by chunk: what came once is kept apart from what came again, as most kinds of chunks come once.
 
     The pre-tokenizer starts a piece at every blank before a character that is no white space, and at both ends of a line
     break between two such characters or of two of them. So chunks between these encode apart, and unknown ones are encoded
@@ -65,6 +74,7 @@ class ByteIds:
         # keys: a chunk behind a blank, \0 and a chunk at the start of a line or text, and the line break
         self.fixed = {"\0": b"", "\n": np.array([vocabulary["Ċ"]], self.kind).tobytes()}
         self.cache: dict[str, bytes] = dict(self.fixed)
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -87,14 +97,12 @@ class ByteIds:
             start, end = np.append(0, at + 1), np.append(at, len(ids))
         return [data[a:b] for a, b in zip((size * start).tolist(), (size * end).tolist())]
 
-    def _learn(self, keys: set[str]) -> None:
-        """Put chunks into the cache."""
-        known = keys & self.old.keys()
-        self.cache.update(zip(known, map(self.old.__getitem__, known)))
-        keys -= known
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that no cache has."""
         blank, lead = [k for k in keys if k[0] != "\0"], [k for k in keys if k[0] == "\0"]
-        self.cache.update(zip(blank, self._joined(blank, True)))
-        self.cache.update(zip(lead, self._joined([k[1:] for k in lead], False)))
+        out = dict(zip(blank, self._joined(blank, True)))
+        out.update(zip(lead, self._joined([k[1:] for k in lead], False)))
+        return out
 
     def _whole(self, text: str) -> bytes:
         pieces = self.pieces(text)
@@ -111,36 +119,43 @@ class ByteIds:
         column = as_strings(column)
         if not len(column):
             return []
-        odd = pc.or_(pc.or_(pc.match_substring(column, "\0"), pc.match_substring(column, "\n\n\n")), pc.ends_with(column, "\n\n"))
+        odd = pc.or_(pc.or_(_with(column, "\0"), _with(column, "\n\n\n")), pc.ends_with(column, "\n\n"))
         lines = pc.replace_substring(column, "\n", " \n \0")
-        odd = pc.or_(odd, pc.or_(pc.match_substring(lines, "  "), pc.ends_with(lines, " "))).to_numpy(zero_copy_only=False).copy()
+        odd = pc.or_(odd, pc.or_(_with(lines, "  "), pc.ends_with(lines, " "))).to_numpy(zero_copy_only=False).copy()
         # a mark between a letter and a blank is a piece by itself
         lines = pc.replace_substring_regex(lines, "([A-Za-z])([.,;:!?]) ", "\\1 \0\\2 ")
         cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        kind, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        kind, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.cache.get, keys))
         gaps = [i for i, f in enumerate(found) if f is None]
-        new = {keys[i] for i in gaps}
+        young, old, new = self.young, self.old, set()
+        for i in gaps:
+            k = keys[i]
+            if (f := young.get(k)) is None and (f := old.get(k)) is None:
+                new.add(k)
+            else:
+                found[i] = self.cache[k] = f
         # chunks with white space at an end, and empty ones, cannot stand for themselves
         bad = {k for k in new if not k or k[-1] in BLANK or (k[1:2] if k[0] == "\0" else k[0]) in BLANK}
-        self._learn(new - bad)
+        learnt = self._learn(new - bad)
         if bad:
             odd |= np.logical_or.reduceat(np.array([k in bad for k in keys])[kind], offsets[:-1] - offsets[0])
-        for i in gaps:
-            found[i] = self.cache.get(keys[i], b"")
-        for k in [k for k in new if len(k) > CACHE_CHARS]:
-            self.cache.pop(k, None)
+        if new:
+            for i in gaps:
+                if found[i] is None:
+                    found[i] = learnt.get(keys[i], b"")
+        young.update(learnt)
+        for k in [k for k in learnt if len(k) > CACHE_CHARS]:
+            del young[k]
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
         if len(self.cache) > CACHE:
             self.old, self.cache = self.cache, dict(self.fixed)
-        size = self.kind.itemsize
-        ids, each = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // size
-        first = np.cumsum(each) - each
-        n = each[kind]
-        total = np.cumsum(n)
-        out = ids[np.repeat(first[kind] - (total - n), n) + np.arange(total[-1])].tobytes()
-        ends = (size * total[offsets[1:] - offsets[0] - 1]).tolist()
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        out = joined.buffers()[2].to_pybytes() if joined.buffers()[2] else b""
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[offsets[1:] - offsets[0]].tolist()
         return [self._whole(column[i].as_py()) if o else out[a:b] for i, (o, a, b) in enumerate(zip(odd.tolist(), [0, *ends], ends))]
 
 
@@ -254,20 +269,25 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """Per document its range, the ids before it there, and its ids, the end id last."""
+    """Per document its range, the ids before it there, and its ids, the end id last; per range a last row with how often each id comes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = byte_ids(path)
         end = b"" if end_id is None else np.array([end_id], t.kind).tobytes()
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, total = TaskContext.get().partitionId(), 0, np.zeros(t.size, np.int64)
         for b in batches:
             ids = [x + end for x in t.encode_column(b.column(1))]
+            total += np.bincount(np.frombuffer(b"".join(ids), t.kind), minlength=t.size)
             n = np.array([len(x) for x in ids], np.int64) // t.kind.itemsize
             at = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(at), b.column(0), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "ids"])
+            yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(at), b.column(0), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.record_batch([pa.array([part], pa.int32()), *(pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.binary())), pa.array([pack(used.astype(np.int32), total[used])], pa.binary())], names)
 
-    return docs.mapInArrow(trimmed(rows), "part int, before long, doc_id long, ids binary")
+    names = ["part", "before", "doc_id", "ids", "counts"]
+    return docs.mapInArrow(trimmed(rows), "part int, before long, doc_id long, ids binary, counts binary")
 
 
 def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -278,15 +298,15 @@ def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return data.view(kind), (offs - offs[0]) // kind.itemsize
 
 
-def _counted(ids: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
+def _counted(counts: DataFrame, size: int) -> np.ndarray:
+    """How often each id comes, from the ranges' counts."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(_flat(b.column(0), kind)[0], minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+            for data in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array(x) for x in unpack(data)], ["id", "n"])
 
-    found = ids.select("ids").mapInArrow(rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = counts.mapInArrow(rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[found["id"]] = found["n"]
     return out
@@ -327,9 +347,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     t = byte_ids(tokenizer)
     _tokenised(_ordered(docs, id_col, text_col), tokenizer, end_id).write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
-    lengths = code_lengths(_counted(ids, t.size, t.kind), max_bits)
+    lengths = code_lengths(_counted(ids.filter("counts is not null").select("counts"), t.size), max_bits)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
-    _encoded(ids, lengths, t.kind).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    _encoded(ids.filter("counts is null").drop("counts"), lengths, t.kind).write.option("compression", "zstd").parquet(f"{path}/blocks")
     delete_path(spark, f"{path}/ids")
     sums = sorted(spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids")).collect())
     first, rows = 0, []

@@ -1,6 +1,7 @@
 """Huffman-coded token files: ids against the library, code lengths against plain package-merge, whole round trips."""
 
 import heapq
+import random
 import zlib
 from functools import lru_cache
 
@@ -138,3 +139,45 @@ def test_digests(spark, placed, library):
 
 def test_empty(spark, empty):
     assert T.token_digests(empty, PATH).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 60])
+def test_chunks_that_come_again_stay(limit, monkeypatch):
+    """Ids are right whatever the caches keep, and chunks of one batch only do not push out those that come in all."""
+    monkeypatch.setattr(T, "CACHE", limit)
+    rng = random.Random(limit)
+    common = ["common%d" % i for i in range(20)]
+    plain = tokenizer()
+    ids = T.ByteIds(PATH)
+    for batch in range(12):
+        texts = []
+        for _ in range(15):
+            chunks = [*rng.sample(common, 10), "".join(rng.choices("abcdefgé日", k=rng.choice((4, 9, 60)))), rng.choice(["x.", "y!", "a\tb", "", "1,000"])]
+            texts.append(rng.choice([" ", "\n", "  ", " \n"]).join(rng.sample(chunks, len(chunks))))
+        texts += ["", "\n\n\n", "\0", "a\n", None]
+        got = ids.encode_column(pa.array(texts, pa.string()).slice(batch % 3))
+        assert [np.frombuffer(x, ids.kind).tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts[batch % 3 :]]
+
+
+def test_chunks_of_one_batch_do_not_push_out_others(monkeypatch):
+    monkeypatch.setattr(T, "CACHE", 60)
+    ids, asked = T.ByteIds(PATH), []
+    joined = ids._joined
+    monkeypatch.setattr(ids, "_joined", lambda chunks, blank: asked.extend(chunks) or joined(chunks, blank))
+    common = " ".join("common%d" % i for i in range(20))
+    batches = [common, common, *(" ".join("lone%d-%d" % (b, i) for i in range(50)) for b in range(6)), common]
+    for text in batches:
+        ids.encode_column(pa.array([text]))
+    assert len(asked) == len(set(asked)) == 20 + 6 * 50
+
+
+def test_counts_stand_with_the_ids(spark):
+    """Counts of ids come from one row a range, not from the ids again."""
+    rows = [(i, "one two three " * (i % 7)) for i in range(40)] + [(None, None)]
+    ids = T._tokenised(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 0)
+    t = T.byte_ids(PATH)
+    want = np.zeros(t.size, np.int64)
+    for r in ids.filter("counts is null").collect():
+        want += np.bincount(np.frombuffer(r["ids"], t.kind), minlength=t.size)
+    counts = ids.filter("counts is not null").select("counts")
+    assert counts.count() == 3 and (T._counted(counts, t.size) == want).all() and want[0] == 41
