@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +329,24 @@ def test_pipeline(spark):
     assert now.join(labels, "doc_id").count() <= 0.2 * labels.count()
 
 
+def test_pipeline_goes_by_small_batches(spark):
+    import corpus_pipeline
+    from terrella.session import ship
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat(id, ' some words '), 130)").alias("text"))
+    most = lambda: docs.mapInArrow(sizes, "size long, n long").agg(F.max("size"), F.sum("n")).first()
+    for stage in (corpus_pipeline.rules, corpus_pipeline.near_duplicates):
+        stage(spark, docs.limit(50), "/root/testdata/sf0.001")
+        size, n = most()
+        assert size <= 1 << 20 and n == 3000
+    ship(spark)  # other queries have theirs
+    assert most()[0] > 2 << 20
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
