@@ -77,7 +77,7 @@ def queried(spark, d, name, customers, suppliers):
     return registry.QUERIES[name](spark, d), c.sql(registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["line_meetings", "lines_by_polygons", "polygon_overlay", "polygon_intersection"])
+@pytest.mark.parametrize("name", ["polygon_overlay", "polygon_intersection", "box_relations", "line_meetings", "lines_by_polygons"])
 def test_pairs_are_spread(spark, tmp_path, name):
     """A file of one partition is worked on by all cores, and pairs carry no geometries to Python."""
     got, want = queried(spark, str(tmp_path), name, range(300), range(60))
