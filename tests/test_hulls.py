@@ -38,3 +38,27 @@ def test_hull_query_moves_hulls_only(spark):
     for r in whole.collect():
         h = kernels.hull(np.array([tuple(p[0][0]) for p in r["m"]["parts"]]))
         assert got[r["g"]] == (len(h), pytest.approx(kernels.signed_area(h), abs=1e-3))
+
+
+@pytest.mark.parametrize("k", range(8))
+def test_triangles(k):
+    """They fill the hull, no circle has a point within it, and their count is Euler's: on grids, at random, with copies."""
+    rng = np.random.default_rng(k)
+    p = rng.integers(0, 3 + k, (50, 2)).astype(float) if k % 2 else rng.uniform(-5, 5, (20 * k + 3, 2))
+    triangles, each = kernels.delaunay(np.concatenate([p, p[:2]])), np.unique(p, axis=0)
+    ring, area = kernels.hull(p), 0.0
+    for (ax, ay), (bx, by), (cx, cy) in (p[list(t)] for t in triangles):
+        d = 2 * ((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+        area += abs(d) / 4
+        b2, c2 = (bx - ax) ** 2 + (by - ay) ** 2, (cx - ax) ** 2 + (cy - ay) ** 2
+        mid = np.array([ax + ((cy - ay) * b2 - (by - ay) * c2) / d, ay + ((bx - ax) * c2 - (cx - ax) * b2) / d])
+        assert (((each - mid) ** 2).sum(1) >= ((mid - (ax, ay)) ** 2).sum() * (1 - 1e-9) - 1e-9).all()
+    rim = kernels.near_any(each, np.concatenate([ring[:-1], ring[1:]], 1), 1e-9).sum()
+    assert area == pytest.approx(kernels.signed_area(ring)) and len(triangles) == 2 * len(each) - 2 - rim
+
+
+def test_triangles_of_many_points():
+    began = time.perf_counter()
+    p = np.random.default_rng(1).integers(0, 2000, (12_000, 2)) / 10
+    assert len(kernels.delaunay(p)) > 20_000 and time.perf_counter() - began < 30
+    assert kernels.delaunay(np.zeros((5, 2))) == [] == kernels.delaunay(np.stack([np.arange(9.0)] * 2, 1))
