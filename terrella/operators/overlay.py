@@ -298,15 +298,103 @@ def _strokes(g, d: float, quadrant: int) -> list[dict]:
     return [_geom("Polygon", g["crs"], [[r]]) for r in around]
 
 
+def _outlines(paths: np.ndarray, d: np.ndarray, quadrant: int, closed: bool) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Offsets to the right of closed ways (rows of corners, the first not again), round where they turn left; None where it is not that simple.
+
+    That is the union of stadiums around the sides as long as corners are whole steps of the circle's sides, as then those
+    of two stadiums are the same. ``closed``: ways around convex polygons; else there and back along lines of one bend at most.
+    """
+    step = np.pi / 2 / quadrant
+    side = np.roll(paths, -1, 1) - paths
+    length = np.hypot(side[..., 0], side[..., 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        way = side / length[..., None]
+    before = np.roll(way, 1, 1)
+    turn = np.arctan2(before[..., 0] * way[..., 1] - before[..., 1] * way[..., 0], (before * way).sum(-1))
+    if not closed:  # the ends of a line are turned around
+        ends = np.zeros(paths.shape[1], bool)
+        ends[[0, paths.shape[1] // 2]] = True
+        turn[:, ends] = np.pi
+    steps = np.rint(np.nan_to_num(turn) / step).astype(np.int64)
+    fits = (length > 0).all(1) & np.isfinite(turn).all(1) & (np.abs(turn - steps * step) < 1e-9).all(1) & np.isfinite(d) & (d > 0)
+    if closed:
+        fits &= (steps >= 0).all(1) & (steps.sum(1) == 4 * quadrant) & (steps < 2 * quadrant).all(1)
+    else:
+        fits &= (np.abs(steps[:, ~ends]) <= quadrant).all(1) & (length > d[:, None] * (1 + 1e-9)).all(1)
+    normal, last = (np.stack([w[..., 1], -w[..., 0]], -1) for w in (way, before))
+    out: list[np.ndarray | None] = [None] * len(paths)
+    kinds, which = np.unique(steps, axis=0, return_inverse=True)
+    for k, kind in enumerate(kinds):
+        rows = np.flatnonzero(fits & (which.ravel() == k))
+        points = []
+        for i, n in enumerate(kind.tolist() if len(rows) else ()):
+            at, far, a, b = paths[rows, i], d[rows, None], last[rows, i], normal[rows, i]
+            if n < 0:  # to the inside, the offsets of both sides meet
+                points.append(at + far * (a + b) / (1 + (a * b).sum(1, keepdims=True)))
+                continue
+            for t in np.arange(n) * step:
+                points.append(at + far * (a * np.cos(t) + np.stack([-a[:, 1], a[:, 0]], 1) * np.sin(t)))
+            points.append(at + far * b)
+        if points:
+            for row, ring in zip(rows.tolist(), np.stack([*points, points[0]], 1)):
+                out[row] = ring
+    return fits, out
+
+
+def rounded(shapes: list[dict | None], distances: list[float | None], quadrant: int) -> list[dict | None]:
+    """Buffers whose outline is known without an arrangement, many at a time: of points, of lines with one bend at most, and of convex polygons; rectangles shrink as well."""
+    out: list[dict | None] = [None] * len(shapes)
+    groups: dict[tuple, list[int]] = {}
+    for i, (g, d) in enumerate(zip(shapes, distances)):
+        if g is None or not d or len(g["parts"]) != 1 or len(g["parts"][0]) != 1:
+            continue
+        r, dim = _rings(g)[0][0], _dim(g)
+        n = len(r)
+        if d > 0 and ((dim == 0 and n == 1) or (dim == 1 and 2 <= n <= 3)) or dim == 2 and 4 <= n <= 64 and (r[0] == r[-1]).all() and (d > 0 or n == 5):
+            groups.setdefault((dim, n, d > 0), []).append(i)
+    for (dim, n, grow), rows in groups.items():
+        p, d = np.stack([_rings(shapes[i])[0][0] for i in rows]), np.abs(np.array([distances[i] for i in rows], float))
+        if dim == 0:
+            t = np.linspace(0, 2 * np.pi, 4 * quadrant + 1)
+            found: list[np.ndarray | None] = list(p + d[:, None, None] * np.stack([np.cos(t), np.sin(t)], 1))
+            for k in np.flatnonzero(~(np.isfinite(p).all((1, 2)) & np.isfinite(d))).tolist():
+                found[k] = None
+        elif dim == 1:
+            found = _outlines(np.concatenate([p, p[:, -2:0:-1]], 1), d, quadrant, closed=False)[1]
+        else:
+            p = p[:, :-1]
+            q = p - p[:, :1]
+            double = (q[:, :, 0] * np.roll(q[:, :, 1], -1, 1) - q[:, :, 1] * np.roll(q[:, :, 0], -1, 1)).sum(1)
+            p = np.where((double < 0)[:, None, None], p[:, ::-1], p)
+            fits, found = _outlines(p, d, quadrant, closed=True)
+            if not grow:
+                found = [None] * len(rows)
+                one, two = p[:, 1] - p[:, 0], p[:, 2] - p[:, 1]
+                wide, high = np.hypot(*one.T), np.hypot(*two.T)
+                # four corners of a quarter turn each are a rectangle
+                square = fits & (np.abs((one * two).sum(1)) <= 1e-12 * wide * high) & (np.abs(p[:, 0] + p[:, 2] - p[:, 1] - p[:, 3]).max(1) <= 1e-12 * np.abs(p).max((1, 2)))
+                for k in np.flatnonzero(square).tolist():
+                    u, v = one[k] / wide[k] * d[k], two[k] / high[k] * d[k]
+                    left = min(wide[k], high[k]) > 2 * d[k] + ONE * max(1.0, np.abs(p[k]).max())
+                    found[k] = p[k, [0, 1, 2, 3, 0]] + np.array([u + v, v - u, -u - v, u - v, u + v]) if left else np.zeros((0, 2))
+        for i, ring in zip(rows, found):
+            if ring is not None:
+                out[i] = _geom("Polygon", shapes[i]["crs"], [[ring]] if len(ring) else [])
+    return out
+
+
 def buffered(shapes: list[dict | None], distances: list[float | None], quadrant: int) -> list[dict | None]:
     """Each geometry grown by its distance, or, a polygon by a negative one, shrunk: the union with, or difference from, what lies that near its segments."""
-    there = [g if g is not None and d is not None else None for g, d in zip(shapes, distances)]
-    near = fold_all([_strokes(g, abs(d), quadrant) if g is not None and d else [] for g, d in zip(there, distances)], UNION)
+    quick = rounded(shapes, distances, quadrant)
+    there = [g if g is not None and d is not None and q is None else None for g, d, q in zip(shapes, distances, quick)]
+    near = fold_all([_strokes(g, abs(d), quadrant) if g is not None and d and (d > 0 or _dim(g) == 2) else [] for g, d in zip(there, distances)], UNION)
     pairs_of = lambda grow: [(g, n) if g is not None and n is not None and _dim(g) == 2 and (d > 0) == grow else None for g, n, d in zip(there, near, distances)]
     grown, shrunk = (combine_all(pairs_of(grow), [op])[0] for grow, op in ((True, UNION), (False, DIFFERENCE)))
     out: list[dict | None] = []
-    for g, d, n, more, less in zip(there, distances, near, grown, shrunk):
-        if g is None or (_dim(g) == 2 and (not d or n is None)):
+    for g, d, n, more, less, q in zip(there, distances, near, grown, shrunk, quick):
+        if q is not None:
+            out.append(q)
+        elif g is None or (_dim(g) == 2 and (not d or n is None)):
             out.append(g)
         elif _dim(g) == 2:
             out.append(more if d > 0 else less)
