@@ -12,6 +12,7 @@ from ..functions import affine as A
 from ..functions import bbox as B
 from ..functions import geobox as G
 from ..functions.scalar import bin_index, let
+from .join import spread
 from .scan import running_totals
 
 
@@ -206,13 +207,14 @@ def grid_intersect(dst: DataFrame, grid: Column, source: Column, target_crs, sou
     from ..functions import reproject as R
 
     ny, nx, th, tw = src
-    out = dst.withColumn("_g", R.tile_footprint(grid, source, target_crs, source_crs, per_side)).withColumn("_b", let(F.col("_g"), Geo.boundingbox))
     plane = B.bbox(F.lit(0), F.lit(0), F.lit(nx), F.lit(ny))
-    # bound once: the optimiser moves this filter below the columns it reads, and would repeat them for every use
-    out = out.filter(let(F.col("_b"), lambda b: B.overlaps(b, plane))).withColumn("_r", tile_range(F.col("_b"), ny, nx, th, tw))
+    facts = lambda g: F.struct(Geo.boundingbox(g).alias("b"), Geo.edges(g).alias("e"))
+    # generated rather than projected: the optimiser would move the filter below a projection and compute the footprint again there
+    out = spread(dst).withColumn("_g", F.explode(F.array(let(R.tile_footprint(grid, source, target_crs, source_crs, per_side), facts))))
+    out = out.filter(B.overlaps(F.col("_g.b"), plane)).withColumn("_r", tile_range(F.col("_g.b"), ny, nx, th, tw))
     out = out.withColumn("sy", F.explode(F.sequence(F.col("_r.ty0"), F.col("_r.ty1")))).withColumn("sx", F.explode(F.sequence(F.col("_r.tx0"), F.col("_r.tx1"))))
     y0, y1, x0, x1 = tile_slices(F.col("sy"), F.col("sx"), ny, nx, th, tw)
-    return out.filter(Geo.meets_box(F.col("_g"), B.bbox(x0, y0, x1, y1))).drop("_g", "_b", "_r")
+    return out.filter(Geo.edges_meet_box(F.col("_g.e"), B.bbox(x0, y0, x1, y1))).drop("_g", "_r")
 
 
 def tiles_of(selection: DataFrame, y: tuple[Column, Column], x: tuple[Column, Column], ny: int, nx: int, th: int, tw: int) -> DataFrame:
