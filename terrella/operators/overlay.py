@@ -151,6 +151,28 @@ def split_polygon(g, line) -> list[dict]:
     return [_geom("Polygon", g["crs"], [part]) for part in polygons_of(rings(every.reshape(-1, 2), ids)[0])]
 
 
+def uncut(found: list[tuple[dict, dict] | None]) -> dict[int, dict]:
+    """By number, the convex polygons of three or four corners whose boxes are apart from the lines': one piece each, in no need of cutting."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, p in enumerate(found):
+        if p is not None and _dim(p[0]) == 2 and all(len(g["parts"]) == 1 and len(g["parts"][0]) == 1 for g in p):
+            n, m = (len(g["parts"][0][0]) for g in p)
+            if 4 <= n <= 5 and m:
+                groups.setdefault((n, m), []).append(i)
+    out = {}
+    for rows in groups.values():
+        a, b = (np.stack([_rings(found[i][k])[0][0] for i in rows]) for k in (0, 1))
+        side = np.diff(a, axis=1)
+        after = np.roll(side, -1, 1)
+        turn = side[..., 0] * after[..., 1] - side[..., 1] * after[..., 0]
+        far = ONE * np.maximum(1.0, np.maximum(np.abs(a).max((1, 2)), np.abs(b).max((1, 2))))[:, None]
+        apart = ((a.min(1) > b.max(1) + far) | (b.min(1) > a.max(1) + far)).any(1)
+        simple = (a[:, 0] == a[:, -1]).all(1) & ((turn > 0).all(1) | (turn < 0).all(1)) & (np.abs(side).max(2) > far).all(1)
+        for k in np.flatnonzero(apart & simple).tolist():
+            out[rows[k]] = _geom("Polygon", found[rows[k]][0]["crs"], [[a[k] if turn[k, 0] > 0 else a[k, ::-1]]])
+    return out
+
+
 def split_line(g, by) -> list[dict]:
     """The pieces of lines between their meetings with a geometry."""
     eps = _reach(g, by)
@@ -419,7 +441,9 @@ def buffer(g: Column, distance: float | Column, quadrant: int = 30) -> Column:
 
 @later(f"array<{TYPE}>")
 def _split(g: pa.Array, by: pa.Array) -> pa.Array:
-    found = [None if p is None else split_polygon(*p) if _dim(p[0]) == 2 else split_line(*p) for p in pairs(g, by)]
+    both = list(pairs(g, by))
+    same = uncut(both)
+    found = [None if p is None else [same[i]] if i in same else split_polygon(*p) if _dim(p[0]) == 2 else split_line(*p) for i, p in enumerate(both)]
     ends = np.cumsum([0] + [len(x or []) for x in found])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), encode([y for x in found for y in x or []]), mask=pa.array([x is None for x in found], pa.bool_()))
 
