@@ -3,6 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from terrella.functions import bbox as B
+from terrella.operators import join
 from terrella.plans import registry
 
 
@@ -26,3 +28,18 @@ def test_points_on_the_edges_of_diamonds(spark, tmp_path):
     want = dict(c.sql(registry.ORACLES["point_in_polygon_join"]).fetchall())
     got = {r["sk"]: r["n"] for r in registry.QUERIES["point_in_polygon_join"](spark, d).filter(F.col("n") > 0).collect()}
     assert got == want and 0 < sum(want.values()) < len(rows)
+
+
+def test_rows_of_one_box_meet_as_one(spark, monkeypatch):
+    """Copies of a box, in lists of bounded length, are tested once; the rows come out as they went in."""
+    monkeypatch.setattr(join, "GATHER", 5)
+    box = lambda n, k: F.struct((F.col(k) % n * 3.0).alias("left"), F.lit(0.0).alias("bottom"), (F.col(k) % n * 3.0 + 4).alias("right"), F.lit(2.0).alias("top"), F.lit(None).cast("string").alias("crs"))
+    left = spark.range(300).select("id", (F.col("id") * 2).alias("v"), F.when(F.col("id") != 7, box(10, "id")).alias("a"))
+    right = spark.range(20).toDF("k").select("k", box(20, "k").alias("b"))
+    lists = join._gathered(left, "a").select(F.size("_rows").alias("n")).collect()
+    assert sum(r["n"] for r in lists) == 299 and max(r["n"] for r in lists) < 20
+    plain, gathered = (join.box_join(left, right, "a", "b", 2.5, B.interiors_meet, salt=2, gather=g) for g in (False, True))
+    assert gathered.columns == plain.columns
+    got = sorted(gathered.select("id", "v", "a.left", "k").collect())
+    assert got == sorted(plain.select("id", "v", "a.left", "k").collect()) and len(got) > 600
+    assert "_rows" in registry.QUERIES["spatial_join_salted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
